@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,9 +78,10 @@ def sized_join(
 ) -> DataFrame:
     """Join a per-key summary back: broadcast when its measured row count allows, else spread.
 
-    The summary is computed once and kept for the join, so counting it costs no second pass.
+    The summary is computed once into the shared folder, so counting it reads file footers
+    only and the big side is never shuffled just to find out that the other one is small.
     """
-    summary = summary.persist(StorageLevel.MEMORY_AND_DISK)
+    summary = durable(summary)
     if summary.count() <= max_rows:
         return big.join(F.broadcast(summary), list(on), how)
     return spread_join(big, summary, on, how)

@@ -32,9 +32,15 @@ def fuse(
     )
 
 
-def latest_day(df: DataFrame, tenant: Sequence[str] = ("organization_id",)) -> DataFrame:
-    """Rows of each tenant's newest date, the slice that inference stores."""
-    newest = df.groupBy(*tenant).agg(F.max("date").alias("date"))
+def latest_day(
+    df: DataFrame, tenant: Sequence[str] = ("organization_id",), source: DataFrame | None = None
+) -> DataFrame:
+    """Rows of each tenant's newest date, the slice that inference stores.
+
+    ``source`` is a cheaper table with the same dates, such as the billing behind the scores.
+    """
+    dated = df if source is None else source
+    newest = dated.groupBy(*tenant).agg(F.max("date").alias("date"))
     return sized_join(df, newest, [*tenant, "date"], "left_semi")
 
 

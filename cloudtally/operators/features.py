@@ -102,23 +102,22 @@ def growth(
     """``cost_growth_rate`` against the previous row and ``runtime_days`` (position in the series)."""
     keys = series_keys(df, keys)
 
-    def rate(w):
-        return pct_change(F.col("cost"), F.lag("cost").over(w), keep_inf)
-
     if one_row_per_day:
         w = by_day(keys)
-        return df.withColumns(
-            {"runtime_days": F.row_number().over(w).cast("int"), "cost_growth_rate": rate(w)}
+        out = df.withColumns({"runtime_days": F.row_number().over(w), "_prev": F.lag("cost").over(w)})
+    else:
+        out = with_lookback(
+            positions(df, keys, name="runtime_days"),
+            lambda w: {"_prev": F.lag("cost").over(w)},
+            lookback=1,
+            keys=keys,
+            one_row_per_day=False,
+            ties=[c for c in df.columns if c not in keys and c != "date"],
         )
-    placed = positions(df, keys, name="runtime_days")
-    return with_lookback(
-        placed,
-        lambda w: {"cost_growth_rate": rate(w)},
-        lookback=1,
-        keys=keys,
-        one_row_per_day=False,
-        ties=[c for c in df.columns if c not in keys and c != "date"],
-    ).withColumn("runtime_days", F.col("runtime_days").cast("int"))
+    rate = pct_change(F.col("cost"), F.col("_prev"), keep_inf)
+    return out.withColumns(
+        {"runtime_days": F.col("runtime_days").cast("int"), "cost_growth_rate": rate}
+    ).drop("_prev")
 
 
 def business_features(
@@ -180,19 +179,19 @@ def lagged_zscore(
     ``lag(7)`` over a 30-row frame is the frame of rows -36..-7, so no nested window is needed.
     """
 
+    present = [d for d in dimensions if d in df.columns]
+
     def build(w):
+        # every frame aggregate is its own column, so that none is evaluated twice
         frame = back(w, fv.ZSCORE_ROWS, -fv.ZSCORE_LAG)
         out = {}
-        for d in dimensions:
-            if d not in df.columns:
-                continue
-            spread = F.stddev_samp(d).over(frame)
-            usable = (F.count(d).over(frame) >= fv.ZSCORE_MIN_ROWS) & (spread > 0)
-            z = F.when(usable, (F.col(d) - F.avg(d).over(frame)) / spread)
-            out[f"{d}_zscore"] = clamp(F.coalesce(z, F.lit(0.0)), -fv.ZSCORE_CLIP, fv.ZSCORE_CLIP)
+        for d in present:
+            out[f"_n_{d}"] = F.count(d).over(frame)
+            out[f"_avg_{d}"] = F.avg(d).over(frame)
+            out[f"_std_{d}"] = F.stddev_samp(d).over(frame)
         return out
 
-    return with_lookback(
+    based = with_lookback(
         df,
         build,
         lookback=fv.ZSCORE_ROWS + fv.ZSCORE_LAG,
@@ -200,6 +199,13 @@ def lagged_zscore(
         one_row_per_day=one_row_per_day,
     )
 
+    def z(d):
+        usable = (F.col(f"_n_{d}") >= fv.ZSCORE_MIN_ROWS) & (F.col(f"_std_{d}") > 0)
+        raw = F.when(usable, (F.col(d) - F.col(f"_avg_{d}")) / F.col(f"_std_{d}"))
+        return F.greatest(F.lit(-fv.ZSCORE_CLIP), F.least(F.lit(fv.ZSCORE_CLIP), F.coalesce(raw, F.lit(0.0))))
+
+    return based.select(*df.columns, *[z(d).alias(f"{d}_zscore") for d in present])
+
 
 def daily_series(df: DataFrame, org: str = "organization_id") -> DataFrame:
     """Daily cost and active resources at tenant level (``service`` NULL) and per service, in one job.

@@ -15,14 +15,22 @@ from cloudtally import fixed_values as fv
 from cloudtally.functions.numeric import MONEY, banded, clamp, half_up, money_sum
 from cloudtally.functions.skew import sized_join
 from cloudtally.operators.series import latest_rows, top_rows
+from cloudtally.runtime import durable
 
 TENANT = ("organization_id",)
 WASTEFUL = ("Idle", "Critical Waste", "Underutilized")
 
 
-def with_newest(df: DataFrame, tenant: Sequence[str] = TENANT) -> DataFrame:
+def newest_dates(df: DataFrame, tenant: Sequence[str] = TENANT) -> DataFrame:
+    """Each tenant's newest date, stored once for every question that is anchored to it."""
+    return durable(df.groupBy(*tenant).agg(F.max("date").alias("_last")))
+
+
+def with_newest(
+    df: DataFrame, tenant: Sequence[str] = TENANT, newest: DataFrame | None = None
+) -> DataFrame:
     """Attach each tenant's newest date as ``_last``."""
-    return sized_join(df, df.groupBy(*tenant).agg(F.max("date").alias("_last")), tenant)
+    return sized_join(df, newest_dates(df, tenant) if newest is None else newest, tenant)
 
 
 def _when_sum(cond: Column, c: Column) -> Column:
@@ -77,9 +85,15 @@ def service_delta(df: DataFrame, tenant: Sequence[str] = TENANT, k: int = 3) ->
     return top_rows(sums.select(*tenant, "service", "increase"), tenant, order, k)
 
 
-def top_services(df: DataFrame, tenant: Sequence[str] = TENANT, k: int = 3, days: int = 7) -> DataFrame:
+def top_services(
+    df: DataFrame,
+    tenant: Sequence[str] = TENANT,
+    k: int = 3,
+    days: int = 7,
+    newest: DataFrame | None = None,
+) -> DataFrame:
     sums = (
-        with_newest(df, tenant)
+        with_newest(df, tenant, newest)
         .filter((F.col("date") > F.date_sub("_last", days)) & F.col("service").isNotNull())
         .groupBy(*tenant, "service")
         .agg(half_up(money_sum(F.col("cost")), 2).alias("cost"))
@@ -102,11 +116,12 @@ def weekly_snapshot(
 ) -> DataFrame:
     """This week against the one before, per tenant; each week is (start, end] over 7 days."""
     tenant = list(tenant)
+    newest = newest_dates(billing, tenant)
     d, last = F.col("date"), F.col("_last")
     this = d > F.date_sub(last, 7)
     prior = (d > F.date_sub(last, 14)) & ~this
     per_resource = (
-        with_newest(billing, tenant)
+        with_newest(billing, tenant, newest)
         .filter(this | prior)
         .groupBy(*tenant, "_last", "resource_id")
         .agg(
@@ -137,24 +152,20 @@ def weekly_snapshot(
             "active_resource_count",
         )
     )
-    # at most 3 services, 4 buckets and 4 severities per tenant
-    out = sized_join(
-        out, _as_map(top_services(billing, tenant), tenant, "service", "cost", "top_services_by_cost"), tenant
-    )
-    start = billing.groupBy(*tenant).agg(F.date_sub(F.max("date"), 7).alias("_start"))
+    # one row per tenant on both sides from here on: at most 3 services, 4 buckets, 4 severities
+    ranked = top_services(billing, tenant, newest=newest)
+    out = out.join(_as_map(ranked, tenant, "service", "cost", "top_services_by_cost"), tenant, "left")
     if waste is not None:
-        recent = sized_join(waste, start, tenant).filter(F.col("date") > F.col("_start"))
+        recent = with_newest(waste, tenant, newest).filter(this)
         counts = recent.groupBy(*tenant, "bucket").agg(F.count("*").alias("n"))
-        out = sized_join(out, _as_map(counts, tenant, "bucket", "n", "waste_bucket_counts"), tenant)
+        out = out.join(_as_map(counts, tenant, "bucket", "n", "waste_bucket_counts"), tenant, "left")
     if anomalies is not None:
-        recent = sized_join(anomalies, start, tenant).filter(F.col("date") > F.col("_start"))
+        recent = with_newest(anomalies, tenant, newest).filter(this)
         counts = recent.groupBy(*tenant, "severity").agg(F.count("*").alias("n"))
-        out = sized_join(out, _as_map(counts, tenant, "severity", "n", "anomalies_by_severity"), tenant)
-        total = counts.groupBy(*tenant).agg(F.sum("n").alias("_n"))
-        out = (
-            sized_join(out, total, tenant)
-            .withColumn("anomaly_count_this_week", F.coalesce("_n", F.lit(0)))
-            .drop("_n")
+        by_severity = _as_map(counts, tenant, "severity", "n", "anomalies_by_severity")
+        total = F.aggregate(F.map_values("anomalies_by_severity"), F.lit(0).cast("long"), lambda x, n: x + n)
+        out = out.join(by_severity, tenant, "left").withColumn(
+            "anomaly_count_this_week", F.coalesce(total, F.lit(0).cast("long"))
         )
     return out
 

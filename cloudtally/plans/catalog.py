@@ -23,10 +23,13 @@ from cloudtally.operators import (
     silver,
     waste,
 )
+from cloudtally.operators.models import attribution, forecast, isolation, waste_classifier
 from cloudtally.operators.series import SERIES, latest_rows
 from cloudtally.plans import fixtures as fx
 from cloudtally.plans.oracle import ANOM_PARTS, DIMS, SERIES_W, band, clip, money, r, sql
+from cloudtally.runtime import durable
 from cloudtally.sources import csv_upload, pricing, store
+from cloudtally.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -409,7 +412,8 @@ def _(spark, d):
 
 @query("waste_latest_day", f"""SELECT {KEY}, waste_score, bucket FROM scored JOIN last_day USING (organization_id) WHERE date = last_date""")
 def _(spark, d):
-    return anomaly.latest_day(fx.scored(spark, d)).select(*KEYS, "waste_score", "bucket")
+    latest = anomaly.latest_day(fx.scored(spark, d), source=fx.billing(spark, d))
+    return latest.select(*KEYS, "waste_score", "bucket")
 
 
 @query("bucket_counts", "SELECT organization_id, service, bucket, count(*) AS n FROM scored_latest GROUP BY 1, 2, 3")
@@ -486,7 +490,8 @@ def _(spark, d):
        WHERE resource_id NOT IN (SELECT resource_id FROM rec WHERE status = 'open')""",
 )
 def _(spark, d):
-    out = advice.without_open(fx.scored_latest(spark, d), fx.recommendations(spark, d))
+    st = fx.Stages(spark, d)
+    out = advice.without_open(st.latest, st.recommendations)
     return out.select("organization_id", "resource_id", "date", "bucket")
 
 
@@ -507,7 +512,8 @@ def _(spark, d):
        LEFT JOIN (SELECT organization_id, count(*) AS n, {money('estimated_savings')} AS s, {money('confidence')} AS c FROM rec GROUP BY 1) USING (organization_id)""",
 )
 def _(spark, d):
-    return metrics.recommendation_metrics(fx.recommendations(spark, d), fx.scored_latest(spark, d))
+    st = fx.Stages(spark, d)
+    return metrics.recommendation_metrics(st.recommendations, st.latest)
 
 
 @query(
@@ -551,7 +557,8 @@ def _(spark, d):
        WHERE resource_id IN (SELECT resource_id FROM scored_latest WHERE bucket IN ('Idle', 'Critical Waste')) GROUP BY 1""",
 )
 def _(spark, d):
-    return metrics.idle_savings(fx.recommendations(spark, d), fx.scored_latest(spark, d))
+    st = fx.Stages(spark, d)
+    return metrics.idle_savings(st.recommendations, st.latest)
 
 
 @query(
@@ -639,7 +646,8 @@ WEEK = f"""
              FROM anom JOIN last_day USING (organization_id) WHERE date > last_date - 7 GROUP BY 1) USING (organization_id)""",
 )
 def _(spark, d):
-    snap = metrics.weekly_snapshot(fx.billing(spark, d), fx.scored(spark, d), fx.anomalies(spark, d))
+    st = fx.Stages(spark, d)
+    snap = metrics.weekly_snapshot(st.billing, st.scored, st.anomalies)
     names = {"healthy": "Healthy", "underutilized": "Underutilized", "idle": "Idle", "critical_waste": "Critical Waste"}
 
     def hits(column, key):
@@ -732,8 +740,9 @@ OPEN_SAVED = f"SELECT organization_id, {r(money('estimated_savings'), 2)} AS sav
        LEFT JOIN (SELECT organization_id, count(*) AS n FROM anom WHERE severity <> 'low' GROUP BY 1) USING (organization_id)""",
 )
 def _(spark, d):
-    flagged = fx.anomalies(spark, d).filter(F.col("severity") != "low")
-    return metrics.dashboard(fx.billing(spark, d), flagged, fx.forecasts(spark, d), fx.recommendations(spark, d))
+    st = fx.Stages(spark, d)
+    flagged = st.anomalies.filter(F.col("severity") != "low")
+    return metrics.dashboard(st.billing, flagged, st.forecasts, st.recommendations)
 
 
 def _business_sql(per_row: bool) -> str:
@@ -753,11 +762,12 @@ def _business_sql(per_row: bool) -> str:
 
 
 def _business(spark, d, per_row):
+    st = fx.Stages(spark, d)
     return metrics.business_kpis(
-        fx.billing(spark, d),
-        fx.scored(spark, d),
-        fx.anomalies(spark, d).filter(F.col("severity") == "critical"),
-        fx.recommendations(spark, d),
+        st.billing,
+        st.scored,
+        st.anomalies.filter(F.col("severity") == "critical"),
+        st.recommendations,
         fx.registry(spark, d),
         per_classification=per_row,
     )
@@ -786,13 +796,14 @@ def _(spark, d):
              LEFT JOIN (SELECT organization_id, count(*) AS i FROM scored WHERE bucket IN ('Idle', 'Critical Waste') GROUP BY 1) USING (organization_id))""",
 )
 def _(spark, d):
+    st = fx.Stages(spark, d)
     snap = metrics.insight_snapshot(
-        fx.with_dataset(fx.billing(spark, d)),
+        fx.with_dataset(st.billing),
         fx.datasets(spark, d),
-        fx.anomalies(spark, d).filter(F.col("severity") != "low"),
-        fx.scored(spark, d),
-        fx.forecasts(spark, d),
-        fx.recommendations(spark, d),
+        st.anomalies.filter(F.col("severity") != "low"),
+        st.scored,
+        st.forecasts,
+        st.recommendations,
     )
     return metrics.insight_text(snap)
 
@@ -933,7 +944,8 @@ def _(spark, d):
          JOIN (SELECT organization_id, quantile_cont(incident_score, 0.97) AS thr FROM anom GROUP BY 1) USING (organization_id) GROUP BY 1))""",
 )
 def _(spark, d):
-    out = evaluate.anomaly_evaluation(fx.anomalies(spark, d), fx.label_windows(spark, d))
+    # the scores are read twice, for the threshold and for the counts
+    out = evaluate.anomaly_evaluation(fx.Stages(spark, d).anomalies, fx.label_windows(spark, d))
     return rounded(out, 6, "score_threshold")
 
 
@@ -1058,13 +1070,14 @@ def _(spark, d):
        UNION ALL SELECT organization_id, 'forecast_results', count(*) FROM fc GROUP BY 1""",
 )
 def _(spark, d):
+    st = fx.Stages(spark, d)
     return store.purge_counts(
         {
-            "processed_telemetry": fx.billing(spark, d),
-            "anomalies": fx.anomalies(spark, d).filter(F.col("severity") != "low"),
-            "waste_classifications": fx.scored(spark, d),
-            "recommendations": fx.recommendations(spark, d),
-            "forecast_results": fx.forecasts(spark, d),
+            "processed_telemetry": st.billing,
+            "anomalies": st.anomalies.filter(F.col("severity") != "low"),
+            "waste_classifications": st.scored,
+            "recommendations": st.recommendations,
+            "forecast_results": st.forecasts,
         }
     )
 
@@ -1098,3 +1111,76 @@ def _(spark, d):
 )
 def _(spark, d):
     return registry.history(fx.registry(spark, d), "mape")
+
+
+# --- models (no SQL form: checked by their invariants in the tests) -------------------------------
+TREES, ROUNDS = 10, 10  # production defaults are 200 and 150
+
+
+@query("waste_clf")
+def _(spark, d):
+    scored = durable(fx.scored(spark, d).select(*KEYS, "bucket", *fv.CLASSIFIER_FEATURES))
+    model, _ = waste_classifier.train_and_evaluate(scored, trees=TREES)
+    out = waste_classifier.predict(model, latest_rows(scored, SERIES))
+    return out.select(*KEYS, "bucket", "predicted_bucket", "classifier_confidence")
+
+
+@query("attribution")
+def _(spark, d):
+    scored = durable(fx.scored(spark, d).select(*KEYS, "bucket", *fv.CLASSIFIER_FEATURES))
+    model = waste_classifier.fit(scored, trees=TREES)
+    explained = attribution.contributions(
+        model, latest_rows(scored, SERIES), fv.CLASSIFIER_FEATURES, waste_classifier.LABELS, [*KEYS, "bucket"]
+    )
+    return attribution.top_contributions(explained.filter(F.col("output") == F.col("bucket")))
+
+
+@query("forecast")
+def _(spark, d):
+    rows = durable(forecast.series_rows(features.daily_series(fx.billing(spark, d))))
+    model = forecast.fit(rows, rounds=ROUNDS)
+    return forecast.latest(forecast.predict(model, rows))
+
+
+@query("forecast_eval")
+def _(spark, d):
+    rows = durable(forecast.series_rows(features.daily_series(fx.billing(spark, d))))
+    return forecast.evaluation(forecast.predict(forecast.fit(rows, rounds=ROUNDS), rows))
+
+
+@query("iforest")
+def _(spark, d):
+    z = features.lagged_zscore(fx.billing(spark, d))
+    obs = durable(isolation.observations(z, KEYS))
+    forest = durable(isolation.fit(obs, KEYS, trees=TREES))
+    return isolation.detect(z, forest, KEYS, obs=obs)
+
+
+# --- streams ------------------------------------------------------------------------------------------
+@query(
+    "stream_daily",
+    f"""SELECT vm_id, CAST(ts AS DATE) AS date, count(*) AS n, {r('sum(disk_read_kbps)', 6)} AS disk_read_kbps, {r('avg(memory_usage_kb)', 6)} AS memory_usage_kb
+       FROM f2 WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) FROM f2) - INTERVAL 1 DAY GROUP BY 1, 2""",
+)
+def _(spark, d):
+    raw = ingest.file_stream(spark, d, "events.parquet", fx.SCHEMAS["events"])
+    out = ingest.drain_to_table(ingest.daily_rollup(fx.telemetry(spark, d, raw)))
+    return rounded(
+        out.select("vm_id", "date", "n", "disk_read_kbps", "memory_usage_kb"), 6, "disk_read_kbps", "memory_usage_kb"
+    )
+
+
+@query("stream_dedupe", "SELECT vm_id, ts FROM f2u")
+def _(spark, d):
+    raw = ingest.file_stream(spark, d, "events.parquet", fx.SCHEMAS["events"])
+    out = ingest.drain_to_table(ingest.first_seen(fx.telemetry(spark, d, raw)))
+    return out.select("vm_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query("stream_ingest", "SELECT rule, severity, count(*) AS n FROM fails GROUP BY 1, 2")
+def _(spark, d):
+    raw = ingest.file_stream(spark, d, "lineitem.parquet", fx.SCHEMAS["lineitem"])
+    _, found = ingest.ingest_validated(
+        raw, lambda batch: fx.upload_rows(spark, d, batch), require_region=True, require_known_type=True
+    )
+    return metrics.counts_by(spark.read.parquet(found), "rule", "severity")

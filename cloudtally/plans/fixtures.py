@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
@@ -10,18 +12,38 @@ from cloudtally import fixed_values as fv
 from cloudtally.functions.numeric import clamp, half_up
 from cloudtally.operators import advice, anomaly, features, gold, silver, waste
 from cloudtally.operators.series import SERIES, latest_rows
+from cloudtally.runtime import durable
 
 CENTS = DecimalType(12, 2)
 SHARE = DecimalType(4, 2)
-SERVICES = ("EC2", "S3", "RDS", "Lambda")
+
+
+SCHEMAS = {  # declared, so that no scan has to open files while planning
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
+
+
+TYPE_ARRAY = "array({})".format(", ".join(f"'{n}'" for n, _, _ in fv.INSTANCE_SPECS))
 
 
 def type_name(order):
-    return F.element_at(F.array(*[F.lit(n) for n, _, _ in fv.INSTANCE_SPECS]), order + 1)
+    return F.element_at(F.expr(TYPE_ARRAY), order + 1)
 
 
 def vm(key):
@@ -59,7 +81,7 @@ def billing(spark: SparkSession, folder: str) -> DataFrame:
         org("n_nationkey").alias("organization_id"),
         "date",
         F.col("n_name").alias("account_id"),
-        F.element_at(F.array(*[F.lit(s) for s in SERVICES]), (F.col("s_suppkey") % 4 + 1).cast("int")).alias("service"),
+        F.expr("element_at(array('EC2', 'S3', 'RDS', 'Lambda'), cast(s_suppkey % 4 + 1 as int))").alias("service"),
         vm("s_suppkey").alias("resource_id"),
         type_name((F.col("s_suppkey") % 33).cast("int")).alias("instance_type"),
         F.col("r_name").alias("region"),
@@ -73,14 +95,14 @@ def billing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def upload_rows(spark: SparkSession, folder: str) -> DataFrame:
+def upload_rows(spark: SparkSession, folder: str, lines: DataFrame | None = None) -> DataFrame:
     """Line items as an unvalidated upload in canonical names, defects included."""
+    lines = table(spark, folder, "lineitem") if lines is None else lines
     nation = table(spark, folder, "nation")
     supplier = table(spark, folder, "supplier")
     key, line = F.col("l_orderkey"), F.col("l_linenumber")
     return (
-        table(spark, folder, "lineitem")
-        .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+        lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
         .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
         .select(
             F.concat(key.cast("string"), F.lit("-"), line.cast("string"), F.lit("-"), F.col("l_partkey").cast("string")).alias("row_id"),
@@ -98,9 +120,10 @@ def upload_rows(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def telemetry(spark: SparkSession, folder: str) -> DataFrame:
+def telemetry(spark: SparkSession, folder: str, raw: DataFrame | None = None) -> DataFrame:
     """Raw sub-daily machine telemetry with repeated keys and gaps."""
-    events = table(spark, folder, "events").select(
+    raw = table(spark, folder, "events") if raw is None else raw
+    events = raw.select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", "props"
     )
     again = events.filter(F.col("event_id") % 50 == 0).withColumn("value", F.col("value") + 1)
@@ -279,10 +302,9 @@ def rates(spark: SparkSession, folder: str) -> DataFrame:
     return gold.rates(silver.prices(price_rows(spark, folder)))
 
 
-def recommendations(spark: SparkSession, folder: str) -> DataFrame:
-    recs = advice.recommend(scored_latest(spark, folder), rates(spark, folder))
+def recommended(latest: DataFrame, rates: DataFrame) -> DataFrame:
     number = F.regexp_extract("resource_id", r"(\d+)", 1).cast("int")
-    return recs.withColumns(
+    return advice.recommend(latest, rates).withColumns(
         {
             "recommendation_id": F.concat(F.lit("rec-"), "resource_id"),
             "status": F.when(number % 4 == 0, "dismissed").otherwise("open"),
@@ -290,6 +312,50 @@ def recommendations(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def recommendations(spark: SparkSession, folder: str) -> DataFrame:
+    return recommended(scored_latest(spark, folder), rates(spark, folder))
+
+
+class Stages:
+    """Stage outputs that several parts of one query read, each written once.
+
+    The nightly job stores scores, anomalies and recommendations; KPI queries read what it
+    stored. Only the columns that are read later are kept.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    @cached_property
+    def billing(self) -> DataFrame:
+        return billing(self.spark, self.folder)
+
+    @cached_property
+    def scored(self) -> DataFrame:
+        keep = (
+            *SERIES, "date", "service", "instance_type", "cost", "cpu_avg_pct", "memory_avg_pct",
+            "runtime_days", "waste_score", "bucket",
+        )
+        return durable(scored(self.spark, self.folder).select(*keep))
+
+    @cached_property
+    def latest(self) -> DataFrame:
+        return durable(latest_rows(self.scored, SERIES))
+
+    @cached_property
+    def anomalies(self) -> DataFrame:
+        keep = (*SERIES, "date", "incident_score", "severity")
+        return durable(anomalies(self.spark, self.folder).select(*keep))
+
+    @cached_property
+    def recommendations(self) -> DataFrame:
+        return durable(recommended(self.latest, rates(self.spark, self.folder)))
+
+    @cached_property
+    def forecasts(self) -> DataFrame:
+        return forecasts(self.spark, self.folder)
+
+
 def forecasts(spark: SparkSession, folder: str) -> DataFrame:
     """Yesterday's cost as the forecast of each (tenant, service) day, with a ten-percent band."""
     daily = features.daily_series(billing(spark, folder))

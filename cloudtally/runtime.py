@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakSet
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,13 +34,21 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_STORED: WeakSet[DataFrame] = WeakSet()
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts lineage, survives lost executors, and pins results that must be seen
-    identically by several consumers (for example range-partition numbers).
+    identically by several consumers (for example range-partition numbers). A table that is
+    durable already comes back as it is.
     """
+    if df in _STORED:
+        return df
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cloudtally-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    _STORED.add(stored)
+    return stored
