@@ -17,9 +17,16 @@ def no_nan(c: Column) -> Column:
 
 
 def half_up(c: Column, digits: int) -> Column:
-    """Round half up through a wider DECIMAL, so binary noise never decides a tie."""
-    wide = max(digits + 3, 8)
-    return F.round(c.try_cast(DecimalType(38, wide)), digits).cast("double")
+    """Round half away from zero; a value within three further digits of a tie counts as the tie.
+
+    Plain double arithmetic, so it stays in generated code. Binary noise cannot decide a tie,
+    and the result is the double nearest to the rounded decimal. Values too large to have such
+    digits, and NaN, pass through.
+    """
+    unit = float(10**digits)
+    slack = 0.5 + 0.5 * 10.0 ** (digits - max(digits + 3, 8))
+    whole = F.floor(F.abs(c) * unit + slack)
+    return F.when(F.abs(c) < 9e15 / unit, F.signum(c) * whole / unit).otherwise(c.cast("double"))
 
 
 def clamp(c: Column, low: float | None = None, high: float | None = None) -> Column:

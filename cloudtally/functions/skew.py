@@ -87,11 +87,6 @@ def sized_join(
     return spread_join(big, summary, on, how)
 
 
-def hash_cell(*cols: Column) -> Column:
-    """One of 4,096 evenly filled cells; stable across engines and restarts."""
-    return F.substring(F.md5(F.concat_ws("|", *cols)), 1, 3)
-
-
 def hashed_rank(df: DataFrame, group: Sequence[str], ident: Column, name: str = "position") -> DataFrame:
     """Position of every row inside its group in md5 order of ``ident``, for groups of any size.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cloudtally import fixed_values as fv
 from cloudtally.functions.numeric import half_up
 from cloudtally.functions.skew import (
+    hashed_rank,
     quantile_from_counts,
     running_counts,
     sized_join,
@@ -30,37 +31,43 @@ def split_by_time(
 ) -> DataFrame:
     """Mark the first ``share`` of each tenant's rows in time order as ``is_train``.
 
-    Rows of one day are ordered by md5 of ``ident``. Rows are counted per (day, hash cell), the
-    counts are accumulated over the calendar, and only the one cell that contains the cut has
-    to be numbered row by row.
+    Rows of one day are ordered by md5 of ``ident``. Days are counted first and accumulated over
+    the calendar; only the rows of the day that contains the cut are ranked, cell by cell, to
+    find the last reference row. Rows alike in day and ``ident`` stay on one side.
     """
-    tenant, ident = list(tenant), list(ident)
-    code = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in ident]))
-    coded = df.withColumns(
-        {"_code": code, "_at": F.coalesce(F.col(order), F.lit(LAST_DAY).cast("date"))}
-    ).withColumn("_cell", F.substring("_code", 1, 3))
-    cells = coded.groupBy(*tenant, "_at", "_cell").agg(F.count("*").alias("_n"))
-    whole = Window.partitionBy(*tenant)
-    upto = whole.orderBy("_at", "_cell").rowsBetween(Window.unboundedPreceding, 0)
-    # days x 4,096 cells bounds this window, however many rows a tenant has
-    counted = cells.withColumns({"_upto": F.sum("_n").over(upto), "_all": F.sum("_n").over(whole)})
-    keep = F.floor(F.col("_all") * F.lit(share).cast("decimal(9,6)"))
-    cut = counted.groupBy(*tenant).agg(
-        F.min(F.when(F.col("_upto") > keep, F.struct("_at", "_cell"))).alias("_cut"),
-        F.max(F.when(F.col("_upto") <= keep, F.col("_upto"))).alias("_done"),
-        F.max(keep).alias("_keep"),
-    )
-    placed = sized_join(coded, cut, tenant)
-    at = F.struct("_at", "_cell")
-    inside = placed.filter(at == F.col("_cut"))
-    rest = placed.filter(F.col("_cut").isNull() | (at != F.col("_cut")))
-    w = Window.partitionBy(*tenant).orderBy("_code", *ident)
-    ranked = inside.withColumn(
-        "is_train", F.row_number().over(w) + F.coalesce("_done", F.lit(0)) <= F.col("_keep")
-    )
-    # the earliest cell past the cut starts the new period; before it everything is reference
-    sided = rest.withColumn("is_train", F.col("_cut").isNull() | (at < F.col("_cut")))
-    return ranked.unionByName(sided).drop("_code", "_at", "_cell", "_cut", "_done", "_keep")
+    tenant = list(tenant)
+    name = F.concat_ws("|", *[F.col(c).cast("string") for c in ident])
+    dated = df.withColumn("_at", F.coalesce(F.col(order), F.lit(LAST_DAY).cast("date")))
+    days = dated.groupBy(*tenant, "_at").agg(F.count("*").alias("_n"))
+    whole = Window.partitionBy(*tenant)  # one row per day of the calendar
+    upto = F.sum("_n").over(whole.orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
+    keep = F.floor(F.sum("_n").over(whole) * F.lit(share).cast("decimal(9,6)"))
+    counted = days.withColumns({"_upto": upto, "_keep": keep})
+    cut = durable(
+        counted.groupBy(*tenant).agg(
+            F.min(F.when(F.col("_upto") > F.col("_keep"), F.col("_at"))).alias("_day"),
+            (
+                F.max("_keep")
+                - F.coalesce(F.max(F.when(F.col("_upto") <= F.col("_keep"), F.col("_upto"))), F.lit(0))
+            ).alias("_need"),
+        )
+    )
+    split_day = cut.filter("_need > 0").select(*tenant, F.col("_day").alias("_at"), "_need")
+    on_day = sized_join(dated.select(*tenant, "_at", *ident), split_day, [*tenant, "_at"], "inner")
+    edge = (
+        hashed_rank(on_day, tenant, name, "_rank")
+        .filter(F.col("_rank") == F.col("_need"))
+        .select(*tenant, F.md5(name).alias("_edge"))
+    )
+    # one row per tenant: everything up to (day, code) is reference
+    last = cut.join(edge, tenant, "left").drop("_need")
+    before = F.col("_at") < F.col("_day")
+    within = (F.col("_at") == F.col("_day")) & (F.md5(name) <= F.coalesce("_edge", F.lit("")))
+    return (
+        sized_join(dated, last, tenant)
+        .withColumn("is_train", F.col("_day").isNull() | before | within)
+        .drop("_at", "_day", "_edge")
+    )
 
 
 def value_counts(

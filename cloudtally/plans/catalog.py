@@ -251,7 +251,7 @@ def _(spark, d):
     """SELECT organization_id, resource_id, count(*) AS n FROM f1 GROUP BY 1, 2 HAVING count(*) >= 550""",
 )
 def _(spark, d):
-    kept = quality.with_enough_rows(fx.billing(spark, d), list(SERIES), 550)
+    kept = quality.with_enough_rows(fx.stored_billing(spark, d), list(SERIES), 550)
     return metrics.counts_by(kept, *SERIES)
 
 
@@ -261,7 +261,7 @@ def _(spark, d):
        WHERE year(date) = 1994 + CAST(substr(organization_id, 5, 1) AS INT) GROUP BY 1, 2""",
 )
 def _(spark, d):
-    rows = metrics.in_active_dataset(fx.with_dataset(fx.billing(spark, d)), fx.datasets(spark, d))
+    rows = metrics.in_active_dataset(fx.with_dataset(fx.stored_billing(spark, d)), fx.datasets(spark, d))
     return rows.groupBy("organization_id", F.year("date").cast("long").alias("dataset_year")).agg(
         F.count("*").alias("n"), half_up(F.sum(F.col("cost").cast("decimal(28,10)")).cast("double"), 2).alias("cost")
     )
@@ -346,7 +346,8 @@ def _(spark, d):
        FROM grown JOIN span USING (organization_id)""",
 )
 def _(spark, d):
-    out = waste.min_max(fx.grown(spark, d), "cost_growth_rate", "growth_scaled")
+    grown = features.growth(fx.stored_billing(spark, d))
+    out = waste.min_max(grown, "cost_growth_rate", "growth_scaled")
     return rounded(out.select(*KEYS, "growth_scaled"), 6, "growth_scaled")
 
 
@@ -412,7 +413,8 @@ def _(spark, d):
 
 @query("waste_latest_day", f"""SELECT {KEY}, waste_score, bucket FROM scored JOIN last_day USING (organization_id) WHERE date = last_date""")
 def _(spark, d):
-    latest = anomaly.latest_day(fx.scored(spark, d), source=fx.billing(spark, d))
+    st = fx.Stages(spark, d)
+    latest = anomaly.latest_day(st.scored, source=st.billing)
     return latest.select(*KEYS, "waste_score", "bucket")
 
 
@@ -433,13 +435,14 @@ def _(spark, d):
          JOIN (SELECT organization_id, CAST(count(*) FILTER (severity = 'critical') AS DOUBLE) AS n FROM anom GROUP BY 1) a USING (organization_id))""",
 )
 def _(spark, d):
-    growth = metrics.period_compare(fx.billing(spark, d)).select(
+    st = fx.Stages(spark, d)
+    growth = metrics.period_compare(st.billing).select(
         "organization_id", F.col("pct_change").alias("forecast_growth_pct")
     )
-    ratio = fx.scored_latest(spark, d).groupBy("organization_id").agg(
+    ratio = st.latest.groupBy("organization_id").agg(
         (F.count_if(F.col("bucket") != "Healthy") * 100.0 / F.count("*")).alias("waste_ratio_pct")
     )
-    hits = fx.anomalies(spark, d).groupBy("organization_id").agg(
+    hits = st.anomalies.groupBy("organization_id").agg(
         F.count_if(F.col("severity") == "critical").alias("anomaly_count")
     )
     inputs = growth.join(ratio, "organization_id").join(hits, "organization_id")
@@ -461,7 +464,7 @@ def _(spark, d):
        FROM recent30 GROUP BY 1, 2""",
 )
 def _(spark, d):
-    return waste.observed_label(fx.billing(spark, d))
+    return waste.observed_label(fx.stored_billing(spark, d))
 
 
 @query(
@@ -573,7 +576,7 @@ def _(spark, d):
            USING (organization_id, scenario_id))""",
 )
 def _(spark, d):
-    return advice.scenarios(fx.billing(spark, d), fx.actions(spark, d))
+    return advice.scenarios(fx.stored_billing(spark, d), fx.actions(spark, d))
 
 
 @query(
@@ -586,7 +589,7 @@ def _(spark, d):
        FROM f8 LEFT JOIN (SELECT organization_id, resource_id, {money('cost')} AS c, sum(usage_hours) AS h FROM recent30 GROUP BY 1, 2) USING (organization_id, resource_id)""",
 )
 def _(spark, d):
-    return advice.scenario_log(fx.billing(spark, d), fx.actions(spark, d))
+    return advice.scenario_log(fx.stored_billing(spark, d), fx.actions(spark, d))
 
 
 # --- questions and KPIs --------------------------------------------------------------------------------
@@ -600,7 +603,7 @@ PERIODS = """SELECT organization_id, coalesce(CAST(sum(CAST(cost AS DECIMAL(28,1
          SELECT organization_id, {r('t', 2)} AS this_period_cost, {r('p', 2)} AS last_period_cost, {r('(t / greatest(p, 1e-6) - 1) * 100', 2)} AS pct_change FROM ({PERIODS}))""",
 )
 def _(spark, d):
-    return metrics.period_compare(fx.billing(spark, d))
+    return metrics.period_compare(fx.stored_billing(spark, d))
 
 
 @query(
@@ -613,7 +616,7 @@ def _(spark, d):
              FROM f1_last WHERE date >= last_date - 60 GROUP BY 1, 2))) WHERE rn <= 3""",
 )
 def _(spark, d):
-    return metrics.service_delta(fx.billing(spark, d))
+    return metrics.service_delta(fx.stored_billing(spark, d))
 
 
 @query(
@@ -622,7 +625,7 @@ def _(spark, d):
          SELECT organization_id, service, {r(money('cost'), 2)} AS cost FROM f1_last WHERE date > last_date - 7 GROUP BY 1, 2)) WHERE rn <= 3""",
 )
 def _(spark, d):
-    return metrics.top_services(fx.billing(spark, d))
+    return metrics.top_services(fx.stored_billing(spark, d))
 
 
 WEEK = f"""
@@ -664,7 +667,7 @@ def _(spark, d):
 
 
 def _reports(spark, d):
-    return metrics.as_report(metrics.weekly_snapshot(fx.billing(spark, d)))
+    return metrics.as_report(metrics.weekly_snapshot(fx.stored_billing(spark, d)))
 
 
 @query(
@@ -691,7 +694,7 @@ def _top_metric_sql(metric: str) -> str:
 
 @query("top_metric", " UNION ALL ".join(_top_metric_sql(m) for m in fv.METRIC_COLUMNS))
 def _(spark, d):
-    base, out = fx.billing(spark, d), None
+    base, out = fx.stored_billing(spark, d), None
     for m in fv.METRIC_COLUMNS:
         part = metrics.top_metric(base, m)
         out = part if out is None else out.unionByName(part)
@@ -714,7 +717,7 @@ def _(spark, d):
            SELECT *, row_number() OVER (PARTITION BY organization_id, resource_id ORDER BY date DESC) AS rn FROM scored WHERE bucket IN ('Idle', 'Critical Waste')) WHERE rn = 1) WHERE rk <= 20""",
 )
 def _(spark, d):
-    return metrics.idle_list(fx.scored(spark, d))
+    return metrics.idle_list(fx.Stages(spark, d).scored)
 
 
 @query(
@@ -814,8 +817,9 @@ def _(spark, d):
        UNION ALL SELECT organization_id, 'waste', {band('waste_score', fv.WASTE_CHART_BANDS, fv.WASTE_CHART_FLOOR)} AS band, count(*) FROM scored GROUP BY 1, 3""",
 )
 def _(spark, d):
-    a = metrics.score_bands(fx.anomalies(spark, d), "incident_score", "incident").withColumn("kind", F.lit("incident"))
-    b = metrics.score_bands(fx.scored(spark, d), "waste_score", "waste").withColumn("kind", F.lit("waste"))
+    st = fx.Stages(spark, d)
+    a = metrics.score_bands(st.anomalies, "incident_score", "incident").withColumn("kind", F.lit("incident"))
+    b = metrics.score_bands(st.scored, "waste_score", "waste").withColumn("kind", F.lit("waste"))
     return a.unionByName(b)
 
 
@@ -868,7 +872,7 @@ def _(spark, d):
        FROM fc WHERE service = 'EC2' GROUP BY 1, 2""",
 )
 def _(spark, d):
-    fc = fx.forecasts(spark, d)
+    fc = durable(fx.forecasts(spark, d))
     return metrics.forecast_lookup(fc).unionByName(metrics.forecast_lookup(fc, "EC2"))
 
 
@@ -904,7 +908,7 @@ def _(spark, d):
               <= floor(0.2 * count(*) OVER (PARTITION BY bucket)) AS is_test FROM scored""",
 )
 def _(spark, d):
-    return evaluate.stratified_split(fx.scored(spark, d).select(*KEYS, "bucket"), "bucket", KEYS)
+    return evaluate.stratified_split(fx.Stages(spark, d).scored.select(*KEYS, "bucket"), "bucket", KEYS)
 
 
 CPU_LADDER = "CASE WHEN cpu_avg_pct < 5 THEN 'Critical Waste' WHEN cpu_avg_pct < 20 THEN 'Idle' WHEN cpu_avg_pct < 40 THEN 'Underutilized' ELSE 'Healthy' END"
@@ -964,17 +968,17 @@ def _(spark, d):
 
 @query("drift_split", f"SELECT {KEY}, is_train FROM marked")
 def _(spark, d):
-    return drift.split_by_time(fx.billing(spark, d)).select(*KEYS, "is_train")
+    return drift.split_by_time(fx.stored_billing(spark, d)).select(*KEYS, "is_train")
 
 
 @query("psi", "SELECT * FROM psi")
 def _(spark, d):
-    return drift.psi(drift.prepare(drift.split_by_time(fx.billing(spark, d))))
+    return drift.psi(drift.prepare(drift.split_by_time(fx.stored_billing(spark, d))))
 
 
 @query("ks", "SELECT * FROM ks")
 def _(spark, d):
-    return drift.ks(drift.prepare(drift.split_by_time(fx.billing(spark, d))))
+    return drift.ks(drift.prepare(drift.split_by_time(fx.stored_billing(spark, d))))
 
 
 @query(
@@ -983,7 +987,7 @@ def _(spark, d):
        FROM psi JOIN ks USING (organization_id, feature)""",
 )
 def _(spark, d):
-    return drift.drift_report(drift.split_by_time(fx.billing(spark, d)))
+    return drift.drift_report(drift.split_by_time(fx.stored_billing(spark, d)))
 
 
 @query(
@@ -996,7 +1000,7 @@ def _(spark, d):
        LEFT JOIN (SELECT organization_id, string_agg(feature, ''', ''' ORDER BY feature) AS drifted FROM psi WHERE psi > 0.2 GROUP BY 1) USING (organization_id)""",
 )
 def _(spark, d):
-    report = drift.drift_report(drift.split_by_time(fx.billing(spark, d)))
+    report = drift.drift_report(drift.split_by_time(fx.stored_billing(spark, d)))
     key = F.col("r_regionkey")
     state = fx.table(spark, d, "region").select(
         F.concat(F.lit("org-"), key.cast("string")).alias("organization_id"),

@@ -15,7 +15,6 @@ from cloudtally.operators.series import SERIES, latest_rows
 from cloudtally.runtime import durable
 
 CENTS = DecimalType(12, 2)
-SHARE = DecimalType(4, 2)
 
 
 SCHEMAS = {  # declared, so that no scan has to open files while planning
@@ -60,12 +59,13 @@ def billing(spark: SparkSession, folder: str) -> DataFrame:
     Line items are summed per supplier and day before the dimensions are joined, so the joins
     see daily rows only.
     """
-    price = F.col("l_extendedprice").cast(CENTS) * (F.lit(1).cast(SHARE) - F.col("l_discount").cast(SHARE))
+    # whole cents times whole percent: exact and order-independent in 64-bit integers
+    price = F.rint(F.col("l_extendedprice") * 100).cast("long") * (100 - F.rint(F.col("l_discount") * 100).cast("long"))
     daily = (
         table(spark, folder, "lineitem")
         .groupBy("l_suppkey", F.to_date("l_shipdate").alias("date"))
         .agg(
-            F.sum(price).cast("double").alias("cost"),
+            (F.sum(price).cast("double") / 10000).alias("cost"),
             F.avg("l_quantity").alias("_q"),
             F.avg("l_discount").alias("_d"),
             F.sum("l_quantity").alias("disk_io"),
@@ -280,8 +280,13 @@ def grown(spark: SparkSession, folder: str) -> DataFrame:
     return features.growth(billing(spark, folder))
 
 
+def stored_billing(spark: SparkSession, folder: str) -> DataFrame:
+    """Billing as a stored table, for queries that pass over it more than once."""
+    return durable(billing(spark, folder))
+
+
 def scored(spark: SparkSession, folder: str) -> DataFrame:
-    return waste.waste_score(grown(spark, folder))
+    return waste.waste_score(features.growth(stored_billing(spark, folder)))
 
 
 def scored_latest(spark: SparkSession, folder: str) -> DataFrame:
@@ -289,8 +294,12 @@ def scored_latest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def anomalies(spark: SparkSession, folder: str) -> DataFrame:
+    return incidents(billing(spark, folder))
+
+
+def incidents(base: DataFrame) -> DataFrame:
     """Incident scores over a deterministic stand-in: |z| x 10, at most 100, per dimension."""
-    z = features.lagged_zscore(billing(spark, folder))
+    z = features.lagged_zscore(base)
     stand_in = {
         f"anomaly_score_{d}": half_up(clamp(F.abs(F.col(f"{d}_zscore")) * 10, 0.0, 100.0), 6)
         for d in fv.INCIDENT_WEIGHTS
@@ -328,7 +337,7 @@ class Stages:
 
     @cached_property
     def billing(self) -> DataFrame:
-        return billing(self.spark, self.folder)
+        return stored_billing(self.spark, self.folder)
 
     @cached_property
     def scored(self) -> DataFrame:
@@ -336,7 +345,7 @@ class Stages:
             *SERIES, "date", "service", "instance_type", "cost", "cpu_avg_pct", "memory_avg_pct",
             "runtime_days", "waste_score", "bucket",
         )
-        return durable(scored(self.spark, self.folder).select(*keep))
+        return durable(waste.waste_score(features.growth(self.billing)).select(*keep))
 
     @cached_property
     def latest(self) -> DataFrame:
@@ -345,7 +354,7 @@ class Stages:
     @cached_property
     def anomalies(self) -> DataFrame:
         keep = (*SERIES, "date", "incident_score", "severity")
-        return durable(anomalies(self.spark, self.folder).select(*keep))
+        return durable(incidents(self.billing).select(*keep))
 
     @cached_property
     def recommendations(self) -> DataFrame:
@@ -353,12 +362,12 @@ class Stages:
 
     @cached_property
     def forecasts(self) -> DataFrame:
-        return forecasts(self.spark, self.folder)
+        return forecasts(self.spark, self.folder, self.billing)
 
 
-def forecasts(spark: SparkSession, folder: str) -> DataFrame:
+def forecasts(spark: SparkSession, folder: str, base: DataFrame | None = None) -> DataFrame:
     """Yesterday's cost as the forecast of each (tenant, service) day, with a ten-percent band."""
-    daily = features.daily_series(billing(spark, folder))
+    daily = features.daily_series(billing(spark, folder) if base is None else base)
     sup = features.supervised(daily, keys=("organization_id", "level", "service"))
     return sup.filter(F.col("lag_1d").isNotNull()).select(
         "organization_id", "level", "service",
