@@ -15,17 +15,17 @@ from math import factorial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloudtally.functions.numeric import half_up
 from cloudtally.runtime import shared_dir
 
 
-def _leaves(nodes: pd.DataFrame, classifier: bool) -> list[tuple]:
-    """(value, weight share, {feature: (low, high, share)}) per leaf of every tree."""
+def _leaves(nodes: pd.DataFrame, weights: dict[int, float], classifier: bool) -> list[tuple]:
+    """(weighted value, share of rows, {feature: (low, high, share)}) per leaf of every tree."""
     out = []
-    for _, tree in nodes.groupby("treeID"):
+    for number, tree in nodes.groupby("treeID"):
         by_id = {r.id: r for r in tree.itertuples()}
 
         def cover(n):
@@ -37,7 +37,7 @@ def _leaves(nodes: pd.DataFrame, classifier: bool) -> list[tuple]:
             if node.leftChild < 0:
                 stats = np.asarray(node.impurityStats, dtype="float64")
                 value = stats / stats.sum() if classifier else np.array([node.prediction])
-                out.append((value, share, path))
+                out.append((weights[number] * value, share, path))
                 continue
             f, cut = node.featureIndex, node.threshold
             low, high, part = path.get(f, (-np.inf, np.inf, 1.0))
@@ -72,10 +72,7 @@ def _leaf_shapley(x: np.ndarray, path: dict) -> dict[int, np.ndarray]:
 
 def node_table(model) -> DataFrame:
     """The model's nodes: at most trees x 2^(depth+1) rows, whatever the training data."""
-    spark = model._spark_session if hasattr(model, "_spark_session") else None
-    from pyspark.sql import SparkSession
-
-    spark = spark or SparkSession.getActiveSession()
+    spark = SparkSession.getActiveSession()
     path = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
     model.write().save(path)
     n = F.col("nodeData")
@@ -103,21 +100,12 @@ def contributions(
 
     ``contributions`` maps a feature to its value; base plus their sum is the prediction.
     """
-    leaves = _leaves(node_table(model).toPandas(), classifier)
-    scale = 1.0 / model.getNumTrees if classifier else None
-    if not classifier:
-        # boosted trees add up with weights instead of being averaged
-        weights = list(model.treeWeights)
-        trees = sorted(node_table(model).select("treeID").distinct().toPandas()["treeID"])
-        per_tree = {t: w for t, w in zip(trees, weights, strict=True)}
-        nodes = node_table(model).toPandas()
-        leaves = [
-            (v * per_tree[t], s, p)
-            for t, tree in nodes.groupby("treeID")
-            for v, s, p in _leaves(tree, classifier)
-        ]
-        scale = 1.0
-    base = scale * sum(v * s for v, s, _ in leaves)
+    nodes = node_table(model).toPandas()
+    trees = sorted(nodes["treeID"].unique())
+    # a forest averages its trees, boosting adds them up with weights
+    shares = [1.0 / len(trees)] * len(trees) if classifier else list(model.treeWeights)
+    leaves = _leaves(nodes, dict(zip(trees, shares, strict=True)), classifier)
+    base = sum(v * s for v, s, _ in leaves)
     kinds = dict(rows.dtypes)
     names, feats, labels = list(ident), list(features), list(outputs)
 
@@ -127,7 +115,7 @@ def contributions(
             phi = np.zeros((len(x), len(feats), len(labels)))
             for value, _, path in leaves:
                 for f, part in _leaf_shapley(x, path).items():
-                    phi[:, f, :] += scale * part[:, None] * value[None, :]
+                    phi[:, f, :] += part[:, None] * value[None, :]
             for k, label in enumerate(labels):
                 out = pdf[names].copy()
                 out["output"] = label

@@ -18,6 +18,7 @@ from cloudtally import fixed_values as fv
 from cloudtally.functions.numeric import no_nan, scaled
 from cloudtally.functions.skew import sized_join
 from cloudtally.operators import anomaly
+from cloudtally.runtime import durable
 
 NODE = "dimension string, tree int, node int, feature int, cut double, left int, right int, length double"
 SAMPLE = 256
@@ -108,7 +109,7 @@ def fit(
     order = F.xxhash64(*ident, "tree", F.lit(seed + 2)).alias("_order")
     draws = drawn.select("dimension", "tree", "value", "zscore", order)
 
-    def grow(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         dim, tree = key
         pts = pdf.sort_values(["_order", "value"]).head(sample)[["value", "zscore"]].to_numpy("float64")
         rng = np.random.default_rng([seed, int(tree), sum(dim.encode())])
@@ -168,8 +169,6 @@ def detect(
 
     ``z`` supplies the observations unless they are given; identity must contain the tenant.
     """
-    from cloudtally.runtime import durable
-
     obs = observations(z, ident) if obs is None else obs
     scored = durable(raw_scores(obs, forest, ident))  # read for the range and for the scores
     span = scored.groupBy(*tenant, "dimension").agg(
