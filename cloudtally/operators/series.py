@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 SERIES = ("organization_id", "resource_id")
 SLICES = 64
 STRETCH_ROWS = 8_192
+LONGEST_SERIES = 1_000_000
 LAST_DAY = "9999-12-31"
 
 
@@ -24,6 +25,13 @@ def series_keys(df: DataFrame, keys: Sequence[str] = SERIES) -> list[str]:
     return [k for k in keys if k in df.columns]
 
 
+def fits_plain_window(df: DataFrame, keys: Sequence[str] = SERIES, limit: int = LONGEST_SERIES) -> bool:
+    """Whether every series is short enough for one task, measured by one aggregate over the keys."""
+    keys = series_keys(df, keys)
+    longest = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
+    return (longest or 0) <= limit
+
+
 def by_day(keys: Sequence[str], order: str = "date") -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(F.col(order).asc_nulls_last())
 

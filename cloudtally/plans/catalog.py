@@ -1110,7 +1110,7 @@ def _(spark, d):
 
 @query(
     "model_history",
-    """SELECT model_type, concat('v', row_number() OVER (PARTITION BY model_type ORDER BY training_date)) AS point, version, mape AS value FROM (
+    """SELECT model_type, concat('v', row_number() OVER (PARTITION BY model_type ORDER BY training_date)) AS point, version, CAST(mape AS DOUBLE) AS value FROM (
          SELECT *, row_number() OVER (PARTITION BY model_type ORDER BY training_date DESC) AS rn FROM reg WHERE mape <> 0) WHERE rn <= 8""",
 )
 def _(spark, d):

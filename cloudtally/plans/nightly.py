@@ -15,7 +15,7 @@ from cloudtally import fixed_values as fv
 from cloudtally.functions.skew import sized_join
 from cloudtally.operators import advice, anomaly, drift, features, metrics, quality, waste
 from cloudtally.operators.models import attribution, forecast, isolation, waste_classifier
-from cloudtally.operators.series import SERIES
+from cloudtally.operators.series import SERIES, fits_plain_window
 from cloudtally.runtime import durable
 from cloudtally.sources import store
 
@@ -36,7 +36,8 @@ class Models:
 def canonical(billing: DataFrame) -> DataFrame:
     """Feature table of the tenants with enough rows, stored because every stage reads it."""
     ready = quality.with_enough_rows(billing.filter(F.col("date").isNotNull()), TENANT, MIN_INFERENCE_ROWS)
-    return durable(features.engineer(ready))
+    # a stored table keeps one row per day; one that does not is cut into stretches instead
+    return durable(features.engineer(ready, one_row_per_day=fits_plain_window(ready)))
 
 
 def train(featured: DataFrame, trees: int = 200, rounds: int = 150, forest_trees: int = 150) -> Models:

@@ -36,8 +36,11 @@ def _find(headers: Column, words: Sequence[str]) -> Column:
 def classify(files: DataFrame, headers: str = "headers") -> DataFrame:
     """Add ``classified_as``, ``needs_manual_mapping`` and a ``matched`` struct to a table of files."""
     h = F.col(headers)
-    found = {k: _find(h, words) for k, words in WORDS.items()}
-    place = _find(h, WORDS["zone"] + WORDS["region"])
+    searched = {**WORDS, "place": WORDS["zone"] + WORDS["region"], "plain_date": ("date",)}
+    # every search becomes a column once; the rules below only refer to them
+    looked = files.withColumns({f"_h_{k}": _find(h, words) for k, words in searched.items()})
+    found = {k: F.col(f"_h_{k}") for k in searched}
+    place = found["place"]
     plain_price = ~_bare(found["price"]).contains("spot")
     is_prediction = found["prediction"].isNotNull()
     is_on_demand = (
@@ -63,7 +66,7 @@ def classify(files: DataFrame, headers: str = "headers") -> DataFrame:
         ),
         "on_demand": (
             found["instance_type"], found["price"], found["region"], found["os"],
-            _find(h, ("date",)), none, none,
+            found["plain_date"], none, none,
         ),
         "spot": (
             found["instance_type"], found["spot_price"], found["zone"], found["os"],
@@ -77,9 +80,10 @@ def classify(files: DataFrame, headers: str = "headers") -> DataFrame:
             c = c.when(F.col("classified_as") == name, cols[i])
         picked.append(c.alias(field))
     return (
-        files.withColumn("classified_as", kind)
+        looked.withColumn("classified_as", kind)
         .withColumn("needs_manual_mapping", F.col("classified_as") == "unknown")
         .withColumn("matched", F.struct(*picked))
+        .drop(*[f"_h_{k}" for k in searched])
     )
 
 

@@ -366,3 +366,10 @@ def test_registry_has_one_active_version_per_type(spark, tiny):
     assert registry.train_gate(out).first().models_exist
     without = out.filter("model_type != 'anomaly'")
     assert [r.model_type for r in registry.missing_types(without).collect()] == ["anomaly"]
+
+
+def test_series_length_decides_the_window(spark):
+    from cloudtally.operators.series import fits_plain_window
+
+    df = series(spark, [("o", "r", day(i), 1.0) for i in range(20)])
+    assert fits_plain_window(df) and not fits_plain_window(df, limit=19)
