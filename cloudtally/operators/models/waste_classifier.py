@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from cloudtally import fixed_values as fv
 from cloudtally.operators import evaluate
 from cloudtally.operators.series import SERIES
+from cloudtally.runtime import durable
 
 LABELS = ("Critical Waste", "Healthy", "Idle", "Underutilized")
 FEATURES = fv.CLASSIFIER_FEATURES
@@ -58,7 +59,8 @@ def train_and_evaluate(
     scored: DataFrame, trees: int = 200, depth: int = 8
 ) -> tuple[RandomForestClassificationModel, DataFrame]:
     """Model fitted on the stratified 80 %, and its report on the held-out 20 %."""
-    split = evaluate.stratified_split(scored, "bucket", [*SERIES, "date"])
+    # read by the counts, by every pass of the fit and by the evaluation
+    split = durable(evaluate.stratified_split(scored, "bucket", [*SERIES, "date"]))
     model = fit(split.filter(~F.col("is_test")), trees, depth)
     held = predict(model, split.filter("is_test"))
     return model, evaluate.classification_report(evaluate.confusion(held, "bucket", "predicted_bucket"))

@@ -45,23 +45,25 @@ def fill_gaps(
         *[known(F.max_by, c).alias(f"_l_{c}") for c in metrics],
         *[known(F.min_by, c).alias(f"_f_{c}") for c in metrics],
     )
-    hours = Window.partitionBy(vm).orderBy("_hour")
-    before = hours.rowsBetween(Window.unboundedPreceding, -1)
-    after = hours.rowsBetween(1, Window.unboundedFollowing)
+    # looking ahead is looking back in reverse order: a growing frame costs one step per row,
+    # a frame that ends at the last row would be walked again for every row
+    past = (Window.unboundedPreceding, -1)
+    before = Window.partitionBy(vm).orderBy("_hour").rowsBetween(*past)
+    after = Window.partitionBy(vm).orderBy(F.desc("_hour")).rowsBetween(*past)
     carried = edges.select(
         vm,
         "_hour",
         *[F.last(f"_l_{c}", ignorenulls=True).over(before).alias(f"_p_{c}") for c in metrics],
-        *[F.first(f"_f_{c}", ignorenulls=True).over(after).alias(f"_n_{c}") for c in metrics],
+        *[F.last(f"_f_{c}", ignorenulls=True).over(after).alias(f"_n_{c}") for c in metrics],
     )
-    inside = Window.partitionBy(vm, "_hour").orderBy(ts)
-    to_here = inside.rowsBetween(Window.unboundedPreceding, 0)
-    from_here = inside.rowsBetween(0, Window.unboundedFollowing)
+    inside = Window.partitionBy(vm, "_hour")
+    to_here = inside.orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
+    from_here = inside.orderBy(F.desc(ts)).rowsBetween(Window.unboundedPreceding, 0)
     filled = {
         c: F.coalesce(
             F.last(c, ignorenulls=True).over(to_here),
             F.col(f"_p_{c}"),
-            F.first(c, ignorenulls=True).over(from_here),
+            F.last(c, ignorenulls=True).over(from_here),
             F.col(f"_n_{c}"),
         )
         for c in metrics

@@ -219,7 +219,8 @@ def _(spark, d):
        FROM silver LEFT JOIN matched USING (vm_id) LEFT JOIN rates ON instance_type = matched_instance_type""",
 )
 def _(spark, d):
-    out = gold.gold(silver.daily(silver.clean(fx.telemetry(spark, d))), silver.prices(fx.price_rows(spark, d)))
+    days = durable(silver.daily(silver.clean(fx.telemetry(spark, d))))  # the silver stage table
+    out = gold.gold(days, silver.prices(fx.price_rows(spark, d)))
     return rounded(out, 6, "cost", "cpu_avg_pct", "disk_io", "network_io", "cost_growth_rate")
 
 

@@ -114,3 +114,20 @@ def test_sized_join_takes_the_spread_path_beyond_the_limit(spark):
 def test_half_up_stays_within_half_a_unit(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "v double").select("v", numeric.half_up(F.col("v"), 2).alias("x"))
     assert all(abs(r.v - r.x) <= 0.005 + 1e-6 for r in df.collect())
+
+
+def test_sql_functions_agree_with_the_columns(spark):
+    from cloudtally.functions import sql
+    from cloudtally.operators import anomaly, waste
+
+    sql.register(spark)
+    df = spark.createDataFrame(
+        [("us-east-1b", "SUSE Linux", 75.0), (" eu-west-1 ", None, 44.9), ("x", " BSD ", 18.0)], "z string, o string, s double"
+    )
+    both = df.select(
+        (F.expr("zone_to_region(z)") == text.zone_to_region(F.col("z"))).alias("a"),
+        (F.expr("os_family(o)") == text.os_family(F.col("o"))).alias("b"),
+        (F.expr("waste_bucket(s)") == waste.bucket(F.col("s"))).alias("c"),
+        (F.expr("incident_severity(s)") == anomaly.severity(F.col("s"))).alias("d"),
+    )
+    assert all(all(r) for r in both.collect())

@@ -61,3 +61,9 @@ def test_keep_first_is_an_aggregate(spark):
     df = spark.createDataFrame([], "k string, v int, o int")
     text = plan(silver.keep_first(df, ["k"], ["o"]))
     assert "Window" not in text and text.count("Exchange") == 1
+
+
+@pytest.mark.parametrize("name", ["telemetry_clean", "naive_eval", "rolling_lag", "lagged_zscore"])
+def test_no_frame_is_walked_again_for_every_row(spark, tiny, name):
+    frames = plan(entry.queries()[name](spark, tiny))
+    assert not re.search(r"specifiedwindowframe\(RowFrame, (currentrow\$\(\)|-?\d+), unboundedfollowing", frames)
