@@ -510,7 +510,7 @@ def _(spark, d):
 
 @query(
     "rec_metrics",
-    f"""SELECT organization_id, {r('n * 100.0 / greatest(w, 1)', 2)} AS recommendation_coverage_pct, {r('coalesce(s / n, 0)', 2)} AS avg_estimated_monthly_savings,
+    f"""SELECT organization_id, {r('coalesce(n, 0) * 100.0 / greatest(w, 1)', 2)} AS recommendation_coverage_pct, {r('coalesce(s / n, 0)', 2)} AS avg_estimated_monthly_savings,
               {r('coalesce(c / n, 0)', 2)} AS avg_confidence, coalesce(n, 0) AS total_recommendations, total_analyzed_resources
        FROM (SELECT organization_id, count(*) FILTER (bucket <> 'Healthy') AS w, count(*) AS total_analyzed_resources FROM scored_latest GROUP BY 1)
        LEFT JOIN (SELECT organization_id, count(*) AS n, {money('estimated_savings')} AS s, {money('confidence')} AS c FROM rec GROUP BY 1) USING (organization_id)""",
