@@ -26,14 +26,42 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a fresh temporary one only where none is configured."""
+    """The cluster's shared folder.
+
+    Only a session whose tasks all run in the driver's process may do without the setting: it gets
+    a fresh temporary folder. On a cluster each executor would write to a disk of its own.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir must name a shared folder on {master}")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+_FOLDERS: set[str] = set()
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A path under the shared folder that nothing uses yet; ``release`` deletes it."""
+    path = f"{shared_dir(spark)}/cloudtally-{uuid.uuid4().hex}"
+    _FOLDERS.add(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete every intermediate folder this driver has made so far; results must be consumed by then."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _FOLDERS:
+        path = jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
+
+
 _STORED: WeakSet[DataFrame] = WeakSet()
 
 
@@ -47,7 +75,7 @@ def durable(df: DataFrame) -> DataFrame:
     if df in _STORED:
         return df
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cloudtally-{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.parquet(path)
     stored = spark.read.schema(df.schema).parquet(path)
     _STORED.add(stored)
