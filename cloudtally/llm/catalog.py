@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudtally.llm import bpe, line_index, quality, simhash
+from cloudtally.llm import bpe, line_index, quality, recompress, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = recompress.remove_repeats(_read(spark, sf_dir, "documents"), window=35)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kept = line_index.dedup(docs, counts=("n_lines", "n_dropped"))
@@ -38,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
     "op3_bpe": op3_bpe,
+    "op8_substrings": op8_substrings,
     "op10_line_dedup": op10_line_dedup,
 }
 
@@ -45,6 +51,21 @@ LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz
 WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 ORACLE: dict[str, str] = {
+    "op8_substrings": r"""
+        WITH split AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws
+            FROM documents),
+        starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM split),
+        windows AS (SELECT doc_id, i, sha256(array_to_string(ws[i : i + 34], ' ')) AS h FROM starts),
+        again AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+        gone AS (
+            SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM windows WHERE h IN (SELECT h FROM again)),
+        words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM split),
+        told AS (
+            SELECT w.doc_id, count(g.p) AS r, string_agg(w, ' ' ORDER BY w.p) FILTER (g.p IS NULL) AS k
+            FROM words w LEFT JOIN gone g ON w.doc_id = g.doc_id AND w.p = g.p GROUP BY w.doc_id)
+        SELECT s.doc_id, len(ws) AS n_words, coalesce(r, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+        FROM split s LEFT JOIN told t ON s.doc_id = t.doc_id""",
     "op10_line_dedup": f"""
         WITH parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
         lines AS (
