@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudtally.llm import bpe, line_index, quality, recompress, simhash
+from cloudtally.llm import bpe, line_index, link_graph, quality, recompress, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,6 +33,18 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+RULES: list[link_graph.Rule] = [
+    ("block", "net", "/"),
+    ("allow", "example.net", "/en/"),
+    ("block", "example.com", "/de/"),
+    ("allow", "org", "/fr/"),
+]
+
+
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_graph.verdicts(_read(spark, sf_dir, "pages"), RULES)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kept = line_index.dedup(docs, counts=("n_lines", "n_dropped"))
@@ -44,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_bpe": op3_bpe,
     "op8_substrings": op8_substrings,
+    "op9_urls": op9_urls,
     "op10_line_dedup": op10_line_dedup,
 }
 
@@ -66,6 +79,7 @@ ORACLE: dict[str, str] = {
             FROM words w LEFT JOIN gone g ON w.doc_id = g.doc_id AND w.p = g.p GROUP BY w.doc_id)
         SELECT s.doc_id, len(ws) AS n_words, coalesce(r, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
         FROM split s LEFT JOIN told t ON s.doc_id = t.doc_id""",
+    "op9_urls": link_graph.check_sql(RULES),
     "op10_line_dedup": f"""
         WITH parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
         lines AS (
