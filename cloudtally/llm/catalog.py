@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudtally.llm import bpe, line_index, link_graph, quality, recompress, simhash
+from cloudtally.llm import bpe, line_index, link_graph, quality, recompress, simhash, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -28,6 +28,20 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url", F.col("html").cast("binary").alias("payload"))
+    told = warc.round_trip(pages, min_bytes=0).filter("kind = 'record'")
+    page = lambda name: F.regexp_extract(F.col("fields")[name], r"<urn:page:(-?\d+)>", 1).try_cast("long")
+    kind = F.col("fields")["warc-type"]
+    return told.select(
+        page("warc-record-id").alias("page_id"),
+        F.when(kind == "revisit", F.col("fields")["warc-payload-length"].cast("long")).otherwise(F.length("payload").cast("long")).alias("payload_bytes"),
+        F.regexp_replace(F.col("fields")["warc-payload-digest"], "^sha1:", "").alias("payload_digest"),
+        kind.alias("record_type"),
+        page("warc-refers-to").alias("refers_to"),
+    )
+
+
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = recompress.remove_repeats(_read(spark, sf_dir, "documents"), window=35)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -55,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
     "op3_bpe": op3_bpe,
+    "op7_warc": op7_warc,
     "op8_substrings": op8_substrings,
     "op9_urls": op9_urls,
     "op10_line_dedup": op10_line_dedup,
@@ -64,6 +79,17 @@ LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz
 WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 ORACLE: dict[str, str] = {
+    "op7_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+        first AS (SELECT html, max(page_id) AS top FROM p GROUP BY html),
+        told AS (SELECT p.*, top FROM p JOIN first USING (html))
+        SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+            array_to_string(list_transform(range(0, 8), lambda g: array_to_string(list_transform(range(0, 4), lambda k:
+                substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, 5 * g + 1, 5))::INT >> (15 - 5 * k)) & 31)::INT, 1)), '')), '')
+                AS payload_digest,
+            CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
+        FROM told""",
     "op8_substrings": r"""
         WITH split AS (
             SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws
