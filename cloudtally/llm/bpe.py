@@ -216,28 +216,32 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
     return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
+def digests(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     """Per text the number of tokens and the SHA-256 of its ids and of the text decoded from them.
 
-    Encodes and decodes in one pass, so ids never leave the task.
+    Encodes and decodes in one pass; the ids themselves leave the task only where they are asked for.
     """
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         codec = Codec(path)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n, of_ids, of_text = [], [], []
+            n, of_ids, of_text, kept = [], [], [], []
             for text in _strings(batch.column("text")):
                 ids = codec.encode(text)
                 n.append(len(ids))
                 of_ids.append(hashlib.sha256(ids.tobytes()).hexdigest())
                 of_text.append(hashlib.sha256(codec.decode(ids).encode()).hexdigest())
-            return pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(of_ids), pa.array(of_text)],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+                if with_ids:
+                    kept.append(ids.astype(np.int32))
+            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                columns.append(pa.array(kept, pa.list_(pa.int32())))
+                names.append("ids")
+            return pa.RecordBatch.from_arrays(columns, names)
 
         return work
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return arrow.per_slice(arrow.texts(docs), schema, make, "text")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudtally.llm import bpe, line_index, link_graph, quality, recompress, simhash, toxicity, warc
+from cloudtally.llm import bpe, decontaminate, line_index, link_graph, quality, recompress, simhash, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -28,6 +28,12 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.score(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
+    leaked = F.col("score") >= decontaminate.LIMIT
+    return found.select("doc_id", leaked.alias("contaminated"), F.when(leaked, F.col("item_id")).alias("item_id"), "score")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = toxicity.fit(docs, _read(spark, sf_dir, "labels"))
@@ -80,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
     "op3_bpe": op3_bpe,
+    "op4_decontaminate": op4_decontaminate,
     "op5_toxicity": op5_toxicity,
     "op7_warc": op7_warc,
     "op8_substrings": op8_substrings,

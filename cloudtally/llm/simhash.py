@@ -409,3 +409,17 @@ def near_classes(docs: DataFrame, k: int = 5, similarity: float = 0.8, words: in
     joined = components(near_links(kept, words, similarity - slack, group_rows))
     root = kept.join(joined, kept["id"] == joined["node"], "left").select("size", "fp", "keys", F.coalesce("component", "id").alias("component_id"))
     return made.join(root, ["size", "fp", "keys"]).select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8, **more) -> DataFrame:
+    """The documents, as they are, without all but the one with the smallest doc_id of each group.
+
+    Rows without a doc_id stay; of rows that repeat a doc_id that stays one is kept.
+    """
+    found = near_classes(docs, k, similarity, **more)
+    ids = durable(found.groupBy("doc_id").agg(F.min("component_id").alias("_low"), F.count("*").alias("_n")))
+    first = ids.filter("doc_id = _low").select(F.col("doc_id").alias("_id"))
+    kept = docs.join(first, docs["doc_id"] == first["_id"], "left_semi")
+    if not ids.filter("_n > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.union(docs.filter(F.col("doc_id").isNull()))
