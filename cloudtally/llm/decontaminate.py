@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds find passages, local alignment decides.
 
 Every test item is cut into word n-grams. How many documents of the whole corpus hold each of them is
-counted first, and the rarer half of an item's n-grams (``least_seeds`` at least) are its seeds: common
-phrases find nothing but noise, while the seeds of a leaked item stay its rarest however often it leaked.
+counted first. Seeds are those in at most one of ``rare`` documents, and the rarer half of the item's
+others that occur: common phrases find nothing but noise, while a leaked item keeps seeds however often it leaked.
 The passage around the seeds a document shares with an item is aligned with the item by Smith-Waterman
 over words, so replaced, inserted and dropped words cost a little and reordered text costs much.
 A document is contaminated where a passage reaches ``limit`` of the score of the item itself.
@@ -28,7 +28,7 @@ from cloudtally.llm import arrow
 from cloudtally.runtime import durable
 
 NGRAM = 3
-LEAST_SEEDS = 12
+RARE, RARE_DOCS = 1_000, 100  # n-grams in one of so many documents, or in so few, are rare
 LIMIT = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 BROADCAST_BYTES = 64 << 20
@@ -158,21 +158,20 @@ class Seeds:
             yield item, max(start, 0), min(end, len(text))
 
 
-def blocks(items: DataFrame, docs: DataFrame, n: int, least_seeds: int, broadcast_bytes: int) -> list[Seeds]:
+def blocks(items: DataFrame, docs: DataFrame, n: int, rare: int, broadcast_bytes: int) -> list[Seeds]:
     """The items with their seeds, in blocks of a bounded size."""
     grams = durable(grams_of_items(items, n))
     size = 16 * grams.count()
     n_blocks = max(1, -(-size // broadcast_bytes))
-    found = []
+    found, n_docs = [], docs.count()
     for k in range(n_blocks):
         own = grams.filter(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k).toPandas()
         words = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
         words = words.filter(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k).collect()
         counted = frequencies(docs, own["gram"].to_numpy(np.int64), n).toPandas()
-        own = own.merge(counted, on="gram", how="left").fillna({"n": 0}).sort_values(["item_id", "n", "gram"])
-        rank = own.groupby("item_id").cumcount()
-        total = own.groupby("item_id")["gram"].transform("count")
-        own = own[(rank < np.maximum(least_seeds, -(-total // 2))) & own["item_id"].notna()]
+        own = own[own["item_id"].notna()].merge(counted, on="gram")
+        half = own.groupby("item_id")["n"].transform("median")
+        own = own[own["n"] <= np.maximum(half, max(RARE_DOCS, n_docs / rare))]
         found.append(Seeds({r.item_id: codes((r.text or "").encode()) for r in words if r.item_id is not None}, own[["item_id", "gram"]].to_numpy(np.int64)))
     return found
 
@@ -194,13 +193,13 @@ def judge(texts: list[bytes], seeds: Seeds, n: int) -> list[tuple[int | None, fl
     return best
 
 
-def score(docs: DataFrame, items: DataFrame, n: int = NGRAM, least_seeds: int = LEAST_SEEDS, broadcast_bytes: int = BROADCAST_BYTES, names: tuple[str, str] = ("item_id", "score")) -> DataFrame:
+def score(docs: DataFrame, items: DataFrame, n: int = NGRAM, rare: int = RARE, broadcast_bytes: int = BROADCAST_BYTES, names: tuple[str, str] = ("item_id", "score")) -> DataFrame:
     """The documents, all columns as they are, with the best item and its alignment score.
 
     Of items with equal scores the one with the smaller id is named. The two new columns are called ``names``.
     """
     out = docs
-    for k, seeds in enumerate(blocks(items, docs, n, least_seeds, broadcast_bytes)):
+    for k, seeds in enumerate(blocks(items, docs, n, rare, broadcast_bytes)):
         out = _scored(out, seeds, n, names, first=k == 0)
     return out
 

@@ -114,7 +114,7 @@ def swapped(text: str, identity: dict[str, list[str]]) -> str | None:
 
 
 def fit_rows(texts: list[str], toxic: list[int], chosen: list[str], identity: dict[str, list[str]], penalty: float = PENALTY) -> Model:
-    """Fit the weights by accelerated gradient descent."""
+    """Fit the weights by gradient descent with a step size of its own for every weight."""
     number = {f: k for k, f in enumerate(chosen)}
     find = lambda text: [number[f] for f in features(text) if f in number]
     copies = [(i, c) for i, t in enumerate(texts) if (c := swapped(t, identity)) is not None]
@@ -124,10 +124,10 @@ def fit_rows(texts: list[str], toxic: list[int], chosen: list[str], identity: di
     n, m, y = len(texts), len(lists), np.array(toxic, dtype=float)
     first = np.array([i for i, _ in copies], dtype=np.int64)
     other = np.arange(n, m)
-    w, b = np.zeros(len(chosen)), -2.0
-    vw, vb = np.zeros_like(w), 0.0
+    w, slow, fast = (np.zeros(len(chosen) + 1) for _ in range(3))  # the intercept comes last
+    w[-1] = -2.0
     for step in range(STEPS):
-        z = np.bincount(row, weights=w[col], minlength=m) + b
+        z = np.bincount(row, weights=w[col], minlength=m) + w[-1]
         s = 1 / (1 + np.exp(-z))
         pull = np.zeros(m)
         pull[:n] = (s[:n] - y) / n
@@ -136,11 +136,12 @@ def fit_rows(texts: list[str], toxic: list[int], chosen: list[str], identity: di
             slope = s * (1 - s)
             np.add.at(pull, first, gap * slope[first])
             pull[other] -= gap * slope[other]
-        gw = np.bincount(col, weights=pull[row], minlength=len(chosen)) + RIDGE * w / max(n, 1)
-        rate, keep = 20.0 / (1 + step / 200), 0.9
-        vw, vb = keep * vw - rate * gw, keep * vb - 0.2 * rate * pull.sum()
-        w, b = w + vw, b + vb
-    return Model({f: float(w[k]) for f, k in number.items() if w[k]}, float(b))
+        down = np.bincount(col, weights=pull[row], minlength=len(w)) + RIDGE * w / max(n, 1)
+        down[-1] = pull.sum()
+        slow, fast = 0.9 * slow + 0.1 * down, 0.999 * fast + 0.001 * down**2
+        size = 0.1 / (1 + step / 300)
+        w = w - size * slow / (1 - 0.9 ** (step + 1)) / (np.sqrt(fast / (1 - 0.999 ** (step + 1))) + 1e-9)
+    return Model({f: float(w[k]) for f, k in number.items() if w[k]}, float(w[-1]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, identity: dict[str, list[str]] = IDENTITY, penalty: float = PENALTY) -> Model:
