@@ -225,7 +225,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
     counted = rows.select("text").mapInArrow(count, "name long, n long")
     shared = durable(counted.groupBy("name").agg(F.sum("n").alias("n")).filter("n > 1").select("name"))
     small = 8 * shared.count() <= broadcast_bytes
-    names = spark.sparkContext.broadcast(np.sort(shared.toPandas()["name"].to_numpy(np.int64))) if small else None
+    names = spark.sparkContext.broadcast(np.sort(shared.toArrow()["name"].to_numpy())) if small else None
     if not small:
 
         def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
