@@ -178,3 +178,5 @@ INCIDENT_CHART_BANDS = ((50.0, "50+"), (40.0, "40-50"), (30.0, "30-40"), (20.0,
 INCIDENT_CHART_FLOOR = "0-20"
 WASTE_CHART_BANDS = ((75.0, "75-100"), (50.0, "50-75"), (25.0, "25-50"))
 WASTE_CHART_FLOOR = "0-25"
+
+GENERIC_CITATION = "AWS Well-Architected Cost Optimization (general guidance, citation unavailable)"

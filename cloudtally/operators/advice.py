@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cloudtally import fixed_values as fv
 from cloudtally.functions.numeric import MONEY, banded, clamp, half_up
 from cloudtally.functions.skew import sized_join
+from cloudtally.runtime import durable
 
 TENANT = ("organization_id",)
 
@@ -83,7 +84,7 @@ def recommend(
 ) -> DataFrame:
     """At most one action per scored row: stop idle machines, shrink underused ones, leave the rest.
 
-    ``rates`` is (instance_type, hourly_rate) with one row per known type. Without a listed
+    ``rates`` is (instance_type, hourly_rate) with one row per type. Without a listed
     rate the row's own daily cost over 24 h is used, and half of it for a smaller machine.
     Optional inputs ``classifier_confidence``, ``incident_score`` and
     ``forecast_confidence`` raise or lower the confidence; where NULL the defaults apply.
@@ -93,15 +94,12 @@ def recommend(
     df = df.filter(F.col("bucket").isin("Idle", "Critical Waste", "Underutilized"))
     df = df.withColumn("target_type", F.try_element_at(_map_of(fv.DOWNSIZE), F.col("instance_type")))
     if rates is not None:
-        priced = rates.filter(F.col("instance_type").isin([n for n, _, _ in fv.INSTANCE_SPECS]))
-        # one row per known type at most, see operators.gold.rates
+        priced = durable(rates)
         now = priced.select("instance_type", F.col("hourly_rate").alias("_listed"))
         then = priced.select(
             F.col("instance_type").alias("target_type"), F.col("hourly_rate").alias("_target_listed")
         )
-        df = df.join(F.broadcast(now), "instance_type", "left").join(
-            F.broadcast(then), "target_type", "left"
-        )
+        df = sized_join(sized_join(df, now, ["instance_type"]), then, ["target_type"])
     else:
         none = F.lit(None).cast("double")
         df = df.withColumns({"_listed": none, "_target_listed": none})
@@ -144,10 +142,10 @@ def recommend(
 
 def with_citation(recs: DataFrame, cited: DataFrame) -> DataFrame:
     """Attach the best guidance passage per resource (output of retrieval), else the generic label."""
-    generic = "AWS Well-Architected Cost Optimization (general guidance, citation unavailable)"
-    return sized_join(recs, cited, ["resource_id"]).withColumns(
+    keys = [*(t for t in TENANT if t in recs.columns or t in cited.columns), "resource_id"]
+    return sized_join(recs, cited, keys).withColumns(
         {
-            "supporting_rule": F.coalesce("title", F.lit(generic)),
+            "supporting_rule": F.coalesce("title", F.lit(fv.GENERIC_CITATION)),
             "citation_chunk_ids": F.array_compact(F.array("chunk_id")),
         }
     ).drop("title", "chunk_id")
@@ -160,10 +158,18 @@ def without_open(scored: DataFrame, recommendations: DataFrame) -> DataFrame:
     return sized_join(scored, taken, keys, "left_anti")
 
 
-def set_status(recs: DataFrame, updates: DataFrame, key: str = "recommendation_id") -> DataFrame:
-    """Apply (id, new_status) rows; unknown ids and unknown statuses change nothing."""
+def set_status(
+    recs: DataFrame, updates: DataFrame, key: str = "recommendation_id", order: str = "updated_at"
+) -> DataFrame:
+    """Apply (id, new_status, updated_at) rows; unknown ids and unknown statuses change nothing.
+
+    Of several updates of one id the last valid one holds (at one time the alphabetically last).
+    """
+    if order not in updates.columns:
+        raise ValueError(f"status updates need the column {order}, which tells their order")
     allowed = F.col("new_status").isin(*fv.RECOMMENDATION_STATUSES)
-    valid = updates.filter(allowed).groupBy(key).agg(F.max("new_status").alias("_new"))
+    last = F.max_by("new_status", F.struct(F.col(order), F.col("new_status")))
+    valid = updates.filter(allowed).groupBy(key).agg(last.alias("_new"))
     return (
         sized_join(recs, valid, [key])
         .withColumn("status", F.coalesce("_new", "status"))
@@ -192,7 +198,9 @@ def _by_resource(window: DataFrame, tenant: Sequence[str]) -> DataFrame:
 
 
 def _ordered(actions: DataFrame) -> DataFrame:
-    return actions if "action_order" in actions.columns else actions.withColumn("action_order", F.lit(0))
+    if "action_order" not in actions.columns:
+        raise ValueError("actions need the column action_order: steps on one resource build on each other")
+    return actions
 
 
 def scenario_log(
@@ -200,9 +208,9 @@ def scenario_log(
 ) -> DataFrame:
     """What each action does to its resource inside the window, or why it does nothing.
 
-    ``actions`` is (tenant, scenario_id, resource_id, action_type, new_hourly_rate) and, where a
-    scenario touches a resource more than once, ``action_order``; each step then starts from
-    the cost the previous one left behind.
+    ``actions`` is (tenant, scenario_id, resource_id, action_type, new_hourly_rate, action_order).
+    Where a scenario touches a resource more than once, each step starts from the cost the
+    previous one left behind.
     """
     seen = (
         _by_resource(trailing(billing, days, tenant), tenant)

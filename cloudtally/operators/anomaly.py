@@ -51,9 +51,12 @@ def incident_daily(df: DataFrame, tenant: Sequence[str] = ("organization_id",))
     )
 
 
-def history_counts(df: DataFrame, windows: DataFrame, key: str = "resource_id") -> DataFrame:
-    """How many labelled incidents each resource has had, 0 when none."""
-    counted = windows.groupBy(key).agg(F.count("*").alias("_n"))
-    return sized_join(df, counted, [key]).withColumn(
+def history_counts(
+    df: DataFrame, windows: DataFrame, key: str = "resource_id", tenant: Sequence[str] = ("organization_id",)
+) -> DataFrame:
+    """How many labelled incidents each tenant's resource has had, 0 when none."""
+    keys = [*(t for t in tenant if t in df.columns or t in windows.columns), key]
+    counted = windows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    return sized_join(df, counted, keys).withColumn(
         "anomaly_history_count", F.coalesce("_n", F.lit(0)).cast("int")
     ).drop("_n")

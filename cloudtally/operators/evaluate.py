@@ -35,16 +35,21 @@ def stratified_split(
 
 
 # --- anomaly scores against labelled windows ----------------------------------------------------
-def labelled_days(windows: DataFrame, key: str = "resource_id") -> DataFrame:
-    """One row per (resource, day) inside any labelled window; overlaps count once."""
+def labelled_days(windows: DataFrame, key: str = "resource_id", tenant: Sequence[str] = TENANT) -> DataFrame:
+    """One row per (tenant, resource, day) inside any labelled window; overlaps count once."""
     days = F.explode(F.sequence(F.col("start_date"), F.col("end_date")))
-    return windows.filter(F.col("start_date") <= F.col("end_date")).select(key, days.alias("date")).distinct()
+    return windows.filter(F.col("start_date") <= F.col("end_date")).select(
+        *[t for t in tenant if t in windows.columns], key, days.alias("date")
+    ).distinct()
 
 
-def mark_truth(df: DataFrame, windows: DataFrame, key: str = "resource_id") -> DataFrame:
-    """The interval test as an equi-join on (resource, day)."""
-    truth = labelled_days(windows, key).withColumn("_true", F.lit(True))
-    return sized_join(df, truth, [key, "date"]).withColumn(
+def mark_truth(
+    df: DataFrame, windows: DataFrame, key: str = "resource_id", tenant: Sequence[str] = TENANT
+) -> DataFrame:
+    """The interval test as an equi-join on (tenant, resource, day); both tables carry the tenant or neither."""
+    own = [t for t in tenant if t in df.columns or t in windows.columns]
+    truth = labelled_days(windows, key, own).withColumn("_true", F.lit(True))
+    return sized_join(df, truth, [*own, key, "date"]).withColumn(
         "is_true_anomaly", F.coalesce("_true", F.lit(False))
     ).drop("_true")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cloudtally import fixed_values as fv
 from cloudtally.functions.numeric import half_up
+from cloudtally.functions.skew import sized_join
 from cloudtally.operators.features import growth
 
 
@@ -79,14 +80,8 @@ def match_instances(machines: DataFrame, vm: str = "vm_id") -> DataFrame:
 
 
 def rates(prices: DataFrame) -> DataFrame:
-    """One hourly rate per instance type: the mean of the best tier it is offered in.
-
-    At most one row per spec, since only known types can be matched.
-    """
-    known = [name for name, _, _ in fv.INSTANCE_SPECS]
-    typed = prices.withColumn("instance_type", F.lower("instance_type")).filter(
-        F.col("instance_type").isin(known)
-    )
+    """One hourly rate per listed instance type: the mean of the best tier it is offered in."""
+    typed = prices.withColumn("instance_type", F.lower("instance_type")).filter(F.col("instance_type").isNotNull())
     aggs = [
         F.avg(F.when(F.col("pricing_type") == tier, F.col("hourly_rate"))).alias(tier)
         for tier in fv.RATE_TIERS
@@ -108,18 +103,16 @@ def rates(prices: DataFrame) -> DataFrame:
 def gold(
     silver: DataFrame,
     prices: DataFrame,
+    account_id: str,
     vm: str = "vm_id",
-    account_id: str = "bitbrains-prod",
     service: str = "EC2",
 ) -> DataFrame:
     """Daily rows with matched type, cost of an always-on day and canonical column names."""
     matched = match_instances(footprint(silver, vm), vm).select(
         vm, F.col("matched_instance_type").alias("instance_type"), "confidence"
     )
-    rate = F.broadcast(rates(prices))  # at most 33 rows
     base = (
-        silver.join(matched, vm, "left")
-        .join(rate, "instance_type", "left")
+        sized_join(silver.join(matched, vm, "left"), rates(prices), ["instance_type"])
         .select(
             "date",
             F.lit(account_id).alias("account_id"),
@@ -146,4 +139,4 @@ def spec_lookup(df: DataFrame, prices: DataFrame | None = None, key: str = "inst
     out = df.join(F.broadcast(spec_table(df.sparkSession).drop("spec_order")), key, "left")
     if prices is None:
         return out
-    return out.join(F.broadcast(rates(prices).select(F.col("instance_type").alias(key), "hourly_rate")), key, "left")
+    return sized_join(out, rates(prices).select(F.col("instance_type").alias(key), "hourly_rate"), [key])

@@ -206,24 +206,24 @@ def terminate_candidates(scored: DataFrame, tenant: Sequence[str] = TENANT, k: i
 
 def top_metric(df: DataFrame, metric: str, tenant: Sequence[str] = TENANT) -> DataFrame:
     """The resource-day with the highest non-null value of a metric, ties to the earliest id and day."""
-    column = fv.METRIC_COLUMNS.get(metric, "cpu_avg_pct")
-    if column not in df.columns:
-        raise ValueError(f"column {column} is not available")
-    best = F.min_by(
-        F.struct("resource_id", "date", column), F.struct(-F.col(column), F.col("resource_id"), F.col("date"))
-    )
-    return (
-        df.filter(F.col(column).isNotNull())
-        .groupBy(*tenant)
-        .agg(best.alias("_b"))
-        .select(
-            *tenant,
-            F.lit(column).alias("metric"),
-            "_b.resource_id",
-            F.col("_b.date").alias("date"),
-            half_up(F.col(f"_b.{column}"), 2).alias("value"),
-        )
-    )
+    return top_metrics(df, [metric], tenant)
+
+
+def top_metrics(df: DataFrame, wanted: Sequence[str], tenant: Sequence[str] = TENANT) -> DataFrame:
+    """``top_metric`` for several metrics in one pass: a row per tenant and metric that has a value."""
+    columns = list(dict.fromkeys(fv.METRIC_COLUMNS.get(m, "cpu_avg_pct") for m in wanted))
+    for column in columns:
+        if column not in df.columns:
+            raise ValueError(f"column {column} is not available")
+
+    def best(column):
+        rank = F.struct(-F.col(column), F.col("resource_id"), F.col("date"))
+        row = F.struct(F.lit(column).alias("metric"), "resource_id", "date", half_up(F.col(column), 2).cast("double").alias("value"))
+        return F.min_by(row, F.when(F.col(column).isNotNull(), rank)).alias(f"_{column}")
+
+    found = df.groupBy(*tenant).agg(*[best(c) for c in columns])
+    rows = F.explode(F.array_compact(F.array(*[f"_{c}" for c in columns])))
+    return found.select(*tenant, rows.alias("_b")).select(*tenant, "_b.*")
 
 
 def idle_list(scored: DataFrame, tenant: Sequence[str] = TENANT, k: int = 20) -> DataFrame:
@@ -465,15 +465,14 @@ def business_kpis(
     )
     if registry is None:
         return out
+    # one registry row, which serves every tenant: the value travels as a literal, without a join
     best = registry.filter((F.col("model_type") == "forecast") & F.col("is_active")).agg(
         half_up(
             F.max_by(F.try_element_at("evaluation_metrics", F.lit("error_reduction_pct")), "training_date"), 1
         ).alias("forecast_error_reduction_pct")
     )
-    one = F.lit(1).alias("_one")
-    return (  # a single registry row, the models serve every tenant
-        out.select("*", one).join(F.broadcast(best.select("*", one)), "_one", "left").drop("_one")
-    )
+    value = best.first()[0]
+    return out.withColumn("forecast_error_reduction_pct", F.lit(value).cast(best.schema[0].dataType))
 
 
 def health(

@@ -6,12 +6,12 @@ map over bounded groups; the node table is bounded by the settings and travels t
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from math import ceil, log2
+from collections.abc import Callable, Iterator, Sequence
+from math import ceil, gcd, log2
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloudtally import fixed_values as fv
@@ -20,8 +20,13 @@ from cloudtally.functions.skew import sized_join
 from cloudtally.operators import anomaly
 from cloudtally.runtime import durable
 
-NODE = "dimension string, tree int, node int, feature int, cut double, left int, right int, length double"
+NODE = (
+    "dimension string, tree int, points int, node int, feature int, cut double, left int, right int, length double"
+)
+OFFER = "array<struct<dimension:string,tree:int,value:double,zscore:double>>"
 SAMPLE = 256
+LEAST_ROWS = 10  # dimensions with fewer known values get no forest
+SPARE = 1.3  # a tree is offered so many times its sample, since draws vary
 
 
 def _mean_path(n: float) -> float:
@@ -51,111 +56,114 @@ def _grow(points: np.ndarray, rng: np.random.Generator) -> list[tuple]:
     return nodes
 
 
-def observations(
-    z: DataFrame, ident: Sequence[str], dimensions: Sequence[str] = tuple(fv.INCIDENT_WEIGHTS)
-) -> DataFrame:
-    """One row per (row, dimension) with the raw value and its z-score; missing values are left out."""
-    present = [d for d in dimensions if d in z.columns]
-    rows = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(d).alias("dimension"),
-                    no_nan(F.col(d).cast("double")).alias("value"),
-                    F.col(f"{d}_zscore").alias("zscore"),
-                )
-                for d in present
-            ]
-        )
-    )
-    return z.select(*ident, rows.alias("o")).select(*ident, "o.*").filter(
-        F.col("value").isNotNull() & F.col("zscore").isNotNull()
-    )
+def _known(d: str) -> tuple[Column, Column]:
+    """Value and z-score of a dimension, both null unless both are there."""
+    value, z = no_nan(F.col(d).cast("double")), no_nan(F.col(f"{d}_zscore").cast("double"))
+    both = value.isNotNull() & z.isNotNull()
+    return F.when(both, value), F.when(both, z)
+
+
+def _offer(d: str, first: Column, step: Column, trees: int, value: Column, score: Column) -> Callable[[Column], Column]:
+    """The j-th draw of a row as a struct."""
+    tree = lambda j: F.pmod(first + j * step, F.lit(trees)).cast("int")
+    return lambda j: F.struct(F.lit(d).alias("dimension"), tree(j).alias("tree"), value.alias("value"), score.alias("zscore"))
+
+
+def _dimensions(z: DataFrame, dimensions: Sequence[str]) -> list[str]:
+    return [d for d in dimensions if {d, f"{d}_zscore"} <= set(z.columns)]
 
 
 def fit(
-    obs: DataFrame, ident: Sequence[str], trees: int = 150, sample: int = SAMPLE, seed: int = 42
+    z: DataFrame,
+    ident: Sequence[str],
+    trees: int = 150,
+    sample: int = SAMPLE,
+    seed: int = 42,
+    dimensions: Sequence[str] = tuple(fv.INCIDENT_WEIGHTS),
 ) -> DataFrame:
-    """Node table of one forest per dimension; dimensions with fewer than 10 rows get none.
+    """Node table of one forest per dimension; those with fewer than ``LEAST_ROWS`` rows get none.
 
-    Rows draw their trees by hash: with plenty of rows each draws at most one tree, with few
-    every (row, tree) pair is decided on its own. Either way a tree gets about ``sample`` rows.
+    One rule for any number of rows: a row goes to k different trees, where k is the expected
+    number of trees per row, rounded up or down by the row's hash. Its first tree and the step from one
+    to the next come from hashes too, so a tree is offered about 1.3 samples and keeps one.
     """
-    sizes = {r["dimension"]: r["count"] for r in obs.groupBy("dimension").count().collect()}
-    sizes = {d: n for d, n in sizes.items() if n >= 10}
-    few = {d for d, n in sizes.items() if n < 2 * trees * sample}
-    draw = F.pmod(F.xxhash64(*ident, "dimension", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    share = F
-    for d, n in sizes.items():
-        if d not in few:
-            share = share.when(F.col("dimension") == d, F.lit(1.3 * trees * sample / n))
-    drawn = None
-    if len(few) < len(sizes):
-        drawn = obs.filter(draw < share.otherwise(F.lit(0.0))).withColumn(
-            "tree", F.pmod(F.xxhash64(*ident, "dimension", F.lit(seed + 1)), F.lit(trees)).cast("int")
-        )
-    if few:
-        rate = F
-        for d in few:
-            rate = rate.when(F.col("dimension") == d, F.lit(min(1.0, 1.3 * sample / sizes[d])))
-        pair = F.pmod(F.xxhash64(*ident, "dimension", "tree", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-        # fewer than 2 x trees x sample rows per dimension reach this expansion
-        small = (
-            obs.filter(F.col("dimension").isin(*few))
-            .withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-            .filter(pair < rate.otherwise(F.lit(0.0)))
-        )
-        drawn = small if drawn is None else drawn.unionByName(small)
-    order = F.xxhash64(*ident, "tree", F.lit(seed + 2)).alias("_order")
-    draws = drawn.select("dimension", "tree", "value", "zscore", order)
+    present = _dimensions(z, dimensions)
+    if not present:
+        return z.sparkSession.createDataFrame([], NODE)
+    sizes = z.agg(*[F.count(_known(d)[0]).alias(d) for d in present]).first().asDict()
+    steps = F.array(*[F.lit(k) for k in range(1, trees + 1) if gcd(k, trees) == 1])
+    offers = []
+    for d in present:
+        if sizes[d] < LEAST_ROWS:
+            continue
+        value, score = _known(d)
+        hashed = lambda k, d=d: F.pmod(F.xxhash64(*ident, F.lit(d), F.lit(seed + k)), F.lit(1 << 30))
+        expected = min(float(trees), SPARE * trees * sample / sizes[d])
+        draws = F.when(value.isNotNull(), F.floor(F.lit(expected) + hashed(0) / float(1 << 30)).cast("int"))
+        step = F.element_at(steps, (F.pmod(hashed(1), F.size(steps)) + 1).cast("int"))
+        one = _offer(d, hashed(2), step, trees, value, score)
+        offers.append(F.when(draws > 0, F.transform(F.sequence(F.lit(0), draws - 1), one)).otherwise(F.array().cast(OFFER)))
+    if not offers:
+        return z.sparkSession.createDataFrame([], NODE)
+    order = F.xxhash64(*ident, "o.tree", F.lit(seed + 3)).alias("_order")
+    drawn = z.select(*ident, F.explode(F.flatten(F.array(*offers))).alias("o")).select("o.*", order)
 
     def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         dim, tree = key
         pts = pdf.sort_values(["_order", "value"]).head(sample)[["value", "zscore"]].to_numpy("float64")
         rng = np.random.default_rng([seed, int(tree), sum(dim.encode())])
         nodes = pd.DataFrame(_grow(pts, rng), columns=["node", "feature", "cut", "left", "right", "length"])
+        nodes.insert(0, "points", len(pts))
         nodes.insert(0, "tree", tree)
         nodes.insert(0, "dimension", dim)
         return nodes
 
-    return draws.groupBy("dimension", "tree").applyInPandas(grow, NODE)
+    return drawn.groupBy("dimension", "tree").applyInPandas(grow, NODE)
+
+
+def path_lengths(tree: np.recarray, x: np.ndarray) -> np.ndarray:
+    """Depth at which each row (value, z-score) ends in a tree."""
+    at = np.zeros(len(x), dtype="int64")
+    while True:
+        f = tree.feature[at]
+        inner = f >= 0
+        if not inner.any():
+            return tree.length[at]
+        v = x[np.arange(len(x)), np.maximum(f, 0)]
+        at = np.where(inner, np.where(v <= tree.cut[at], tree.left[at], tree.right[at]), at)
 
 
-def raw_scores(obs: DataFrame, forest: DataFrame, ident: Sequence[str], sample: int = SAMPLE) -> DataFrame:
-    """Anomaly score 2^(-mean depth / expected depth) per observation; higher is stranger."""
-    table = forest.toPandas()  # dimensions x trees x at most 511 nodes
-    forests = {}
-    for (dim, tree), nodes in table.groupby(["dimension", "tree"]):
+def raw_scores(
+    z: DataFrame, forest: DataFrame, ident: Sequence[str], dimensions: Sequence[str] = tuple(fv.INCIDENT_WEIGHTS)
+) -> DataFrame:
+    """Identity and raw_<dimension>, 2^(-mean depth / expected depth); higher is stranger.
+
+    All dimensions of a row are scored side by side. The expected depth is that of the points a
+    tree was really grown from, as in trees of a small dimension.
+    """
+    forests: dict[str, list[np.recarray]] = {}
+    # dimensions x trees x at most 511 nodes
+    for (dim, _), nodes in forest.toPandas().groupby(["dimension", "tree"]):
         forests.setdefault(dim, []).append(nodes.sort_values("node").to_records(index=False))
-    norm = _mean_path(sample)
+    expected = {d: float(np.mean([_mean_path(t.points[0]) for t in ts])) for d, ts in forests.items()}
+    present = _dimensions(z, dimensions)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = np.zeros(len(pdf))
-            for dim, where in pdf.groupby("dimension").indices.items():
-                if dim not in forests:
-                    out[where] = np.nan
-                    continue
-                x = pdf[["value", "zscore"]].to_numpy("float64")[where]
-                total = np.zeros(len(x))
-                for t in forests[dim]:
-                    at = np.zeros(len(x), dtype="int64")
-                    while True:
-                        f = t.feature[at]
-                        inner = f >= 0
-                        if not inner.any():
-                            break
-                        v = x[np.arange(len(x)), np.maximum(f, 0)]
-                        step = np.where(v <= t.cut[at], t.left[at], t.right[at])
-                        at = np.where(inner, step, at)
-                    total += t.length[at]
-                out[where] = np.exp2(-total / len(forests[dim]) / norm)
-            yield pdf.assign(raw_score=out)
-
-    kinds = dict(obs.dtypes)
-    cols = [*ident, "dimension", "value", "zscore"]
-    schema = ", ".join(f"{c} {kinds[c]}" for c in cols) + ", raw_score double"
-    return obs.select(*cols).mapInPandas(score, schema)
+            out = pdf[list(ident)].copy()
+            for d in present:
+                x = pdf[[f"_v_{d}", f"_z_{d}"]].to_numpy("float64")
+                raw, known = np.full(len(x), np.nan), ~np.isnan(x).any(axis=1)
+                if d in forests and known.any():
+                    total = sum(path_lengths(t, x[known]) for t in forests[d])
+                    raw[known] = np.exp2(-total / len(forests[d]) / expected[d])
+                out[f"raw_{d}"] = raw
+            yield out
+
+    kinds = dict(z.dtypes)
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in ident), *(f"raw_{d} double" for d in present)])
+    cut = z.select(*ident, *[c.alias(f"_{n}_{d}") for d in present for n, c in zip("vz", _known(d), strict=True)])
+    return cut.mapInPandas(score, schema)
 
 
 def detect(
@@ -163,26 +171,22 @@ def detect(
     forest: DataFrame,
     ident: Sequence[str],
     tenant: Sequence[str] = ("organization_id",),
-    obs: DataFrame | None = None,
 ) -> DataFrame:
     """Dimension scores scaled to 0-100 per tenant and dimension, incident score and severity.
 
-    ``z`` supplies the observations unless they are given; identity must contain the tenant.
+    Identity must contain the tenant.
     """
-    obs = observations(z, ident) if obs is None else obs
-    scored = durable(raw_scores(obs, forest, ident))  # read for the range and for the scores
-    span = scored.groupBy(*tenant, "dimension").agg(
-        F.min(no_nan(F.col("raw_score"))).alias("_lo"), F.max(no_nan(F.col("raw_score"))).alias("_hi")
-    )
-    hundred = scaled(no_nan(F.col("raw_score")), F.col("_lo"), F.col("_hi")) * 100
-    wide = (
-        sized_join(scored, span, [*tenant, "dimension"])
-        .groupBy(*ident)
-        .agg(
-            *[
-                F.max(F.when(F.col("dimension") == d, hundred)).alias(f"anomaly_score_{d}")
-                for d in fv.INCIDENT_WEIGHTS
-            ]
-        )
+    return from_raw(durable(raw_scores(z, forest, ident)), ident, tenant)  # read for the range and for the scores
+
+
+def from_raw(scored: DataFrame, ident: Sequence[str], tenant: Sequence[str] = ("organization_id",)) -> DataFrame:
+    """Incident scores from raw scores: one range per tenant for all dimensions, one join."""
+    present = [c[4:] for c in scored.columns if c.startswith("raw_")]
+    raw = {d: no_nan(F.col(f"raw_{d}")) for d in present}
+    span = scored.groupBy(*tenant).agg(
+        *[f(c).alias(f"_{n}_{d}") for d, c in raw.items() for n, f in (("lo", F.min), ("hi", F.max))]
     )
-    return anomaly.fuse(wide)
+    hundred = {d: scaled(c, F.col(f"_lo_{d}"), F.col(f"_hi_{d}")) * 100 for d, c in raw.items()}
+    wide = sized_join(scored, span, list(tenant)).select(*ident, *[c.alias(f"anomaly_score_{d}") for d, c in hundred.items()])
+    missing = [F.lit(None).cast("double").alias(f"anomaly_score_{d}") for d in fv.INCIDENT_WEIGHTS if d not in present]
+    return anomaly.fuse(wide.select("*", *missing))

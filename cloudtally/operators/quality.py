@@ -54,14 +54,17 @@ def row_rules(df: DataFrame, require_region: bool, require_known_type: bool) ->
     return rules
 
 
-def mark_repeats(df: DataFrame, keys: Sequence[str] = ("date", "resource_id")) -> DataFrame:
+def mark_repeats(df: DataFrame, keys: Sequence[str] = ("date", "resource_id"), tenant: Sequence[str] = ("organization_id",)) -> DataFrame:
     """Flag every member of a repeated key; missing parts of a key count as equal.
 
+    Tenants may use the same ids: where the table has the tenant, it is part of the key.
+
     The repeated keys come from a map-side-combined count, so copies of one pair never meet
     in a single window; the join back broadcasts them when few and spreads hot ones otherwise.
     """
     if not set(keys) <= set(df.columns):
         return df.withColumn("_repeated", F.lit(False))
+    keys = [*(t for t in tenant if t in df.columns), *keys]
     # every key becomes a non-null string for the join, with its own mark for NULL
     coded = {f"_k{i}": F.coalesce(_text(F.col(k)), F.lit("\u0000")) for i, k in enumerate(keys)}
     tagged = df.withColumns(coded)
@@ -125,15 +128,13 @@ def audit_records(found: DataFrame, source_tier: str, row_id: str = "row_id") ->
 
 def summary(df: DataFrame, found: DataFrame) -> DataFrame:
     """Failures by rule next to the table's row count and the total of failures."""
-    per_rule = found.groupBy("rule").agg(F.count("*").alias("failures"))
-    rows = df.agg(F.count("*").alias("total_rows")).withColumn("_one", F.lit(1))
-    total = per_rule.agg(F.sum("failures").alias("total_failures")).withColumn("_one", F.lit(1))
-    return (
-        per_rule.withColumn("_one", F.lit(1))
-        .join(F.broadcast(rows), "_one")  # one row each
-        .join(F.broadcast(total), "_one")
-        .select("rule", "failures", "total_rows", "total_failures")
+    per_rule = found.groupBy("rule").agg(F.count("*").alias("failures")).select(F.struct("rule", "failures").alias("r"), F.lit(0).cast("long").alias("rows"))
+    whole = df.agg(F.count("*").alias("rows")).select(F.lit(None).cast(per_rule.schema["r"].dataType).alias("r"), "rows")
+    # a row for each rule and one for the table: they meet in a single small aggregate, without a join
+    one = per_rule.union(whole).agg(
+        F.collect_list("r").alias("rules"), F.sum("rows").alias("total_rows"), F.sum("r.failures").alias("total_failures")
     )
+    return one.select(F.explode("rules").alias("r"), "total_rows", "total_failures").select("r.rule", "r.failures", "total_rows", "total_failures")
 
 
 def null_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -210,7 +210,7 @@ def _(spark, d):
 
 @query(
     "gold",
-    f"""SELECT date, 'bitbrains-prod' AS account_id, 'EC2' AS service, CAST(vm_id AS VARCHAR) AS resource_id, matched_instance_type AS instance_type,
+    f"""SELECT date, 'account-1' AS account_id, 'EC2' AS service, CAST(vm_id AS VARCHAR) AS resource_id, matched_instance_type AS instance_type,
               CAST(NULL AS VARCHAR) AS region, {r('24 * hourly_rate', 6)} AS cost, 24.0::DOUBLE AS usage_hours, {r('cpu_usage_percent', 6)} AS cpu_avg_pct,
               {r('memory_utilization_ratio * 100', 2)} AS memory_avg_pct, {r('disk_read_kbps + disk_write_kbps', 6)} AS disk_io,
               {r('network_received_kbps + network_transmitted_kbps', 6)} AS network_io, confidence, rate_source,
@@ -220,7 +220,7 @@ def _(spark, d):
 )
 def _(spark, d):
     days = durable(silver.daily(silver.clean(fx.telemetry(spark, d))))  # the silver stage table
-    out = gold.gold(days, silver.prices(fx.price_rows(spark, d)))
+    out = gold.gold(days, silver.prices(fx.price_rows(spark, d)), "account-1")
     return rounded(out, 6, "cost", "cpu_avg_pct", "disk_io", "network_io", "cost_growth_rate")
 
 
@@ -360,19 +360,20 @@ def _(spark, d):
     return rounded(features.daily_series(fx.billing(spark, d)), 2, "cost")
 
 
-SUP_W = "PARTITION BY service ORDER BY date"
+SUP_W = "PARTITION BY level, service ORDER BY date"
+SUP_KEYS = ("level", "service")
 
 
 def _supervised_sql(last: str) -> str:
-    return f"""SELECT date, service, cost, active_resource_count, CAST(isodow(date) - 1 AS INT) AS day_of_week, CAST(day(date) AS INT) AS day_of_month,
+    return f"""SELECT date, level, service, cost, active_resource_count, CAST(isodow(date) - 1 AS INT) AS day_of_week, CAST(day(date) AS INT) AS day_of_month,
               {r(f'avg(cost) OVER ({SUP_W} ROWS BETWEEN {6 if last == "CURRENT ROW" else 7} PRECEDING AND {last})', 4)} AS rolling_avg_7d,
               {r(f'avg(cost) OVER ({SUP_W} ROWS BETWEEN {29 if last == "CURRENT ROW" else 30} PRECEDING AND {last})', 4)} AS rolling_avg_30d,
-              lag(cost, 1) OVER ({SUP_W}) AS lag_1d, lag(cost, 7) OVER ({SUP_W}) AS lag_7d FROM f4"""
+              lag(cost, 1) OVER ({SUP_W}) AS lag_1d, lag(cost, 7) OVER ({SUP_W}) AS lag_7d FROM f4all"""
 
 
 def _supervised(spark, d, include_current):
-    daily = fx.daily_orders(spark, d).filter(F.col("level") == "per_service")
-    out = features.supervised(daily.drop("level", "organization_id"), include_current=include_current)
+    daily = fx.daily_orders(spark, d).drop("organization_id")
+    out = features.supervised(daily, SUP_KEYS, include_current=include_current)
     return rounded(out, 4, "rolling_avg_7d", "rolling_avg_30d")
 
 
@@ -471,7 +472,7 @@ def _(spark, d):
 @query(
     "history_count",
     f"""SELECT {KEY}, CAST(coalesce(n, 0) AS INT) AS anomaly_history_count FROM f1
-       LEFT JOIN (SELECT resource_id, count(*) AS n FROM f6 WHERE resource_id NOT LIKE '%3' GROUP BY 1) USING (resource_id)""",
+       LEFT JOIN (SELECT organization_id, resource_id, count(*) AS n FROM f6 WHERE resource_id NOT LIKE '%3' GROUP BY 1, 2) USING (organization_id, resource_id)""",
 )
 def _(spark, d):
     windows = fx.label_windows(spark, d).filter(~F.col("resource_id").endswith("3"))
@@ -523,15 +524,21 @@ def _(spark, d):
 @query(
     "rec_status",
     """SELECT organization_id, resource_id, recommendation_id,
-              CASE WHEN CAST(substr(resource_id, 4) AS INT) % 6 = 0 THEN 'accepted' WHEN CAST(substr(resource_id, 4) AS INT) % 6 = 1 THEN 'dismissed' ELSE status END AS status
+              CASE WHEN CAST(substr(resource_id, 4) AS INT) % 6 = 0 THEN 'accepted' WHEN CAST(substr(resource_id, 4) AS INT) % 6 = 1 THEN 'dismissed' ELSE 'open' END AS status
        FROM rec""",
 )
 def _(spark, d):
     key = F.col("s_suppkey")
     wanted = F.when(key % 6 == 0, "accepted").when(key % 6 == 1, "dismissed").when(key % 6 == 2, "archived")
     updates = fx.table(spark, d, "supplier").select(
-        F.concat(F.lit("rec-vm-"), key.cast("string")).alias("recommendation_id"), wanted.alias("new_status")
+        F.concat(F.lit("rec-vm-"), key.cast("string")).alias("recommendation_id"),
+        wanted.alias("new_status"),
+        F.lit("2024-01-02").cast("timestamp").alias("updated_at"),
     )
+    # an earlier update to a status that sorts behind the later one, and a later one that is not valid
+    earlier = updates.withColumns({"new_status": F.lit("open"), "updated_at": F.lit("2024-01-01").cast("timestamp")})
+    later = updates.withColumns({"new_status": F.lit("zzz"), "updated_at": F.lit("2024-01-03").cast("timestamp")})
+    updates = updates.union(earlier).union(later)
     recs = fx.recommendations(spark, d).select("organization_id", "resource_id", "recommendation_id", "status")
     return advice.set_status(recs, updates)
 
@@ -635,18 +642,23 @@ WEEK = f"""
          count(DISTINCT resource_id) FILTER (date > last_date - 7) AS n FROM f1_last GROUP BY 1, 2"""
 
 
+TOP3 = f"""SELECT organization_id, service, {r('CAST(s AS DOUBLE)', 2)} AS c FROM (
+  SELECT organization_id, service, sum(CAST(cost AS DECIMAL(28,10))) AS s, row_number() OVER (PARTITION BY organization_id ORDER BY sum(CAST(cost AS DECIMAL(28,10))) DESC, service) AS rn
+  FROM f1_last WHERE date > last_date - 7 GROUP BY 1, 2) WHERE rn <= 3"""
+
+
 @query(
     "weekly_snapshot",
     f"""SELECT w.organization_id, last_date - 7 AS period_start, last_date AS period_end, t AS this_week_total_cost, p AS prior_week_total_cost,
               {r('(t / greatest(p, 1e-6) - 1) * 100', 2)} AS pct_change_vs_prior_week, n AS active_resource_count, top_services, healthy, underutilized, idle, critical_waste,
-              anomaly_count_this_week, critical
+              anomaly_count_this_week, critical, high, medium, low
        FROM ({WEEK}) w
-       JOIN (SELECT organization_id, string_agg(service, ',' ORDER BY service) AS top_services FROM (
-               SELECT organization_id, service, row_number() OVER (PARTITION BY organization_id ORDER BY sum(cost) DESC) AS rn FROM f1_last WHERE date > last_date - 7 GROUP BY 1, 2) WHERE rn <= 3 GROUP BY 1) USING (organization_id)
+       JOIN (SELECT organization_id, string_agg(service || '=' || printf('%.2f', c), ',' ORDER BY service) AS top_services FROM ({TOP3}) GROUP BY 1) USING (organization_id)
        JOIN (SELECT organization_id, count(*) FILTER (bucket = 'Healthy') AS healthy, count(*) FILTER (bucket = 'Underutilized') AS underutilized,
                     count(*) FILTER (bucket = 'Idle') AS idle, count(*) FILTER (bucket = 'Critical Waste') AS critical_waste
              FROM scored JOIN last_day USING (organization_id) WHERE date > last_date - 7 GROUP BY 1) USING (organization_id)
-       JOIN (SELECT organization_id, count(*) AS anomaly_count_this_week, count(*) FILTER (severity = 'critical') AS critical
+       JOIN (SELECT organization_id, count(*) AS anomaly_count_this_week, count(*) FILTER (severity = 'critical') AS critical,
+                    count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low
              FROM anom JOIN last_day USING (organization_id) WHERE date > last_date - 7 GROUP BY 1) USING (organization_id)""",
 )
 def _(spark, d):
@@ -660,10 +672,16 @@ def _(spark, d):
     return snap.select(
         "organization_id", "period_start", "period_end", "this_week_total_cost", "prior_week_total_cost",
         "pct_change_vs_prior_week", "active_resource_count",
-        F.array_join(F.array_sort(F.map_keys("top_services_by_cost")), ",").alias("top_services"),
+        F.array_join(
+            F.transform(
+                F.array_sort(F.map_entries("top_services_by_cost")),
+                lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.2f", e["value"])),
+            ),
+            ",",
+        ).alias("top_services"),
         *[hits("waste_bucket_counts", v).alias(k) for k, v in names.items()],
         "anomaly_count_this_week",
-        hits("anomalies_by_severity", "critical").alias("critical"),
+        *[hits("anomalies_by_severity", s).alias(s) for s in ("critical", "high", "medium", "low")],
     )
 
 
@@ -673,13 +691,19 @@ def _reports(spark, d):
 
 @query(
     "report_export",
-    f"""SELECT organization_id, last_date - 7 AS period_start, unnest(['this_week_total_cost', 'prior_week_total_cost', 'active_resource_count']) AS metric,
-              unnest([t, p, CAST(n AS DOUBLE)]) AS value FROM ({WEEK})""",
+    f"""SELECT organization_id, last_date - 7 AS period_start, unnest(['this_week_total_cost', 'prior_week_total_cost', 'active_resource_count', 'pct_change_vs_prior_week']) AS metric,
+              unnest([t, p, CAST(n AS DOUBLE), {r('(t / greatest(p, 1e-6) - 1) * 100', 2)}]) AS value FROM ({WEEK})
+       UNION ALL SELECT organization_id, last_date - 7, 'top_services_by_cost.' || service, c FROM ({TOP3}) JOIN last_day USING (organization_id)""",
 )
 def _(spark, d):
     rows = metrics.report_rows(_reports(spark, d))
-    numbers = rows.filter(F.col("metric").isin("this_week_total_cost", "prior_week_total_cost", "active_resource_count"))
-    return numbers.withColumn("value", F.col("value").cast("double"))
+    nested = F.col("metric") == "top_services_by_cost"
+    one = rows.filter(~nested).withColumn("value", F.col("value").cast("double"))
+    costs = rows.filter(nested).select(
+        "organization_id", "period_start", F.explode(F.from_json("value", "map<string,double>")).alias("service", "value")
+    )
+    named = F.concat(F.lit("top_services_by_cost."), "service").alias("metric")
+    return one.unionByName(costs.select("organization_id", "period_start", named, "value"))
 
 
 @query("spend_trend", f"SELECT organization_id, strftime(last_date - 7, '%m-%d') AS period, t AS spend, p AS prior FROM ({WEEK})")
@@ -695,11 +719,7 @@ def _top_metric_sql(metric: str) -> str:
 
 @query("top_metric", " UNION ALL ".join(_top_metric_sql(m) for m in fv.METRIC_COLUMNS))
 def _(spark, d):
-    base, out = fx.stored_billing(spark, d), None
-    for m in fv.METRIC_COLUMNS:
-        part = metrics.top_metric(base, m)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return metrics.top_metrics(fx.billing(spark, d), list(fv.METRIC_COLUMNS))
 
 
 @query(
@@ -881,26 +901,25 @@ def _(spark, d):
 @query(
     "naive_eval",
     f"""SELECT *, {r("coalesce((persistence_mape - last_week_mape) / nullif(persistence_mape, 0) * 100, 0)", 2)} AS last_week_vs_persistence_pct FROM (
-         SELECT service, count(*) AS n_test_rows,
+         SELECT level, service, count(*) AS n_test_rows,
            {r('avg(abs(cost - l1))', 4)} AS persistence_mae, {r('sqrt(avg((cost - l1) * (cost - l1)))', 4)} AS persistence_rmse, {r('avg(abs((cost - l1) / CASE WHEN cost = 0 THEN 1e-6 ELSE cost END)) * 100', 4)} AS persistence_mape,
            {r('avg(abs(cost - l7))', 4)} AS last_week_mae, {r('sqrt(avg((cost - l7) * (cost - l7)))', 4)} AS last_week_rmse, {r('avg(abs((cost - l7) / CASE WHEN cost = 0 THEN 1e-6 ELSE cost END)) * 100', 4)} AS last_week_mape
          FROM (SELECT *, first_value(lag_1d IGNORE NULLS) OVER ahead AS l1, first_value(lag_7d IGNORE NULLS) OVER ahead AS l7
                FROM (SELECT *, lag(cost, 1) OVER ({SUP_W}) AS lag_1d, lag(cost, 7) OVER ({SUP_W}) AS lag_7d,
-                            row_number() OVER ({SUP_W}) > floor(0.8 * count(*) OVER (PARTITION BY service)) AS held FROM f4) WHERE held
-               WINDOW ahead AS ({SUP_W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) GROUP BY service)""",
+                            row_number() OVER ({SUP_W}) > floor(0.8 * count(*) OVER (PARTITION BY level, service)) AS held FROM f4all) WHERE held
+               WINDOW ahead AS ({SUP_W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) GROUP BY level, service)""",
 )
 def _(spark, d):
-    daily = fx.daily_orders(spark, d).filter(F.col("level") == "per_service").drop("level", "organization_id")
-    return evaluate.naive_evaluation(features.supervised(daily))
+    daily = fx.daily_orders(spark, d).drop("organization_id")
+    return evaluate.naive_evaluation(features.supervised(daily, SUP_KEYS), SUP_KEYS)
 
 
 @query(
     "chrono_split",
-    f"""SELECT date, service, row_number() OVER ({SUP_W}) <= floor(0.8 * count(*) OVER (PARTITION BY service)) AS is_train FROM f4""",
+    f"""SELECT date, level, service, row_number() OVER ({SUP_W}) <= floor(0.8 * count(*) OVER (PARTITION BY level, service)) AS is_train FROM f4all""",
 )
 def _(spark, d):
-    daily = fx.daily_orders(spark, d).filter(F.col("level") == "per_service")
-    return evaluate.chronological_split(daily).select("date", "service", "is_train")
+    return evaluate.chronological_split(fx.daily_orders(spark, d), SUP_KEYS).select("date", "level", "service", "is_train")
 
 
 @query(
@@ -945,7 +964,7 @@ def _(spark, d):
        FROM (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0.0) AS pr, coalesce(tp / nullif(tp + fneg, 0), 0.0) AS re FROM (
          SELECT organization_id, {r('max(thr)', 6)} AS score_threshold, count(*) FILTER (t AND incident_score >= thr) AS tp, count(*) FILTER (NOT t AND incident_score >= thr) AS fp,
                 count(*) FILTER (t AND incident_score < thr) AS fneg, count(*) FILTER (NOT t AND incident_score < thr) AS tn
-         FROM (SELECT a.*, EXISTS (SELECT 1 FROM f6 WHERE f6.resource_id = a.resource_id AND a.date BETWEEN start_date AND end_date) AS t FROM anom a)
+         FROM (SELECT a.*, EXISTS (SELECT 1 FROM f6 WHERE f6.organization_id = a.organization_id AND f6.resource_id = a.resource_id AND a.date BETWEEN start_date AND end_date) AS t FROM anom a)
          JOIN (SELECT organization_id, quantile_cont(incident_score, 0.97) AS thr FROM anom GROUP BY 1) USING (organization_id) GROUP BY 1))""",
 )
 def _(spark, d):
@@ -1119,13 +1138,10 @@ def _(spark, d):
 
 
 # --- models (no SQL form: checked by their invariants in the tests) -------------------------------
-TREES, ROUNDS = 10, 10  # production defaults are 200 and 150
-
-
 @query("waste_clf")
 def _(spark, d):
     scored = durable(fx.scored(spark, d).select(*KEYS, "bucket", *fv.CLASSIFIER_FEATURES))
-    model, _ = waste_classifier.train_and_evaluate(scored, trees=TREES)
+    model, _ = waste_classifier.train_and_evaluate(scored)
     out = waste_classifier.predict(model, latest_rows(scored, SERIES))
     return out.select(*KEYS, "bucket", "predicted_bucket", "classifier_confidence")
 
@@ -1133,7 +1149,7 @@ def _(spark, d):
 @query("attribution")
 def _(spark, d):
     scored = durable(fx.scored(spark, d).select(*KEYS, "bucket", *fv.CLASSIFIER_FEATURES))
-    model = waste_classifier.fit(scored, trees=TREES)
+    model = waste_classifier.fit(scored)
     explained = attribution.contributions(
         model, latest_rows(scored, SERIES), fv.CLASSIFIER_FEATURES, waste_classifier.LABELS, [*KEYS, "bucket"]
     )
@@ -1143,22 +1159,20 @@ def _(spark, d):
 @query("forecast")
 def _(spark, d):
     rows = durable(forecast.series_rows(features.daily_series(fx.billing(spark, d))))
-    model = forecast.fit(rows, rounds=ROUNDS)
+    model = forecast.fit(rows)
     return forecast.latest(forecast.predict(model, rows))
 
 
 @query("forecast_eval")
 def _(spark, d):
     rows = durable(forecast.series_rows(features.daily_series(fx.billing(spark, d))))
-    return forecast.evaluation(forecast.predict(forecast.fit(rows, rounds=ROUNDS), rows))
+    return forecast.evaluation(forecast.predict(forecast.fit(rows), rows))
 
 
 @query("iforest")
 def _(spark, d):
-    z = features.lagged_zscore(fx.billing(spark, d))
-    obs = durable(isolation.observations(z, KEYS))
-    forest = durable(isolation.fit(obs, KEYS, trees=TREES))
-    return isolation.detect(z, forest, KEYS, obs=obs)
+    z = durable(features.lagged_zscore(fx.billing(spark, d)))
+    return isolation.detect(z, durable(isolation.fit(z, KEYS)), KEYS)
 
 
 # --- streams ------------------------------------------------------------------------------------------

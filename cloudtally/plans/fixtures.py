@@ -46,7 +46,7 @@ def type_name(order):
 
 
 def vm(key):
-    return F.concat(F.lit("vm-"), F.col(key).cast("string"))
+    return F.concat(F.lit("vm-"), (F.col(key) if isinstance(key, str) else key).cast("string"))
 
 
 def org(key):
@@ -108,7 +108,7 @@ def upload_rows(spark: SparkSession, folder: str, lines: DataFrame | None = None
             F.concat(key.cast("string"), F.lit("-"), line.cast("string"), F.lit("-"), F.col("l_partkey").cast("string")).alias("row_id"),
             org("n_nationkey").alias("organization_id"),
             F.when(key % 97 != 0, F.to_date("l_shipdate")).alias("date"),
-            vm("l_suppkey").alias("resource_id"),
+            vm(F.col("l_suppkey") % 40).alias("resource_id"),  # tenants share ids
             F.when(key % 89 == 0, -F.col("l_extendedprice")).otherwise(F.col("l_extendedprice")).alias("cost"),
             (F.col("l_quantity") * 2.25 - 3).alias("cpu_avg_pct"),
             F.when(F.col("l_discount") == 0, -1.0).otherwise(F.col("l_quantity")).alias("memory_avg_pct"),
@@ -203,9 +203,11 @@ def daily_orders(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def label_windows(spark: SparkSession, folder: str) -> DataFrame:
-    key = F.col("s_suppkey")
-    start = F.date_add(F.lit("1996-01-01").cast("date"), (key * 37 % 1500).cast("int"))
-    return table(spark, folder, "supplier").select(
+    """Labelled incidents; another tenant has a machine of each name, with incidents at other times."""
+    key, other = F.col("s_suppkey"), F.col("other")
+    start = F.date_add(F.lit("1996-01-01").cast("date"), (key * 37 % 1500 + 400 * other).cast("int"))
+    return table(spark, folder, "supplier").withColumn("other", F.explode(F.array(F.lit(0), F.lit(1)))).select(
+        F.concat(F.lit("org-"), ((F.col("s_nationkey") + other) % 5).cast("string")).alias("organization_id"),
         vm("s_suppkey").alias("resource_id"),
         F.when(key % 3 == 0, "idle_but_billed").when(key % 3 == 1, "spend_spike").otherwise("slow_leak").alias("anomaly_type"),
         start.alias("start_date"),
@@ -222,6 +224,7 @@ def actions(spark: SparkSession, folder: str) -> DataFrame:
         vm("s_suppkey").alias("resource_id"),
         F.when(key % 10 < 2, "terminate").otherwise("resize").alias("action_type"),
         F.when((key % 10).between(2, 3), 100.0).alias("new_hourly_rate"),
+        F.lit(0).alias("action_order"),
     )
     ghosts = table(spark, folder, "region").select(
         org("r_regionkey").alias("organization_id"),
@@ -229,6 +232,7 @@ def actions(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("vm-unknown").alias("resource_id"),
         F.lit("terminate").alias("action_type"),
         F.lit(None).cast("double").alias("new_hourly_rate"),
+        F.lit(0).alias("action_order"),
     )
     return real.unionByName(ghosts)
 

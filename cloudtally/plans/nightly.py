@@ -41,13 +41,14 @@ def canonical(billing: DataFrame) -> DataFrame:
 
 
 def train(featured: DataFrame, trees: int = 200, rounds: int = 150, forest_trees: int = 150) -> Models:
-    scored = durable(waste.waste_score(featured).select(*KEYS, "bucket", *fv.CLASSIFIER_FEATURES))
+    plain = fits_plain_window(featured)
+    scored = durable(waste.waste_score(featured, one_row_per_day=plain).select(*KEYS, "bucket", *fv.CLASSIFIER_FEATURES))
     series = durable(forecast.series_rows(features.daily_series(featured)))
-    obs = durable(isolation.observations(features.lagged_zscore(featured), KEYS))
+    z = durable(features.lagged_zscore(featured, one_row_per_day=plain))
     return Models(
         waste_classifier.fit(scored, trees=trees),
         forecast.fit(series, rounds=rounds),
-        durable(isolation.fit(obs, KEYS, trees=forest_trees)),
+        durable(isolation.fit(z, KEYS, trees=forest_trees)),
     )
 
 
@@ -62,10 +63,11 @@ def infer(featured: DataFrame, models: Models, open_recommendations: DataFrame)
     predicted = durable(forecast.predict(models.forecaster, series))
     forecasts = forecast.latest(predicted)
 
-    z = features.lagged_zscore(featured)
+    plain = fits_plain_window(featured)
+    z = durable(features.lagged_zscore(featured, one_row_per_day=plain))
     anomalies = durable(today(isolation.detect(z, models.forest, KEYS)))
 
-    scored = durable(today(waste.waste_score(featured)))
+    scored = durable(today(waste.waste_score(featured, one_row_per_day=plain)))
     judged = waste_classifier.predict(models.classifier, scored)
     reasons = attribution.top_contributions(
         attribution.contributions(

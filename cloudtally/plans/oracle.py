@@ -76,7 +76,7 @@ CTE = {
       SELECT concat(l_orderkey, '-', l_linenumber, '-', l_partkey) AS row_id,
              concat('org-', n_nationkey % 5) AS organization_id,
              CASE WHEN l_orderkey % 97 <> 0 THEN CAST(l_shipdate AS DATE) END AS date,
-             concat('vm-', l_suppkey) AS resource_id,
+             concat('vm-', l_suppkey % 40) AS resource_id,
              CASE WHEN l_orderkey % 89 = 0 THEN -l_extendedprice ELSE l_extendedprice END AS cost,
              l_quantity * 2.25 - 3 AS cpu_avg_pct,
              CASE WHEN l_discount = 0 THEN CAST(-1 AS DOUBLE) ELSE l_quantity END AS memory_avg_pct,
@@ -88,7 +88,7 @@ CTE = {
       SELECT organization_id, row_id, resource_id, 'missing_timestamp' AS rule, 'error' AS severity, 'date is null' AS detail
         FROM up WHERE date IS NULL
       UNION ALL SELECT organization_id, row_id, resource_id, 'duplicated_resource_id', 'warning', 'duplicate (date, resource_id) pair'
-        FROM (SELECT *, count(*) OVER (PARTITION BY date, resource_id) AS n FROM up) WHERE n > 1
+        FROM (SELECT *, count(*) OVER (PARTITION BY organization_id, date, resource_id) AS n FROM up) WHERE n > 1
       UNION ALL SELECT organization_id, row_id, resource_id, 'impossible_cpu_value', 'error', concat('cpu_avg_pct=', CAST(cpu_avg_pct AS VARCHAR))
         FROM up WHERE cpu_avg_pct > 100 OR cpu_avg_pct < 0
       UNION ALL SELECT organization_id, row_id, resource_id, 'negative_memory', 'error', concat('memory_avg_pct=', CAST(memory_avg_pct AS VARCHAR))
@@ -218,11 +218,15 @@ CTE = {
       SELECT CAST(o_orderdate AS DATE) AS date, c_mktsegment AS service,
              CAST(sum(CAST(o_totalprice AS DECIMAL(12,2))) AS DOUBLE) AS cost, count(DISTINCT o_custkey) AS active_resource_count
       FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2""",
+    "f4all": """
+      SELECT 'per_service' AS level, * FROM f4
+      UNION ALL SELECT 'org_total', CAST(o_orderdate AS DATE), NULL, CAST(sum(CAST(o_totalprice AS DECIMAL(12,2))) AS DOUBLE), count(DISTINCT o_custkey)
+      FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 2""",
     "f6": """
-      SELECT concat('vm-', s_suppkey) AS resource_id,
-             date '1996-01-01' + CAST(s_suppkey * 37 % 1500 AS INT) AS start_date,
-             date '1996-01-01' + CAST(s_suppkey * 37 % 1500 + 7 + s_suppkey % 14 AS INT) AS end_date
-      FROM supplier""",
+      SELECT concat('org-', (s_nationkey + k) % 5) AS organization_id, concat('vm-', s_suppkey) AS resource_id,
+             date '1996-01-01' + CAST(s_suppkey * 37 % 1500 + 400 * k AS INT) AS start_date,
+             date '1996-01-01' + CAST(s_suppkey * 37 % 1500 + 400 * k + 7 + s_suppkey % 14 AS INT) AS end_date
+      FROM supplier, (SELECT unnest([0, 1]) AS k)""",
     "f8": """
       SELECT concat('org-', s_nationkey % 5) AS organization_id, CAST(s_suppkey % 2 AS INT) AS scenario_id, concat('vm-', s_suppkey) AS resource_id,
              CASE WHEN s_suppkey % 10 < 2 THEN 'terminate' ELSE 'resize' END AS action_type,

@@ -121,19 +121,20 @@ def test_isolation_finds_injected_spikes(spark):
             rows.append(("o", f"r{r}", day + dt.timedelta(days=i), float(v + (80 if i == 100 + r else 0))))
     df = spark.createDataFrame(rows, "organization_id string, resource_id string, date date, cost double")
     z = features.lagged_zscore(df, ["cost"])
-    obs = isolation.observations(z, KEYS, ["cost"])
-    forest = isolation.fit(obs, KEYS, trees=30)
+    forest = isolation.fit(z, KEYS, trees=30)
     assert forest.select("tree").distinct().count() == 30
-    out = isolation.detect(z, forest, KEYS, obs=obs).toPandas()
+    out = isolation.detect(z, forest, KEYS).toPandas()
     assert out["incident_score"].between(0, 100).all()
     out["spike"] = [(d - day).days == 100 + int(r[1:]) for d, r in zip(out["date"], out["resource_id"])]
     assert out.loc[out["spike"], "incident_score"].min() > out["incident_score"].median()
     assert set(out.nlargest(6, "incident_score")["spike"]) == {True}
 
 
-def test_large_dimensions_draw_one_tree_per_row(spark):
-    obs = spark.range(5000).select(
-        F.col("id"), F.lit("cost").alias("dimension"), (F.col("id") % 997).cast("double").alias("value"), F.lit(0.0).alias("zscore")
-    )
-    forest = isolation.fit(obs, ["id"], trees=10, sample=32).toPandas()
-    assert forest["tree"].nunique() == 10
+@pytest.mark.parametrize("rows", [12, 40, 500, 5000])
+def test_every_tree_gets_its_sample_whatever_the_number_of_rows(spark, rows):
+    z = spark.range(rows).select("id", (F.col("id") % 997).cast("double").alias("cost"), F.lit(0.0).alias("cost_zscore"))
+    forest = isolation.fit(z, ["id"], trees=10, sample=32).toPandas()
+    points = forest.groupby("tree")["points"].first()
+    assert len(points) == 10 and points.min() >= min(rows, 20) and points.max() <= 32
+    raw = isolation.raw_scores(z, spark.createDataFrame(forest, isolation.NODE), ["id"]).toPandas()["raw_cost"]
+    assert raw.between(0, 1).all() and abs(raw.mean() - 0.5) < 0.15  # near one half where depths are as expected

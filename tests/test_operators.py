@@ -285,7 +285,7 @@ def test_new_service_shows_no_increase(spark):
 
 def test_status_updates_ignore_unknown_values(spark):
     recs = spark.createDataFrame([("1", "open"), ("2", "open"), ("3", "open")], "recommendation_id string, status string")
-    ups = spark.createDataFrame([("1", "accepted"), ("2", "gone"), ("9", "open")], "recommendation_id string, new_status string")
+    ups = spark.createDataFrame([("1", "accepted", 2), ("1", "dismissed", 1), ("2", "gone", 1), ("9", "open", 1), ("3", "accepted", 1), ("3", "open", 2)], "recommendation_id string, new_status string, updated_at int")
     assert sorted(map(tuple, advice.set_status(recs, ups).collect())) == [("1", "accepted"), ("2", "open"), ("3", "open")]
 
 
