@@ -11,11 +11,13 @@ from collections.abc import Sequence
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloudtally.operators import evaluate, features
+from cloudtally.runtime import durable
 
+LEAST_TRAINING_DAYS = 8  # eight of ten days, the least a series must have
 SERIES_KEY = ("organization_id", "level", "service_key")
 COST_FEATURES = ("rolling_avg_7d", "rolling_avg_30d", "lag_1d", "lag_7d")
 INPUTS = ("day_of_week", "day_of_month", *COST_FEATURES, "active_resource_count")
@@ -31,13 +33,14 @@ def series_rows(daily: DataFrame, include_current: bool = False) -> DataFrame:
 def standardised(rows: DataFrame) -> DataFrame:
     """Features and label in units of their series' training mean and spread.
 
-    The statistics are one row per series. A series with fewer than 10 days is left out.
+    The statistics are one row per series. A series with fewer than ``LEAST_TRAINING_DAYS`` training
+    days is left out of the model and of its forecasts; ``left_out`` lists those.
     """
     stats = (
         rows.filter("is_train")
         .groupBy(*SERIES_KEY)
         .agg(F.avg("cost").alias("_mean"), F.stddev_samp("cost").alias("_std"), F.count("*").alias("_n"))
-        .filter(F.col("_n") >= 8)
+        .filter(F.col("_n") >= LEAST_TRAINING_DAYS)
         .withColumn("_std", F.when(F.col("_std") > 0, F.col("_std")).otherwise(F.lit(1.0)))
         .drop("_n")
     )
@@ -54,6 +57,12 @@ def standardised(rows: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=inputs, outputCol="features").transform(out).drop(*inputs)
 
 
+def left_out(rows: DataFrame) -> DataFrame:
+    """Series too short for a forecast, with their numbers of days and training days."""
+    days = rows.groupBy(*SERIES_KEY).agg(F.count("*").alias("n_days"), F.count_if("is_train").alias("n_train_days"))
+    return days.filter(F.col("n_train_days") < LEAST_TRAINING_DAYS)
+
+
 def fit(rows: DataFrame, rounds: int = 150, depth: int = 4, seed: int = 42) -> GBTRegressionModel:
     trees = GBTRegressor(
         lossType="absolute", maxIter=rounds, maxDepth=depth, stepSize=0.05, subsamplingRate=0.8, seed=seed
@@ -62,14 +71,19 @@ def fit(rows: DataFrame, rounds: int = 150, depth: int = 4, seed: int = 42) -> G
 
 
 def predict(model: GBTRegressionModel, rows: DataFrame) -> DataFrame:
-    """Forecast with ``ci_lower <= forecast <= ci_upper`` for every row.
+    """Forecast with ``ci_lower <= forecast <= ci_upper`` for every row."""
+    made = model.transform(standardised(rows)).withColumn(
+        "forecast", F.col("prediction") * F.col("_std") + F.col("_mean")
+    )
+    return with_band(durable(made.select(*rows.columns, "forecast")))  # read for the band and for the rows
+
+
+def with_band(made: DataFrame) -> DataFrame:
+    """Add ``ci_lower`` and ``ci_upper`` to rows that have a forecast.
 
     The band is the 2nd to 98th percentile of the series' training residuals; a series has at
     most one row per day, so its exact percentiles fit in one aggregation buffer.
     """
-    made = model.transform(standardised(rows)).withColumn(
-        "forecast", F.col("prediction") * F.col("_std") + F.col("_mean")
-    )
     band = (
         made.filter("is_train")
         .groupBy(*SERIES_KEY)
@@ -78,7 +92,7 @@ def predict(model: GBTRegressionModel, rows: DataFrame) -> DataFrame:
     low = F.col("forecast") + F.get("_band", F.lit(0))
     high = F.col("forecast") + F.get("_band", F.lit(1))
     return made.join(band, list(SERIES_KEY)).select(
-        *[c for c in rows.columns if c != "service_key"],
+        *[c for c in made.columns if c not in ("service_key", "forecast")],
         "service_key",
         "forecast",
         F.least("forecast", low).alias("ci_lower"),
@@ -103,9 +117,12 @@ def latest(predicted: DataFrame, keys: Sequence[str] = SERIES_KEY) -> DataFrame:
 
 def evaluation(predicted: DataFrame) -> DataFrame:
     """Model against yesterday's cost on the held-out rows of each series."""
-    naive = F.coalesce("lag_1d", "cost")
+    # a missing lag takes the next known one, as in the naive evaluation
+    ahead = Window.partitionBy(*SERIES_KEY).orderBy(F.desc_nulls_first("date")).rowsBetween(Window.unboundedPreceding, 0)
+    naive = F.col("_naive")
     return (
         predicted.filter(~F.col("is_train"))
+        .withColumn("_naive", F.last("lag_1d", ignorenulls=True).over(ahead))
         .groupBy(*SERIES_KEY)
         .agg(
             F.count("*").alias("n_test_rows"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cloudtally import fixed_values as fv
 from cloudtally.functions.numeric import no_nan
 from cloudtally.functions.skew import sized_join
+from cloudtally.runtime import durable
 
 KNOWN_TYPES = tuple(name for name, _, _ in fv.INSTANCE_SPECS)
 
@@ -54,6 +55,11 @@ def row_rules(df: DataFrame, require_region: bool, require_known_type: bool) ->
     return rules
 
 
+def _coded(keys: Sequence[str]) -> dict[str, Column]:
+    """Every key as a non-null string for a join, with a mark of its own for NULL."""
+    return {f"_k{i}": F.coalesce(_text(F.col(k)), F.lit("\u0000")) for i, k in enumerate(keys)}
+
+
 def mark_repeats(df: DataFrame, keys: Sequence[str] = ("date", "resource_id"), tenant: Sequence[str] = ("organization_id",)) -> DataFrame:
     """Flag every member of a repeated key; missing parts of a key count as equal.
 
@@ -64,9 +70,7 @@ def mark_repeats(df: DataFrame, keys: Sequence[str] = ("date", "resource_id"), t
     """
     if not set(keys) <= set(df.columns):
         return df.withColumn("_repeated", F.lit(False))
-    keys = [*(t for t in tenant if t in df.columns), *keys]
-    # every key becomes a non-null string for the join, with its own mark for NULL
-    coded = {f"_k{i}": F.coalesce(_text(F.col(k)), F.lit("\u0000")) for i, k in enumerate(keys)}
+    coded = _coded([*(t for t in tenant if t in df.columns), *keys])
     tagged = df.withColumns(coded)
     twice = tagged.groupBy(*coded).count().filter("count > 1").select(*coded, F.lit(True).alias("_twice"))
     return (
@@ -105,6 +109,30 @@ def failures(
     )
 
 
+def late_repeats(
+    rows: DataFrame,
+    earlier: DataFrame,
+    row_id: str = "row_id",
+    keys: Sequence[str] = ("date", "resource_id"),
+    tenant: Sequence[str] = ("organization_id",),
+) -> DataFrame:
+    """Failures of repeated keys that only show once ``rows`` join ``earlier`` ones.
+
+    Rows that already repeat within either table are reported there and left out. Only earlier rows of
+    the new rows' range of days are read.
+    """
+    coded = _coded([*(t for t in tenant if t in rows.columns), *keys])
+    low, high = rows.agg(F.min(keys[0]), F.max(keys[0])).first()
+    near = F.col(keys[0]).isNull() | F.col(keys[0]).between(F.lit(low), F.lit(high))
+    new, old = rows.withColumns(coded), earlier.filter(near).withColumns(coded)
+    counts = [t.groupBy(*coded).agg(F.count("*").alias(n)) for t, n in ((new, "_new"), (old, "_old"))]
+    both = durable(counts[0].join(counts[1], list(coded)))
+    lead = [c for c in ("organization_id", row_id, "resource_id") if c in rows.columns]
+    parts = [sized_join(t, both.filter(F.col(n) == 1).select(*coded), list(coded), "left_semi") for t, n in ((new, "_new"), (old, "_old"))]
+    told = (F.lit("duplicated_resource_id").alias("rule"), F.lit("warning").alias("severity"), F.lit("duplicate (date, resource_id) pair").alias("detail"))
+    return parts[0].select(*lead, *told).unionByName(parts[1].select(*lead, *told))
+
+
 def audit_records(found: DataFrame, source_tier: str, row_id: str = "row_id") -> DataFrame:
     """Failures in audit-log form, details as JSON."""
     details = F.to_json(

@@ -13,56 +13,84 @@ from cloudtally import fixed_values as fv
 from cloudtally.functions.numeric import half_up
 from cloudtally.functions.text import intent, mention
 
-QUERY_BLOCK = 512
-
-
-def _block_best(queries: DataFrame, corpus: DataFrame, k: int, vector: str, ident: str) -> DataFrame:
-    """Best ``k`` per query from every batch of the corpus; at most k x 512 rows per batch."""
-    rows = queries.select("query_id", vector).collect()  # one block, see QUERY_BLOCK
-    ids = [r[0] for r in rows]
-    matrix = np.array([r[1] for r in rows], dtype="float64")
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            # in id order, so that equal scores keep the smaller id in every batch
-            pdf = pdf.sort_values(ident, kind="stable")
-            scores = np.stack(pdf[vector].to_numpy()).astype("float64") @ matrix.T
-            keys = pdf[ident].to_numpy()
-            best = np.argsort(-scores, axis=0, kind="stable")[:k]
-            for q, query in enumerate(ids):
-                yield pd.DataFrame(
-                    {"query_id": query, ident: keys[best[:, q]], "score": scores[best[:, q], q]}
-                )
-
-    kind = dict(queries.dtypes)["query_id"]
-    other = dict(corpus.dtypes)[ident]
-    return corpus.select(ident, vector).mapInPandas(
-        scan, f"query_id {kind}, {ident} {other}, score double"
-    )
+QUERY_BYTES = 64 << 20
+BLOCK = 4_096
+PARTS = 256  # parts of a corpus that meets blocks of queries
+
+
+class Best:
+    """Running best ``k`` of every query of a block, kept while a task reads its part of the corpus."""
+
+    def __init__(self, matrix: np.ndarray, k: int) -> None:
+        self.matrix, self.k = matrix, k
+        self.scores = np.full((len(matrix), 0), -np.inf)
+        self.keys = np.zeros((len(matrix), 0), dtype="int64")
+
+    def add(self, vectors: np.ndarray, keys: np.ndarray) -> None:
+        scores = np.concatenate([self.scores, self.matrix @ vectors.T], axis=1)
+        named = np.concatenate([self.keys, np.broadcast_to(keys, (len(self.matrix), len(keys)))], axis=1)
+        best = np.lexsort((named, -scores), axis=1)[:, : self.k]  # equal scores: the smaller id
+        self.scores, self.keys = np.take_along_axis(scores, best, 1), np.take_along_axis(named, best, 1)
 
 
 def top_k(
-    queries: DataFrame, corpus: DataFrame, k: int = 3, vector: str = "embedding", ident: str = "vec_id"
+    queries: DataFrame,
+    corpus: DataFrame,
+    k: int = 3,
+    vector: str = "embedding",
+    ident: str = "vec_id",
+    query_bytes: int = QUERY_BYTES,
 ) -> DataFrame:
     """The ``k`` corpus rows with the largest inner product per query (cosine on unit vectors).
 
-    Queries are the small side: blocks of 512 travel to the tasks, the corpus stays where it is
-    and only each batch's best rows are shuffled. Any number of blocks gives exact results.
+    Exact. The corpus stays where it is and is read once: while the queries take at most
+    ``query_bytes`` they travel to its tasks as one array, and each task sends on k rows per query.
+    More queries are dealt into blocks of that size, each paired with every part of the corpus by
+    a join on the block number, so that neither side is ever in one place.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    parts = None
-    for b in range(blocks):
-        mine = queries if blocks == 1 else queries.filter(
-            F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b
+    size = queries.select(F.sum(F.size(vector)).alias("n")).first()[0] or 0
+    kind, other = dict(queries.dtypes)["query_id"], dict(corpus.dtypes)[ident]
+    out = f"query_id {kind}, {ident} {other}, score double"
+    if 8 * size <= query_bytes:
+        told = queries.select("query_id", vector).toArrow()
+        ids = told["query_id"].to_pylist()
+        sent = queries.sparkSession.sparkContext.broadcast(np.array(told[vector].to_pylist(), dtype="float64").reshape(len(ids), -1))
+
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best = Best(sent.value, k)
+            for pdf in batches:
+                for at in range(0, len(pdf), BLOCK):
+                    part = pdf.iloc[at : at + BLOCK]
+                    best.add(np.stack(part[vector].to_numpy()).astype("float64"), part[ident].to_numpy())
+            rows, n = np.repeat(np.arange(len(ids)), best.keys.shape[1]), best.keys.shape[1]
+            yield pd.DataFrame({"query_id": [ids[r] for r in rows], ident: best.keys.reshape(-1), "score": best.scores.reshape(-1)}) if n else pd.DataFrame(
+                {"query_id": [], ident: [], "score": []}
+            ).astype({"score": "float64"})
+
+        found = corpus.filter(F.col(vector).isNotNull()).select(ident, vector).mapInPandas(scan, out)
+    else:
+        blocks = -(-8 * size // query_bytes)
+        asked = queries.select("query_id", F.col(vector).alias("_q"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("_block"))
+        held = corpus.filter(F.col(vector).isNotNull()).select(
+            F.col(ident), F.col(vector), F.pmod(F.xxhash64(ident), F.lit(PARTS)).alias("_part")
         )
-        best = _block_best(mine, corpus, k, vector, ident)
-        parts = best if parts is None else parts.unionByName(best)
+        left = asked.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        right = held.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+
+        def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            if a.empty or b.empty:
+                return pd.DataFrame({"query_id": [], ident: [], "score": []})
+            best = Best(np.stack(a["_q"].to_numpy()).astype("float64"), k)
+            for at in range(0, len(b), BLOCK):
+                part = b.iloc[at : at + BLOCK]
+                best.add(np.stack(part[vector].to_numpy()).astype("float64"), part[ident].to_numpy())
+            n = best.keys.shape[1]
+            return pd.DataFrame({"query_id": np.repeat(a["query_id"].to_numpy(), n), ident: best.keys.reshape(-1), "score": best.scores.reshape(-1)})
+
+        found = left.groupBy("_block", "_part").cogroup(right.groupBy("_block", "_part")).applyInPandas(meet, out)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(ident))
     return (
-        parts.withColumn("rank", F.row_number().over(w))
+        found.withColumn("rank", F.row_number().over(w))
         .filter(F.col("rank") <= k)
         .withColumn("score", half_up(F.col("score"), 6))
     )

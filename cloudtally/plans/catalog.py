@@ -1175,6 +1175,101 @@ def _(spark, d):
     return isolation.detect(z, durable(isolation.fit(z, KEYS)), KEYS)
 
 
+# the deterministic parts of the models, with SQL
+FOREST = [  # dimension, tree, points, node, feature (0 value, 1 z-score), cut, left, right, depth of a leaf
+    ("cost", 0, 256, 0, 0, 1000.0, 1, 2, 0.0), ("cost", 0, 256, 1, -1, 0.0, -1, -1, 6.0),
+    ("cost", 0, 256, 2, 1, 1.5, 3, 4, 0.0), ("cost", 0, 256, 3, -1, 0.0, -1, -1, 4.0), ("cost", 0, 256, 4, -1, 0.0, -1, -1, 2.0),
+    ("cost", 1, 100, 0, 1, -0.5, 1, 2, 0.0), ("cost", 1, 100, 1, -1, 0.0, -1, -1, 3.0), ("cost", 1, 100, 2, -1, 0.0, -1, -1, 7.5),
+    ("cpu_avg_pct", 0, 20, 0, 0, 50.0, 1, 2, 0.0), ("cpu_avg_pct", 0, 20, 1, -1, 0.0, -1, -1, 1.0),
+    ("cpu_avg_pct", 0, 20, 2, -1, 0.0, -1, -1, 5.0),
+]
+
+
+def _search_depth(n: int) -> str:
+    return f"(2.0 * (ln({n} - 1.0) + 0.5772156649015329) - 2.0 * ({n} - 1) / {n})"
+
+
+FOREST_COST = f"""pow(2.0, -((CASE WHEN cost <= 1000 THEN 6.0 WHEN cost_zscore <= 1.5 THEN 4.0 ELSE 2.0 END
+  + CASE WHEN cost_zscore <= -0.5 THEN 3.0 ELSE 7.5 END) / 2) / (({_search_depth(256)} + {_search_depth(100)}) / 2))"""
+FOREST_CPU = f"pow(2.0, -(CASE WHEN cpu_avg_pct <= 50 THEN 1.0 ELSE 5.0 END) / {_search_depth(20)})"
+
+
+@query(
+    "iforest_score",
+    f"SELECT {KEY}, {r(FOREST_COST, 6)} AS raw_cost, {r(FOREST_CPU, 6)} AS raw_cpu_avg_pct FROM z",
+)
+def _(spark, d):
+    z = features.lagged_zscore(fx.billing(spark, d))
+    out = isolation.raw_scores(z, spark.createDataFrame(FOREST, isolation.NODE), KEYS, ["cost", "cpu_avg_pct"])
+    return rounded(out, 6, "raw_cost", "raw_cpu_avg_pct")
+
+
+GIVEN = """(SELECT *, coalesce(service, '') AS service_key, coalesce(lag7, lag1) AS forecast FROM (
+  SELECT *, lag(cost, 1) OVER w AS lag1, lag(cost, 7) OVER w AS lag7,
+         row_number() OVER w <= floor(0.8 * count(*) OVER (PARTITION BY organization_id, level, service)) AS is_train
+  FROM series WINDOW w AS (PARTITION BY organization_id, level, service ORDER BY date)) WHERE lag1 IS NOT NULL)"""
+
+
+def _given(spark, d):
+    """Series with last week's cost in the place of a model's forecast."""
+    rows = forecast.series_rows(features.daily_series(fx.billing(spark, d))).filter(F.col("lag_1d").isNotNull())
+    return durable(rows.withColumn("forecast", F.coalesce("lag_7d", "lag_1d")))
+
+
+@query(
+    "forecast_band",
+    f"""SELECT organization_id, level, service_key, date, {r('forecast', 4)} AS forecast, {r('least(forecast, forecast + lo)', 4)} AS ci_lower, {r('greatest(forecast, forecast + hi)', 4)} AS ci_upper
+       FROM {GIVEN} JOIN (SELECT organization_id, level, service_key, quantile_cont(cost - forecast, 0.02) AS lo, quantile_cont(cost - forecast, 0.98) AS hi
+         FROM {GIVEN} WHERE is_train GROUP BY ALL) USING (organization_id, level, service_key)""",
+)
+def _(spark, d):
+    out = forecast.with_band(_given(spark, d))
+    return rounded(
+        out.select("organization_id", "level", "service_key", "date", "forecast", "ci_lower", "ci_upper"), 4, "forecast", "ci_lower", "ci_upper"
+    )
+
+
+def _errors_sql(name: str, value: str) -> str:
+    return f"""{r(f'avg(abs(cost - {value}))', 4)} AS {name}_mae, {r(f'sqrt(avg((cost - {value}) * (cost - {value})))', 4)} AS {name}_rmse,
+      {r(f'avg(abs((cost - {value}) / CASE WHEN cost = 0 THEN 1e-6 ELSE cost END)) * 100', 4)} AS {name}_mape"""
+
+
+@query(
+    "forecast_errors",
+    f"""SELECT *, {r("coalesce((persistence_mape - model_mape) / nullif(persistence_mape, 0) * 100, 0)", 2)} AS error_reduction_pct FROM (
+         SELECT organization_id, level, service_key, count(*) AS n_test_rows, {_errors_sql('model', 'forecast')}, {_errors_sql('persistence', 'lag1')}
+         FROM {GIVEN} WHERE NOT is_train GROUP BY 1, 2, 3)""",
+)
+def _(spark, d):
+    return forecast.evaluation(_given(spark, d))
+
+
+@query("forecast_left_out", f"SELECT organization_id, level, service_key, count(*) AS n_days, count(*) FILTER (is_train) AS n_train_days FROM {GIVEN} GROUP BY ALL HAVING n_train_days < 8")
+def _(spark, d):
+    return forecast.left_out(_given(spark, d))
+
+
+@query(
+    "attribution_adds_up",
+    f"SELECT {KEY}, bucket, true AS adds_up, true AS ordered FROM scored_latest",
+)
+def _(spark, d):
+    from pyspark.ml.functions import vector_to_array
+
+    scored = durable(fx.scored(spark, d).select(*KEYS, "bucket", *fv.CLASSIFIER_FEATURES))
+    model, rows = waste_classifier.fit(scored), durable(latest_rows(scored, SERIES))
+    parts = attribution.contributions(model, rows, fv.CLASSIFIER_FEATURES, waste_classifier.LABELS, [*KEYS, "bucket"])
+    parts = parts.filter(F.col("output") == F.col("bucket"))
+    place = F.array_position(F.array(*[F.lit(x) for x in waste_classifier.LABELS]), F.col("bucket")).cast("int")
+    told = model.transform(waste_classifier.vectors(rows)).select(*KEYS, F.element_at(vector_to_array("probability"), place).alias("_p"))
+    total = F.aggregate(F.map_values("contributions"), F.lit(0.0), lambda a, v: a + v)
+    tops = attribution.top_contributions(parts).select(*KEYS, F.from_json("top_features", "map<string,double>").alias("_t"))
+    sizes = F.transform(F.map_values("_t"), lambda v: -F.abs(v))
+    return parts.join(told, KEYS).join(tops, KEYS).select(
+        *KEYS, "bucket", (F.abs(F.col("base_value") + total - F.col("_p")) < 1e-9).alias("adds_up"), (sizes == F.array_sort(sizes)).alias("ordered")
+    )
+
+
 # --- streams ------------------------------------------------------------------------------------------
 @query(
     "stream_daily",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cloudtally.operators import quality
 from cloudtally.operators.silver import MEANS, SUMS
-from cloudtally.runtime import shared_dir
+from cloudtally.runtime import new_folder
 
 DELAY = "1 day"
 
@@ -45,13 +44,12 @@ def first_seen(stream: DataFrame, vm: str = "vm_id", ts: str = "ts") -> DataFram
 def drain_to_table(stream: DataFrame, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Process everything available now into a Parquet table and return the table."""
     spark = stream.sparkSession
-    run = uuid.uuid4().hex
-    path = path or f"{shared_dir(spark)}/stream-{run}"
+    path = path or new_folder(spark)
     q = (
         stream.writeStream.outputMode("append")
         .format("parquet")
         .option("path", path)
-        .option("checkpointLocation", checkpoint or f"{shared_dir(spark)}/offsets-{run}")
+        .option("checkpointLocation", checkpoint or new_folder(spark))
         .trigger(availableNow=True)
         .start()
     )
@@ -59,6 +57,15 @@ def drain_to_table(stream: DataFrame, path: str | None = None, checkpoint: str |
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def _stored(spark: SparkSession, folder: str, schema, before: int) -> DataFrame | None:
+    """Rows of the batches before one; None where there are none."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    own = [n for n in names if n.startswith("batch_id=") and int(n[9:]) < before]
+    return spark.read.schema(schema).parquet(*[f"{folder}/{n}" for n in own]) if own else None
+
+
 def ingest_validated(
     stream: DataFrame,
     to_internal: Callable[[DataFrame], DataFrame],
@@ -69,18 +76,23 @@ def ingest_validated(
     """Map, validate and append each micro-batch; returns the paths of rows and failures.
 
     A batch owns its ``batch_id`` partition, so a batch that is replayed after a failure
-    replaces what it wrote before.
+    replaces what it wrote before. Repeats are found across batches: a batch also reports its
+    rows whose key an earlier batch holds, and the earlier rows that it makes repeats of.
     """
     spark = stream.sparkSession
-    run = uuid.uuid4().hex
-    base = path or f"{shared_dir(spark)}/upload-{run}"
+    base = path or new_folder(spark)
     rows_path, failures_path = f"{base}/rows", f"{base}/failures"
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         table = to_internal(batch)
         table.write.mode("overwrite").parquet(f"{rows_path}/batch_id={batch_id}")
         written = spark.read.schema(table.schema).parquet(f"{rows_path}/batch_id={batch_id}")
-        quality.failures(written, **rules).write.mode("overwrite").parquet(
+        found = quality.failures(written, **rules)
+        if batch_id > 0:
+            earlier = _stored(spark, rows_path, table.schema, batch_id)
+            if earlier is not None:
+                found = found.unionByName(quality.late_repeats(written, earlier))
+        found.write.mode("overwrite").parquet(
             f"{failures_path}/batch_id={batch_id}"
         )
 
