@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cloudtally import fixed_values as fv
 from cloudtally.functions.numeric import MONEY, clamp, pct_change
 from cloudtally.functions.skew import sized_join
-from cloudtally.operators.series import SERIES, back, by_day, positions, series_keys, with_lookback
+from cloudtally.operators.series import SERIES, back, by_day, in_order, positions, series_keys, with_lookback
 
 
 def time_features(df: DataFrame, date: str = "date") -> DataFrame:
@@ -103,7 +103,7 @@ def growth(
     keys = series_keys(df, keys)
 
     if one_row_per_day:
-        w = by_day(keys)
+        w = in_order(df, keys)
         out = df.withColumns({"runtime_days": F.row_number().over(w), "_prev": F.lag("cost").over(w)})
     else:
         out = with_lookback(
@@ -112,7 +112,6 @@ def growth(
             lookback=1,
             keys=keys,
             one_row_per_day=False,
-            ties=[c for c in df.columns if c not in keys and c != "date"],
         )
     rate = pct_change(F.col("cost"), F.col("_prev"), keep_inf)
     return out.withColumns(

@@ -32,7 +32,33 @@ def fits_plain_window(df: DataFrame, keys: Sequence[str] = SERIES, limit: int =
     return (longest or 0) <= limit
 
 
+TIES = (
+    "account_id", "service", "instance_type", "region", "cost", "usage_hours", "cpu_avg_pct", "memory_avg_pct",
+    "disk_io", "network_io",
+)
+
+
+def default_ties(df: DataFrame, keys: Sequence[str], order: str = "date") -> list[str]:
+    """What orders rows of one day: the billing columns that are there, which no feature step changes."""
+    own = [c for c in TIES if c in df.columns and c not in keys and c != order]
+    return own or [c for c, kind in df.dtypes if c not in keys and c != order and not kind.startswith(("map", "variant"))]
+
+
+def total_order(df: DataFrame, keys: Sequence[str], order: str = "date", ties: Sequence[str] | None = None) -> list[Column]:
+    """Day, slice of a row hash, time and ties: the same order in a plain window as in ``positions``."""
+    ties = list(ties) if ties else default_ties(df, keys, order)
+    day = F.coalesce(F.to_date(F.col(order)), F.lit(LAST_DAY).cast("date"))
+    cell = F.pmod(F.xxhash64(*ties), F.lit(SLICES)) if ties else F.lit(0).cast("long")
+    return [day, cell, F.col(order).asc_nulls_last(), *[F.col(t) for t in ties]]
+
+
+def in_order(df: DataFrame, keys: Sequence[str], order: str = "date", ties: Sequence[str] | None = None) -> WindowSpec:
+    """A plain window over each series in ``total_order``."""
+    return Window.partitionBy(*keys).orderBy(*total_order(df, keys, order, ties))
+
+
 def by_day(keys: Sequence[str], order: str = "date") -> WindowSpec:
+    """For series that are aggregated to one row per day."""
     return Window.partitionBy(*keys).orderBy(F.col(order).asc_nulls_last())
 
 
@@ -54,7 +80,7 @@ def positions(
     numbering happens inside a slice only. Same-day rows are ordered by slice, then ``ties``.
     """
     keys = list(keys)
-    ties = list(ties) if ties else [c for c in df.columns if c not in keys and c != order]
+    ties = list(ties) if ties else default_ties(df, keys, order)
     cell = ["_at", "_slice"]
     cut = df.withColumns(
         {
@@ -90,7 +116,7 @@ def with_lookback(
     """Add the columns of ``build(window)``, which may look at most ``lookback`` rows back."""
     keys = series_keys(df, keys)
     if one_row_per_day:
-        return df.withColumns(dict(build(by_day(keys, order))))
+        return df.withColumns(dict(build(in_order(df, keys, order, ties))))
     if lookback >= stretch_rows:
         raise ValueError("a stretch must be longer than the lookback")
     placed = positions(df, keys, order, ties, name="_pos")
