@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil, log
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,8 +12,8 @@ from cloudtally.runtime import durable
 
 BROADCAST_ROWS = 200_000  # narrow rows of a few dozen bytes: some 20 MB at most
 HOT_ROWS = 5_000_000
-HOT_KEYS = 1_000
-SALTS = 64
+SALTS = 64  # parts that a key of HOT_ROWS rows is cut into; larger keys get more in proportion
+CELL_ROWS = 1_000_000
 
 
 def match_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str]) -> Column:
@@ -22,19 +23,13 @@ def match_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str]) -> Col
     return cond
 
 
-def hot_keys(df: DataFrame, on: Sequence[str], min_rows: int = HOT_ROWS) -> DataFrame:
-    """The heaviest keys, at most ``HOT_KEYS`` of them, so the result is broadcastable by construction.
+def hot_keys(df: DataFrame, on: Sequence[str], min_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
+    """Keys of at least ``min_rows`` rows, with the number of parts each is cut into.
 
-    This only steers salting; keys beyond the limit are joined unsalted, never dropped.
+    There are at most rows / ``min_rows`` of them (200,000 in 10^12 rows), so they can be broadcast.
     """
-    return (
-        df.groupBy(*on)
-        .count()
-        .filter(F.col("count") >= min_rows)
-        .orderBy(F.desc("count"), *on)
-        .limit(HOT_KEYS)
-        .select(*on, F.lit(True).alias("_hot"))
-    )
+    parts = F.ceil(F.col("count") / min_rows * salts).cast("int")
+    return df.groupBy(*on).count().filter(F.col("count") >= min_rows).select(*on, parts.alias("_parts"))
 
 
 def spread_join(
@@ -45,28 +40,30 @@ def spread_join(
     min_rows: int = HOT_ROWS,
     salts: int = SALTS,
 ) -> DataFrame:
-    """Equi-join in which the rows of hot keys of ``big`` are spread over ``salts`` tasks.
+    """Equi-join in which the rows of hot keys of ``big`` are spread over many tasks: ``salts`` for a
+    key of ``min_rows`` rows, and more for larger ones.
 
     ``other`` is copied only for those keys. ``how`` may be inner, left, left_semi or left_anti.
     """
     on = list(on)
-    hot = F.broadcast(hot_keys(big, on, min_rows))
+    big = durable(big)  # read for the counts and for the join
+    hot = F.broadcast(hot_keys(big, on, min_rows, salts))
     plain = [c for c in big.columns if big.schema[c].dataType.typeName() not in ("map", "variant")]
     salted = big.join(hot, on, "left").withColumn(
         "_salt",
-        F.when(F.col("_hot"), F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int")).otherwise(
+        F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64(*plain), F.col("_parts")).cast("int")).otherwise(
             F.lit(0)
         ),
     )
     copies = other.join(hot, on, "left").withColumn(
         "_salt",
         F.explode(
-            F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
+            F.when(F.col("_parts").isNotNull(), F.sequence(F.lit(0), F.col("_parts") - 1)).otherwise(
                 F.array(F.lit(0))
             )
         ),
     )
-    return salted.drop("_hot").join(copies.drop("_hot"), [*on, "_salt"], how).drop("_salt")
+    return salted.drop("_parts").join(copies.drop("_parts"), [*on, "_salt"], how).drop("_salt")
 
 
 def sized_join(
@@ -91,10 +88,12 @@ def hashed_rank(df: DataFrame, group: Sequence[str], ident: Column, name: str =
     """Position of every row inside its group in md5 order of ``ident``, for groups of any size.
 
     Equivalent to ``row_number() over (partition by group order by md5(ident))``, but no task
-    sees more than one of the group's 4,096 cells; ``group_rows`` is the size of the group.
+    sees more than one cell of some ``CELL_ROWS`` rows at most; ``group_rows`` is the size of the group.
     """
     group = list(group)
-    coded = df.withColumn("_code", F.md5(ident)).withColumn("_cell", F.substring("_code", 1, 3))
+    largest = df.groupBy(*group).count().agg(F.max("count")).first()[0] or 1
+    digits = max(2, ceil(log(largest / CELL_ROWS, 16)) + 1)
+    coded = df.withColumn("_code", F.md5(ident)).withColumn("_cell", F.substring("_code", 1, digits))
     cells = coded.groupBy(*group, "_cell").agg(F.count("*").alias("_n"))
     whole = Window.partitionBy(*group)
     earlier = whole.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
