@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from cloudtally import fixed_values as fv
 from cloudtally.functions.skew import sized_join
-from cloudtally.operators import advice, anomaly, drift, features, metrics, quality, waste
+from cloudtally.operators import advice, anomaly, drift, evaluate, features, metrics, quality, waste
+from cloudtally.operators import registry as models_registry
 from cloudtally.operators.models import attribution, forecast, isolation, waste_classifier
 from cloudtally.operators.series import SERIES, fits_plain_window
 from cloudtally.runtime import durable
@@ -52,8 +53,63 @@ def train(featured: DataFrame, trees: int = 200, rounds: int = 150, forest_trees
     )
 
 
-def infer(featured: DataFrame, models: Models, open_recommendations: DataFrame) -> dict[str, DataFrame]:
-    """Result tables of one run. A tenant's newest day only; forecasts are one row per series."""
+def train_and_register(
+    featured: DataFrame,
+    registry: DataFrame,
+    version: str,
+    training_date: str,
+    trees: int = 200,
+    rounds: int = 150,
+    forest_trees: int = 150,
+    windows: DataFrame | None = None,
+) -> tuple[Models, DataFrame]:
+    """Train on the earlier or stratified 80 %, evaluate on the rest, register and promote.
+
+    Returns the models and the registry with an active entry for each of them, whose metrics are the
+    hold-out figures: accuracy and macro F1 of the classifier, MAPE of the forecaster against
+    yesterday's cost, and, with labelled ``windows``, F1 of the anomaly scores.
+    """
+    plain = fits_plain_window(featured)
+    scored = durable(waste.waste_score(featured, one_row_per_day=plain).select(*KEYS, "bucket", *fv.CLASSIFIER_FEATURES))
+    classifier, report = waste_classifier.train_and_evaluate(scored, trees=trees)
+    series = durable(forecast.series_rows(features.daily_series(featured)))
+    forecaster = forecast.fit(series, rounds=rounds)
+    errors = forecast.evaluation(forecast.predict(forecaster, series)).agg(
+        F.avg("model_mape").alias("mape"), F.avg("persistence_mape").alias("naive")
+    )
+    z = durable(features.lagged_zscore(featured, one_row_per_day=plain))
+    forest = durable(isolation.fit(z, KEYS, trees=forest_trees))
+    found = None
+    if windows is not None:
+        found = evaluate.anomaly_evaluation(durable(isolation.detect(z, forest, KEYS)), windows).agg(F.avg("f1").alias("f1")).first()
+    r, e = report.first(), errors.first()
+    figures = {
+        "waste_classifier": {"accuracy": r.accuracy, "f1_macro": r.f1_macro},
+        "forecast": {"mape": e.mape, "error_reduction_pct": (e.naive - e.mape) / e.naive * 100 if e.naive else 0.0},
+        "anomaly": {"f1": found.f1} if found else {},
+    }
+    entry = [(kind, version, training_date, {k: float(v) for k, v in m.items()}, False) for kind, m in figures.items()]
+    rows = featured.sparkSession.createDataFrame(
+        entry, "model_type string, version string, training_date string, evaluation_metrics map<string,double>, is_active boolean"
+    ).withColumn("training_date", F.col("training_date").cast(registry.schema["training_date"].dataType))
+    out = models_registry.register(registry, rows)
+    for kind in figures:
+        out = models_registry.promote(out, kind, version)
+    return Models(classifier, forecaster, forest), out
+
+
+def infer(
+    featured: DataFrame,
+    models: Models,
+    open_recommendations: DataFrame,
+    rates: DataFrame | None = None,
+    cited: DataFrame | None = None,
+) -> dict[str, DataFrame]:
+    """Result tables of one run. A tenant's newest day only; forecasts are one row per series.
+
+    ``rates`` (see ``gold.rates``) price the recommendations; ``cited`` is the best guidance
+    passage per tenant and resource (title, chunk_id).
+    """
     newest = metrics.newest_dates(featured).withColumnRenamed("_last", "date")
 
     def today(df):
@@ -83,7 +139,9 @@ def infer(featured: DataFrame, models: Models, open_recommendations: DataFrame)
     )
     full = classified.join(anomalies.select(*KEYS, "incident_score"), KEYS, "left")
     full = sized_join(full, sure, [*TENANT, "service"]) if "service" in full.columns else full
-    recommendations = advice.recommend(advice.without_open(full, open_recommendations))
+    recommendations = advice.recommend(advice.without_open(full, open_recommendations), rates)
+    if cited is not None:
+        recommendations = advice.with_citation(recommendations, cited)
     return {
         "forecast_results": forecasts,
         "anomalies": anomalies.withColumn("is_ground_truth_eval", F.lit(False)),

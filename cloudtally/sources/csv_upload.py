@@ -13,6 +13,7 @@ from cloudtally.functions.text import bare_header
 from cloudtally.operators import quality
 from cloudtally.operators.features import growth
 from cloudtally.operators.waste import weights_for
+from cloudtally.runtime import durable
 
 
 @dataclass(frozen=True)
@@ -72,7 +73,8 @@ class Upload:
 def ingest(spark: SparkSession, path: str, organization_id: str | None = None) -> Upload:
     """Read, map, derive and validate one upload (or a folder of same-header files)."""
     raw = read_upload(spark, path)
-    table = to_internal(raw).withColumn("row_id", F.monotonically_increasing_id())
+    # stored, because rows and failures must see the same ids
+    table = durable(to_internal(raw).withColumn("row_id", F.monotonically_increasing_id()))
     if organization_id is not None:
         table = table.withColumn("organization_id", F.lit(organization_id))
     # uploads may repeat a day, so series are not bounded by the calendar here

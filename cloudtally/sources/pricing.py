@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cloudtally import fixed_values as fv
 from cloudtally.operators import silver
+from cloudtally.sources.headers import by_header
 
 CLASSES = ("on_demand", "spot", "prediction", "unknown")
 FIELDS = ("instance_type", "price", "region", "os", "date", "actual_price", "confidence")
@@ -88,20 +89,23 @@ def classify(files: DataFrame, headers: str = "headers") -> DataFrame:
 
 
 def read_price_files(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(bronze price rows, classification). Only headers are read while planning."""
-    frames = {p: spark.read.option("header", True).csv(p) for p in paths}
+    """(bronze price rows, classification). One job reads all headers, and files of one header are one scan."""
+    groups = by_header(spark, paths)
+    if not groups:
+        raise ValueError("no file has a known price-list header")
+    named = {tuple(c.strip() for c in names): files for names, files in groups.items()}
     headers = classify(
         spark.createDataFrame(
-            [(p, [c.strip() for c in f.columns]) for p, f in frames.items()],
-            "path string, headers array<string>",
+            [(p, list(names)) for names, files in named.items() for p in files], "path string, headers array<string>"
         )
     )
-    rows = []
-    for r in headers.collect():  # one row per file handed in
+    rows, known = [], {r.path: r for r in headers.collect()}  # one row per file handed in
+    for names, files in named.items():
+        r = known[files[0]]
         if r.needs_manual_mapping:
             continue
-        raw = frames[r.path]
-        raw = raw.toDF(*[c.strip() for c in raw.columns])
+        schema = ", ".join(f"`{n}` string" for n in names)
+        raw = spark.read.option("header", True).schema(schema).csv(files)
         m = r.matched
 
         def text(field, raw=raw, m=m):
@@ -115,7 +119,7 @@ def read_price_files(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFra
                 text("price").try_cast("double").alias("hourly_rate"),
                 F.to_date(F.try_to_timestamp(text("date"))).alias("effective_date"),
                 F.lit(r.classified_as).alias("pricing_type"),
-                F.element_at(F.split(F.lit(r.path), "/"), -1).alias("source_file"),
+                F.col("_metadata.file_name").alias("source_file"),
             )
         )
     if not rows:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Sequence
 from functools import reduce
 
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cloudtally import fixed_values as fv
 from cloudtally.operators.quality import require
+from cloudtally.sources.headers import by_header
 
 NUMBERS = tuple(c for c in fv.TELEMETRY_COLUMNS if c not in ("VM_ID", "Datetime"))
 
@@ -19,13 +19,13 @@ def read_folder(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """All files, aligned by column name, with ``source_file``; files sharing a header are one scan."""
     if not paths:
         raise FileNotFoundError("no telemetry files given")
-    groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for p in sorted(paths):
-        groups[tuple(spark.read.option("header", True).csv(p).columns)].append(p)
-    scans = [
-        spark.read.option("header", True).csv(files).withColumn("source_file", F.col("_metadata.file_name"))
-        for files in groups.values()
-    ]
+    scans = []
+    for names, files in by_header(spark, paths).items():
+        schema = ", ".join(f"`{n}` string" for n in names)  # known, so that no scan opens files while planning
+        scan = spark.read.option("header", True).schema(schema).csv(files)
+        scans.append(scan.withColumn("source_file", F.col("_metadata.file_name")))
+    if not scans:
+        raise FileNotFoundError("the telemetry files are empty")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
 
 

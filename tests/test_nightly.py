@@ -7,9 +7,15 @@ from cloudtally.runtime import durable
 
 def test_nightly_run_end_to_end(spark, tiny, tmp_path):
     featured = nightly.canonical(fx.billing(spark, tiny))
-    models = nightly.train(featured, trees=3, rounds=2, forest_trees=5)
+    registry, windows = fx.registry(spark, tiny), fx.label_windows(spark, tiny)
+    models, registered = nightly.train_and_register(featured, registry, "v99", "2025-01-01", 3, 2, 5, windows)
+    active = {r.model_type: r for r in registered.filter("is_active").collect()}
+    assert {k: r.version for k, r in active.items()} == {k: "v99" for k in ("waste_classifier", "forecast", "anomaly")}
+    assert 0 < active["waste_classifier"].evaluation_metrics["f1_macro"] <= 1
+    assert active["forecast"].evaluation_metrics["mape"] > 0 and 0 <= active["anomaly"].evaluation_metrics["f1"] <= 1
     taken = spark.createDataFrame([], "organization_id string, resource_id string, status string")
-    results = nightly.infer(featured, models, taken)
+    cited = spark.createDataFrame([("org-0", "vm-1", "Rightsize first", "c-7")], "organization_id string, resource_id string, title string, chunk_id string")
+    results = nightly.infer(featured, models, taken, fx.rates(spark, tiny), cited)
     for _ in range(2):  # a second run of the same day changes nothing
         nightly.save(results, str(tmp_path), "2024-02-01", "v1")
     stored = {n: spark.read.parquet(f"{tmp_path}/{n}") for n in results}
