@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,6 +136,28 @@ def gold(
     return growth(base, keys=("resource_id",))
 
 
+def manifest(silver: DataFrame, prices: DataFrame, vm: str = "vm_id") -> DataFrame:
+    """Row counts of the gold stage by step: what was loaded, matched, written and left for review.
+
+    Every silver row becomes one gold row; rows of machines without a match go to review as well.
+    """
+    matched = match_instances(footprint(silver, vm), vm).select(vm, "needs_manual_review")
+    machines = matched.agg(
+        F.count_if(~F.col("needs_manual_review")).alias("vms_matched"),
+        F.count_if("needs_manual_review").alias("vms_flagged_for_review"),
+    )
+    loaded = silver.agg(F.count("*").alias("n"))
+    parts = [
+        loaded.select(F.lit("load_silver").alias("step"), F.lit("telemetry_rows").alias("measure"), "n"),
+        prices.agg(F.count("*").alias("n")).select(F.lit("load_silver"), F.lit("pricing_rows"), "n"),
+        machines.select(F.lit("instance_matching"), F.lit("vms_matched"), "vms_matched"),
+        machines.select(F.lit("instance_matching"), F.lit("vms_flagged_for_review"), "vms_flagged_for_review"),
+        loaded.select(F.lit("write_gold"), F.lit("gold_rows"), "n"),
+        machines.select(F.lit("write_gold"), F.lit("manual_review_rows"), "vms_flagged_for_review"),
+    ]
+    return reduce(DataFrame.union, parts)
+
+
 def spec_lookup(df: DataFrame, prices: DataFrame | None = None, key: str = "instance_type") -> DataFrame:
     """Exact-key lookup of spec and rate; unknown types stay NULL, never guessed."""
     out = df.join(F.broadcast(spec_table(df.sparkSession).drop("spec_order")), key, "left")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloudtally import fixed_values as fv
@@ -170,6 +170,17 @@ def weekly_snapshot(
     return out
 
 
+def latest_insights(insights: DataFrame, tenant: Sequence[str] = TENANT, order: str = "created_at") -> DataFrame:
+    """The newest insight of every dataset."""
+    return latest_rows(insights, [*tenant, "dataset_id"], order)
+
+
+def dataset_history(datasets: DataFrame, tenant: Sequence[str] = TENANT, order: str = "created_at") -> DataFrame:
+    """Uploads with their place in the tenant's history, the newest first."""
+    w = Window.partitionBy(*tenant).orderBy(F.desc(order), F.desc("dataset_id"))
+    return datasets.withColumn("position", F.row_number().over(w))
+
+
 def as_report(snapshot: DataFrame, tenant: Sequence[str] = TENANT) -> DataFrame:
     """Snapshot rows in stored form: tenant, period and the metrics as JSON."""
     skip = {*tenant, "period_start", "period_end"}

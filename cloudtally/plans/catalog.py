@@ -203,6 +203,40 @@ def _(spark, d):
     return gold.match_instances(gold.footprint(silver.daily(silver.clean(fx.telemetry(spark, d)))))
 
 
+@query(
+    "gold_manifest",
+    """SELECT 'load_silver' AS step, 'telemetry_rows' AS measure, count(*) AS n FROM silver
+       UNION ALL SELECT 'load_silver', 'pricing_rows', count(*) FROM prices
+       UNION ALL SELECT 'instance_matching', 'vms_matched', count(*) FILTER (NOT needs_manual_review) FROM matched
+       UNION ALL SELECT 'instance_matching', 'vms_flagged_for_review', count(*) FILTER (needs_manual_review) FROM matched
+       UNION ALL SELECT 'write_gold', 'gold_rows', count(*) FROM silver
+       UNION ALL SELECT 'write_gold', 'manual_review_rows', count(*) FILTER (needs_manual_review) FROM matched""",
+)
+def _(spark, d):
+    return gold.manifest(durable(silver.daily(silver.clean(fx.telemetry(spark, d)))), silver.prices(fx.price_rows(spark, d)))
+
+
+@query(
+    "latest_insights",
+    """SELECT organization_id, dataset_id, concat('i-', month(last)) AS insight_id, last AS created_at
+       FROM (SELECT organization_id, concat('ds-', year(date)) AS dataset_id, max(date) AS last FROM f1 GROUP BY 1, 2)""",
+)
+def _(spark, d):
+    made = fx.with_dataset(fx.billing(spark, d)).groupBy("organization_id", "dataset_id", F.month("date").alias("m"))
+    insights = made.agg(F.max("date").alias("created_at")).withColumn("insight_id", F.concat(F.lit("i-"), F.col("m").cast("string")))
+    return metrics.latest_insights(insights.drop("m"))
+
+
+@query(
+    "dataset_history",
+    """SELECT organization_id, dataset_id, CAST(row_number() OVER (PARTITION BY organization_id ORDER BY last DESC, dataset_id DESC) AS INT) AS position
+       FROM (SELECT organization_id, concat('ds-', year(date)) AS dataset_id, max(date) AS last FROM f1 GROUP BY 1, 2)""",
+)
+def _(spark, d):
+    uploads = fx.with_dataset(fx.billing(spark, d)).groupBy("organization_id", "dataset_id").agg(F.max("date").alias("created_at"))
+    return metrics.dataset_history(uploads).drop("created_at")
+
+
 @query("rate_lookup", f"SELECT instance_type, {r('hourly_rate', 6)} AS hourly_rate, rate_source FROM rates")
 def _(spark, d):
     return rounded(fx.rates(spark, d), 6, "hourly_rate")
