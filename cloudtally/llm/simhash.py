@@ -39,6 +39,7 @@ GROUP_ROWS = 8_192  # larger groups are divided
 PAIR_GROUP = 48  # in groups up to this size every pair is a lane of its own
 TILE = 64  # fingerprints compared with all others of a group at a time
 BANDS, BAND_ROWS = 12, 3
+BROADCAST_BYTES = 64 << 20  # of ids to drop that go to all tasks; more are joined
 
 
 # --- fingerprints -----------------------------------------------------------------------------
@@ -418,8 +419,10 @@ def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8, **more) -> Da
     """
     found = near_classes(docs, k, similarity, **more)
     ids = durable(found.groupBy("doc_id").agg(F.min("component_id").alias("_low"), F.count("*").alias("_n")))
-    first = ids.filter("doc_id = _low").select(F.col("doc_id").alias("_id"))
-    kept = docs.join(first, docs["doc_id"] == first["_id"], "left_semi")
-    if not ids.filter("_n > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.union(docs.filter(F.col("doc_id").isNull()))
+    # only what goes is told: a small part of the ids, which texts need not be shuffled for while it is small
+    gone = durable(ids.filter("doc_id <> _low").select(F.col("doc_id").alias("_id")))
+    small = 8 * gone.count() <= BROADCAST_BYTES
+    kept = docs.join(F.broadcast(gone) if small else gone, docs["doc_id"] == F.col("_id"), "left_anti")
+    if ids.filter("_n > 1").isEmpty():
+        return kept
+    return kept.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).union(kept.filter(F.col("doc_id").isNull()))
