@@ -10,9 +10,10 @@ at most, never all pairs), and the links of all groups meet in connected compone
 equal, so groups share two blocks. A group too large to compare at once is divided by two more
 blocks of the remaining bits, which is as exact and bounds a group by 2**16 distinct fingerprints.
 
-``near_links`` finds documents whose shingle sets are alike. Groups share the smallest hashes of the
-sets; the angle between wide fingerprints estimates the Jaccard similarity. Groups beyond a size are
-cut into chunks, and every two chunks are compared.
+``near_classes`` joins documents whose shingle sets are alike. Groups share the smallest hashes of the
+sets; wide fingerprints propose pairs, by a radius that no pair at the limit is likely to exceed, and
+the exact Jaccard similarity of the two sets decides. The first two bands compare chunks of their
+groups; the components found there are not compared again when all bands compare what is left.
 
 Texts lower A-Z only and words end at ASCII white space. Null and empty texts have fingerprint zero,
 linked like any other. Repeated rows are linked like copies. No text is cut.
@@ -20,7 +21,9 @@ linked like any other. Repeated rows are linked like copies. No text is cut.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -38,7 +41,10 @@ AT_ONCE = 1 << 15  # shingles whose bits are counted together
 GROUP_ROWS = 8_192  # larger groups are divided
 PAIR_GROUP = 48  # in groups up to this size every pair is a lane of its own
 TILE = 64  # fingerprints compared with all others of a group at a time
-BANDS, BAND_ROWS = 12, 3
+BANDS, BAND_ROWS = 20, 3  # a pair at a similarity of 0.8 shares no band once in 1.7 million
+FIRST_BANDS = 2  # of chunks by themselves; mixed differently in each, so that a large group grows together
+GROUP_SHINGLES = 2 << 20  # in a chunk
+SIGMAS = 6.5  # of the distance, by which the radius lies beyond the widest mean
 BROADCAST_BYTES = 64 << 20  # of ids to drop that go to all tasks; more are joined
 
 
@@ -196,15 +202,20 @@ Check = Callable[[np.ndarray, np.ndarray], np.ndarray]
 def link_groups(prints: np.ndarray, group: np.ndarray, radius: int, check: Check | None = None) -> np.ndarray:
     """Parent of every fingerprint after joining those within the radius in the same group.
 
-    ``group`` is sorted. ``check`` looks at the pairs found and says which of them count.
+    ``group`` is sorted. ``check`` says which of the pairs found count; it is given one fingerprint and
+    others at a time, without those that are joined already.
     """
     forest = Forest(len(prints))
 
     def join(i: np.ndarray, j: np.ndarray) -> None:
-        if check is not None and len(i):
-            good = check(i, j)
-            i, j = i[good], j[good]
-        forest.join(i, j)
+        if check is None:
+            forest.join(i, j)
+            return
+        for part in np.split(np.arange(len(i)), np.flatnonzero(np.diff(i)) + 1):
+            part = part[forest.parent[i[part]] != forest.parent[j[part]]]
+            if len(part):
+                part = part[check(i[part], j[part])]
+                forest.join(i[part], j[part])
 
     edges = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]])
     starts, sizes = edges[:-1], np.diff(edges)
@@ -317,80 +328,146 @@ def _scatter(x: np.ndarray, k: int) -> np.ndarray:
         return x ^ (x >> np.uint64(29))
 
 
-def sketch(data: bytes, k: int, words: int, odd: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
-    """Number of different shingles, a fingerprint of 64 * ``words`` bits, and the smallest hashes by band."""
-    hashed = np.unique(shingle_hashes(data, k).view(">u8").astype(np.uint64).ravel())
+def shingle_set(data: bytes, k: int) -> np.ndarray:
+    """The different shingles' hashes in order."""
+    return np.unique(shingle_hashes(data, k).view(">u8").astype(np.uint64).ravel())
+
+
+def wide_print(hashed: np.ndarray, words: int) -> np.ndarray:
+    """A fingerprint of 64 * ``words`` bits of a shingle set."""
     if not len(hashed):
-        return 0, np.zeros(words, dtype=np.uint64), np.zeros(BANDS, dtype=np.int64)
-    prints = np.concatenate([majority(_scatter(hashed, w).view(np.uint8).reshape(-1, 8)) for w in range(words)])
+        return np.zeros(words, dtype=np.uint64)
+    return np.concatenate([majority(_scatter(hashed, w).view(np.uint8).reshape(-1, 8)) for w in range(words)]).view(np.uint64)
+
+
+def band_keys(hashed: np.ndarray, odd: np.ndarray) -> np.ndarray:
+    """A key of the smallest hashes for each band."""
     low = np.full(len(odd), np.iinfo(np.uint64).max, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for at in range(0, len(hashed), 4096):
             low = np.minimum(low, (hashed[at : at + 4096, None] * odd).min(axis=0))
     keys = [xxhash.xxh64_intdigest(low[b * BAND_ROWS : (b + 1) * BAND_ROWS].tobytes(), b) for b in range(BANDS)]
-    return len(hashed), prints.view(np.uint64), np.array(keys, dtype=np.uint64).view(np.int64)
+    return np.array(keys, dtype=np.uint64).view(np.int64)
 
 
-def sketches(docs: DataFrame, k: int, words: int) -> DataFrame:
-    """doc_id, number of shingles, fingerprint bytes and band keys of every row."""
+def sketches(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, number of shingles, a digest of the shingle set and band keys of every row."""
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         odd = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            made = [sketch(t, k, words, odd) for t in arrow.raw(batch.column("text"))]
+            made = [shingle_set(t, k) for t in arrow.raw(batch.column("text"))]
+            return pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    pa.array([len(m) for m in made], pa.int64()),
+                    pa.array([xxhash.xxh3_128_digest(m.tobytes()) for m in made], pa.binary()),
+                    pa.array([band_keys(m, odd) for m in made], pa.list_(pa.int64())),
+                ],
+                ["doc_id", "size", "same", "keys"],
+            )
+
+        return work
+
+    return arrow.per_slice(arrow.texts(docs), "doc_id long, size long, same binary, keys array<long>", make, "text")
+
+
+def shingle_sets(docs: DataFrame, k: int, words: int) -> DataFrame:
+    """id (doc_id), the digest, the fingerprint and the hashes of every row's shingle set."""
+
+    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            made = [shingle_set(t, k) for t in arrow.raw(batch.column("text"))]
             return pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
-                    pa.array([m[0] for m in made], pa.int64()),
-                    pa.array([m[1].tobytes() for m in made], pa.binary()),
-                    pa.array([m[2] for m in made], pa.list_(pa.int64())),
+                    pa.array([xxhash.xxh3_128_digest(m.tobytes()) for m in made], pa.binary()),
+                    pa.array([wide_print(m, words).tobytes() for m in made], pa.binary()),
+                    pa.array([m.tobytes() for m in made], pa.binary()),
                 ],
-                ["doc_id", "size", "fp", "keys"],
+                ["id", "same", "fp", "hashes"],
             )
 
         return work
 
-    return arrow.per_slice(arrow.texts(docs), "doc_id long, size long, fp binary, keys array<long>", make, "text")
+    return arrow.per_slice(arrow.texts(docs), "id long, same binary, fp binary, hashes binary", make, "text")
 
 
-def jaccard(distance: np.ndarray, bits: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard similarity of sets of sizes a and b from the distance of their fingerprints."""
-    both = np.minimum(np.cos(np.pi * distance / bits) * np.sqrt(a * b), np.minimum(a, b))
-    return both / np.maximum(a + b - both, 1)
+def _chances(n: int) -> np.ndarray:
+    """Chances of 0 to n heads in n throws."""
+    return np.array([math.comb(n, h) / 2**n for h in range(n + 1)])
 
 
-def near_links(kept: DataFrame, words: int, similarity: float, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Links (a, b) of similar sketches; ``kept`` has id, size, fp and keys."""
-    bits = 64 * words
-    overlap = 2 * similarity / (1 + similarity)  # cosine of two equally large sets of that Jaccard similarity
-    radius = int(np.ceil(np.arccos(overlap) / np.pi * bits))
-    keyed = kept.select("id", F.posexplode("keys").alias("band", "key"))
-    sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    chunks = F.ceil(F.col("n") / group_rows).cast("int")
-    mine = F.pmod(F.xxhash64("id"), chunks).cast("int")
-    # a group of several chunks is compared chunk by chunk: every row goes to the tiles of its own chunk
-    tiles = F.transform(
-        F.sequence(F.lit(0), chunks - 1), lambda c: F.struct(F.least(c, mine).alias("lo"), F.greatest(c, mine).alias("hi"))
-    )
-    names = ["band", "key", "lo", "hi"]
-    rows = (
-        keyed.join(sizes, ["band", "key"])
-        .select("id", "band", "key", F.explode(tiles).alias("t"))
-        .select("id", "band", "key", "t.*")
-        .join(kept.select("id", "size", "fp"), "id")
-        .repartition(*names)
-        .sortWithinPartitions(*names)
-    )
+@lru_cache
+def widest(similarity: float, shared: int = 60) -> float:
+    """The largest chance that a bit differs in the fingerprints of two sets of at least that similarity.
+
+    All sets of up to ``shared`` common shingles are gone through, with the ties of even sets; of larger
+    sets it is near the angle between two equally large ones.
+    """
+    worst = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    for c in range(1, shared + 1):
+        common, heads = _chances(c), np.arange(c + 1)
+        own = math.floor(c / similarity + 1e-9) - c
+        # chance of a set bit, by the heads among the common shingles
+        over = [((2 * (heads[:, None] + np.arange(x + 1)) > c + x) * _chances(x)).sum(axis=1) for x in range(own + 1)]
+        for x in range(own + 1):
+            for y in range(x, own - x + 1):
+                worst = max(worst, float((common * (over[x] + over[y] - 2 * over[x] * over[y])).sum()))
+    return worst
+
+
+def wide_radius(similarity: float, bits: int) -> int:
+    """A distance that fingerprints of sets of at least that similarity do not exceed but by SIGMAS errors."""
+    p = widest(similarity)
+    return min(bits - 1, math.ceil(bits * p + SIGMAS * math.sqrt(bits * p * (1 - p))))
+
+
+def overlaps(hashes: list[bytes], similarity: float) -> Check:
+    """A check of one set (i is the same in all pairs) against others by their exact Jaccard similarity."""
+    size = np.array([len(h) // 8 for h in hashes])
+    ends = np.cumsum(size)
+    different, number = np.unique(np.frombuffer(b"".join(hashes), dtype=np.uint64), return_inverse=True)
+    mark = np.zeros(len(different), dtype=bool)
+
+    def check(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        own, found = number[ends[i[0]] - size[i[0]] : ends[i[0]]], np.zeros(len(j), dtype=bool)
+        mark[own] = True
+        few, many = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+        for at in np.flatnonzero(few / np.maximum(many, 1) >= similarity):
+            x = j[at]
+            both = np.count_nonzero(mark[number[ends[x] - size[x] : ends[x]]])
+            found[at] = both / max(len(own) + size[x] - both, 1) >= similarity
+        mark[own] = False
+        return found
+
+    return check
+
+
+TILE_KEYS = ["band", "key", "lo", "hi"]
+
+
+def near_links(rows: DataFrame, sets: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links (a, b) of similar sets in the same tile, but not inside a known component or, of two chunks, inside one.
+
+    ``rows`` has id, same, the tile (band, key, lo, hi), the chunk (part) and the component (known).
+    """
+    radius = wide_radius(similarity, 64 * words)
+    rows = rows.join(sets, ["id", "same"]).repartition(*TILE_KEYS).sortWithinPartitions(*TILE_KEYS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, group in _grouped(batches, names):
-            ids, size = table.column("id").to_numpy(), table.column("size").to_numpy().astype(float)
+        for table, group in _grouped(batches, TILE_KEYS):
+            ids, part, known = (table.column(c).to_numpy() for c in ("id", "part", "known"))
+            whole = table.column("lo").to_numpy() == table.column("hi").to_numpy()
             prints = np.frombuffer(b"".join(table.column("fp").to_pylist()), dtype=np.uint64).reshape(-1, words)
+            exact = overlaps(table.column("hashes").to_pylist(), similarity)
 
             def check(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-                distance = np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1)
-                return jaccard(distance, bits, size[i], size[j]) >= similarity
+                good = (known[i] != known[j]) & (whole[i] | (part[i] != part[j]))
+                if good.any():
+                    good[good] = exact(i[good], j[good])
+                return good
 
             parent = link_groups(prints, group, radius, check)
             moved = np.flatnonzero(parent != np.arange(len(ids)))
@@ -399,17 +476,65 @@ def near_links(kept: DataFrame, words: int, similarity: float, group_rows: int =
     return rows.mapInArrow(run, "a long, b long")
 
 
-def near_classes(docs: DataFrame, k: int = 5, similarity: float = 0.8, words: int = 8, slack: float = 0.03, group_rows: int = GROUP_ROWS) -> DataFrame:
+def _chunks(n: Column, size: Column, group_rows: int) -> Column:
+    return F.greatest(F.ceil(n / group_rows), F.ceil(size / GROUP_SHINGLES)).cast("int")
+
+
+def own_tiles(met: DataFrame, group_rows: int) -> DataFrame:
+    """Rows of the first bands in the tile of their own chunk only."""
+    part = F.pmod(F.xxhash64("id", "band"), _chunks(F.col("n"), F.col("total"), group_rows)).cast("int")
+    cut = met.filter(F.col("band") < FIRST_BANDS).withColumn("part", part)
+    return cut.select("id", "same", "band", "key", F.col("part").alias("lo"), F.col("part").alias("hi"), "part", F.col("id").alias("known"))
+
+
+def open_tiles(met: DataFrame, group_rows: int) -> DataFrame:
+    """Rows of groups of several components, in the tiles of every two chunks that may hold a link.
+
+    Chunks of the component with the most rows are not compared with each other.
+    """
+    each = met.groupBy("band", "key", "known").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
+    top = F.max(F.struct("n", "known", "total")).alias("top")
+    groups = each.groupBy("band", "key").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.count("*").alias("parts"), top)
+    n, total, largest = F.col("n"), F.col("total"), F.col("top")
+    groups = groups.filter("parts > 1").select(
+        "band",
+        "key",
+        (_chunks(n, total, group_rows) <= 1).alias("small"),
+        F.greatest(_chunks(largest["n"], largest["total"], group_rows), F.lit(1)).alias("inner"),
+        F.greatest(_chunks(n - largest["n"], total - largest["total"], group_rows), F.lit(1)).alias("outer"),
+        largest["known"].alias("main"),
+    )
+    inner, outer = F.col("inner"), F.col("outer")
+    is_main, mixed = F.col("known") == F.col("main"), F.xxhash64("id")
+    part = F.when(F.col("small"), 0).when(is_main, F.pmod(mixed, inner)).otherwise(inner + F.pmod(mixed, outer)).cast("int")
+    first, last = F.when(is_main & ~F.col("small"), inner).otherwise(0), F.when(F.col("small"), 0).otherwise(inner + outer - 1)
+    mine = F.col("part")
+    tiles = F.transform(F.sequence(first, last), lambda c: F.struct(F.least(c, mine).alias("lo"), F.greatest(c, mine).alias("hi")))
+    cut = met.select("id", "same", "band", "key", "known").join(groups, ["band", "key"]).withColumn("part", part)
+    return cut.select("id", "same", "band", "key", "part", "known", F.explode(tiles).alias("t")).select("id", "same", "band", "key", "t.*", "part", "known")
+
+
+def near_classes(docs: DataFrame, k: int = 5, similarity: float = 0.8, words: int = 8, group_rows: int = GROUP_ROWS) -> DataFrame:
     """doc_id and component_id (smallest doc_id of its group) of every row with a doc_id.
 
-    Links are documents whose estimated similarity is at least ``similarity - slack``; ``slack`` is one
-    standard error of the estimate, so that pairs at the limit are rather found than lost.
+    Links are documents whose shingle sets have a Jaccard similarity of at least ``similarity``.
     """
-    made = durable(sketches(docs.filter(F.col("doc_id").isNotNull()), k, words))
-    kept = durable(made.groupBy("size", "fp", "keys").agg(F.min("doc_id").alias("id")))
-    joined = components(near_links(kept, words, similarity - slack, group_rows))
-    root = kept.join(joined, kept["id"] == joined["node"], "left").select("size", "fp", "keys", F.coalesce("component", "id").alias("component_id"))
-    return made.join(root, ["size", "fp", "keys"]).select("doc_id", "component_id")
+    docs = docs.filter(F.col("doc_id").isNotNull())
+    made = durable(sketches(docs, k))
+    kept = durable(made.groupBy("size", "same").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys")))
+    keyed = kept.select("id", "same", "size", F.posexplode("keys").alias("band", "key"))
+    sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("n"), F.sum("size").alias("total")).filter("n > 1")
+    met = durable(keyed.join(sizes, ["band", "key"]))
+    ids = durable(met.select(F.col("id").alias("doc_id")).distinct())
+    small = 8 * ids.count() <= BROADCAST_BYTES
+    texts = arrow.texts(docs).join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
+    sets = durable(shingle_sets(texts, k, words))
+    links = durable(near_links(own_tiles(met, group_rows), sets, words, similarity))
+    first = components(links)
+    known = durable(met.drop("n", "total").join(first, met["id"] == first["node"], "left").select("id", "same", "size", "band", "key", F.coalesce("component", "id").alias("known")))
+    joined = components(links.union(near_links(open_tiles(known, group_rows), sets, words, similarity)))
+    root = kept.join(joined, kept["id"] == joined["node"], "left").select("size", "same", F.coalesce("component", "id").alias("component_id"))
+    return made.join(root, ["size", "same"]).select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8, **more) -> DataFrame:

@@ -117,6 +117,43 @@ def test_near_classes_join_similar_sets_and_nothing_else(spark):
         assert {r.doc_id: r.component_id for r in got} == dict(enumerate(group))
 
 
+def test_near_classes_are_those_of_exact_jaccard_at_every_size(spark):
+    rng, texts, group = random.Random(12), [], []
+    for size in range(1, 101):
+        for part in (0.7, 0.75, 0.79, 0.8, 0.81, 0.85, 0.9):
+            shared = max(1, round(part * size))
+            own = [f"s{len(texts)}x{k}" for k in range(size)]
+            cut = rng.randint(shared, size)
+            a, b = own[:cut], own[:shared] + own[cut:]
+            similar = len(set(a) & set(b)) / len(set(a) | set(b)) >= 0.8
+            group += [len(texts), len(texts) if similar else len(texts) + 1]
+            texts += [" ".join(a), " ".join(b)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in simhash.near_classes(docs, k=1).collect()}
+    assert got == dict(enumerate(group))
+
+
+def test_near_classes_of_cut_groups_are_those_of_brute_force(spark):
+    rng, texts, sets = random.Random(13), [], []
+    for g in range(6):
+        base = [f"g{g}w{k}" for k in range(40)]
+        for c in range(12):
+            own = set(base) - set(rng.sample(base, rng.randint(0, 6))) | {f"g{g}c{c}x{k}" for k in range(rng.randint(0, 4))}
+            sets.append(own)
+            texts.append(" ".join(sorted(own)))
+    parent = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                low, high = sorted((parent[i], parent[j]))
+                parent = [low if p == high else p for p in parent]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for group_rows in (8192, 5, 2):
+        got = {r.doc_id: r.component_id for r in simhash.near_classes(docs, k=1, group_rows=group_rows).collect()}
+        assert got == dict(enumerate(parent))
+    assert 6 < len(set(parent)) < len(parent)
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.classes(docs).count() == 0
