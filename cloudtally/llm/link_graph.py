@@ -5,7 +5,9 @@ rule decides. For other pages the host's place in the link graph does: personali
 trust from allowed hosts along links, and distrust from blocked hosts against them (who links to bad
 hosts is suspect). Hosts link where a page names another host in an href or src, and a host and its parent
 domain, if both have pages, vouch for each other. Scores are whole numbers (a seed has ``UNIT``), so
-that sums do not depend on their order.
+that sums do not depend on their order. A host with more distrust than trust is blocked, however small
+its share: shares shrink with the number of links of a hub, so a least share would depend on the graph's size.
+The SQL form still has such a least share.
 
 Only DataFrame and SQL functions are used. Links are made distinct per pair of hosts with map-side
 combining before anything is joined, so a host with a third of all pages is one node like others. A round
@@ -27,7 +29,7 @@ from cloudtally.runtime import durable
 UNIT = 1_000_000_000
 DAMPING = 85  # per cent of a score that goes on along links
 ROUNDS = 10
-LEAST_DISTRUST = UNIT // 1000
+LEAST_DISTRUST = UNIT // 1000  # in the SQL form only
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINKS = r"""(?:href|src|HREF|SRC)\s*=\s*["']?(?:[hH][tT][tT][pP][sS]?:)?//([^/?#"'\s<>]+)"""
 
@@ -104,7 +106,7 @@ def verdicts(pages: DataFrame, rules: Sequence[Rule], rounds: int = ROUNDS) -> D
     """page_id, host, path, rule and verdict of every page."""
     cut = judged(pages, rules)
     found = scores(links(pages), seeds(cut), rounds)
-    bad = durable(found.filter((F.col("distrust") > F.col("trust")) & (F.col("distrust") >= LEAST_DISTRUST)).select("host", F.lit("block").alias("spread")))
+    bad = durable(found.filter("distrust > trust").select("host", F.lit("block").alias("spread")))
     return cut.join(bad, "host", "left").select(
         "page_id", "host", "path", "rule", F.coalesce("ruled", "spread", F.lit("allow")).alias("verdict")
     )

@@ -147,6 +147,16 @@ def test_distrust_runs_against_links_and_trust_along_them(spark):
     assert verdict["friend.io"] == verdict["other.io"] == verdict["lonely.io"] == "allow"
 
 
+def test_every_linker_of_a_blocked_hub_is_blocked(spark):
+    rows = [("http://hub.net/1", None), ("http://good.org/fr/1", '<a href="http://friend.io/">')]
+    rows += [("http://friend.io/", '<a href="http://hub.net/">')]
+    rows += [(f"http://linker{k}.io/", f'<a href="http://hub.net/"><a href="http://own{k}.io/">') for k in range(3000)]
+    pages = spark.createDataFrame([(k, u, h) for k, (u, h) in enumerate(rows)], "page_id long, url string, html string").repartition(3)
+    got = {r.host: r.verdict for r in link_graph.verdicts(pages, catalog.RULES).collect()}
+    assert got["hub.net"] == "block" and got["good.org"] == got["friend.io"] == "allow"
+    assert all(got[f"linker{k}.io"] == "block" for k in range(3000))
+
+
 # --- chat -------------------------------------------------------------------------------------
 
 PIECES = [*"\\#</turn>\n: %A0", "###", "</turn>\n", "\\###", "### user:\n"]
