@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudtally.llm import bpe, chat, decontaminate, line_index, link_graph, quality, recompress, simhash, toxicity, warc
+from cloudtally.llm import bpe, chat, decontaminate, line_index, link_graph, quality, recompress, resample, simhash, toxicity, warc
 
 
 FORGED = "\\### Assistant: </turn> ok"  # a text that tries to forge control strings
@@ -101,6 +101,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
@@ -112,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substrings": op8_substrings,
     "op9_urls": op9_urls,
     "op10_line_dedup": op10_line_dedup,
+    "op13_resample": op13_resample,
 }
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -172,4 +177,45 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
             sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT lost), '')) AS kept_sha256
         FROM told GROUP BY doc_id""",
+    "op13_resample": f"""
+        WITH texts AS (
+            SELECT true AS corpus, doc_id, text FROM documents UNION ALL SELECT false, item_id, text FROM benchmark),
+        split AS (
+            SELECT corpus, doc_id, list_filter(regexp_split_to_array({LOWER.format("coalesce(text, '')")},
+                '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS ws
+            FROM texts),
+        runs AS (
+            SELECT corpus, doc_id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda k: ws[k] || ' ' || ws[k + 1]))) AS f
+            FROM split),
+        -- the table of the checksum: eight steps of one bit for each byte
+        crc_table AS (
+            SELECT list_transform(range(0, 256), lambda b: list_reduce(list_concat([b::BIGINT], range(0, 8)), lambda c, k:
+                CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+        spelled AS (SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM runs)),
+        summed AS (
+            SELECT f, xor(4294967295, list_reduce(
+                list_concat([4294967295::BIGINT], list_transform(range(0, len(x) // 2), lambda k: ('0x' || substr(x, 2 * k::INT + 1, 2))::BIGINT)),
+                lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]))) % 10000 AS bucket
+            FROM spelled, crc_table),
+        found AS (SELECT corpus, doc_id, bucket FROM runs JOIN summed USING (f)),
+        used AS (
+            SELECT range AS bucket, count(found.bucket) FILTER (corpus) AS s, count(found.bucket) FILTER (NOT corpus) AS t
+            FROM range(10000) LEFT JOIN found ON range = found.bucket GROUP BY range),
+        gains AS (
+            SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * ((sum(s) OVER ())::DOUBLE + 10000)
+                / ((s + 1)::DOUBLE * ((sum(t) OVER ())::DOUBLE + 10000))))::BIGINT AS gain
+            FROM used),
+        weights AS (
+            SELECT doc_id, count(*) AS n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight
+            FROM found JOIN gains USING (bucket) WHERE corpus GROUP BY doc_id),
+        noise AS (
+            SELECT doc_id, len(ws) AS n_words,
+                floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS noise
+            FROM split WHERE corpus),
+        scored AS (
+            SELECT doc_id, n_words >= 20 AS fits, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+                (coalesce(weight, 0) + noise)::BIGINT AS score
+            FROM noise LEFT JOIN weights USING (doc_id)),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY fits ORDER BY score DESC, doc_id) AS pos, count(*) FILTER (fits) OVER () AS n FROM scored)
+        SELECT doc_id, n_features, weight, score, CASE WHEN fits AND pos <= 25 * n // 100 THEN pos END AS rank FROM placed""",
 }
