@@ -15,21 +15,26 @@ Counts of the shuffled pairs go to all tasks while they take ``broadcast_bytes``
 document's pairs meet them in a join that salts hot pairs. Both ways give the same rows.
 
 Null and empty texts have no tokens, nor have texts that one of the tokenizers does not spell byte by
-byte; these rows are zeros with an empty digest. Every row is a document, repeated ids and texts too. Long
-texts are encoded in parts cut at single spaces, where neither tokenizer joins words. Only ``doc_id`` and
-``text`` are read, so other columns cannot clash.
+byte; these rows are zeros with an empty digest. Every row is a document, repeated ids and texts too. Texts
+are encoded in units cut at single spaces, where neither tokenizer joins words; a worker process remembers units it has
+met. Only ``doc_id`` and ``text`` are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, islice
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -39,23 +44,46 @@ from cloudtally.llm import arrow, bpe
 from cloudtally.runtime import durable
 
 BROADCAST_BYTES = 64 << 20
-PART_CHARS = 1 << 19
-SLICE = 2 << 20
+SLICE = 1 << 19
+LINKED_TOKENS = 1 << 17
+RANKED_CHARS = 1_000  # longer units go to the library whose time does not grow with the square of a piece
+REMEMBERED, REMEMBERED_CHARS = 150_000, 64  # units kept in a worker process (some 250 bytes each), and their longest
 SPACE = "▁"  # fixed value: how sentence-piece models write a space
-
-
-def parts(text: str, size: int = PART_CHARS) -> list[str]:
-    """A text in parts of at least ``size`` characters, each but the first beginning with a single space between words."""
-    found, start = [], 0
-    while len(text) - start > size:
-        at = text.find(" ", start + size)
-        while at != -1 and (text[at - 1].isspace() or text[at + 1 : at + 2].isspace() or at + 1 == len(text) or SPACE in text[at - 1 : at + 2]):
-            at = text.find(" ", at + 1)
-        if at == -1:
-            break
-        found.append(text[start:at])
-        start = at
-    return [*found, text[start:]]
+_UNITS = re.compile(r"(?<=\S) (?=\S)").split
+
+
+def _ranked(path: str) -> tiktoken.Encoding | None:
+    """The vocabulary of a file as ranks, which a faster library encodes alike; None if its merges are not in the order of its ids."""
+    told = json.loads(Path(path).read_text(encoding="utf-8"))
+    names, model = bpe.byte_names(), told["model"]
+    spell = lambda token: bytes(names[c] for c in token)
+    special = {t["content"] for t in told["added_tokens"]}
+    ids = {spell(token): i for token, i in model["vocab"].items() if token not in special}
+    merged = [ids[spell("".join(m.split(" ") if isinstance(m, str) else m))] for m in model["merges"]]
+    if merged != sorted(set(merged)) or len(ids) != len(merged) + 256:
+        return None
+    return tiktoken.Encoding("ranked", pat_str=bpe.PIECES, mergeable_ranks=ids, special_tokens={})
+
+
+class Spelled:
+    """The bytes of all tokens of one tokenizer in one array."""
+
+    def __init__(self, tokens: list[bytes]) -> None:
+        self.size = np.array([len(x) for x in tokens], dtype=np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.all = np.frombuffer(b"".join(tokens), dtype=np.uint8)
+
+    def agree(self, ids: np.ndarray, n: np.ndarray, text: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Whether each unit (``n`` ids, ``sizes`` bytes of ``text``) is spelled by its ids."""
+        unit, size = np.repeat(np.arange(len(n)), n), self.size[ids]
+        same = np.bincount(unit, weights=size, minlength=len(n)).astype(np.int64) == sizes
+        of_ids, of_text = same[unit], np.repeat(same, sizes)
+        ids, size = ids[of_ids], size[of_ids]
+        at = np.repeat(self.start[ids] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        other = self.all[at] != text[of_text]
+        if other.any():
+            same[np.repeat(np.arange(len(n)), sizes)[of_text][other]] = False
+        return same
 
 
 class Tokenizers:
@@ -67,6 +95,7 @@ class Tokenizers:
         self.a.encode_special_tokens = True
         self.a.no_truncation()
         self.a.no_padding()
+        self.ranked = _ranked(a_path)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         names = bpe.byte_names()
         self.a_bytes = [bytes(names[c] for c in self.a.id_to_token(i) or "") for i in range(self.a.get_vocab_size())]
@@ -82,35 +111,63 @@ class Tokenizers:
         for i, data in enumerate(self.b_bytes):  # a byte stands for itself where no piece does
             if self.b.is_byte(i):
                 whole.setdefault(data, i)
-        self.a_size, self.b_size = (np.array([len(x) for x in own], dtype=np.int64) for own in (self.a_bytes, self.b_bytes))
-        # a piece that goes on behind a space would join words, and then texts must stay in one part
-        self.part_chars = 1 << 60 if any(b" " in x.lstrip(b" ") for x in self.b_bytes) else PART_CHARS
+        self.a_spelled, self.b_spelled = Spelled(self.a_bytes), Spelled(self.b_bytes)
+        self.a_size, self.b_size = self.a_spelled.size, self.b_spelled.size
+        # a piece that goes on behind a space would join words, and then texts must stay whole
+        self.cut = (lambda text: [text]) if any(b" " in x.lstrip(b" ") for x in self.b_bytes) else _UNITS
+        self.known_a: dict[str, bytes | None] = {}
+        self.known_b: dict[str, bytes | None] = {}
         self.same = np.array([whole.get(x, -1) for x in self.a_bytes], dtype=np.int64)
         self.a_name, self.b_name = (np.array([str(i) for i in range(len(own))], dtype=object) for own in (self.a_bytes, self.b_bytes))
         self.shown = np.array([f"{i}|{k}" for i, k in enumerate(self.same.tolist())], dtype=object)
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+    def learn(self, units: set[str]) -> None:
+        """Ids of new units as bytes; None where a tokenizer does not spell the unit behind a space."""
+        new = list(units.difference(self.known_a))
+        if len(self.known_a) + len(new) > REMEMBERED:  # the older half goes, but nothing of this slice
+            for known in (self.known_a, self.known_b):
+                rest = dict(islice(known.items(), len(known) // 2, None))
+                known.clear()
+                known.update(rest)
+            new = list(units.difference(self.known_a))
+        if not new:
+            return
+        rank = self.ranked.encode_ordinary if self.ranked else None
+        coded = [
+            rank(" " + u) if rank and len(u) <= RANKED_CHARS else self.a.encode(" " + u, add_special_tokens=False).ids for u in new
+        ]
+        data = [b" " + u.encode() for u in new]
+        sizes, text = np.fromiter(map(len, data), np.int64, len(new)), np.frombuffer(b"".join(data), dtype=np.uint8)
+        right, kept = np.ones(len(new), dtype=bool), []
+        for ids, spelled in ((coded, self.a_spelled), (self.b.encode(new, num_threads=1), self.b_spelled)):
+            flat, n = np.fromiter(chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(new))
+            right &= spelled.agree(flat, n, text, sizes)
+            kept.append((flat.tobytes(), (4 * np.cumsum(n)).tolist()))
+        (a, a_ends), (b, b_ends) = kept
+        a_start = b_start = 0
+        for unit, fine, a_end, b_end in zip(new, right.tolist(), a_ends, b_ends, strict=True):
+            self.known_a[unit], self.known_b[unit] = (a[a_start:a_end], b[b_start:b_end]) if fine else (None, None)
+            a_start, b_start = a_end, b_end
+
+    def encode(self, texts: list[str]) -> tuple[pa.ListArray, pa.ListArray]:
         """A and B ids of every text; none where either does not spell the text behind a space."""
-        cut, of = [], []
-        for i, text in enumerate(texts):
-            if text:
-                own = parts(" " + text, self.part_chars)
-                cut.extend(own)
-                of.extend([i] * len(own))
-        a, b = [[] for _ in texts], [[] for _ in texts]
-        wrong = set()
-        coded = self.a.encode_batch_fast(cut, add_special_tokens=False)
-        pieces = self.b.encode([x[1:] for x in cut], num_threads=1)
-        for i, text, x, y in zip(of, cut, coded, pieces, strict=True):
-            x, data = x.ids, text.encode()
-            if b"".join(map(self.a_bytes.__getitem__, x)) == data == b"".join(map(self.b_bytes.__getitem__, y)):
-                a[i].extend(x)
-                b[i].extend(y)
-            else:
-                wrong.add(i)
-        for i in wrong:
-            a[i], b[i] = [], []
-        return a, b
+        units = [self.cut(t) if t else [] for t in texts]
+        own = set(chain.from_iterable(units))
+        self.learn(own)
+        out = []
+        for known in (self.known_a, self.known_b):
+            ids = []
+            for of_text in units:
+                try:
+                    ids.append(b"".join(map(known.__getitem__, of_text)))
+                except TypeError:  # a unit that is not spelled right
+                    ids.append(b"")
+            ends = np.cumsum([0, *map(len, ids)]) // 4
+            out.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), dtype=np.int32))))
+        for unit in own:
+            if len(unit) > REMEMBERED_CHARS:
+                del self.known_a[unit], self.known_b[unit]
+        return out[0], out[1]
 
 
 @lru_cache(maxsize=4)
@@ -193,7 +250,7 @@ def tokens(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         both = tokenizers(a_path, b_path)
         for batch in batches:
             for part in arrow.slices(batch, "text", SLICE):
-                a, b = (pa.array(x, pa.list_(pa.int32())) for x in both.encode([t or "" for t in part.column("text").to_pylist()]))
+                a, b = both.encode([t or "" for t in part.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), a, b], ["doc_id", "a", "b"])
 
     coded = arrow.texts(docs).mapInArrow(run, "doc_id long, a array<int>, b array<int>")
@@ -204,8 +261,8 @@ def _links(batches: Iterator[pa.RecordBatch], both: Tokenizers) -> Iterator[tupl
     for batch in batches:
         ends = np.cumsum(batch.column("a").value_lengths().to_numpy(zero_copy_only=False))
         start = 0
-        while start < batch.num_rows:  # about SLICE / 4 tokens at once, one document at least
-            least = (ends[start - 1] if start else 0) + SLICE // 4
+        while start < batch.num_rows:  # about so many tokens at once, one document at least
+            least = (ends[start - 1] if start else 0) + LINKED_TOKENS
             stop = max(int(np.searchsorted(ends, least, side="right")), start + 1)
             part = batch.slice(start, stop - start)
             yield part, Links(part, both)

@@ -67,15 +67,16 @@ def test_repeated_and_null_ids_and_empty_tables(spark):
     assert align.align(docs.limit(0), A, B).count() == 0
 
 
-def test_parts_do_not_change_tokens():
-    text = " " + "The quick  brown fox's\n tail, 12 times; déjà vu " * 200 + "🙂" * 300
-    whole_a = BOTH.a.encode(text, add_special_tokens=False).ids
-    whole_b = BOTH.b.encode(text[1:])
-    for size in (1, 7, 100, 1000):
-        cut = align.parts(text, size)
-        assert "".join(cut) == text and all(x.startswith(" ") for x in cut) and len(cut) > 1
-        assert [i for x in cut for i in BOTH.a.encode(x, add_special_tokens=False).ids] == whole_a
-        assert [i for x in cut for i in BOTH.b.encode(x[1:])] == whole_b
+def test_units_do_not_change_tokens(monkeypatch):
+    monkeypatch.setattr(align, "REMEMBERED", 40)
+    both = align.Tokenizers(A, B)
+    base = "The quick  brown fox's\n tail, 12 times; déjà vu " * 20 + "🙂" * 300
+    for text in (base, base + " " + "a" * 5000 + " b", *(f"{k} words and {k * 7} more of {k}" for k in range(60)), base):
+        a, b = both.encode([text, "", "x ▁ y", text])
+        assert a[0].as_py() == a[3].as_py() == both.a.encode(" " + text, add_special_tokens=False).ids
+        assert b[0].as_py() == b[3].as_py() == both.b.encode(text)
+        assert a[1].as_py() == b[1].as_py() == a[2].as_py() == b[2].as_py() == []
+        assert max(map(len, both.known_a)) <= align.REMEMBERED_CHARS
 
 
 def test_same_bytes_by_the_identity_map():
