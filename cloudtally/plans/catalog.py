@@ -506,12 +506,10 @@ def _(spark, d):
 @query(
     "history_count",
     f"""SELECT {KEY}, CAST(coalesce(n, 0) AS INT) AS anomaly_history_count FROM f1
-       LEFT JOIN (SELECT organization_id, resource_id, count(*) AS n FROM f6 WHERE resource_id NOT LIKE '%3' GROUP BY 1, 2) USING (organization_id, resource_id)""",
+       LEFT JOIN (SELECT organization_id, resource_id, count(*) AS n FROM f6 GROUP BY 1, 2) USING (organization_id, resource_id)""",
 )
 def _(spark, d):
-    windows = fx.label_windows(spark, d).filter(~F.col("resource_id").endswith("3"))
-    base = fx.billing(spark, d).select(*KEYS)
-    return anomaly.history_counts(base, windows)
+    return anomaly.history_counts(fx.billing(spark, d).select(*KEYS), fx.label_windows(spark, d))
 
 
 # --- advice ------------------------------------------------------------------------------------------
@@ -795,12 +793,11 @@ OPEN_SAVED = f"SELECT organization_id, {r(money('estimated_savings'), 2)} AS sav
     "dashboard_kpis",
     f"""SELECT organization_id, total_spend, spend_30d, forecast_next_period, coalesce(n, 0) AS anomaly_count, coalesce(saved, 0.0) AS savings_identified, active_resource_count
        FROM ({DASH}) LEFT JOIN ({NEWEST_FC}) USING (organization_id) LEFT JOIN ({OPEN_SAVED}) USING (organization_id)
-       LEFT JOIN (SELECT organization_id, count(*) AS n FROM anom WHERE severity <> 'low' GROUP BY 1) USING (organization_id)""",
+       LEFT JOIN (SELECT organization_id, count(*) AS n FROM anom GROUP BY 1) USING (organization_id)""",
 )
 def _(spark, d):
     st = fx.Stages(spark, d)
-    flagged = st.anomalies.filter(F.col("severity") != "low")
-    return metrics.dashboard(st.billing, flagged, st.forecasts, st.recommendations)
+    return metrics.dashboard(st.billing, st.anomalies, st.forecasts, st.recommendations)
 
 
 def _business_sql(per_row: bool) -> str:
@@ -816,7 +813,7 @@ def _business_sql(per_row: bool) -> str:
                          count(*) FILTER (bucket IN ('Idle', 'Critical Waste')) AS ir, count(DISTINCT resource_id) FILTER (bucket IN ('Idle', 'Critical Waste')) AS inn FROM scored GROUP BY 1) USING (organization_id)
        LEFT JOIN (SELECT organization_id, {r(money('estimated_savings'), 2)} AS s, avg(confidence) AS c, count(DISTINCT resource_id) AS a,
                          count(DISTINCT resource_id) FILTER (action ILIKE '%terminat%') AS tn FROM rec WHERE status = 'open' GROUP BY 1) USING (organization_id)
-       LEFT JOIN (SELECT organization_id, count(*) AS k FROM anom WHERE severity = 'critical' GROUP BY 1) USING (organization_id)"""
+       LEFT JOIN (SELECT organization_id, count(*) AS k FROM anom GROUP BY 1) USING (organization_id)"""
 
 
 def _business(spark, d, per_row):
@@ -824,7 +821,7 @@ def _business(spark, d, per_row):
     return metrics.business_kpis(
         st.billing,
         st.scored,
-        st.anomalies.filter(F.col("severity") == "critical"),
+        st.anomalies,
         st.recommendations,
         fx.registry(spark, d),
         per_classification=per_row,
@@ -850,7 +847,7 @@ def _(spark, d):
        FROM (SELECT organization_id, total_spend, coalesce(n, 0) AS anomaly_count, coalesce(saved, 0.0) AS potential_savings, coalesce(i, 0) AS idle_resources, forecast_next_period AS forecast_next
              FROM (SELECT organization_id, {r(money('cost'), 2)} AS total_spend FROM f1 WHERE year(date) = 1994 + CAST(substr(organization_id, 5, 1) AS INT) GROUP BY 1)
              LEFT JOIN ({NEWEST_FC}) USING (organization_id) LEFT JOIN ({OPEN_SAVED}) USING (organization_id)
-             LEFT JOIN (SELECT organization_id, count(*) AS n FROM anom WHERE severity <> 'low' GROUP BY 1) USING (organization_id)
+             LEFT JOIN (SELECT organization_id, count(*) AS n FROM anom GROUP BY 1) USING (organization_id)
              LEFT JOIN (SELECT organization_id, count(*) AS i FROM scored WHERE bucket IN ('Idle', 'Critical Waste') GROUP BY 1) USING (organization_id))""",
 )
 def _(spark, d):
@@ -858,7 +855,7 @@ def _(spark, d):
     snap = metrics.insight_snapshot(
         fx.with_dataset(st.billing),
         fx.datasets(spark, d),
-        st.anomalies.filter(F.col("severity") != "low"),
+        st.anomalies,
         st.scored,
         st.forecasts,
         st.recommendations,
@@ -886,19 +883,19 @@ def _(spark, d):
 @query(
     "anomalies_by_prefix",
     """SELECT organization_id, CASE WHEN upper(split_part(resource_id, '-', 1)) <> '' THEN upper(split_part(resource_id, '-', 1)) ELSE 'OTHER' END AS prefix, count(*) AS n
-       FROM anom WHERE severity <> 'low' GROUP BY 1, 2""",
+       FROM anom GROUP BY 1, 2""",
 )
 def _(spark, d):
-    return metrics.anomalies_by_prefix(fx.anomalies(spark, d).filter(F.col("severity") != "low"))
+    return metrics.anomalies_by_prefix(fx.anomalies(spark, d))
 
 
 @query(
     "top_flagged",
     """SELECT organization_id, resource_id, anomalies FROM (SELECT *, row_number() OVER (PARTITION BY organization_id ORDER BY anomalies DESC, resource_id) AS rn FROM (
-       SELECT organization_id, resource_id, count(*) AS anomalies FROM anom WHERE severity <> 'low' GROUP BY 1, 2)) WHERE rn <= 5""",
+       SELECT organization_id, resource_id, count(*) AS anomalies FROM anom GROUP BY 1, 2)) WHERE rn <= 5""",
 )
 def _(spark, d):
-    return metrics.top_flagged(fx.anomalies(spark, d).filter(F.col("severity") != "low"))
+    return metrics.top_flagged(fx.anomalies(spark, d))
 
 
 @query(
@@ -1073,12 +1070,12 @@ def _(spark, d):
     f"""SELECT query_id, vec_id, {r('score', 6)} AS score, CAST(rank AS INT) AS rank FROM (
          SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS score,
                 row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) DESC, c.vec_id) AS rank
-         FROM embeddings q JOIN embeddings c ON q.label = 0 AND c.label <> 0) WHERE rank <= 3""",
+         FROM embeddings q JOIN embeddings c ON q.vec_id % 20 = 0) WHERE rank <= 3""",
 )
 def _(spark, d):
     vectors = fx.table(spark, d, "embeddings")
-    asked = vectors.filter(F.col("label") == 0).select(F.col("vec_id").alias("query_id"), "embedding")
-    return retrieve.top_k(asked, vectors.filter(F.col("label") != 0))
+    asked = vectors.filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    return retrieve.top_k(asked, vectors)
 
 
 def _intent_sql() -> str:
@@ -1122,7 +1119,7 @@ def _(spark, d):
 @query(
     "purge_counts",
     """SELECT organization_id, 'processed_telemetry' AS table_name, count(*) AS n FROM f1 GROUP BY 1
-       UNION ALL SELECT organization_id, 'anomalies', count(*) FROM anom WHERE severity <> 'low' GROUP BY 1
+       UNION ALL SELECT organization_id, 'anomalies', count(*) FROM anom GROUP BY 1
        UNION ALL SELECT organization_id, 'waste_classifications', count(*) FROM scored GROUP BY 1
        UNION ALL SELECT organization_id, 'recommendations', count(*) FROM rec GROUP BY 1
        UNION ALL SELECT organization_id, 'forecast_results', count(*) FROM fc GROUP BY 1""",
@@ -1132,7 +1129,7 @@ def _(spark, d):
     return store.purge_counts(
         {
             "processed_telemetry": st.billing,
-            "anomalies": st.anomalies.filter(F.col("severity") != "low"),
+            "anomalies": st.anomalies,
             "waste_classifications": st.scored,
             "recommendations": st.recommendations,
             "forecast_results": st.forecasts,
