@@ -27,12 +27,13 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain, islice
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import tiktoken
 from pyspark.sql import DataFrame
@@ -47,22 +48,26 @@ BROADCAST_BYTES = 64 << 20
 SLICE = 1 << 19
 LINKED_TOKENS = 1 << 17
 RANKED_CHARS = 1_000  # longer units go to the library whose time does not grow with the square of a piece
-REMEMBERED, REMEMBERED_CHARS = 150_000, 64  # units kept in a worker process (some 250 bytes each), and their longest
+REMEMBERED, REMEMBERED_CHARS = 120_000, 64  # units kept in a worker process (some 250 bytes each), and their longest
 SPACE = "▁"  # fixed value: how sentence-piece models write a space
 _UNITS = re.compile(r"(?<=\S) (?=\S)").split
 
 
-def _ranked(path: str) -> tiktoken.Encoding | None:
-    """The vocabulary of a file as ranks, which a faster library encodes alike; None if its merges are not in the order of its ids."""
+def _vocabulary(path: str) -> tuple[tiktoken.Encoding | None, list[bytes]]:
+    """The bytes of all tokens of a file, and its vocabulary as ranks, which a faster library encodes alike; no ranks if
+    the merges are not in the order of their ids."""
     told = json.loads(Path(path).read_text(encoding="utf-8"))
     names, model = bpe.byte_names(), told["model"]
     spell = lambda token: bytes(names[c] for c in token)
-    special = {t["content"] for t in told["added_tokens"]}
+    special = {t["content"]: t["id"] for t in told["added_tokens"]}
     ids = {spell(token): i for token, i in model["vocab"].items() if token not in special}
+    found = [b""] * (1 + max([*ids.values(), *special.values()]))
+    for token, i in [*ids.items(), *((t.encode(), i) for t, i in special.items())]:
+        found[i] = token
     merged = [ids[spell("".join(m.split(" ") if isinstance(m, str) else m))] for m in model["merges"]]
     if merged != sorted(set(merged)) or len(ids) != len(merged) + 256:
-        return None
-    return tiktoken.Encoding("ranked", pat_str=bpe.PIECES, mergeable_ranks=ids, special_tokens={})
+        return None, found
+    return tiktoken.Encoding("ranked", pat_str=bpe.PIECES, mergeable_ranks=ids, special_tokens={}), found
 
 
 class Spelled:
@@ -90,16 +95,10 @@ class Tokenizers:
     """Both tokenizers, the bytes of their tokens, and the B id of the same bytes for every A id."""
 
     def __init__(self, a_path: str, b_path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already share out the cores
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
-        self.a.no_truncation()
-        self.a.no_padding()
-        self.ranked = _ranked(a_path)
+        self.a_path = a_path
+        self.ranked, a_bytes = _vocabulary(a_path)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        names = bpe.byte_names()
-        self.a_bytes = [bytes(names[c] for c in self.a.id_to_token(i) or "") for i in range(self.a.get_vocab_size())]
-        self.b_bytes, whole = [], {}
+        self.a_bytes, self.b_bytes, whole = a_bytes, [], {}
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
             if self.b.is_byte(i):
@@ -113,6 +112,7 @@ class Tokenizers:
                 whole.setdefault(data, i)
         self.a_spelled, self.b_spelled = Spelled(self.a_bytes), Spelled(self.b_bytes)
         self.a_size, self.b_size = self.a_spelled.size, self.b_spelled.size
+        self.kind = np.dtype("<u2" if max(len(self.a_bytes), len(self.b_bytes)) <= 1 << 16 else "<u4")
         # a piece that goes on behind a space would join words, and then texts must stay whole
         self.cut = (lambda text: [text]) if any(b" " in x.lstrip(b" ") for x in self.b_bytes) else _UNITS
         self.known_a: dict[str, bytes | None] = {}
@@ -121,6 +121,16 @@ class Tokenizers:
         self.a_name, self.b_name = (np.array([str(i) for i in range(len(own))], dtype=object) for own in (self.a_bytes, self.b_bytes))
         self.shown = np.array([f"{i}|{k}" for i, k in enumerate(self.same.tolist())], dtype=object)
 
+    @cached_property
+    def a(self) -> Tokenizer:
+        """The library for A itself, loaded where ranks do not do."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already share out the cores
+        made = Tokenizer.from_file(self.a_path)
+        made.encode_special_tokens = True
+        made.no_truncation()
+        made.no_padding()
+        return made
+
     def learn(self, units: set[str]) -> None:
         """Ids of new units as bytes; None where a tokenizer does not spell the unit behind a space."""
         new = list(units.difference(self.known_a))
@@ -140,17 +150,17 @@ class Tokenizers:
         sizes, text = np.fromiter(map(len, data), np.int64, len(new)), np.frombuffer(b"".join(data), dtype=np.uint8)
         right, kept = np.ones(len(new), dtype=bool), []
         for ids, spelled in ((coded, self.a_spelled), (self.b.encode(new, num_threads=1), self.b_spelled)):
-            flat, n = np.fromiter(chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(new))
+            flat, n = np.fromiter(chain.from_iterable(ids), self.kind), np.fromiter(map(len, ids), np.int64, len(new))
             right &= spelled.agree(flat, n, text, sizes)
-            kept.append((flat.tobytes(), (4 * np.cumsum(n)).tolist()))
+            kept.append((flat.tobytes(), (self.kind.itemsize * np.cumsum(n)).tolist()))
         (a, a_ends), (b, b_ends) = kept
         a_start = b_start = 0
         for unit, fine, a_end, b_end in zip(new, right.tolist(), a_ends, b_ends, strict=True):
             self.known_a[unit], self.known_b[unit] = (a[a_start:a_end], b[b_start:b_end]) if fine else (None, None)
             a_start, b_start = a_end, b_end
 
-    def encode(self, texts: list[str]) -> tuple[pa.ListArray, pa.ListArray]:
-        """A and B ids of every text; none where either does not spell the text behind a space."""
+    def encode(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
+        """A and B ids of every text as numbers of ``kind``; none where either does not spell the text behind a space."""
         units = [self.cut(t) if t else [] for t in texts]
         own = set(chain.from_iterable(units))
         self.learn(own)
@@ -162,8 +172,7 @@ class Tokenizers:
                     ids.append(b"".join(map(known.__getitem__, of_text)))
                 except TypeError:  # a unit that is not spelled right
                     ids.append(b"")
-            ends = np.cumsum([0, *map(len, ids)]) // 4
-            out.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), dtype=np.int32))))
+            out.append(ids)
         for unit in own:
             if len(unit) > REMEMBERED_CHARS:
                 del self.known_a[unit], self.known_b[unit]
@@ -176,9 +185,10 @@ def tokenizers(a_path: str, b_path: str) -> Tokenizers:
     return Tokenizers(a_path, b_path)
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _flat(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a slice of documents, and how many each has."""
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    n = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // kind.itemsize
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).astype(np.int64), n
 
 
 class Links:
@@ -186,7 +196,7 @@ class Links:
 
     def __init__(self, batch: pa.RecordBatch, both: Tokenizers) -> None:
         self.both, self.n_docs = both, batch.num_rows
-        (self.a, self.n_a), (self.b, self.n_b) = _flat(batch.column("a")), _flat(batch.column("b"))
+        (self.a, self.n_a), (self.b, self.n_b) = (_flat(batch.column(c), both.kind) for c in ("a", "b"))
         # bit 1: an A token ends in front of this byte, bit 2: a B token does
         mark = np.zeros(both.a_size[self.a].sum() + 1, dtype=np.uint8)
         mark[np.cumsum(both.a_size[self.a])] = 1
@@ -250,16 +260,16 @@ def tokens(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         both = tokenizers(a_path, b_path)
         for batch in batches:
             for part in arrow.slices(batch, "text", SLICE):
-                a, b = both.encode([t or "" for t in part.column("text").to_pylist()])
+                a, b = (pa.array(x, pa.binary()) for x in both.encode([t or "" for t in part.column("text").to_pylist()]))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), a, b], ["doc_id", "a", "b"])
 
-    coded = arrow.texts(docs).mapInArrow(run, "doc_id long, a array<int>, b array<int>")
+    coded = arrow.texts(docs).mapInArrow(run, "doc_id long, a binary, b binary")
     return durable(coded.withColumn("row", F.monotonically_increasing_id()))
 
 
 def _links(batches: Iterator[pa.RecordBatch], both: Tokenizers) -> Iterator[tuple[pa.RecordBatch, Links]]:
     for batch in batches:
-        ends = np.cumsum(batch.column("a").value_lengths().to_numpy(zero_copy_only=False))
+        ends = np.cumsum(pc.binary_length(batch.column("a")).to_numpy(zero_copy_only=False).astype(np.int64)) // both.kind.itemsize
         start = 0
         while start < batch.num_rows:  # about so many tokens at once, one document at least
             least = (ends[start - 1] if start else 0) + LINKED_TOKENS
