@@ -2,14 +2,16 @@
 
 A saved tree model is a table of nodes. A leaf contributes to a coalition of features its value
 times, for each feature on its path, either "the row passes" (feature known) or the share of
-training rows that passes (unknown). That game involves the path's features only, so its Shapley
-values are exact sums over the few subsets of those features.
+training rows that passes (unknown). Over all coalitions of one size these products are a coefficient of
+the polynomial with a factor (share + passes t) for each feature: it is multiplied up once for a leaf, and
+dividing by one factor leaves what the Shapley value of that feature weighs by size. That takes
+steps in the square of the path's features, where listing coalitions takes a power of two. Rows
+that pass the same cuts of a leaf share its values.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from itertools import combinations
 from math import factorial
 
 import numpy as np
@@ -49,24 +51,39 @@ def _leaves(nodes: pd.DataFrame, weights: dict[int, float], classifier: bool) ->
     return out
 
 
+def _shapley(passes: np.ndarray, shares: Sequence[float]) -> np.ndarray:
+    """Shapley values (rows, features) of a leaf of value 1, from which cuts each row passes (0 or 1)."""
+    n, m = passes.shape
+    whole = np.zeros((m + 1, n))
+    whole[0] = 1.0
+    for i in range(m):  # multiply by (share + passes t)
+        whole[1 : i + 2] = shares[i] * whole[1 : i + 2] + passes[:, i] * whole[: i + 1]
+        whole[0] *= shares[i]
+    weight = [factorial(k) * factorial(m - k - 1) / factorial(m) for k in range(m)]
+    out = np.empty((n, m))
+    for i in range(m):
+        own, share = passes[:, i], shares[i]
+        total, above = np.zeros(n), np.zeros(n)
+        for k in range(m - 1, -1, -1):  # coefficients of the quotient, from the highest
+            above = np.where(own > 0, whole[k + 1] - share * above, whole[k] / share)
+            total += weight[k] * above
+        out[:, i] = total * (own - share)
+    return out
+
+
 def _leaf_shapley(x: np.ndarray, path: dict) -> dict[int, np.ndarray]:
     """Shapley value of each path feature in the game of one leaf of value 1, for all rows."""
-    feats = list(path)
-    m = len(feats)
-    passes = {f: ((x[:, f] > path[f][0]) & (x[:, f] <= path[f][1])).astype("float64") for f in feats}
-    out = {}
-    for f in feats:
-        rest = [g for g in feats if g != f]
-        total = np.zeros(len(x))
-        for size in range(m):
-            w = factorial(size) * factorial(m - size - 1) / factorial(m)
-            for known in combinations(rest, size):
-                term = np.full(len(x), w)
-                for g in rest:
-                    term *= passes[g] if g in known else path[g][2]
-                total += term
-        out[f] = total * (passes[f] - path[f][2])
-    return out
+    feats, m = list(path), len(path)
+    if not m:
+        return {}
+    shares = [path[f][2] for f in feats]
+    passes = np.stack([(x[:, f] > path[f][0]) & (x[:, f] <= path[f][1]) for f in feats], axis=1)
+    if 1 << m <= len(x):  # fewer ways to pass than rows
+        ways = (np.arange(1 << m)[:, None] >> np.arange(m)) & 1
+        told = _shapley(ways.astype("float64"), shares)[passes @ (1 << np.arange(m))]
+    else:
+        told = _shapley(passes.astype("float64"), shares)
+    return {f: told[:, i] for i, f in enumerate(feats)}
 
 
 def node_table(model) -> DataFrame:
@@ -94,34 +111,59 @@ def contributions(
     outputs: Sequence[str],
     ident: Sequence[str],
     classifier: bool = True,
+    only: str | None = None,
 ) -> DataFrame:
     """(ident, output, base_value, prediction, contributions) for every row and model output.
 
-    ``contributions`` maps a feature to its value; base plus their sum is the prediction.
+    ``contributions`` maps a feature to its value; base plus their sum is the prediction. ``only`` names
+    a column of ``ident`` that holds the one output to explain in a row.
     """
     nodes = node_table(model).toPandas()
     trees = sorted(nodes["treeID"].unique())
     # a forest averages its trees, boosting adds them up with weights
     shares = [1.0 / len(trees)] * len(trees) if classifier else list(model.treeWeights)
-    leaves = _leaves(nodes, dict(zip(trees, shares, strict=True)), classifier)
+    return node_contributions(nodes, dict(zip(trees, shares, strict=True)), rows, features, outputs, ident, classifier, only)
+
+
+def node_contributions(
+    nodes: pd.DataFrame,
+    weights: dict[int, float],
+    rows: DataFrame,
+    features: Sequence[str],
+    outputs: Sequence[str],
+    ident: Sequence[str],
+    classifier: bool = True,
+    only: str | None = None,
+) -> DataFrame:
+    """``contributions`` for trees given as nodes in the form of ``node_table``, with a weight for each tree."""
+    leaves = _leaves(nodes, weights, classifier)
     base = sum(v * s for v, s, _ in leaves)
     kinds = dict(rows.dtypes)
     names, feats, labels = list(ident), list(features), list(outputs)
 
+    def told(pdf: pd.DataFrame, output, start, phi: np.ndarray) -> pd.DataFrame:
+        out = pdf[names].copy()
+        out["output"], out["base_value"], out["prediction"] = output, start, start + phi.sum(axis=1)
+        out["contributions"] = [dict(zip(feats, map(float, r))) for r in phi]
+        return out
+
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             x = pdf[feats].to_numpy("float64")
+            if only is not None:
+                at = pd.Index(labels).get_indexer(pdf[only])
+                phi = np.zeros((len(x), len(feats)))
+                for value, _, path in leaves:
+                    for f, part in _leaf_shapley(x, path).items():
+                        phi[:, f] += part * value[at]
+                yield told(pdf, pdf[only], base[at], phi)[at >= 0]
+                continue
             phi = np.zeros((len(x), len(feats), len(labels)))
             for value, _, path in leaves:
                 for f, part in _leaf_shapley(x, path).items():
                     phi[:, f, :] += part[:, None] * value[None, :]
             for k, label in enumerate(labels):
-                out = pdf[names].copy()
-                out["output"] = label
-                out["base_value"] = base[k]
-                out["prediction"] = base[k] + phi[:, :, k].sum(axis=1)
-                out["contributions"] = [dict(zip(feats, map(float, r))) for r in phi[:, :, k]]
-                yield out
+                yield told(pdf, label, base[k], phi[:, :, k])
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in names)
     filled = rows.select(*names, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in feats])

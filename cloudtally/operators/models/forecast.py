@@ -1,25 +1,36 @@
 """Daily cost forecasts with a calibrated band, one pooled model for every series.
 
-Labels and cost features are standardised per series, so a single boosted-tree model with
-absolute loss (its median) serves all tenants and services; the band comes from each series'
-own in-sample residuals. Spark ML has no pinball loss, hence no separate tail models.
+Labels and cost features are standardised per series, so one boosted model each for the median (absolute
+loss) and for the two tails (pinball loss, ``quantile_boost``) serves all tenants and services. A day's band is its
+own three quantiles put in order. It is then widened, never narrowed, by what its series shows: an
+order statistic of the misses on calibration days that the tails were not fitted on, and the
+percentiles of the median's training residuals.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass, field
+from weakref import WeakKeyDictionary
 
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cloudtally.functions.numeric import half_up
 from cloudtally.operators import evaluate, features
+from cloudtally.operators.models import attribution, quantile_boost
+from cloudtally.operators.series import by_day
 from cloudtally.runtime import durable
 
 LEAST_TRAINING_DAYS = 8  # eight of ten days, the least a series must have
 SERIES_KEY = ("organization_id", "level", "service_key")
 COST_FEATURES = ("rolling_avg_7d", "rolling_avg_30d", "lag_1d", "lag_7d")
+TAILS = (0.05, 0.95)
+LEVEL = 0.9  # share of days that a band should hold
+FITTED_SHARE = 0.8  # of a series' training days; the later ones calibrate its band
 INPUTS = ("day_of_week", "day_of_month", *COST_FEATURES, "active_resource_count")
 
 
@@ -44,7 +55,7 @@ def standardised(rows: DataFrame) -> DataFrame:
         .withColumn("_std", F.when(F.col("_std") > 0, F.col("_std")).otherwise(F.lit(1.0)))
         .drop("_n")
     )
-    joined = rows.join(stats, list(SERIES_KEY))
+    joined = mark_calibration(rows).join(stats, list(SERIES_KEY))
     unit = {c: (F.coalesce(F.col(c), F.col("_mean")) - F.col("_mean")) / F.col("_std") for c in COST_FEATURES}
     named = joined.withColumns({f"_x_{c}": e for c, e in unit.items()}).withColumns(
         {
@@ -57,29 +68,138 @@ def standardised(rows: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=inputs, outputCol="features").transform(out).drop(*inputs)
 
 
+def mark_calibration(rows: DataFrame) -> DataFrame:
+    """Mark each series' later training days, from which the width of its band is learnt."""
+    n = F.count_if("is_train").over(Window.partitionBy(*SERIES_KEY))
+    fitted = F.floor(n * F.lit(FITTED_SHARE).cast("decimal(9,6)"))
+    return rows.withColumn("is_calibration", F.col("is_train") & (F.row_number().over(by_day(SERIES_KEY)) > fitted))
+
+
 def left_out(rows: DataFrame) -> DataFrame:
     """Series too short for a forecast, with their numbers of days and training days."""
     days = rows.groupBy(*SERIES_KEY).agg(F.count("*").alias("n_days"), F.count_if("is_train").alias("n_train_days"))
     return days.filter(F.col("n_train_days") < LEAST_TRAINING_DAYS)
 
 
-def fit(rows: DataFrame, rounds: int = 150, depth: int = 4, seed: int = 42) -> GBTRegressionModel:
+@dataclass
+class Forecaster:
+    """The median model and the models of the tails."""
+
+    middle: GBTRegressionModel
+    tails: list[quantile_boost.QuantileModel] = field(default_factory=list)
+
+
+_ASSEMBLED: WeakKeyDictionary[DataFrame, DataFrame] = WeakKeyDictionary()
+
+
+def assembled(rows: DataFrame) -> DataFrame:
+    """``standardised`` rows, stored once for fitting, prediction and explanation."""
+    if rows not in _ASSEMBLED:
+        _ASSEMBLED[rows] = durable(standardised(rows))
+    return _ASSEMBLED[rows]
+
+
+def fit(rows: DataFrame, rounds: int = 150, depth: int = 4, seed: int = 42, tail_rounds: int | None = None) -> Forecaster:
+    """Fit the median and both tails; the tails take two fifths of ``rounds``, in larger steps, unless told otherwise."""
+    train = assembled(rows).filter("is_train").select("features", "label", "is_calibration")
+    train = durable(quantile_boost.compact(train, train.count()))
     trees = GBTRegressor(
         lossType="absolute", maxIter=rounds, maxDepth=depth, stepSize=0.05, subsamplingRate=0.8, seed=seed
     )
-    return trees.fit(standardised(rows).filter("is_train").select("features", "label"))
+    middle = trees.fit(train.select("features", "label"))
+    own = train.filter(~F.col("is_calibration"))
+    more = tail_rounds if tail_rounds is not None else max(1, rounds * 2 // 5)
+    return Forecaster(middle, [quantile_boost.fit(own, p, rounds=more, seed=seed) for p in TAILS])
+
+
+def predict(model: Forecaster, rows: DataFrame) -> DataFrame:
+    """Forecast with ``ci_lower <= forecast <= ci_upper`` for every row, and the three quantiles it comes from."""
+    money = lambda c: c * F.col("_std") + F.col("_mean")
+    made = model.middle.transform(assembled(rows)).select(
+        *rows.columns,
+        "is_calibration",
+        money(quantile_boost.predicted(model.tails[0])).alias("q_low"),
+        money(F.col("prediction")).alias("q_mid"),
+        money(quantile_boost.predicted(model.tails[1])).alias("q_high"),
+    )
+    return with_interval(durable(made)).drop("is_calibration")  # read for the widening and for the rows
+
+
+def with_interval(made: DataFrame, level: float = LEVEL) -> DataFrame:
+    """Add ``forecast``, ``ci_lower`` and ``ci_upper`` to rows with ``q_low``, ``q_mid`` and ``q_high``.
+
+    The three quantiles are put in order first. On a series' ``is_calibration`` days (n of them) the
+    ceil((n + 1) ``level``)-th smallest distance outside the two outer ones, or the largest if there are too few
+    days, is added on both sides. A series has one row per day, so its distances fit in one buffer.
+    """
+    three = F.array_sort(F.array("q_low", "q_mid", "q_high"))
+    ordered = made.withColumns({"_low": three[0], "forecast": three[1], "_high": three[2]})
+    miss = F.greatest(F.col("_low") - F.col("cost"), F.col("cost") - F.col("_high"))
+    rank = F.ceil((F.size("_misses") + 1) * F.lit(level).cast("decimal(9,6)"))
+    wider = (
+        ordered.groupBy(*SERIES_KEY)
+        .agg(
+            F.sort_array(F.collect_list(F.when(F.col("is_calibration"), miss))).alias("_misses"),
+            F.percentile(F.when(F.col("is_train"), F.col("cost") - F.col("forecast")), F.array(F.lit(0.02), F.lit(0.98))).alias("_band"),
+        )
+        .select(
+            *SERIES_KEY,
+            "_band",
+            F.greatest(F.lit(0.0), F.get("_misses", (F.least(rank, F.size("_misses")) - 1).cast("int"))).alias("_wider"),
+        )
+    )
+    low, high = F.col("forecast") + F.get("_band", F.lit(0)), F.col("forecast") + F.get("_band", F.lit(1))
+    return ordered.join(wider, list(SERIES_KEY)).select(
+        *made.columns,
+        "forecast",
+        F.least(F.col("_low") - F.col("_wider"), low).alias("ci_lower"),
+        F.greatest(F.col("_high") + F.col("_wider"), high).alias("ci_upper"),
+    )
+
+
+def coverage(predicted: DataFrame) -> DataFrame:
+    """Held-out days per tenant and level, and the percentages of them below each quantile and inside the band."""
+    share = lambda cond: half_up(F.avg(cond.cast("double")) * 100, 2)
+    cost = F.col("cost")
+    return (
+        predicted.filter(~F.col("is_train"))
+        .groupBy("organization_id", "level")
+        .agg(
+            F.count("*").alias("n_test_rows"),
+            *[share(cost <= F.col(c)).alias(f"below_{c}_pct") for c in ("q_low", "q_mid", "q_high")],
+            share(cost.between(F.col("ci_lower"), F.col("ci_upper"))).alias("inside_pct"),
+            half_up(F.avg(F.col("ci_upper") - F.col("ci_lower")), 4).alias("mean_width"),
+        )
+    )
+
+
+def inputs(rows: DataFrame, ident: Sequence[str]) -> DataFrame:
+    """The model's inputs as columns, behind those that identify a row."""
+    x = vector_to_array("features")
+    return assembled(rows).select(*ident, *[x[i].alias(c) for i, c in enumerate(INPUTS)])
+
+
+def explain(model: Forecaster, rows: DataFrame) -> DataFrame:
+    """What each input adds to a row's median forecast, in money; base plus contributions is that forecast."""
+    ident = [*SERIES_KEY, "date", "_mean", "_std"]
+    named = inputs(rows, ident)
+    return in_money(attribution.contributions(model.middle, named, INPUTS, ["cost"], ident, classifier=False))
 
 
-def predict(model: GBTRegressionModel, rows: DataFrame) -> DataFrame:
-    """Forecast with ``ci_lower <= forecast <= ci_upper`` for every row."""
-    made = model.transform(standardised(rows)).withColumn(
-        "forecast", F.col("prediction") * F.col("_std") + F.col("_mean")
+def in_money(explained: DataFrame) -> DataFrame:
+    """Contributions in units of a series' spread, scaled back by its ``_mean`` and ``_std``."""
+    money = lambda c: F.col(c) * F.col("_std") + F.col("_mean")
+    return explained.select(
+        *SERIES_KEY,
+        "date",
+        money("base_value").alias("base_value"),
+        money("prediction").alias("prediction"),
+        F.transform_values("contributions", lambda _, v: v * F.col("_std")).alias("contributions"),
     )
-    return with_band(durable(made.select(*rows.columns, "forecast")))  # read for the band and for the rows
 
 
 def with_band(made: DataFrame) -> DataFrame:
-    """Add ``ci_lower`` and ``ci_upper`` to rows that have a forecast.
+    """Add ``ci_lower`` and ``ci_upper`` to rows that have a forecast but no quantiles.
 
     The band is the 2nd to 98th percentile of the series' training residuals; a series has at
     most one row per day, so its exact percentiles fit in one aggregation buffer.

@@ -139,7 +139,9 @@ def predicted(model: QuantileModel, vector: str = "features") -> Column:
     return apply(vector_to_array(vector))
 
 
-def _leaves(tree: Tree, vector: str) -> Column:
+def leaves(tree: Tree, vector: str = "features") -> Column:
+    """The node number of the leaf that a vector falls into."""
+
     @F.pandas_udf("int")
     def leaf(x: pd.Series) -> pd.Series:
         return pd.Series(tree.leaf(_matrix(x)).astype("int32"))
@@ -175,7 +177,7 @@ def fit(
         current = current.select(vector, missed.alias("_missed")).withColumn("_slope", F.when(F.col("_missed") > 0, prob).otherwise(prob - 1)).persist()
         try:
             tree = structure(grower.fit(current.select(vector, "_slope")))
-            best = few_group_quantiles(current.select(_leaves(tree, vector).alias("_leaf"), "_missed"), "_leaf", "_missed", prob)
+            best = few_group_quantiles(current.select(leaves(tree, vector).alias("_leaf"), "_missed"), "_leaf", "_missed", prob)
         finally:
             current.unpersist()
         for leaf, value in best.items():

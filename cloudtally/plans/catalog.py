@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ from cloudtally.operators import (
     silver,
     waste,
 )
-from cloudtally.operators.models import attribution, forecast, isolation, waste_classifier
+from cloudtally.operators.models import attribution, forecast, isolation, quantile_boost, waste_classifier
 from cloudtally.operators.series import SERIES, latest_rows
 from cloudtally.plans import fixtures as fx
 from cloudtally.plans.oracle import ANOM_PARTS, DIMS, SERIES_W, band, clip, money, r, sql
@@ -1196,8 +1198,17 @@ def _(spark, d):
 
 @query("forecast_eval")
 def _(spark, d):
+    """Errors and coverage on held-out days: MAPE against yesterday's cost, and the share of days below each quantile."""
     rows = durable(forecast.series_rows(features.daily_series(fx.billing(spark, d))))
-    return forecast.evaluation(forecast.predict(forecast.fit(rows), rows))
+    made = durable(forecast.predict(forecast.fit(rows), rows))
+    return forecast.evaluation(made).join(forecast.coverage(made).drop("n_test_rows"), ["organization_id", "level"])
+
+
+@query("forecast_explained")
+def _(spark, d):
+    rows = durable(forecast.series_rows(features.daily_series(fx.billing(spark, d))))
+    model = forecast.fit(rows, tail_rounds=0)
+    return attribution.top_contributions(forecast.explain(model, rows))
 
 
 @query("iforest")
@@ -1275,6 +1286,92 @@ def _(spark, d):
     return forecast.evaluation(_given(spark, d))
 
 
+QUANTILES = f"""(SELECT *, three[1] AS low, three[2] AS mid, three[3] AS high, is_train AND rn > floor(0.8 * n_train) AS is_calibration FROM (
+  SELECT *, list_sort([lag1 * 0.9, forecast, lag1 * 1.05]) AS three, count(*) FILTER (is_train) OVER (PARTITION BY organization_id, level, service_key) AS n_train,
+         row_number() OVER (PARTITION BY organization_id, level, service_key ORDER BY date) AS rn FROM {GIVEN}))"""
+INTERVAL = f"""(SELECT g.*, least(low - wider, mid + band_low) AS ci_lower, greatest(high + wider, mid + band_high) AS ci_upper
+  FROM {QUANTILES} g JOIN (SELECT organization_id, level, service_key, band_low, band_high,
+         coalesce(greatest(0, misses[least(ceil((len(misses) + 1) * 0.9), len(misses))::INT]), 0) AS wider FROM (
+       SELECT organization_id, level, service_key, quantile_cont(cost - mid, 0.02) FILTER (is_train) AS band_low, quantile_cont(cost - mid, 0.98) FILTER (is_train) AS band_high,
+              list_sort(coalesce(list(greatest(low - cost, cost - high)) FILTER (is_calibration), [])) AS misses
+       FROM {QUANTILES} GROUP BY ALL)) USING (organization_id, level, service_key))"""
+
+
+def _given_interval(spark, d):
+    """Bands from quantiles that are given by yesterday's and last week's cost, and often cross."""
+    rows = forecast.mark_calibration(_given(spark, d)).withColumns(
+        {"q_low": F.col("lag_1d") * 0.9, "q_mid": F.col("forecast"), "q_high": F.col("lag_1d") * 1.05}
+    )
+    return forecast.with_interval(durable(rows.drop("forecast")))
+
+
+@query(
+    "forecast_interval",
+    f"""SELECT organization_id, level, service_key, date, {r('mid', 4)} AS forecast, {r('ci_lower', 4)} AS ci_lower, {r('ci_upper', 4)} AS ci_upper FROM {INTERVAL}""",
+)
+def _(spark, d):
+    out = _given_interval(spark, d).select("organization_id", "level", "service_key", "date", "forecast", "ci_lower", "ci_upper")
+    return rounded(out, 4, "forecast", "ci_lower", "ci_upper")
+
+
+@query(
+    "forecast_coverage",
+    f"""SELECT organization_id, level, count(*) AS n_test_rows, {r('avg(CAST(cost <= lag1 * 0.9 AS INT)) * 100', 2)} AS below_q_low_pct, {r('avg(CAST(cost <= forecast AS INT)) * 100', 2)} AS below_q_mid_pct,
+              {r('avg(CAST(cost <= lag1 * 1.05 AS INT)) * 100', 2)} AS below_q_high_pct, {r('avg(CAST(cost BETWEEN ci_lower AND ci_upper AS INT)) * 100', 2)} AS inside_pct,
+              {r('avg(ci_upper - ci_lower)', 4)} AS mean_width
+       FROM {INTERVAL} WHERE NOT is_train GROUP BY 1, 2""",
+)
+def _(spark, d):
+    return forecast.coverage(_given_interval(spark, d))
+
+
+PINBALL_LEAF = "CASE WHEN lag1 <= 2000 THEN 1 WHEN month(date) <= 6 THEN 3 ELSE 4 END"
+PINBALL_TREE = quantile_boost.Tree(  # yesterday's cost, then the month
+    np.array([0, -1, 1, -1, -1]), np.array([2000.0, 0.0, 6.0, 0.0, 0.0]), np.array([1, -1, 3, -1, -1]), np.array([2, -1, 4, -1, -1]), np.zeros(5)
+)
+
+
+@query(
+    "pinball_leaves",
+    f"""SELECT leaf, quantile, miss AS value FROM (SELECT *, row_number() OVER (PARTITION BY leaf, quantile ORDER BY miss) AS rn, count(*) OVER (PARTITION BY leaf, quantile) AS n FROM (
+         SELECT CAST({PINBALL_LEAF} AS INT) AS leaf, cost - lag1 AS miss, unnest([0.05, 0.5, 0.95])::DOUBLE AS quantile FROM {GIVEN})) WHERE rn = greatest(ceil(quantile * n - 1e-9), 1)""",
+)
+def _(spark, d):
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = _given(spark, d).select("lag_1d", F.month("date").cast("double").alias("month"), (F.col("cost") - F.col("lag_1d")).alias("miss"))
+    vectors = VectorAssembler(inputCols=["lag_1d", "month"], outputCol="features").transform(rows)
+    kept = durable(vectors.select(quantile_boost.leaves(PINBALL_TREE, "features").alias("leaf"), "miss"))
+    found = [(leaf, q, v) for q in (0.05, 0.5, 0.95) for leaf, v in quantile_boost.few_group_quantiles(kept, "leaf", "miss", q).items()]
+    return spark.createDataFrame(found, "leaf int, quantile double, value double")
+
+
+EXPLAINED_TREE = pd.DataFrame(  # treeID, id, prediction, impurityStats (rows first), children, feature and cut
+    [
+        (0, 0, 0.0, [100.0], 1, 2, 4, 0.0), (0, 1, -0.5, [60.0], -1, -1, -1, 0.0), (0, 2, 0.5, [40.0], 3, 4, 0, 4.0),
+        (0, 3, 0.3, [30.0], -1, -1, -1, 0.0), (0, 4, 1.2, [10.0], -1, -1, -1, 0.0),
+    ],
+    columns=["treeID", "id", "prediction", "impurityStats", "leftChild", "rightChild", "featureIndex", "threshold"],
+)
+
+
+@query(
+    "explain_forecast",
+    f"""SELECT organization_id, level, service_key, date, {r('(-0.09) * s + m', 4)} AS base_value, {r('v_ab * s + m', 4)} AS prediction,
+              {r('0.5 * (v_a + 0.09 + v_ab - v_b) * s', 4)} AS lag_1d, {r('0.5 * (v_b + 0.09 + v_ab - v_a) * s', 4)} AS day_of_week
+       FROM (SELECT *, CASE WHEN low THEN -0.5 ELSE 0.525 END AS v_a, -0.3 + 0.4 * b AS v_b, CASE WHEN low THEN -0.5 ELSE b END AS v_ab FROM (
+         SELECT g.*, m, s, lag1 <= m AS low, CASE WHEN isodow(date) - 1 <= 4 THEN 0.3 ELSE 1.2 END AS b FROM {GIVEN} g
+         JOIN (SELECT organization_id, level, service_key, avg(cost) AS m, coalesce(nullif(stddev_samp(cost), 0), 1.0) AS s FROM {GIVEN} WHERE is_train
+               GROUP BY ALL HAVING count(*) >= 8) USING (organization_id, level, service_key)))""",
+)
+def _(spark, d):
+    ident = [*forecast.SERIES_KEY, "date", "_mean", "_std"]
+    named = forecast.inputs(_given(spark, d), ident)
+    told = forecast.in_money(attribution.node_contributions(EXPLAINED_TREE, {0: 1.0}, named, forecast.INPUTS, ["cost"], ident, classifier=False))
+    out = told.select(*forecast.SERIES_KEY, "date", "base_value", "prediction", *[F.col("contributions")[c].alias(c) for c in ("lag_1d", "day_of_week")])
+    return rounded(out, 4, "base_value", "prediction", "lag_1d", "day_of_week")
+
+
 @query("forecast_left_out", f"SELECT organization_id, level, service_key, count(*) AS n_days, count(*) FILTER (is_train) AS n_train_days FROM {GIVEN} GROUP BY ALL HAVING n_train_days < 8")
 def _(spark, d):
     return forecast.left_out(_given(spark, d))
