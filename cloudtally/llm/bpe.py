@@ -15,6 +15,8 @@ import gc
 import hashlib
 import json
 from collections.abc import Callable
+from functools import lru_cache
+from itertools import islice
 from pathlib import Path
 
 import ahocorasick
@@ -29,8 +31,8 @@ from cloudtally.llm import arrow
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
-#: Encodings of so many different pieces, and of so many words, are remembered in a task (some 150 bytes each).
-REMEMBERED = 400_000
+#: Encodings of so many different pieces, and of so many words, are remembered in a worker process (some 150 bytes each).
+REMEMBERED = 200_000
 NEVER = 1 << 62
 
 
@@ -95,6 +97,13 @@ class Vocabulary:
         return True
 
 
+def _forget_half(known: dict) -> None:
+    """Drop the older half of the entries."""
+    newer = list(islice(known.items(), (len(known) + 1) // 2, None))
+    known.clear()
+    known.update(newer)
+
+
 class Codec:
     """Encodes and decodes whole texts with one vocabulary."""
 
@@ -105,7 +114,7 @@ class Codec:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.words.special)) + ")").split if self.words.special else None
         self.remembered = remembered
         self._fits: dict[int, bool] = {}  # plain numbers as keys, which the garbage collector need not visit
-        codec = self
+        owner = self
 
         class Known(dict):
             """Encodings as bytes, by what is made of a key where it is missing."""
@@ -115,8 +124,8 @@ class Codec:
                 self.make = make
 
             def __missing__(self, key: str) -> bytes:
-                if len(self) >= codec.remembered:
-                    self.clear()
+                if len(self) >= owner.remembered:
+                    _forget_half(self)
                 made = self.make(key)
                 if len(key) <= 64:
                     self[key] = made
@@ -143,7 +152,7 @@ class Codec:
 
     def fit(self, key: int) -> bool:
         if len(self._fits) >= 4 * self.remembered:
-            self._fits.clear()
+            _forget_half(self._fits)
         known = self._fits[key] = self.words.fit(key >> 32, key & 0xFFFFFFFF)
         return known
 
@@ -183,6 +192,12 @@ class Codec:
         return b"".join(map(self.words.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=2)
+def codec(path: str) -> Codec:
+    """One codec in each worker process: later tasks find its vocabulary and the words it has met."""
+    return Codec(path)
+
+
 def _strings(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
@@ -191,10 +206,10 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and ids (array of int) of every text."""
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        codec = Codec(path)
+        own = codec(path)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids = [codec.encode(t).astype(np.int32) for t in _strings(batch.column("text"))]
+            ids = [own.encode(t).astype(np.int32) for t in _strings(batch.column("text"))]
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
         return work
@@ -206,11 +221,11 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
     """doc_id and text of every row of ids; null ids give the empty text."""
 
     def run(batches):
-        codec = Codec(path)
+        own = codec(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                made = [codec.decode(np.asarray(x or [], dtype=np.uint32)) for x in part.column("ids").to_pylist()]
+                made = [own.decode(np.asarray(x or [], dtype=np.uint32)) for x in part.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(made, pa.string())], ["doc_id", "text"])
 
     return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
@@ -223,15 +238,15 @@ def digests(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     """
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        codec = Codec(path)
+        own = codec(path)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             n, of_ids, of_text, kept = [], [], [], []
             for text in _strings(batch.column("text")):
-                ids = codec.encode(text)
+                ids = own.encode(text)
                 n.append(len(ids))
                 of_ids.append(hashlib.sha256(ids.tobytes()).hexdigest())
-                of_text.append(hashlib.sha256(codec.decode(ids).encode()).hexdigest())
+                of_text.append(hashlib.sha256(own.decode(ids).encode()).hexdigest())
                 if with_ids:
                     kept.append(ids.astype(np.int32))
             columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]

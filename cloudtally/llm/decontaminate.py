@@ -7,10 +7,12 @@ The passage around the seeds a document shares with an item is aligned with the
 over words, so replaced, inserted and dropped words cost a little and reordered text costs much.
 A document is contaminated where a passage reaches ``limit`` of the score of the item itself.
 
-Items are far fewer than documents; while their n-grams take ``broadcast_bytes`` at most they go to all
-tasks, and documents are read in place. Beyond that the items are cut into blocks of that
-size, as many passes as blocks. An item of fewer than ``n`` words is one n-gram. Items without words match
-nothing, null texts neither; repeated items and rows get the same answers each.
+Items are far fewer than documents; while their n-grams and texts take ``broadcast_bytes`` at most they go to all
+tasks, and documents are read in place. Beyond that the items are cut into blocks of that size, which pass the
+driver one after another: the scores of a block are stored before the next one is looked at. An item of fewer than
+``n`` words is one n-gram. Items without words match nothing, null texts neither. Every row of ``items`` is an
+item of its own, whatever its id: texts that share an id are all aligned, and those without one are found too, with
+a null in the place of the id. Repeated items and rows get the same answers each.
 """
 
 from __future__ import annotations
@@ -56,17 +58,16 @@ def ngrams(words: np.ndarray, n: int) -> np.ndarray:
 
 
 def grams_of_items(items: DataFrame, n: int = NGRAM) -> DataFrame:
-    """item_id and gram (a long), distinct."""
+    """Row number of the item and gram (a long), distinct."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [np.unique(ngrams(codes(t), n)).view(np.int64) for t in arrow.raw(batch.column("text"))]
-            ids = batch.column("item_id").take(pa.array(np.repeat(np.arange(len(made)), [len(m) for m in made])))
+            rows = batch.column("row").take(pa.array(np.repeat(np.arange(len(made)), [len(m) for m in made])))
             grams = np.concatenate(made) if made else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(grams)], ["item_id", "gram"])
+            yield pa.RecordBatch.from_arrays([rows, pa.array(grams)], ["row", "gram"])
 
-    cut = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    return cut.mapInArrow(run, "item_id long, gram long").distinct()
+    return items.select("row", "text").mapInArrow(run, "row long, gram long")
 
 
 def _found(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -131,10 +132,10 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
 
 
 class Seeds:
-    """The items of a block: words, seeds, and which items have each seed."""
+    """The items of a block by row number: ids, words, seeds, and which items have each seed."""
 
-    def __init__(self, words: dict[int, np.ndarray], pairs: np.ndarray) -> None:
-        self.words = words
+    def __init__(self, ids: dict[int, int | None], words: dict[int, np.ndarray], pairs: np.ndarray) -> None:
+        self.ids, self.words = ids, words
         order = np.argsort(pairs[:, 1].view(np.uint64), kind="stable")
         self.item, gram = pairs[order, 0], pairs[order, 1].view(np.uint64)
         self.gram, self.first, self.count = np.unique(gram, return_index=True, return_counts=True)
@@ -158,22 +159,29 @@ class Seeds:
             yield item, max(start, 0), min(end, len(text))
 
 
-def blocks(items: DataFrame, docs: DataFrame, n: int, rare: int, broadcast_bytes: int) -> list[Seeds]:
-    """The items with their seeds, in blocks of a bounded size."""
-    grams = durable(grams_of_items(items, n))
-    size = 16 * grams.count()
-    n_blocks = max(1, -(-size // broadcast_bytes))
-    found, n_docs = [], docs.count()
+def blocks(items: DataFrame, docs: DataFrame, n: int, rare: int, broadcast_bytes: int) -> Iterator[tuple[Seeds, bool]]:
+    """The items with their seeds in blocks of a bounded size, and whether it is the last one."""
+    cut = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    numbered = durable(cut.withColumn("row", F.monotonically_increasing_id()))
+    grams = durable(grams_of_items(numbered, n))
+    # words are kept as eight bytes each, about what they take as text
+    size = 16 * grams.count() + (numbered.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0)
+    n_blocks, n_docs = max(1, -(-size // broadcast_bytes)), docs.count()
     for k in range(n_blocks):
-        own = grams.filter(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k).toPandas()
-        words = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-        words = words.filter(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k).collect()
+        block = lambda df: df.filter(F.pmod(F.xxhash64("row"), F.lit(n_blocks)) == k)  # noqa: B023, E731
+        own, told = block(grams).toPandas(), block(numbered).collect()
         counted = frequencies(docs, own["gram"].to_numpy(np.int64), n).toPandas()
-        own = own[own["item_id"].notna()].merge(counted, on="gram")
-        half = own.groupby("item_id")["n"].transform("median")
+        own = own.merge(counted, on="gram")
+        half = own.groupby("row")["n"].transform("median")
         own = own[own["n"] <= np.maximum(half, max(RARE_DOCS, n_docs / rare))]
-        found.append(Seeds({r.item_id: codes((r.text or "").encode()) for r in words if r.item_id is not None}, own[["item_id", "gram"]].to_numpy(np.int64)))
-    return found
+        words = {r.row: codes((r.text or "").encode()) for r in told}
+        yield Seeds({r.row: r.item_id for r in told}, words, own[["row", "gram"]].to_numpy(np.int64)), k == n_blocks - 1
+
+
+def better(one: tuple[int | None, float], other: tuple[int | None, float]) -> tuple[int | None, float]:
+    """The higher score; of equal ones that of the smaller id, and of an id rather than none."""
+    key = lambda x: (x[1], x[0] is not None, -(x[0] or 0))
+    return one if key(one) >= key(other) else other
 
 
 def judge(texts: list[bytes], seeds: Seeds, n: int) -> list[tuple[int | None, float]]:
@@ -188,19 +196,29 @@ def judge(texts: list[bytes], seeds: Seeds, n: int) -> list[tuple[int | None, fl
             name.append(item)
     best: list[tuple[int | None, float]] = [(None, 0.0)] * len(texts)
     for t, item, s in zip(owner, name, align(items, passages), strict=True):
-        if (s, -item) > (best[t][1], -(best[t][0] if best[t][0] is not None else item + 1)):
-            best[t] = (item, float(s))
+        best[t] = better(best[t], (seeds.ids[item], float(s)))
     return best
 
 
-def score(docs: DataFrame, items: DataFrame, n: int = NGRAM, rare: int = RARE, broadcast_bytes: int = BROADCAST_BYTES, names: tuple[str, str] = ("item_id", "score")) -> DataFrame:
+def score(
+    docs: DataFrame,
+    items: DataFrame,
+    n: int = NGRAM,
+    rare: int = RARE,
+    broadcast_bytes: int = BROADCAST_BYTES,
+    names: tuple[str, str] = ("item_id", "score"),
+) -> DataFrame:
     """The documents, all columns as they are, with the best item and its alignment score.
 
-    Of items with equal scores the one with the smaller id is named. The two new columns are called ``names``.
+    Of items with equal scores the one with the smaller id is named. The two new columns are called ``names``, with an
+    underscore in front for as long as the documents have such a column.
     """
-    out = docs
-    for k, seeds in enumerate(blocks(items, docs, n, rare, broadcast_bytes)):
-        out = _scored(out, seeds, n, names, first=k == 0)
+    while {x.lower() for x in names} & {c.lower() for c in docs.columns}:
+        names = (f"_{names[0]}", f"_{names[1]}")
+    out, first = docs, True
+    for seeds, last in blocks(items, docs, n, rare, broadcast_bytes):
+        out = _scored(out, seeds, n, names, first)
+        out, first = out if last else durable(out), False
     return out
 
 
@@ -215,7 +233,7 @@ def _scored(docs: DataFrame, seeds: Seeds, n: int, names: tuple[str, str], first
                 found = judge(arrow.raw(part.column("text")), sent.value, n)
                 if not first:
                     before = zip(part.column(names[0]).to_pylist(), part.column(names[1]).to_pylist(), strict=True)
-                    found = [max(a, b, key=lambda x: (x[1], -x[0] if x[0] is not None else 0)) for a, b in zip(before, found, strict=True)]
+                    found = [better(a, b) for a, b in zip(before, found, strict=True)]
                 columns = [part.column(c) for c in kept]
                 columns += [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, *names])

@@ -4,11 +4,13 @@ Lines are counted once by 128-bit hashes, with map-side combining. What must los
 an index of shards of some 65,000 lines: a minimal perfect hash gives each line of a shard its own
 slot, and slots hold a 64-bit fingerprint, the number of documents and the document that keeps the
 line, in compact arrays. Documents probe these arrays where they are read, so no text is shuffled.
-An index beyond ``broadcast_bytes`` is not sent out; the documents' line hashes then meet it in a join.
+An index beyond ``broadcast_bytes`` is not sent out: the documents' line hashes then go to the tasks that hold
+the arrays of their shards, which read one shard at a time; a shard that more than ``PROBES`` hashes ask for is
+copied, each copy for a part of them. What is to be dropped goes back to the documents in a join.
 
 A line's key is the line without the white space around it, with A-Z in lower case; keys under
 ``min_chars`` code points are never dropped. Every row is a document, so rows that repeat a doc_id
-count apart and, if theirs is the largest doc_id, all keep the line. A null doc_id is smaller than
+count apart (told apart by a hash of their texts) and, if theirs is the largest doc_id, all keep the line. A null doc_id is smaller than
 any other. Null texts count as empty and stay null. Lines are joined again as they were, whatever
 their length; a document may end up empty.
 """
@@ -34,6 +36,7 @@ BROADCAST_BYTES = 64 << 20
 SPACE = b" \t\n\r\x0b\x0c"
 NOBODY = -(1 << 63)
 LEVELS = 40
+PROBES = 1_000_000  # hashes that ask one copy of a shard
 _CONTINUED = bytes(range(0x80, 0xC0))
 
 
@@ -171,6 +174,47 @@ def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return arrow.per_slice(arrow.texts(docs), "h1 long, h2 long, doc_id long", make, "text")
 
 
+def shard_probes(docs: DataFrame, index: DataFrame, n_shards: int, min_chars: int, probes: int = PROBES) -> DataFrame:
+    """doc, tag (a hash of the text) and h2 of every line that its row must drop, found in the shards' arrays."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in arrow.slices(whole, "text"):
+                row, pairs, _ = _doc_keys(batch, min_chars)
+                signed = pairs.view(np.int64)
+                ids, tags = (batch.column(c).take(pa.array(row)) for c in ("doc_id", "tag"))
+                yield pa.RecordBatch.from_arrays([pa.array(signed[:, 0] % n_shards), pa.array(signed[:, 0]), pa.array(signed[:, 1]), ids, tags], ["shard", "h1", "h2", "doc", "tag"])
+
+    keyed = arrow.texts(docs).select(F.coalesce("doc_id", F.lit(NOBODY)).alias("doc_id"), "text", F.xxhash64("text").alias("tag"))
+    asked = durable(keyed.mapInArrow(ask, "shard long, h1 long, h2 long, doc long, tag long"))  # counted, then asked
+    copies = asked.groupBy("shard").agg(F.ceil(F.count("*") / probes).cast("int").alias("copies")).filter("copies > 1")
+    spread = lambda df: df.join(F.broadcast(copies), "shard", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    held = spread(index.drop("counts")).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    dealt = spread(asked).withColumn("copy", F.pmod(F.xxhash64("doc", "tag", "h1"), F.col("copies")).cast("int")).drop("copies")
+    both = held.withColumn("kind", F.lit(0)).unionByName(dealt.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = both.repartition(parts, "shard", "copy").sortWithinPartitions("shard", "copy", "kind")
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, place = None, None
+        for batch in batches:
+            shard, copy, kind = (batch.column(c).to_numpy() for c in ("shard", "copy", "kind"))
+            cuts = np.flatnonzero((np.diff(shard) != 0) | (np.diff(copy) != 0) | (np.diff(kind) != 0)) + 1
+            for start, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), len(shard)], strict=True):
+                part = batch.slice(start, stop - start)
+                if not len(part):
+                    continue
+                if kind[start] == 0:
+                    here, place = Index(part.slice(0, 1).to_pylist(), n_shards), (shard[start], copy[start])
+                elif place == (shard[start], copy[start]):  # a shard without repeated lines has no arrays
+                    pairs = np.stack([part.column(c).to_numpy(zero_copy_only=False) for c in ("h1", "h2")], axis=1).astype(np.int64).view(np.uint64)
+                    found, keeper = here.keepers(pairs)
+                    lost = np.flatnonzero(found & (part.column("doc").to_numpy(zero_copy_only=False) < keeper))
+                    yield part.select(["doc", "tag", "h2"]).take(pa.array(lost))
+
+    return met.mapInArrow(answer, "doc long, tag long, h2 long")
+
+
 def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """h1, h2, number of documents and keeper of every line in at least ``min_docs`` documents."""
     counted = line_hashes(docs, min_chars).groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
@@ -224,6 +268,13 @@ def _rewrite(batch: pa.RecordBatch, drop: Callable[[np.ndarray, np.ndarray], np.
     return [None if z else x for x, z in zip(kept_lines, nulls, strict=True)], n_lines, n_dropped
 
 
+def _free(name: str, taken: list[str]) -> str:
+    """A column name that is not taken."""
+    while name.lower() in {c.lower() for c in taken}:
+        name = f"_{name}"
+    return name
+
+
 def dedup(
     docs: DataFrame,
     min_chars: int = MIN_CHARS,
@@ -233,26 +284,23 @@ def dedup(
 ) -> DataFrame:
     """The documents without their repeated lines, all other columns as they are.
 
-    ``counts`` names two columns to add: lines before, and lines dropped.
+    ``counts`` names two columns to add: lines before, and lines dropped, with underscores in front where the documents have them.
     """
     lines = repeated_lines(docs, min_chars, min_docs)
     index, n_shards = build_index(lines)
     size = index.agg(F.sum(sum(F.length(c) for c in ("bits", "rest", "fingerprints", "keepers")))).first()[0] or 0
-    added = [T.StructField(c, T.LongType()) for c in counts or ()]
+    added = [T.StructField(_free(c, docs.columns), T.LongType()) for c in counts or ()]
     schema = T.StructType([*(T.StructField("text", T.StringType()) if f.name == "text" else f for f in docs.schema), *added])
-    own_columns, all_columns, spread = docs.columns, schema.names, docs
+    own_columns, all_columns, spread, lists = docs.columns, schema.names, docs, ""
     if size <= broadcast_bytes:
         shards = docs.sparkSession.sparkContext.broadcast([r.asDict() for r in index.drop("counts").collect()])
     else:
         shards = None
-        lost = (
-            line_hashes(docs, min_chars)
-            .join(lines, ["h1", "h2"])
-            .filter(F.coalesce("doc_id", F.lit(NOBODY)) < F.col("keeper"))
-            .groupBy(F.coalesce("doc_id", F.lit(NOBODY)).alias("_doc"))
-            .agg(F.collect_set("h2").alias("_lost"))
-        )
-        spread = docs.join(lost, F.coalesce(docs["doc_id"], F.lit(NOBODY)) == lost["_doc"], "left").drop("_doc")
+        doc, tag, lists = (_free(c, docs.columns) for c in ("doc", "tag", "lost"))
+        lost = shard_probes(docs, index, n_shards, min_chars).groupBy("doc", "tag").agg(F.collect_set("h2").alias(lists))
+        lost = lost.select(F.col("doc").alias(doc), F.col("tag").alias(tag), lists)
+        own = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NOBODY)) == lost[doc]) & (F.xxhash64(docs["text"].cast("string")) == lost[tag])
+        spread = docs.join(lost, own, "left").drop(doc, tag)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(shards.value, n_shards) if shards is not None else None
@@ -264,7 +312,7 @@ def dedup(
                     if index is not None:
                         found, keeper = index.keepers(pairs)
                         return found & (keeper != ids[rows])
-                    own = [set(x or ()) for x in batch.column("_lost").to_pylist()]
+                    own = [set(x or ()) for x in batch.column(lists).to_pylist()]
                     return np.array([h in own[r] for r, h in zip(rows, pairs[:, 1].view(np.int64).tolist(), strict=True)], dtype=bool)
 
                 text, n_lines, n_dropped = _rewrite(batch, drop, min_chars)

@@ -4,10 +4,14 @@ A rule names a host and a path prefix; it fits the host and its subdomains, and
 rule decides. For other pages the host's place in the link graph does: personalised PageRank spreads
 trust from allowed hosts along links, and distrust from blocked hosts against them (who links to bad
 hosts is suspect). Hosts link where a page names another host in an href or src, and a host and its parent
-domain, if both have pages, vouch for each other. Scores are whole numbers (a seed has ``UNIT``), so
-that sums do not depend on their order. A host with more distrust than trust is blocked, however small
-its share: shares shrink with the number of links of a hub, so a least share would depend on the graph's size.
-The SQL form still has such a least share.
+domain, if both have pages, vouch for each other.
+
+A seed keeps ``UNIT``. A host's trust is what its linkers pass on, each its own in equal shares. A host's distrust is
+the mean of its targets', so it tells how often a walk along its links ends at blocked hosts, whatever the number of
+others that link there. Both lose 15 per cent a link. A host has a threshold of its own: it is blocked if its distrust
+exceeds its trust and at least half of what it would be if all its links were as bad as its worst. Scores are
+whole numbers (a seed has ``UNIT``, a share below one counts as none), so that sums do not depend on their order;
+rounds go on until no score moves by more than ``STILL``, or ``rounds`` are done.
 
 Only DataFrame and SQL functions are used. Links are made distinct per pair of hosts with map-side
 combining before anything is joined, so a host with a third of all pages is one node like others. A round
@@ -19,7 +23,7 @@ distrust. Null html has no links. Repeated rows are judged alike; every row give
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +32,8 @@ from cloudtally.runtime import durable
 
 UNIT = 1_000_000_000
 DAMPING = 85  # per cent of a score that goes on along links
-ROUNDS = 10
-LEAST_DISTRUST = UNIT // 1000  # in the SQL form only
+ROUNDS = 60  # by then every score is still: 0.85 to the power of 60 is less than STILL
+STILL = UNIT // 10_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINKS = r"""(?:href|src|HREF|SRC)\s*=\s*["']?(?:[hH][tT][tT][pP][sS]?:)?//([^/?#"'\s<>]+)"""
 
@@ -84,29 +88,57 @@ def seeds(pages: DataFrame) -> DataFrame:
     return pages.filter("host <> ''").groupBy("host").agg(kind.alias("kind")).filter("kind is not null")
 
 
+def _rounds(start: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int) -> DataFrame:
+    """Scores (host, score) after rounds that end when all are still; four rounds at a time are stored and compared."""
+    now = durable(start)
+    done = 0
+    while done < rounds:
+        later, again = now, min(4, rounds - done)
+        for _ in range(again):
+            later = step(later)
+        later, done = durable(later), done + again
+        before = now.select("host", F.col("score").alias("before"))
+        moved = later.join(before, "host", "left").filter(F.abs(F.col("score") - F.coalesce("before", F.lit(0))) > STILL)
+        now = later
+        if moved.isEmpty():
+            break
+    return now
+
+
 def scores(edges: DataFrame, start: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """host, trust and distrust after ``rounds`` rounds."""
-    forward = edges.select(F.lit("trust").alias("kind"), F.col("source").alias("host"), F.col("target").alias("to"))
-    back = edges.select(F.lit("distrust").alias("kind"), F.col("target").alias("host"), F.col("source").alias("to"))
-    ways = forward.union(back)
-    degree = ways.groupBy("kind", "host").agg(F.count("*").alias("degree"))
-    ways = durable(ways.join(degree, ["kind", "host"]))
-    fixed = durable(start.select("host", "kind", F.lit(UNIT // 100 * (100 - DAMPING)).cast("long").alias("score")))
-    now = start.select("host", "kind", F.lit(UNIT).cast("long").alias("score"))
-    for k in range(rounds):
-        passed = now.join(ways, ["kind", "host"]).select(F.col("to").alias("host"), "kind", F.expr(f"(score * {DAMPING}) div (100 * degree)").alias("score"))
-        now = passed.union(fixed.select("host", "kind", "score")).groupBy("host", "kind").agg(F.sum("score").alias("score"))
-        if k % 4 == 3:
-            now = durable(now)
-    of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0)).alias(kind)
-    return now.groupBy("host").agg(of("trust"), of("distrust"))
+    """host, trust, distrust and the largest distrust of its targets, after at most ``rounds`` rounds."""
+    out = edges.groupBy("source").agg(F.count("*").alias("degree"))
+    edges = durable(edges.join(out, "source"))
+    seeded = durable(start)
+    of = lambda kind, score: seeded.filter(F.col("kind") == kind).select("host", F.lit(score).cast("long").alias("score"))
+    good, bad = of("trust", UNIT), of("distrust", UNIT)
+
+    def forward(now: DataFrame) -> DataFrame:
+        passed = edges.join(now.withColumnRenamed("host", "source"), "source")
+        shares = passed.groupBy(F.col("target").alias("host")).agg(F.expr(f"sum((score * {DAMPING}) div (100 * degree))").alias("score"))
+        return shares.union(good).groupBy("host").agg(F.max("score").alias("score"))
+
+    def backward(now: DataFrame) -> DataFrame:
+        met = edges.join(now.withColumnRenamed("host", "target"), "target")
+        mean = met.groupBy(F.col("source").alias("host")).agg(F.expr(f"({DAMPING} * sum(score)) div (100 * max(degree))").alias("score"))
+        return mean.union(bad).groupBy("host").agg(F.max("score").alias("score"))
+
+    trust, distrust = _rounds(good, forward, rounds), _rounds(bad, backward, rounds)
+    worst = edges.join(distrust.withColumnRenamed("host", "target"), "target").groupBy(F.col("source").alias("host")).agg(F.max("score").alias("worst"))
+    named = distrust.withColumnRenamed("score", "distrust").join(trust.withColumnRenamed("score", "trust"), "host", "full").join(worst, "host", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return named.select("host", zero("trust"), zero("distrust"), zero("worst"))
+
+
+#: More distrust than trust, and half of what it could be: the same words in both forms.
+BAD = f"distrust > trust AND 200 * distrust >= {DAMPING} * worst"
 
 
 def verdicts(pages: DataFrame, rules: Sequence[Rule], rounds: int = ROUNDS) -> DataFrame:
     """page_id, host, path, rule and verdict of every page."""
     cut = judged(pages, rules)
     found = scores(links(pages), seeds(cut), rounds)
-    bad = durable(found.filter("distrust > trust").select("host", F.lit("block").alias("spread")))
+    bad = durable(found.filter(BAD).select("host", F.lit("block").alias("spread")))
     return cut.join(bad, "host", "left").select(
         "page_id", "host", "path", "rule", F.coalesce("ruled", "spread", F.lit("allow")).alias("verdict")
     )
@@ -121,9 +153,12 @@ def check_sql(rules: Sequence[Rule], rounds: int = ROUNDS) -> str:
     steps = ""
     for k in range(rounds):
         steps += f""",
-        s{k + 1} AS (SELECT host, kind, sum(score)::BIGINT AS score FROM (
-            SELECT w.dst AS host, kind, (score * {DAMPING}) // (100 * degree) AS score FROM s{k} JOIN ways w USING (kind, host)
-            UNION ALL SELECT host, kind, {UNIT // 100 * (100 - DAMPING)} FROM seeds) GROUP BY host, kind)"""
+        t{k + 1} AS (SELECT host, max(score)::BIGINT AS score FROM (
+            SELECT target AS host, sum((score * {DAMPING}) // (100 * degree)) AS score FROM t{k} JOIN ways ON host = source GROUP BY target
+            UNION ALL SELECT host, {UNIT} FROM seeds WHERE kind = 'trust') GROUP BY host),
+        d{k + 1} AS (SELECT host, max(score)::BIGINT AS score FROM (
+            SELECT source AS host, ({DAMPING} * sum(score)) // (100 * max(degree)) AS score FROM d{k} JOIN ways ON host = target GROUP BY source
+            UNION ALL SELECT host, {UNIT} FROM seeds WHERE kind = 'distrust') GROUP BY host)"""
     pattern = LINKS.replace("'", "''")
     return f"""
         WITH rest AS (SELECT *, coalesce(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END, '') AS r FROM pages),
@@ -135,12 +170,14 @@ def check_sql(rules: Sequence[Rule], rounds: int = ROUNDS) -> str:
         owned AS (SELECT n.host, parent FROM nested n JOIN hosts h ON n.parent = h.host WHERE parent <> ''),
         links AS (SELECT host AS a, t AS b FROM named WHERE host <> '' AND host <> t
             UNION SELECT host, parent FROM owned UNION SELECT parent, host FROM owned),
-        both_ways AS (SELECT 'trust' AS kind, a AS host, b AS dst FROM links UNION ALL SELECT 'distrust', b, a FROM links),
-        ways AS (SELECT *, count(*) OVER (PARTITION BY kind, host) AS degree FROM both_ways),
+        ways AS (SELECT a AS source, b AS target, count(*) OVER (PARTITION BY a) AS degree FROM links),
         seeds AS (SELECT * FROM (SELECT host, CASE WHEN 2 * count(*) FILTER (ruled = 'allow') > count(*) THEN 'trust'
             WHEN 2 * count(*) FILTER (ruled = 'block') > count(*) THEN 'distrust' END AS kind
             FROM judged WHERE host <> '' GROUP BY host) WHERE kind IS NOT NULL),
-        s0 AS (SELECT host, kind, {UNIT}::BIGINT AS score FROM seeds){steps},
-        found AS (SELECT host, coalesce(sum(score) FILTER (kind = 'trust'), 0) AS t, coalesce(sum(score) FILTER (kind = 'distrust'), 0) AS d FROM s{rounds} GROUP BY host)
-        SELECT page_id, j.host, path, rule, coalesce(ruled, CASE WHEN d > t AND d >= {LEAST_DISTRUST} THEN 'block' END, 'allow') AS verdict
+        t0 AS (SELECT host, {UNIT}::BIGINT AS score FROM seeds WHERE kind = 'trust'),
+        d0 AS (SELECT host, {UNIT}::BIGINT AS score FROM seeds WHERE kind = 'distrust'){steps},
+        worst AS (SELECT source AS host, max(score) AS worst FROM d{rounds} JOIN ways ON host = target GROUP BY source),
+        found AS (SELECT host, coalesce(t.score, 0) AS trust, coalesce(d.score, 0) AS distrust, coalesce(worst, 0) AS worst
+            FROM d{rounds} d FULL JOIN t{rounds} t USING (host) LEFT JOIN worst USING (host))
+        SELECT page_id, j.host, path, rule, coalesce(ruled, CASE WHEN {BAD} THEN 'block' END, 'allow') AS verdict
         FROM judged j LEFT JOIN found f ON j.host = f.host"""

@@ -16,7 +16,7 @@ The names of shared symbols go to all tasks while they take ``broadcast_bytes``
 a join brings each document its own. Both ways give the same windows.
 
 Words end at ASCII white space; null texts have none. Every row is a document: repeated rows repeat
-each other's passages. Texts shorter than a window lose nothing, and no text is too long.
+each other's passages; rows of one doc_id (or of none) are told apart by 64 bits of their texts. Texts shorter than a window lose nothing, and no text is too long.
 """
 
 from __future__ import annotations
@@ -215,7 +215,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
     A word goes if a window of ``window`` words over it has words that also start elsewhere.
     """
     spark = docs.sparkSession
-    rows = arrow.texts(docs).withColumn("_text", F.hash("text"))  # tells apart rows of one doc_id
+    rows = arrow.texts(docs).withColumn("_text", F.xxhash64("text"))  # tells apart rows of one doc_id
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches, window, rounds):
@@ -234,7 +234,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
                 ids, text = (part.batch.column(c).take(pa.array(doc)) for c in ("doc_id", "_text"))
                 yield pa.RecordBatch.from_arrays([pa.array(name), ids, text, pa.array(at)], ["name", "_id", "_t", "at"])
 
-        found = rows.mapInArrow(places, "name long, _id long, _t int, at long").join(shared, "name", "left_semi")
+        found = rows.mapInArrow(places, "name long, _id long, _t long, at long").join(shared, "name", "left_semi")
         lists = found.groupBy("_id", "_t").agg(F.collect_set("at").alias("_shared"))
         rows = durable(rows.join(lists, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_t")), "left").drop("_id", "_t"))
 
@@ -247,7 +247,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
             at = pa.array((starts - part.base[doc]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(g), ids, text, at], ["h", "g", "_id", "_t", "at"])
 
-    seen = rows.mapInArrow(verify, "h long, g int, _id long, _t int, at int")
+    seen = rows.mapInArrow(verify, "h long, g int, _id long, _t long, at int")
     alone = seen.groupBy("h", "g").agg(F.count("*").alias("n"), *[F.max(c).alias(c) for c in ("_id", "_t", "at")]).filter("n = 1")
     lists = alone.groupBy("_id", "_t").agg(F.collect_list("at").alias("_alone"))
     told = rows.join(lists, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_t")), "left").drop("_id", "_t")

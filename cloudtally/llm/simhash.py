@@ -545,9 +545,9 @@ def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8, **more) -> Da
     found = near_classes(docs, k, similarity, **more)
     ids = durable(found.groupBy("doc_id").agg(F.min("component_id").alias("_low"), F.count("*").alias("_n")))
     # only what goes is told: a small part of the ids, which texts need not be shuffled for while it is small
-    gone = durable(ids.filter("doc_id <> _low").select(F.col("doc_id").alias("_id")))
+    gone = durable(ids.filter("doc_id <> _low").select("doc_id"))
     small = 8 * gone.count() <= BROADCAST_BYTES
-    kept = docs.join(F.broadcast(gone) if small else gone, docs["doc_id"] == F.col("_id"), "left_anti")
+    kept = docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*docs.columns)
     if ids.filter("_n > 1").isEmpty():
         return kept
     return kept.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).union(kept.filter(F.col("doc_id").isNull()))

@@ -10,8 +10,9 @@ After a failed check (broken compression, a bad header, a wrong length or digest
 for the next place where a valid member or version line begins, goes on from there, and reports the
 bytes between as a gap with the reason. Nothing before or behind the damage is lost.
 
-A null payload counts as empty and rows repeat freely; equal ids give equal record ids. A record needs the
-memory of its own payload, a file that of one record.
+A null payload counts as empty and rows repeat freely; equal ids give equal record ids, and rows with a null
+id revisit one with an id, or are responses where none of their payload has one. A record needs the memory of its own payload, a file that of one record. What a
+Spark cell can hold is written and read back; a reader with a smaller ``longest`` takes longer records for damage.
 """
 
 from __future__ import annotations
@@ -27,12 +28,14 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cloudtally.functions.skew import sized_join
 from cloudtally.llm import arrow
 from cloudtally.runtime import durable, new_folder
 
 FILE_BYTES = 16 << 20
 CHUNK = 1 << 16
-LONGEST_RECORD = 1 << 28
+LONGEST_RECORD = (1 << 31) - 1
+READ_TASKS = 20_000
 LONGEST_HEADER = 1 << 16
 VERSION = b"WARC/1."
 MAGIC = b"\x1f\x8b\x08"
@@ -63,35 +66,48 @@ class Damaged(Exception):
     """Why what begins here is no valid record."""
 
 
+class Short(Exception):
+    """The data end too early, by so many bytes at least."""
+
+    def __init__(self, need: int) -> None:
+        super().__init__(need)
+        self.need = need
+
+
 class Buffer:
-    """The part of a stream that is looked at, and its place in the stream."""
+    """The part of a stream that is looked at, and its place in the stream.
+
+    A byte array grows at its end and shrinks at its start without being copied each time.
+    """
 
     def __init__(self, stream) -> None:
-        self.stream, self.data, self.place, self.ended = stream, b"", 0, False
+        self.stream, self.data, self.place, self.ended = stream, bytearray(), 0, False
 
-    def more(self) -> bool:
-        got = b"" if self.ended else self.stream.read(CHUNK)
+    def more(self, need: int = CHUNK) -> bool:
+        got = b"" if self.ended else self.stream.read(max(need, CHUNK))
         self.ended = not got
         self.data += got
         return bool(got)
 
     def skip(self, n: int) -> None:
-        self.data = self.data[n:]
+        del self.data[:n]
         self.place += n
 
 
-def parse(data: bytes) -> tuple[dict[str, str], bytes, int]:
-    """Fields, payload and length of the record at the start of ``data``; raises Damaged, or EOFError
+def parse(data: bytes | bytearray, at: int = 0, longest: int = LONGEST_RECORD) -> tuple[dict[str, str], bytes, int]:
+    """Fields, payload and length of the record that begins at ``at``; raises Damaged, or Short
     where the data end too early."""
-    if not data.startswith(VERSION):
+    if not data.startswith(VERSION, at):
         raise Damaged("no version line")
-    end = data.find(b"\r\n\r\n")
+    end = data.find(b"\r\n\r\n", at)
     if end < 0:
-        if len(data) > LONGEST_HEADER:
+        if len(data) - at > LONGEST_HEADER:
             raise Damaged("endless header")
-        raise EOFError
+        raise Short(CHUNK)
+    if end - at > LONGEST_HEADER:
+        raise Damaged("endless header")
     fields: dict[str, str] = {}
-    for line in data[:end].split(b"\r\n")[1:]:
+    for line in bytes(data[at:end]).split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
         if not colon:
             raise Damaged("bad header line")
@@ -99,55 +115,56 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes, int]:
     if not fields.get("content-length", "").isdigit():
         raise Damaged("bad length")
     size = int(fields["content-length"])
-    if size > LONGEST_RECORD:
+    if size > longest:
         raise Damaged("too long")
     stop = end + 4 + size
     if len(data) < stop + 4:
-        raise EOFError
+        raise Short(stop + 4 - len(data))
     if data[stop : stop + 4] != b"\r\n\r\n":
         raise Damaged("wrong length")
-    payload = data[end + 4 : stop]
+    payload = bytes(data[end + 4 : stop])
     told = fields.get("warc-block-digest", "")
     if told and told != f"sha1:{digest(payload)}":
         raise Damaged("wrong digest")
-    return fields, payload, stop + 4
+    return fields, payload, stop + 4 - at
 
 
-def _member(buffer: Buffer) -> tuple[bytes, int]:
+def _member(buffer: Buffer, longest: int) -> tuple[bytes, int]:
     """Content and length of the gzip member at the start of the buffer."""
-    unpack, parts, at = zlib.decompressobj(31), [], 0
+    unpack, content, at = zlib.decompressobj(31), bytearray(), 0
+    most = longest + LONGEST_HEADER
     try:
         while not unpack.eof:
             if at == len(buffer.data) and not buffer.more():
                 raise Damaged("cut off")
-            parts.append(unpack.decompress(buffer.data[at : at + CHUNK], LONGEST_RECORD))
-            if unpack.unconsumed_tail or sum(map(len, parts)) > LONGEST_RECORD:
+            content += unpack.decompress(buffer.data[at : at + CHUNK], most)
+            if unpack.unconsumed_tail or len(content) > most:
                 raise Damaged("too long")
             at = min(at + CHUNK, len(buffer.data))
     except zlib.error as e:
         raise Damaged("broken compression") from e
-    return b"".join(parts), at - len(unpack.unused_data)
+    return content, at - len(unpack.unused_data)
 
 
-def _next(buffer: Buffer) -> tuple[str, list | tuple]:
+def _next(buffer: Buffer, longest: int) -> tuple[str, list | tuple]:
     """The records at the start of the buffer, and how many bytes they take."""
     if buffer.data.startswith(MAGIC):
-        content, size = _member(buffer)
+        content, size = _member(buffer, longest)
         found, at = [], 0
         while at < len(content):
             try:
-                fields, payload, n = parse(content[at:] if at else content)
-            except EOFError:
+                fields, payload, n = parse(content, at, longest)
+            except Short:
                 raise Damaged("cut off") from None
             found.append((fields, payload))
             at += n
         return found, size
     while True:
         try:
-            fields, payload, size = parse(buffer.data)
+            fields, payload, size = parse(buffer.data, 0, longest)
             return [(fields, payload)], size
-        except EOFError:
-            if not buffer.more():
+        except Short as e:
+            if not buffer.more(e.need):
                 raise Damaged("cut off") from None
 
 
@@ -163,14 +180,14 @@ def _search(buffer: Buffer) -> int:
             return len(buffer.data)
 
 
-def salvage(stream) -> Iterator[tuple]:
+def salvage(stream, longest: int = LONGEST_RECORD) -> Iterator[tuple]:
     """("record", place, length, fields, payload) and ("gap", place, length, reason, None) in file order."""
     buffer, gap = Buffer(stream), None
     while buffer.data or buffer.more():
         while len(buffer.data) < len(VERSION) and buffer.more():
             pass
         try:
-            found, size = _next(buffer)
+            found, size = _next(buffer, longest)
         except Damaged as e:
             gap = gap or (buffer.place, str(e))
             buffer.skip(_search(buffer))
@@ -195,7 +212,7 @@ def _rows(found: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
-def read(files: DataFrame) -> DataFrame:
+def read(files: DataFrame, longest: int = LONGEST_RECORD) -> DataFrame:
     """Records and gaps of the archives named in column ``file``; each file is read by one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +221,7 @@ def read(files: DataFrame) -> DataFrame:
                 system, path = pafs.FileSystem.from_uri(uri)
                 held, size = [], 0
                 with system.open_input_stream(path) as stream:
-                    for kind, place, length, told, payload in salvage(stream):
+                    for kind, place, length, told, payload in salvage(stream, longest):
                         fields = list(told.items()) if kind == "record" else None
                         held.append((uri, kind, place, length, None if fields is not None else told, fields, payload))
                         size += len(payload or b"")
@@ -237,7 +254,8 @@ def archive(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes: int =
         told.select("id", many.alias("sha")).filter("sha is not null").groupBy("sha").agg(F.max("id").alias("first"), F.count("*").alias("n")).filter("n > 1")
     )
     keep = F.when(F.length("payload") >= min_bytes, F.col("first"))
-    rows = told.join(repeated.select("sha", "first"), "sha", "left").select(
+    # few payloads repeat: while their digests are few, payloads stay where they are
+    rows = sized_join(told, repeated.select("sha", "first"), ["sha"]).select(
         "id", "url", F.col("sha"), F.when(keep.isNotNull() & ~F.col("id").eqNullSafe(keep), keep).alias("refers"), "payload"
     )
     base = _uri(folder)
@@ -279,4 +297,5 @@ def archive(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes: int =
 
 def round_trip(pages: DataFrame, min_bytes: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Archive ``pages`` in the shared folder and read the archives back."""
-    return read(archive(pages, new_folder(pages.sparkSession), min_bytes, file_bytes).repartition(64))
+    files = archive(pages, new_folder(pages.sparkSession), min_bytes, file_bytes)
+    return read(files.repartition(max(1, min(files.count(), READ_TASKS))))

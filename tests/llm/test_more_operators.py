@@ -3,6 +3,7 @@
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -97,6 +98,40 @@ def test_leaks_are_found_and_clean_texts_are_not(spark, broadcast_bytes):
         assert (r.points >= decontaminate.LIMIT) == (r.doc_id in leaked), (r.doc_id, r.points)
         assert r.doc_id not in leaked or r.item == leaked[r.doc_id]
     assert decontaminate.score(docs.limit(0), bench, names=("item", "points")).count() == 0
+
+
+@pytest.mark.parametrize("broadcast_bytes", [1 << 20, 6000])
+def test_every_item_counts_and_columns_may_clash(spark, broadcast_bytes):
+    """The whole result against the alignment of every item with every whole text."""
+    rng = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(900)]
+    say = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(rng.choice([None, 1, 2, 3]), say(rng.randint(4, 40))) for _ in range(25)]
+    rows = []
+    for d in range(120):
+        text = say(rng.randint(0, 200))
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            copy = [w if rng.random() > 0.25 else rng.choice(vocabulary) for w in rng.choice(items)[1]]
+            at = rng.randint(0, len(text))
+            text[at:at] = copy
+        rows.append((d, " ".join(text), "own", 7.0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id string, score double").repartition(3)
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string")
+    found = decontaminate.score(docs, bench, broadcast_bytes=broadcast_bytes).collect()
+    assert found[0].__fields__ == ["doc_id", "text", "item_id", "score", "_item_id", "_score"] and len(found) == len(rows)
+    words = {d: decontaminate.codes(t.encode()) for d, t, *_ in rows}
+    for r in found:
+        if not len(words[r.doc_id]):
+            assert (r._item_id, r._score) == (None, 0.0)
+            continue
+        scores = decontaminate.align([decontaminate.codes(" ".join(t).encode()) for _, t in items], [words[r.doc_id]] * len(items))
+        best = max(scores)
+        assert (r._score >= decontaminate.LIMIT) == (best >= decontaminate.LIMIT), (r, best)
+        if best >= decontaminate.LIMIT:
+            assert r._score == pytest.approx(best)
+            ids = [i for s, (i, _) in zip(scores, items, strict=True) if s == pytest.approx(best)]
+            assert r._item_id == min((i for i in ids if i is not None), default=None)
+    assert any(r._item_id is None and r._score >= decontaminate.LIMIT for r in found)
     assert {r.points for r in decontaminate.score(docs, bench.limit(0), names=("item", "points")).collect()} == {0.0}
 
 
@@ -131,22 +166,41 @@ def test_distrust_runs_against_links_and_trust_along_them(spark):
     }
     start = spark.createDataFrame([("bad.net", "distrust"), ("good.org", "trust")], "host string, kind string")
     links = spark.createDataFrame(sorted(edges), "source string, target string")
-    got = {r.host: (r.trust, r.distrust) for r in link_graph.scores(links, start, 6).collect()}
-    now = {("bad.net", 1): link_graph.UNIT, ("good.org", 0): link_graph.UNIT}
-    base = {k: link_graph.UNIT // 100 * 15 for k in now}
-    for _ in range(6):
-        new = dict(base)
-        for (host, kind), score in now.items():
-            ways = [b for a, b in edges if a == host] if kind == 0 else [a for a, b in edges if b == host]
-            for to in ways:
-                new[to, kind] = new.get((to, kind), 0) + score * 85 // (100 * len(ways))
-        now = new
-    assert got == {h: (now.get((h, 0), 0), now.get((h, 1), 0)) for h, _ in now}
+    got = {r.host: (r.trust, r.distrust, r.worst) for r in link_graph.scores(links, start, 60).collect()}
+    hosts = {h for e in edges for h in e} | {"bad.net", "good.org"}
+    targets = {h: [b for a, b in edges if a == h] for h in hosts}
+    trust, distrust = {"good.org": link_graph.UNIT}, {"bad.net": link_graph.UNIT}
+    for _ in range(60):
+        mean = {h: 85 * sum(distrust.get(t, 0) for t in targets[h]) // (100 * len(targets[h])) if targets[h] else 0 for h in hosts}
+        passed = {h: sum(trust.get(a, 0) * 85 // (100 * len(targets[a])) for a, b in edges if b == h) for h in hosts}
+        trust, distrust = passed | {"good.org": link_graph.UNIT}, mean | {"bad.net": link_graph.UNIT}
+    for h in hosts:
+        want = (trust[h], distrust[h], max([distrust[t] for t in targets[h]], default=0))
+        assert all(abs(x - y) <= 8 * link_graph.STILL for x, y in zip(got.get(h, (0, 0, 0)), want)), h
     verdict = {r.host: r.verdict for r in link_graph.verdicts(pages, catalog.RULES).collect()}
     assert verdict["farm.io"] == verdict["farm2.io"] == verdict["www.farm.io"] == "block"
     assert verdict["friend.io"] == verdict["other.io"] == verdict["lonely.io"] == "allow"
 
 
+def test_one_rule_in_spark_and_sql_on_linked_pages(spark):
+    """A hub, a chain of twelve, two hubs in a row, one bad link of a thousand, and a cycle."""
+    link = lambda *hosts: "".join(f'<a href="https://{h}/p">x</a>' for h in hosts)
+    rows = [("http://hub.net/1", ""), ("http://good.org/fr/1", link("friend.io"))]
+    rows += [("http://friend.io/", link("hub.net")), ("http://wide.io/", link("hub.net", *(f"ok{k}.io" for k in range(999))))]
+    rows += [(f"http://linker{k}.io/", link("hub.net")) for k in range(3000)]
+    rows += [("http://second.io/", link(*(f"linker{k}.io" for k in range(3000))))] + [(f"http://far{k}.io/", link("second.io")) for k in range(500)]
+    rows += [(f"http://chain{k}.io/", link(f"chain{k + 1}.io" if k < 12 else "hub.net")) for k in range(13)]
+    rows += [("http://a.loop.io/", link("b.loop.io")), ("http://b.loop.io/", link("a.loop.io", "hub.net", "ok1.io", "ok2.io")), ("http://sub.friend.io/", None), (None, link("hub.net"))]
+    pages = spark.createDataFrame([(k, u, h) for k, (u, h) in enumerate(rows)], "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in link_graph.verdicts(pages, catalog.RULES).collect()}
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas())
+    assert got == {r[0]: r[1:] for r in con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({link_graph.check_sql(catalog.RULES)})").fetchall()}
+    by_host = {h: v for h, _, _, v in got.values()}
+    assert {by_host[f"linker{k}.io"] for k in range(3000)} == {by_host[f"far{k}.io"] for k in range(500)} == {by_host["second.io"]} == {"block"}
+    assert by_host["chain1.io"] == by_host["chain12.io"] == "block" and by_host["friend.io"] == by_host["wide.io"] == "allow"
+
+
 def test_every_linker_of_a_blocked_hub_is_blocked(spark):
     rows = [("http://hub.net/1", None), ("http://good.org/fr/1", '<a href="http://friend.io/">')]
     rows += [("http://friend.io/", '<a href="http://hub.net/">')]

@@ -170,3 +170,9 @@ def test_components(spark, links):
             if a in low and b in low:
                 low[a] = low[b] = min(low[a], low[b])
     assert {r.node: r.component for r in components(df).collect()} == low
+
+
+def test_columns_may_have_any_name(spark):
+    docs = spark.createDataFrame([(2, "a b c d e f g", 1, "x"), (1, "a b c d e f g", 2, "y"), (None, "a", 3, "z")], "doc_id long, text string, _id long, _low string")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=repr) == [(1, "a b c d e f g", 2, "y"), (None, "a", 3, "z")]

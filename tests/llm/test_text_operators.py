@@ -71,36 +71,56 @@ def test_base_figures(text):
     assert quality.measure(text.encode())[:6] == plain_base(text)
 
 
-def plain_share(words, n):
-    seen, inside = set(), set()
-    for i in range(len(words) - n + 1):
-        g = tuple(words[i : i + n])
-        if g in seen:
-            inside |= set(range(i, i + n))
-        seen.add(g)
-    return len(inside), sum(len(words[p]) for p in inside) / sum(map(len, words))
-
-
-def test_repetition_is_measured_and_judged():
-    rng = random.Random(1)
-    passage = [f"p{k}" for k in range(30)]
-    for copies, filler in ((1, 400), (2, 400), (4, 300), (6, 200)):
-        words = []
-        for c in range(copies):
-            words += passage + [f"f{rng.random()}" for _ in range(filler // copies)]
-        got = quality.measure(" ".join(words).encode())
-        worst = 0.0
-        for n, limit in quality.COVERED.items():
-            inside, share = plain_share(words, n)
-            if inside >= quality.LEAST_REPEATED:
-                worst = max(worst, share / limit)
-        for n, limit in quality.COMMONEST.items():
-            (gram, times), = Counter(tuple(words[i : i + n]) for i in range(len(words) - n + 1)).most_common(1)
-            if (times - 1) * n >= quality.LEAST_REPEATED:
-                worst = max(worst, (times - 1) * len("".join(gram)) / sum(map(len, words)) / limit)
-        assert got[7] == pytest.approx(worst)
-        assert got[6] == (worst <= 1 and not got[5])
-    lines = "\n".join(["an ordinary line of text that is said again and again here"] * 5 + [" ".join(f"w{rng.random()}" for _ in range(40)) for _ in range(4)])
+def plain_worst(text):
+    """The largest share of its limit, n-gram by n-gram and line by line."""
+    lines = [x for x in text.split("\n") if SPLIT.search(x)]
+    if len(lines) > 2:
+        size = lambda x: len(SPLIT.findall(x))
+        lines = lines[size(lines[0]) <= quality.FRAME_WORDS :][: len(lines) - (size(lines[0]) <= quality.FRAME_WORDS) - (size(lines[-1]) <= quality.FRAME_WORDS)]
+    words = [w for x in lines for w in SPLIT.findall(x)]
+    total, worst = sum(map(len, words)), 0.0
+    for n in range(2, 11):
+        where = {}
+        for i in range(len(words) - n + 1):
+            where.setdefault(tuple(words[i : i + n]), []).append(i)
+        most = max(map(len, where.values()), default=0)
+        if n in quality.COMMONEST and most > 1:
+            worst = max(worst, max(most * sum(map(len, g)) for g, at in where.items() if len(at) == most) / total / quality.COMMONEST[n])
+        if n in quality.COVERED:
+            inside = {p for at in where.values() for i in at[1:] for p in range(i, i + n)}
+            worst = max(worst, sum(len(words[p]) for p in inside) / total / quality.COVERED[n])
+    again = [x for k, x in enumerate(lines) if x in lines[:k]]
+    chars = sum(len("".join(SPLIT.findall(x))) for x in again)
+    return max(worst, len(again) / len(lines) / quality.LINES, chars / total / quality.LINE_CHARS)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="ab é", min_size=1, max_size=40), min_size=1, max_size=12))
+def test_worst_share_of_any_text(lines):
+    text = "\n".join(lines)
+    if SPLIT.search(text):
+        assert quality.measure(text.encode())[7] == pytest.approx(plain_worst(text))
+
+
+@pytest.mark.parametrize("size", [60, 78, 96, 130])
+@pytest.mark.parametrize("again", [5, 9, 10, 14, 18, 19, 30])
+def test_short_texts_that_only_the_limits_reject(size, again):
+    words = [f"w{k:04d}" for k in range(size)]
+    text = " ".join(words + words[:again])
+    got = quality.measure(text.encode())
+    worst = plain_worst(text)
+    assert got[7] == pytest.approx(worst) and got[6] == (worst <= 1 and not got[5]) and got[5] == (again == 30 and size < 80)
+    # ten-grams cover all words that come again
+    if again >= 10 and not got[5]:
+        assert got[6] == (again / (size + again) <= quality.COVERED[10])
+
+
+def test_headings_and_footers_may_come_again():
+    body = "\n".join(" ".join(f"x{k}{j}" for j in range(11)) for k in range(6))
+    assert quality.measure(f"A short heading of this page\n{body}\nA short heading of this page".encode())[6]
+    long = " ".join(f"y{j}" for j in range(20))
+    assert not quality.measure(f"{long}\n{body}\n{long}".encode())[6]
+    lines = "\n".join(f"line {k % 4} has some words that are said again and again" for k in range(40))
     assert not quality.measure(lines.encode())[6]
 
 

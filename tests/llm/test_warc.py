@@ -79,6 +79,36 @@ def test_round_trip_with_revisits(spark):
     assert hashlib.sha1(b"").hexdigest() and warc.digest(b"") == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ"
 
 
+def test_long_records_by_reader_and_writer():
+    payload = random.Random(1).randbytes(5000)
+    rec = warc.record({"WARC-Type": "response", "WARC-Block-Digest": f"sha1:{warc.digest(payload)}"}, payload)
+    for data in (rec, warc.squeeze(rec)):
+        assert [f[4] for f in warc.salvage(io.BytesIO(data * 2))] == [payload] * 2
+        assert {f[0] for f in warc.salvage(io.BytesIO(data * 2), longest=1000)} == {"gap"}
+
+
+@pytest.mark.parametrize("zipped", [True, False])
+def test_time_grows_with_the_bytes(zipped):
+    import time
+
+    def seconds(mb):
+        long = warc.record({"WARC-Type": "response"}, random.Random(mb).randbytes(1 << 20) * mb)
+        data = (warc.squeeze(long) if zipped else long) + b"".join(m for _, m in members(200, zipped))
+        start = time.process_time()
+        assert [f[0] for f in warc.salvage(io.BytesIO(data))] == ["record"] * 201
+        return time.process_time() - start
+
+    seconds(1)
+    assert seconds(64) < 30 * max(seconds(8), 0.05)
+
+
+def test_rows_in_and_rows_out_with_null_ids(spark):
+    pages = spark.createDataFrame([(None, None, b"x"), (None, "u", b"x"), (3, "u", b"x"), (None, "u", b"y" * 300_000), (3, "u", None)], "id long, url string, payload binary")
+    found = warc.round_trip(pages).collect()
+    assert [r.kind for r in found] == ["record"] * 5
+    assert sorted(r.fields["warc-type"] for r in found) == ["response"] * 3 + ["revisit"] * 2
+
+
 def test_empty_table(spark):
     pages = spark.createDataFrame([], "id long, url string, payload binary")
     assert warc.read(warc.archive(pages, new_folder(spark))).count() == 0
