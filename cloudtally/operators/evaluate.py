@@ -43,15 +43,51 @@ def labelled_days(windows: DataFrame, key: str = "resource_id", tenant: Sequence
     ).distinct()
 
 
+LEVELS = 20  # the largest cell has 2^20 days, more than dates can tell
+
+
+def _day(c: str) -> Column:
+    return F.datediff(c, F.lit("1970-01-01").cast("date"))
+
+
+def _cell(level: int, index: Column) -> Column:
+    return F.shiftleft(F.lit(level).cast("long"), 40) + index.cast("long")
+
+
+def window_cells(windows: DataFrame, key: str = "resource_id", tenant: Sequence[str] = TENANT) -> DataFrame:
+    """Each window as the fewest cells of 1, 2, 4, ... days that begin at multiples of their size.
+
+    On every level at most one cell at each end of the window is left over for it, so a window of n days takes at
+    most 2 log2(n) cells, however long. Windows without days have none.
+    """
+    first, behind = _day("start_date"), _day("end_date") + 1
+    ends = []
+    for level in range(LEVELS):
+        low, high = F.shiftright(first + ((1 << level) - 1), level), F.shiftright(behind, level)
+        ends += [F.when((low < high) & (F.pmod(low, F.lit(2)) == 1), _cell(level, low)), F.when((low < high) & (F.pmod(high, F.lit(2)) == 1), _cell(level, high - 1))]
+    low, high = F.shiftright(first + ((1 << LEVELS) - 1), LEVELS), F.shiftright(behind, LEVELS)
+    top = F.when(low < high, F.transform(F.sequence(low, high - 1), lambda i: _cell(LEVELS, i)))
+    cells = F.concat(F.array_compact(F.array(*ends)), F.coalesce(top, F.array().cast("array<bigint>")))
+    return windows.select(*[t for t in tenant if t in windows.columns], key, "start_date", "end_date", cells.alias("cells"))
+
+
 def mark_truth(
     df: DataFrame, windows: DataFrame, key: str = "resource_id", tenant: Sequence[str] = TENANT
 ) -> DataFrame:
-    """The interval test as an equi-join on (tenant, resource, day); both tables carry the tenant or neither."""
+    """Whether each row's date lies in a window of its (tenant, resource); both tables carry the tenant or neither.
+
+    A date lies in one cell of each size, so the interval test asks whether any of these is among the cells of
+    the resource's windows. The windows' table is one row per resource and no row is multiplied; equal cells of overlapping
+    windows count once, so a resource has at most as many cells as there are of them on the calendar.
+    """
     own = [t for t in tenant if t in df.columns or t in windows.columns]
-    truth = labelled_days(windows, key, own).withColumn("_true", F.lit(True))
-    return sized_join(df, truth, [*own, key, "date"]).withColumn(
-        "is_true_anomaly", F.coalesce("_true", F.lit(False))
-    ).drop("_true")
+    each = window_cells(windows, key, own).select(*own, key, F.explode("cells").alias("_cell")).distinct()
+    truth = each.groupBy(*own, key).agg(F.collect_list("_cell").alias("_cells"))
+    day = _day("date")
+    around = F.array(*[_cell(level, F.shiftright(day, level)) for level in range(LEVELS + 1)])
+    return sized_join(df, truth, [*own, key]).withColumn(
+        "is_true_anomaly", F.coalesce(F.arrays_overlap("_cells", around), F.lit(False))
+    ).drop("_cells")
 
 
 def exact_quantile(

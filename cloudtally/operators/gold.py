@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,7 @@ from cloudtally import fixed_values as fv
 from cloudtally.functions.numeric import half_up
 from cloudtally.functions.skew import sized_join
 from cloudtally.operators.features import growth
+from cloudtally.runtime import durable
 
 
 def spec_table(spark: SparkSession) -> DataFrame:
@@ -66,8 +68,60 @@ def footprint(silver: DataFrame, vm: str = "vm_id") -> DataFrame:
     )
 
 
-def match_instances(machines: DataFrame, vm: str = "vm_id") -> DataFrame:
-    best = machines.withColumn("_best", best_spec(F.col("cpu_cores"), F.col("ram_gb")))
+#: As wide as the size range and a little more, for rounding: candidates are at most one cell away on either scale.
+CELL = math.log(max(fv.MATCH_SIZE_RANGE[1], 1 / fv.MATCH_SIZE_RANGE[0])) * 1.001
+
+
+def _log_cell(size: Column) -> Column:
+    return F.floor(F.log(F.greatest(size, F.lit(0.01))) / F.lit(CELL)).cast("int")
+
+
+def _nearest(candidates: Column, cores: Column, ram_gb: Column, in_range: bool) -> Column:
+    """The struct of the nearest of the candidates (an array of specs), which must fit the size range or need not."""
+    low, high = fv.MATCH_SIZE_RANGE
+    inside = lambda s: (s["vcpu"] / F.greatest(cores, F.lit(0.01))).between(low, high) & (
+        (s["ram_gb"] / F.greatest(ram_gb, F.lit(0.01))).between(low, high)
+    )
+    told = lambda s: F.struct(
+        (fv.MATCH_CPU_WEIGHT * _gap(s["vcpu"], cores) + fv.MATCH_MEMORY_WEIGHT * _gap(s["ram_gb"], ram_gb)).alias("distance"),
+        s["spec_order"].alias("spec_order"),
+        s["instance_type"].alias("instance_type"),
+    )
+    return F.array_min(F.transform(F.filter(candidates, inside) if in_range else candidates, told))
+
+
+def nearest_specs(machines: DataFrame, specs: DataFrame) -> DataFrame:
+    """cpu_cores, ram_gb and ``_best`` (the nearest type of any list) of every distinct footprint of the machines.
+
+    ``specs`` has instance_type, vcpu, ram_gb and spec_order, which decides between equal distances. Types lie on a grid over
+    the logarithms of cores and memory whose cells are as wide as the size range, so those in range of
+    a footprint are in its cell or the eight around it. Each of these nine gets the type beforehand; a footprint meets one
+    list, as long as the types near it, in its own row. Footprints with none in range meet the whole list.
+    """
+    rows = specs.select(
+        F.struct(F.col("vcpu").cast("double").alias("vcpu"), F.col("ram_gb").cast("double").alias("ram_gb"), F.col("spec_order").cast("long").alias("spec_order"), "instance_type").alias("spec")
+    ).filter("spec.vcpu is not null and spec.ram_gb is not null")
+    steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    spread = rows.select("spec", (_log_cell(F.col("spec.vcpu")) + F.explode(steps)).alias("_x")).select("spec", "_x", (_log_cell(F.col("spec.ram_gb")) + F.explode(steps)).alias("_y"))
+    near = spread.groupBy("_x", "_y").agg(F.collect_list("spec").alias("_near"))
+    cores, ram = F.col("cpu_cores"), F.col("ram_gb")
+    asked = machines.filter("cpu_cores is not null and ram_gb is not null").select("cpu_cores", "ram_gb").distinct()
+    placed = asked.withColumns({"_x": _log_cell(cores), "_y": _log_cell(ram)})
+    found = durable(sized_join(placed, near, ["_x", "_y"]).select("cpu_cores", "ram_gb", _nearest(F.col("_near"), cores, ram, True).alias("_best")))
+    whole = rows.groupBy(F.lit(0).alias("_all")).agg(F.collect_list("spec").alias("_list"))
+    rest = found.filter("_best is null").select("cpu_cores", "ram_gb", F.lit(0).alias("_all")).join(F.broadcast(whole), "_all")
+    return found.filter("_best is not null").union(rest.select("cpu_cores", "ram_gb", _nearest(F.col("_list"), cores, ram, False)))
+
+
+def match_instances(machines: DataFrame, vm: str = "vm_id", specs: DataFrame | None = None) -> DataFrame:
+    """The nearest instance type of each machine, from the built-in list or from ``specs`` (see ``nearest_specs``).
+
+    Machines without cores or memory have no match and, with a list of their own, no distance.
+    """
+    if specs is None or specs.isEmpty():
+        best = machines.withColumn("_best", best_spec(F.col("cpu_cores"), F.col("ram_gb")))
+    else:
+        best = sized_join(machines, nearest_specs(machines, specs), ["cpu_cores", "ram_gb"])
     confidence = F.exp(-fv.MATCH_DECAY * F.col("_best.distance"))
     unsure = confidence < fv.MATCH_MIN_CONFIDENCE
     return best.select(

@@ -205,6 +205,29 @@ def _(spark, d):
     return gold.match_instances(gold.footprint(silver.daily(silver.clean(fx.telemetry(spark, d)))))
 
 
+@query(
+    "instance_match_list",
+    f"""SELECT vm_id, cpu_cores, ram_gb, CASE WHEN exp(-3 * distance) >= 0.55 THEN instance_type END AS matched_instance_type,
+              {r("exp(-3 * distance)", 4)} AS confidence, {r("distance", 4)} AS distance, exp(-3 * distance) < 0.55 AS needs_manual_review
+       FROM (SELECT *, row_number() OVER (PARTITION BY vm_id ORDER BY outside, distance, p_partkey) AS rn FROM (
+         SELECT m.*, p_partkey, concat('type-', p_partkey) AS instance_type,
+                NOT (vcpu / greatest(cpu_cores, 0.01) BETWEEN 0.4 AND 2.5 AND spec_ram / greatest(ram_gb, 0.01) BETWEEN 0.4 AND 2.5) AS outside,
+                0.5 * abs(vcpu - cpu_cores) / greatest(vcpu, cpu_cores, 1.0) + 0.5 * abs(spec_ram - ram_gb) / greatest(spec_ram, ram_gb, 1.0) AS distance
+         FROM (SELECT s_suppkey AS vm_id, 1.0 + s_suppkey % 90 AS cpu_cores, greatest(s_acctbal, 0.0) / 16 AS ram_gb FROM supplier) m,
+              (SELECT p_partkey, CAST(p_size AS DOUBLE) / 2 AS vcpu, (p_retailprice - 900) / 3 AS spec_ram FROM part))) WHERE rn = 1""",
+)
+def _(spark, d):
+    key = F.col("s_suppkey")
+    machines = fx.table(spark, d, "supplier").select(
+        key.alias("vm_id"), (1.0 + key % 90).alias("cpu_cores"), (F.greatest("s_acctbal", F.lit(0.0)) / 16).alias("ram_gb")
+    )
+    listed = fx.table(spark, d, "part").select(
+        F.col("p_partkey").alias("spec_order"), F.concat(F.lit("type-"), F.col("p_partkey").cast("string")).alias("instance_type"),
+        (F.col("p_size").cast("double") / 2).alias("vcpu"), ((F.col("p_retailprice") - 900) / 3).alias("ram_gb"),
+    )
+    return gold.match_instances(machines, specs=listed)
+
+
 @query(
     "gold_manifest",
     """SELECT 'load_silver' AS step, 'telemetry_rows' AS measure, count(*) AS n FROM silver
@@ -1006,6 +1029,20 @@ def _(spark, d):
     return rounded(out, 6, "score_threshold")
 
 
+@query(
+    "truth_days",
+    """SELECT organization_id, count(*) AS n_rows, count(*) FILTER (t) AS true_days FROM (
+         SELECT f1.organization_id, EXISTS (SELECT 1 FROM f6 WHERE f6.organization_id = f1.organization_id AND f6.resource_id = f1.resource_id
+                AND f1.date BETWEEN start_date AND end_date + CASE WHEN month(start_date) % 2 = 0 THEN 3650 ELSE 0 END::INT) AS t FROM f1) GROUP BY 1""",
+)
+def _(spark, d):
+    """Windows of ten years, which no longer become a row for each of their days."""
+    longer = F.when(F.month("start_date") % 2 == 0, F.date_add("end_date", 3650)).otherwise(F.col("end_date"))
+    windows = fx.label_windows(spark, d).withColumn("end_date", longer)
+    marked = evaluate.mark_truth(fx.billing(spark, d).select(*KEYS), windows)
+    return marked.groupBy("organization_id").agg(F.count("*").alias("n_rows"), F.count_if("is_true_anomaly").alias("true_days"))
+
+
 @query(
     "score_quantiles",
     f"""SELECT organization_id, {r('quantile_cont(incident_score, 0.5)', 6)} AS p50, {r('quantile_cont(incident_score, 0.97)', 6)} AS p97 FROM anom GROUP BY 1""",
