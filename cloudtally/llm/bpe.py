@@ -14,6 +14,7 @@ from __future__ import annotations
 import gc
 import hashlib
 import json
+import struct
 from collections.abc import Callable
 from functools import lru_cache
 from itertools import islice
@@ -68,9 +69,9 @@ class Vocabulary:
             self.parts.setdefault(whole, (a, b))
             self.born.setdefault(whole, r)
         self.automaton = ahocorasick.Automaton()
-        for token, i in self.ids.items():
-            if len(token) == 1 or i in self.parts:
-                self.automaton.add_word(token.decode("latin-1"), (i, len(token)))
+        self.whole = {token: i for token, i in self.ids.items() if len(token) == 1 or i in self.parts}
+        for token, i in self.whole.items():
+            self.automaton.add_word(token.decode("latin-1"), (i, len(token)))
         self.automaton.make_automaton()
         self._edges: dict[tuple[int, int], list[tuple[int, int]]] = {}
 
@@ -97,6 +98,20 @@ class Vocabulary:
         return True
 
 
+#: White space in the sense of the pattern, beside the space and the line end.
+OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+WIDE_SPACE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def _even(text: str) -> bool:
+    """Whether all white space is single spaces and line ends between words."""
+    if not text or text[0] in " \n" or text[-1] in " \n":
+        return False
+    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+        return False
+    return not any(c in text for c in (OTHER_SPACE if text.isascii() else OTHER_SPACE + WIDE_SPACE))
+
+
 def _forget_half(known: dict) -> None:
     """Drop the older half of the entries."""
     newer = list(islice(known.items(), (len(known) + 1) // 2, None))
@@ -113,8 +128,12 @@ class Codec:
         self.split = regex.compile(PIECES).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.words.special)) + ")").split if self.words.special else None
         self.remembered = remembered
+        self.size = np.array([len(x) for x in self.words.bytes], dtype=np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.letters = np.frombuffer(b"".join(self.words.bytes), dtype=np.uint8)
         self._fits: dict[int, bool] = {}  # plain numbers as keys, which the garbage collector need not visit
         owner = self
+        pack = lambda ids: struct.pack(f"<{len(ids)}I", *ids)
 
         class Known(dict):
             """Encodings as bytes, by what is made of a key where it is missing."""
@@ -131,9 +150,10 @@ class Codec:
                     self[key] = made
                 return made
 
-        self.pieces = Known(lambda piece: np.array(self.piece(piece.encode()), dtype="<u4").tobytes())
+        self.pieces = Known(lambda piece: pack(self.piece(piece.encode())))
         self.first = Known(self._pieces)
-        self.later = Known(lambda word: self._pieces(" " + word))
+        # a word of letters is one piece with the space in front of it
+        self.later = Known(lambda word: pack(self.piece(b" " + word.encode())) if word.isascii() and word.isalpha() else self._pieces(" " + word))
         self.newline = self._pieces("\n")
 
     def _pieces(self, text: str) -> bytes:
@@ -142,7 +162,7 @@ class Codec:
     def _plain(self, text: str) -> bytes:
         """A text without special tokens. Pieces never cross from a word into the next, and a single
         space goes with the word behind it, so evenly spaced text is encoded word by word."""
-        if text.split() != text.replace("\n", " ").split(" "):
+        if not _even(text):
             return self._pieces(text)
         first, later, lines = self.first, self.later.__getitem__, []
         for line in text.split("\n"):
@@ -157,7 +177,9 @@ class Codec:
         return known
 
     def piece(self, data: bytes) -> list[int]:
-        """Ids of one piece."""
+        """Ids of one piece. A piece that is a token has it as the last token of its whole length, whatever comes before."""
+        if data in self.words.whole:
+            return [self.words.whole[data]]
         n, known, start = len(data), self._fits.get, -2
         last, length = [-1] * n + [start], [0] * n  # the entry behind the last one is that of the empty prefix
         for end, (token, size) in self.words.automaton.iter(data.decode("latin-1")):
@@ -189,7 +211,24 @@ class Codec:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; bytes that are no UTF-8 become replacement characters."""
-        return b"".join(map(self.words.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
+        return self.spell(ids).decode("utf-8", "replace")
+
+    def spell(self, ids: np.ndarray) -> bytes:
+        """The bytes of ids, put together from one array of the bytes of all tokens."""
+        size = self.size[ids]
+        ends = np.cumsum(size)
+        if not len(ends):
+            return b""
+        return self.letters[np.repeat(self.start[ids] - (ends - size), size) + np.arange(ends[-1])].tobytes()
+
+    def spelled_sha256(self, ids: np.ndarray) -> str:
+        """The SHA-256 of the decoded text in UTF-8."""
+        data = self.spell(ids)
+        try:
+            data.decode()
+        except UnicodeDecodeError:
+            data = data.decode("utf-8", "replace").encode()
+        return hashlib.sha256(data).hexdigest()
 
 
 @lru_cache(maxsize=2)
@@ -246,7 +285,7 @@ def digests(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
                 ids = own.encode(text)
                 n.append(len(ids))
                 of_ids.append(hashlib.sha256(ids.tobytes()).hexdigest())
-                of_text.append(hashlib.sha256(own.decode(ids).encode()).hexdigest())
+                of_text.append(own.spelled_sha256(ids))
                 if with_ids:
                     kept.append(ids.astype(np.int32))
             columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]

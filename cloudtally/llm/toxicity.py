@@ -2,13 +2,13 @@
 
 Features are the words of a text and the beginnings of its words, each once however often it occurs, so
 neither length nor repetition shifts a score. A logistic model weighs those that mark the toxic class.
-For every training text with an identity term a copy is made in which the term is swapped for
-another of its group; besides the usual loss, training penalises the squared difference between the
-scores of a text and of its copy. A term that is frequent in toxic texts then gets no weight of its own
+For every training text with an identity term copies are made in which its terms are swapped for
+each other one of their groups; besides the usual loss, training penalises the squared difference between the
+scores of a text and of its copies. Groups hold the terms of one language, so that copies stay in it. A term that is frequent in toxic texts then gets no weight of its own
 and a neutral mention is no ground for a high score.
 
-The model is fitted on at most ``max_rows`` labelled rows, those with the smallest hashes of their
-doc_id, never on held-out ones (crc32 of the doc_id as text divisible by 5). Everything else covers all
+The model is fitted on at most ``max_rows`` labelled doc_ids, those with the smallest hashes (of rows that share a
+doc_id one text is taken), never on held-out ones (crc32 of the doc_id as text divisible by 5). Everything else covers all
 rows. Only the text enters a score: null and empty texts get the score of a text without features.
 Contradicting labels of one doc_id count as toxic, null labels are ignored; rows that repeat are
 scored alike. Without any labelled row every score is 0.5 at most and nothing is toxic.
@@ -41,6 +41,24 @@ IDENTITY = {
     "origin": ["african", "american", "asian", "european", "arab", "mexican"],
     "age": ["old", "young", "elderly"],
     "ability": ["deaf", "blind", "disabled"],
+    "religion_de": ["muslim", "muslime", "christ", "christen", "jude", "juden", "hindus", "buddhisten", "atheisten"],
+    "people_de": ["frauen", "männer", "mädchen", "jungen"],
+    "orientation_de": ["schwul", "schwule", "lesbisch", "lesben", "bisexuell", "heterosexuell"],
+    "origin_de": ["afrikaner", "amerikaner", "asiaten", "europäer", "araber", "türken"],
+    "age_de": ["alte", "junge", "ältere"],
+    "ability_de": ["gehörlose", "blinde", "behinderte"],
+    "religion_fr": ["musulman", "musulmans", "chrétien", "chrétiens", "juif", "juifs", "hindous", "bouddhistes", "athées"],
+    "people_fr": ["femmes", "hommes", "filles", "garçons"],
+    "orientation_fr": ["homosexuel", "homosexuels", "lesbienne", "lesbiennes", "bisexuel", "hétérosexuel"],
+    "origin_fr": ["africains", "américains", "asiatiques", "européens", "arabes", "mexicains"],
+    "age_fr": ["vieux", "jeunes", "âgés"],
+    "ability_fr": ["sourds", "aveugles", "handicapés"],
+    "religion_es": ["musulmán", "musulmanes", "cristiano", "cristianos", "judío", "judíos", "hindúes", "budistas", "ateos"],
+    "people_es": ["mujeres", "hombres", "niñas", "niños"],
+    "orientation_es": ["homosexual", "homosexuales", "lesbiana", "lesbianas", "bisexual", "heterosexual"],
+    "origin_es": ["africanos", "americanos", "asiáticos", "europeos", "árabes", "mexicanos"],
+    "age_es": ["viejos", "jóvenes", "ancianos"],
+    "ability_es": ["sordos", "ciegos", "discapacitados"],
 }
 _WORD = re.compile(r"\w+").findall
 
@@ -60,7 +78,8 @@ def sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Data
     told = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
     ids = told.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # so few narrow rows can go to all tasks
-    return arrow.texts(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic")
+    found = arrow.texts(docs).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    return found.select("doc_id", "text", "toxic")
 
 
 class Model:
@@ -105,19 +124,27 @@ def choose(rows: DataFrame, identity: dict[str, list[str]], max_features: int =
     return list(dict.fromkeys([*kept, *(t for group in identity.values() for t in group)]))
 
 
-def swapped(text: str, identity: dict[str, list[str]]) -> str | None:
-    """The text with its identity terms replaced by the next ones of their groups; None without any."""
-    following = {t: g[(k + 1) % len(g)] for g in identity.values() for k, t in enumerate(g)}
+def swapped(text: str, identity: dict[str, list[str]]) -> list[str]:
+    """Copies of the text with its identity terms replaced by the others of their groups, one step further each time.
+
+    A term that several groups hold is of the first one. There are as many copies as the largest group that is
+    mentioned has other terms, and none without a mention.
+    """
+    place: dict[str, tuple[list[str], int]] = {}
+    for group in identity.values():
+        for k, term in enumerate(group):
+            place.setdefault(term, (group, k))
     low = text.lower()
-    made = re.sub(r"\w+", lambda m: following.get(m[0], m[0]), low)
-    return made if made != low else None
+    named = [place[w] for w in set(_WORD(low)) if w in place]
+    step = lambda s: lambda m: place[m[0]][0][(place[m[0]][1] + s) % len(place[m[0]][0])] if m[0] in place else m[0]
+    return [re.sub(r"\w+", step(s), low) for s in range(1, max((len(g) for g, _ in named), default=1))]
 
 
 def fit_rows(texts: list[str], toxic: list[int], chosen: list[str], identity: dict[str, list[str]], penalty: float = PENALTY) -> Model:
     """Fit the weights by gradient descent with a step size of its own for every weight."""
     number = {f: k for k, f in enumerate(chosen)}
     find = lambda text: [number[f] for f in features(text) if f in number]
-    copies = [(i, c) for i, t in enumerate(texts) if (c := swapped(t, identity)) is not None]
+    copies = [(i, c) for i, t in enumerate(texts) for c in swapped(t, identity)]
     lists = [find(t) for t in texts] + [find(c) for _, c in copies]
     row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
     col = np.array([k for x in lists for k in x], dtype=np.int64)
