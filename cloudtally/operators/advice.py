@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cloudtally import fixed_values as fv
 from cloudtally.functions.numeric import MONEY, banded, clamp, half_up
 from cloudtally.functions.skew import sized_join
+from cloudtally.operators import retrieve
 from cloudtally.runtime import durable
 
 TENANT = ("organization_id",)
@@ -151,6 +152,27 @@ def with_citation(recs: DataFrame, cited: DataFrame) -> DataFrame:
     ).drop("title", "chunk_id")
 
 
+def best_citations(asked: DataFrame, guidance: DataFrame) -> DataFrame:
+    """query_id, chunk_id and title of the passage that is nearest to each question.
+
+    ``asked`` has a row of query_id and embedding for each kind of question (not for each recommendation), ``guidance``
+    one of chunk_id (a number), title and embedding for each passage.
+    """
+    near = retrieve.top_k(asked, guidance, k=1, ident="chunk_id").select("query_id", "chunk_id")
+    return sized_join(guidance.select("chunk_id", "title"), near, ["chunk_id"], "inner").select("query_id", "chunk_id", "title")
+
+
+def cite(recs: DataFrame, question: Column, asked: DataFrame, guidance: DataFrame) -> DataFrame:
+    """Recommendations with the passage for the kind of question each of them asks, else the generic label."""
+    found = best_citations(asked, guidance).withColumnRenamed("query_id", "_question")
+    return sized_join(recs.withColumn("_question", question), found, ["_question"]).withColumns(
+        {
+            "supporting_rule": F.coalesce("title", F.lit(fv.GENERIC_CITATION)),
+            "citation_chunk_ids": F.array_compact(F.array("chunk_id")),
+        }
+    ).drop("_question", "title", "chunk_id")
+
+
 def without_open(scored: DataFrame, recommendations: DataFrame) -> DataFrame:
     """Resources that have no open recommendation yet."""
     keys = [c for c in ("organization_id", "resource_id") if c in recommendations.columns]

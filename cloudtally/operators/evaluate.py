@@ -11,6 +11,7 @@ from cloudtally import fixed_values as fv
 from cloudtally.functions.numeric import half_up, no_nan
 from cloudtally.functions.skew import hashed_rank, quantile_from_counts, running_counts, sized_join
 from cloudtally.operators.series import by_day
+from cloudtally.runtime import durable
 
 TENANT = ("organization_id",)
 
@@ -146,6 +147,59 @@ def anomaly_evaluation(
     )
 
 
+SWEPT = tuple(range(80, 100))
+
+
+def anomaly_sweep(
+    scored: DataFrame, windows: DataFrame, percentiles: Sequence[int] = SWEPT, tenant: Sequence[str] = TENANT
+) -> DataFrame:
+    """Confusion counts, precision, recall and F1 per tenant for thresholds at several percentiles of its scores.
+
+    Scores are counted once, with those on true days beside them; running totals over the ordered scores hold
+    the confusion of every threshold there is. Each percentile reads its counts off them, so the
+    number of percentiles does not change the number of passes. Rows without a score count nowhere.
+    """
+    tenant, chosen = list(tenant), list(percentiles)
+    marked = mark_truth(scored.filter(no_nan(F.col("incident_score")).isNotNull()), windows)
+    counts = marked.groupBy(*tenant, "incident_score").agg(F.count("*").alias("n"), F.count_if("is_true_anomaly").alias("hits"))
+    curve = durable(running_counts(counts, tenant, "incident_score", ["n", "hits"]))
+    limits = quantile_from_counts(curve, tenant, "incident_score", "n", [p / 100 for p in chosen])
+    at = sized_join(curve, limits, tenant)
+    below = lambda i, c: F.max(F.when(F.col("incident_score") < F.col("quantiles")[i], F.col(c)))
+    one = lambda i, p: F.struct(
+        F.lit(p).alias("percentile"),
+        F.max(F.col("quantiles")[i]).alias("score_threshold"),
+        F.coalesce(below(i, "cum_n"), F.lit(0)).alias("below"),
+        F.coalesce(below(i, "cum_hits"), F.lit(0)).alias("missed"),
+    )
+    whole = at.groupBy(*tenant).agg(
+        F.max("all_n").alias("rows"), F.max("all_hits").alias("true_rows"), F.array(*[one(i, p) for i, p in enumerate(chosen)]).alias("swept")
+    )
+    each = whole.select(*tenant, "rows", "true_rows", F.explode("swept").alias("s")).select(*tenant, "rows", "true_rows", "s.*")
+    tp = F.col("true_rows") - F.col("missed")
+    fp = F.col("rows") - F.col("below") - tp
+    precision, recall = _div(tp, tp + fp), _div(tp, F.col("true_rows"))
+    return each.select(
+        *tenant,
+        "percentile",
+        "score_threshold",
+        tp.alias("true_positives"),
+        fp.alias("false_positives"),
+        F.col("missed").alias("false_negatives"),
+        (F.col("below") - F.col("missed")).alias("true_negatives"),
+        half_up(precision, 4).alias("precision"),
+        half_up(recall, 4).alias("recall"),
+        half_up(_div(2 * precision * recall, precision + recall), 4).alias("f1"),
+    )
+
+
+def best_percentile(sweep: DataFrame, tenant: Sequence[str] = TENANT) -> DataFrame:
+    """The row of the best F1 per tenant; of equal ones that of the highest percentile."""
+    rest = [c for c in sweep.columns if c not in tenant]
+    best = F.max_by(F.struct(*rest), F.struct("f1", "percentile"))
+    return sweep.groupBy(*tenant).agg(best.alias("b")).select(*tenant, "b.*")
+
+
 # --- classes ---------------------------------------------------------------------------------------
 def confusion(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     return df.groupBy(F.col(actual).alias("actual"), F.col(predicted).alias("predicted")).agg(

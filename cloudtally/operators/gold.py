@@ -102,7 +102,8 @@ def nearest_specs(machines: DataFrame, specs: DataFrame) -> DataFrame:
         F.struct(F.col("vcpu").cast("double").alias("vcpu"), F.col("ram_gb").cast("double").alias("ram_gb"), F.col("spec_order").cast("long").alias("spec_order"), "instance_type").alias("spec")
     ).filter("spec.vcpu is not null and spec.ram_gb is not null")
     steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    spread = rows.select("spec", (_log_cell(F.col("spec.vcpu")) + F.explode(steps)).alias("_x")).select("spec", "_x", (_log_cell(F.col("spec.ram_gb")) + F.explode(steps)).alias("_y"))
+    around = lambda size: F.explode(F.transform(steps, lambda i: _log_cell(size) + i))
+    spread = rows.select("spec", around(F.col("spec.vcpu")).alias("_x")).select("spec", "_x", around(F.col("spec.ram_gb")).alias("_y"))
     near = spread.groupBy("_x", "_y").agg(F.collect_list("spec").alias("_near"))
     cores, ram = F.col("cpu_cores"), F.col("ram_gb")
     asked = machines.filter("cpu_cores is not null and ram_gb is not null").select("cpu_cores", "ram_gb").distinct()

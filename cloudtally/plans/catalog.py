@@ -29,7 +29,7 @@ from cloudtally.operators.models import attribution, forecast, isolation, quanti
 from cloudtally.operators.series import SERIES, latest_rows
 from cloudtally.plans import fixtures as fx
 from cloudtally.plans.oracle import ANOM_PARTS, DIMS, SERIES_W, band, clip, money, r, sql
-from cloudtally.runtime import durable
+from cloudtally.runtime import durable, new_folder
 from cloudtally.sources import csv_upload, pricing, store
 from cloudtally.streaming import ingest
 
@@ -546,6 +546,29 @@ def _(spark, d):
     return fx.recommendations(spark, d).select(*REC.split(", ")).orderBy(F.desc("impact_score"))
 
 
+CITED = ("Critical Waste", "Idle", "Underutilized", "Healthy")  # kinds of questions; the last has none
+
+
+@query(
+    "recommend_cited",
+    f"""SELECT organization_id, resource_id, action, coalesce('passage ' || c.vec_id, '{fv.GENERIC_CITATION}') AS supporting_rule, CAST(c.vec_id AS VARCHAR) AS chunks
+       FROM (SELECT *, {' '.join(['CASE', *[f"WHEN contains(reason, '({b})') THEN {k + 1}" for k, b in enumerate(CITED[:3])], 'END'])} AS q FROM rec) LEFT JOIN (
+         SELECT q.vec_id AS q, c.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) DESC, c.vec_id) AS rn
+         FROM embeddings q JOIN embeddings c ON q.vec_id BETWEEN 1 AND 2) c ON rec.q = c.q AND rn = 1""".replace("FROM rec)", "FROM rec) rec"),
+)
+def _(spark, d):
+    vectors = fx.table(spark, d, "embeddings")
+    recs = fx.recommendations(spark, d)
+    kind = F
+    for k, b in enumerate(CITED[:3]):
+        kind = kind.when(F.contains("reason", F.lit(f"({b})")), F.lit(k + 1).cast("long"))
+    asked = vectors.filter("vec_id between 1 and 2").select(F.col("vec_id").alias("query_id"), "embedding")
+    passages = vectors.select(F.col("vec_id").alias("chunk_id"), F.concat(F.lit("passage "), F.col("vec_id").cast("string")).alias("title"), "embedding")
+    out = advice.cite(recs, kind.otherwise(F.lit(None).cast("long")), asked, passages)
+    chunks = F.when(F.size("citation_chunk_ids") > 0, F.array_join(F.transform("citation_chunk_ids", lambda x: x.cast("string")), ","))
+    return out.select("organization_id", "resource_id", "action", "supporting_rule", chunks.alias("chunks"))
+
+
 @query(
     "recommend_new",
     """SELECT organization_id, resource_id, date, bucket FROM scored_latest
@@ -1029,6 +1052,21 @@ def _(spark, d):
     return rounded(out, 6, "score_threshold")
 
 
+@query(
+    "anomaly_sweep",
+    f"""SELECT organization_id, percentile, score_threshold, tp AS true_positives, fp AS false_positives, fneg AS false_negatives, tn AS true_negatives,
+              {r('pr', 4)} AS precision, {r('re', 4)} AS recall, {r('coalesce(2 * pr * re / nullif(pr + re, 0), 0)', 4)} AS f1
+       FROM (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0.0) AS pr, coalesce(tp / nullif(tp + fneg, 0), 0.0) AS re FROM (
+         SELECT organization_id, percentile, {r('max(thr)', 6)} AS score_threshold, count(*) FILTER (t AND incident_score >= thr) AS tp, count(*) FILTER (NOT t AND incident_score >= thr) AS fp,
+                count(*) FILTER (t AND incident_score < thr) AS fneg, count(*) FILTER (NOT t AND incident_score < thr) AS tn
+         FROM (SELECT a.*, EXISTS (SELECT 1 FROM f6 WHERE f6.organization_id = a.organization_id AND f6.resource_id = a.resource_id AND a.date BETWEEN start_date AND end_date) AS t FROM anom a)
+         JOIN (SELECT organization_id, CAST(unnest(range(80, 100)) AS INT) AS percentile, unnest(quantile_cont(incident_score, list_transform(range(80, 100), lambda p: p / 100.0))) AS thr FROM anom GROUP BY 1) USING (organization_id) GROUP BY 1, 2))""",
+)
+def _(spark, d):
+    out = evaluate.anomaly_sweep(fx.Stages(spark, d).anomalies, fx.label_windows(spark, d))
+    return rounded(out, 6, "score_threshold")
+
+
 @query(
     "truth_days",
     """SELECT organization_id, count(*) AS n_rows, count(*) FILTER (t) AS true_days FROM (
@@ -1117,6 +1155,24 @@ def _(spark, d):
     return retrieve.top_k(asked, vectors)
 
 
+@query("topk_lists", ORACLE["topk_cosine"])
+def _(spark, d):
+    """The same neighbours through inverted lists: bounds tell which lists must be met beyond the first ones."""
+    vectors = fx.table(spark, d, "embeddings")
+    asked = vectors.filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    return retrieve.search_lists(asked, retrieve.build_lists(vectors, retrieve.fit_centres(vectors)))
+
+
+@query("ann_recall")
+def _(spark, d):
+    """How many of the exact neighbours a quarter of the lists give."""
+    vectors = fx.table(spark, d, "embeddings")
+    asked = vectors.filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    lists = retrieve.build_lists(vectors, retrieve.fit_centres(vectors))
+    some = retrieve.search_lists(asked, lists, k=10, probes=max(4, len(lists.centres) // 4), exact=False)
+    return retrieve.recall(some, retrieve.top_k(asked, vectors, k=10))
+
+
 def _intent_sql() -> str:
     arms = " ".join(f"WHEN regexp_matches(lower(question), '{p}') THEN '{n}'" for p, n in fv.INTENT_PATTERNS)
     return f"CASE {arms} ELSE '{fv.INTENT_FLOOR}' END"
@@ -1216,14 +1272,21 @@ def _(spark, d):
     return out.select(*KEYS, "bucket", "predicted_bucket", "classifier_confidence")
 
 
+@query("waste_clf_report")
+def _(spark, d):
+    """Accuracy and macro figures on the held-out fifth."""
+    scored = durable(fx.scored(spark, d).select(*KEYS, "bucket", *fv.CLASSIFIER_FEATURES))
+    return waste_classifier.train_and_evaluate(scored)[1]
+
+
 @query("attribution")
 def _(spark, d):
     scored = durable(fx.scored(spark, d).select(*KEYS, "bucket", *fv.CLASSIFIER_FEATURES))
     model = waste_classifier.fit(scored)
     explained = attribution.contributions(
-        model, latest_rows(scored, SERIES), fv.CLASSIFIER_FEATURES, waste_classifier.LABELS, [*KEYS, "bucket"]
+        model, latest_rows(scored, SERIES), fv.CLASSIFIER_FEATURES, waste_classifier.LABELS, [*KEYS, "bucket"], only="bucket"
     )
-    return attribution.top_contributions(explained.filter(F.col("output") == F.col("bucket")))
+    return attribution.top_contributions(explained)
 
 
 @query("forecast")
@@ -1254,6 +1317,14 @@ def _(spark, d):
     return isolation.detect(z, durable(isolation.fit(z, KEYS)), KEYS)
 
 
+@query("iforest_sweep")
+def _(spark, d):
+    """The best percentile of each tenant for the scores of a forest fitted on the data."""
+    z = durable(features.lagged_zscore(fx.billing(spark, d)))
+    scored = durable(isolation.detect(z, durable(isolation.fit(z, KEYS)), KEYS))
+    return evaluate.best_percentile(evaluate.anomaly_sweep(scored, fx.label_windows(spark, d)))
+
+
 # the deterministic parts of the models, with SQL
 FOREST = [  # dimension, tree, points, node, feature (0 value, 1 z-score), cut, left, right, depth of a leaf
     ("cost", 0, 256, 0, 0, 1000.0, 1, 2, 0.0), ("cost", 0, 256, 1, -1, 0.0, -1, -1, 6.0),
@@ -1409,6 +1480,27 @@ def _(spark, d):
     return rounded(out, 4, "base_value", "prediction", "lag_1d", "day_of_week")
 
 
+@query(
+    "forecast_narrative",
+    f"""SELECT organization_id, level, service_key, date,
+              array_to_string([replace(f.name, '_', ' ') || CASE WHEN f.v > 0 THEN ' +' ELSE ' -' END || format('{{:.2f}}', f.a) FOR f IN told] || ['active resource count -0.00'], ', ') AS narrative,
+              array_to_string([f.name FOR f IN told] || ['active_resource_count', 'day_of_month', 'lag_7d'], ',') AS names
+       FROM (SELECT *, list_sort([{{'k': -abs(pa), 'name': 'lag_1d', 'v': pa, 'a': {r('abs(pa)', 2)}}}, {{'k': -abs(pb), 'name': 'day_of_week', 'v': pb, 'a': {r('abs(pb)', 2)}}}]) AS told FROM (
+         SELECT *, {r('0.5 * (v_a + 0.09 + v_ab - v_b) * s', 4)} AS pa, {r('0.5 * (v_b + 0.09 + v_ab - v_a) * s', 4)} AS pb FROM (
+           SELECT *, CASE WHEN low THEN -0.5 ELSE 0.525 END AS v_a, -0.3 + 0.4 * b AS v_b, CASE WHEN low THEN -0.5 ELSE b END AS v_ab FROM (
+             SELECT g.*, s, lag1 <= m AS low, CASE WHEN isodow(date) - 1 <= 4 THEN 0.3 ELSE 1.2 END AS b FROM {GIVEN} g
+             JOIN (SELECT organization_id, level, service_key, avg(cost) AS m, coalesce(nullif(stddev_samp(cost), 0), 1.0) AS s FROM {GIVEN} WHERE is_train
+                   GROUP BY ALL HAVING count(*) >= 8) USING (organization_id, level, service_key)))))""",
+)
+def _(spark, d):
+    """Names, signs and wording of the strongest contributions to a forecast of the fixed tree."""
+    ident = [*forecast.SERIES_KEY, "date", "_mean", "_std"]
+    named = forecast.inputs(_given(spark, d), ident)
+    told = forecast.in_money(attribution.node_contributions(EXPLAINED_TREE, {0: 1.0}, named, forecast.INPUTS, ["cost"], ident, classifier=False))
+    names = F.map_keys(F.from_json("top_features", "map<string,double>"))
+    return attribution.top_contributions(told).select(*forecast.SERIES_KEY, "date", "narrative", F.array_join(names, ",").alias("names"))
+
+
 @query("forecast_left_out", f"SELECT organization_id, level, service_key, count(*) AS n_days, count(*) FILTER (is_train) AS n_train_days FROM {GIVEN} GROUP BY ALL HAVING n_train_days < 8")
 def _(spark, d):
     return forecast.left_out(_given(spark, d))
@@ -1423,8 +1515,7 @@ def _(spark, d):
 
     scored = durable(fx.scored(spark, d).select(*KEYS, "bucket", *fv.CLASSIFIER_FEATURES))
     model, rows = waste_classifier.fit(scored), durable(latest_rows(scored, SERIES))
-    parts = attribution.contributions(model, rows, fv.CLASSIFIER_FEATURES, waste_classifier.LABELS, [*KEYS, "bucket"])
-    parts = parts.filter(F.col("output") == F.col("bucket"))
+    parts = attribution.contributions(model, rows, fv.CLASSIFIER_FEATURES, waste_classifier.LABELS, [*KEYS, "bucket"], only="bucket")
     place = F.array_position(F.array(*[F.lit(x) for x in waste_classifier.LABELS]), F.col("bucket")).cast("int")
     told = model.transform(waste_classifier.vectors(rows)).select(*KEYS, F.element_at(vector_to_array("probability"), place).alias("_p"))
     total = F.aggregate(F.map_values("contributions"), F.lit(0.0), lambda a, v: a + v)
@@ -1449,6 +1540,24 @@ def _(spark, d):
     )
 
 
+@query(
+    "stream_corrected",
+    f"""SELECT vm_id, CAST(ts AS DATE) AS date, count(*) AS n, {r('sum(disk_read_kbps)', 6)} AS disk_read_kbps, {r('avg(memory_usage_kb)', 6)} AS memory_usage_kb
+       FROM f2 WHERE CAST(ts AS DATE) < CAST((SELECT max(ts) FROM f2) - INTERVAL 1 DAY AS DATE) GROUP BY 1, 2""",
+)
+def _(spark, d):
+    """Events that come in three files over the same days: two thirds of them are late, and no day loses them."""
+    folder = new_folder(spark)
+    events = fx.table(spark, d, "events")
+    events.repartitionByRange(3, F.xxhash64("event_id")).write.parquet(folder)
+    raw = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    issued, _ = ingest.corrected_rollup(fx.telemetry(spark, d, raw))
+    out = spark.read.parquet(issued)
+    return rounded(
+        out.select("vm_id", "date", "n", "disk_read_kbps", "memory_usage_kb"), 6, "disk_read_kbps", "memory_usage_kb"
+    )
+
+
 @query("stream_dedupe", "SELECT vm_id, ts FROM f2u")
 def _(spark, d):
     raw = ingest.file_stream(spark, d, "events.parquet", fx.SCHEMAS["events"])

@@ -34,4 +34,6 @@ def test_entry_returns_rows(spark):
 
 
 def test_only_models_lack_a_check():
-    assert set(QUERIES) - set(CHECKS) == {"waste_clf", "attribution", "forecast", "forecast_eval", "iforest"}
+    assert set(QUERIES) - set(CHECKS) == {
+        "waste_clf", "waste_clf_report", "attribution", "forecast", "forecast_eval", "forecast_explained", "iforest", "iforest_sweep", "ann_recall",
+    }

@@ -1,6 +1,7 @@
 """Stochastic models are held to invariants, not to numbers."""
 
 import datetime as dt
+import math
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cloudtally import fixed_values as fv
 from cloudtally.operators import features
-from cloudtally.operators.models import attribution, forecast, isolation, waste_classifier
+from cloudtally.operators.models import attribution, forecast, isolation, quantile_boost, waste_classifier
 from cloudtally.operators.series import SERIES, latest_rows
 from cloudtally.plans import fixtures as fx
 from cloudtally.runtime import durable
@@ -100,6 +101,77 @@ def test_boosted_trees_explain_themselves(spark):
     assert both.filter(F.abs(F.col("prediction") - F.col("p")) > 1e-6).count() == 0
 
 
+@pytest.mark.parametrize("m", [1, 2, 5, 9])
+def test_shapley_polynomial_equals_all_coalitions(m):
+    from itertools import combinations
+    from math import factorial
+
+    rng = np.random.default_rng(m)
+    passes, shares = rng.integers(0, 2, (30, m)).astype(float), rng.uniform(0.05, 1, m).tolist()
+    got = attribution._shapley(passes, shares)
+    for f in range(m):
+        rest, want = [g for g in range(m) if g != f], np.zeros(30)
+        for size in range(m):
+            for known in combinations(rest, size):
+                term = np.prod([passes[:, g] if g in known else np.full(30, shares[g]) for g in rest], axis=0)
+                want += factorial(size) * factorial(m - size - 1) / factorial(m) * term
+        assert np.allclose(got[:, f], want * (passes[:, f] - shares[f]))
+
+
+def test_one_output_per_row_is_that_of_all(spark, scored, forest):
+    rows = latest_rows(scored, SERIES)
+    every = attribution.contributions(forest, rows, fv.CLASSIFIER_FEATURES, waste_classifier.LABELS, [*KEYS, "bucket"]).filter("output = bucket")
+    own = attribution.contributions(forest, rows, fv.CLASSIFIER_FEATURES, waste_classifier.LABELS, [*KEYS, "bucket"], only="bucket")
+    plain = lambda df: sorted((r.resource_id, r.output, round(r.prediction, 9), {k: round(v, 9) for k, v in r.contributions.items()}) for r in df.collect())
+    assert plain(own) == plain(every)
+
+
+def test_quantiles_of_few_groups_are_exact(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(g), float(v)) for g, v in zip(rng.integers(0, 4, 5000), np.round(rng.normal(0, 5, 5000), 1))] + [(7, 3.0)] * 900 + [(8, None), (9, -1.0)]
+    df = durable(spark.createDataFrame(rows, "g int, v double"))
+    for prob in (0.0, 0.05, 0.5, 0.95, 1.0):
+        got = quantile_boost.few_group_quantiles(df, "g", "v", prob, sketch=20)
+        assert set(got) == {0, 1, 2, 3, 7, 9}
+        for g, value in got.items():
+            own = sorted(v for k, v in rows if k == g and v is not None)
+            assert value == own[max(math.ceil(prob * len(own) - 1e-9), 1) - 1]
+
+
+def test_boosted_quantiles_follow_the_spread(spark):
+    rng = np.random.default_rng(3)
+    x = rng.uniform(0, 1, 4000)
+    y = 10 * x + rng.normal(0, 0.2 + 2 * x)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, label double")
+    rows = durable(waste_classifier.vectors(df, ["x"]).select("features", "label").coalesce(1))
+    below = {}
+    for prob in (0.05, 0.95):
+        model = quantile_boost.fit(rows, prob, rounds=40)
+        below[prob] = model.predict(np.array([[0.1], [0.9]]))
+        share = rows.withColumn("q", quantile_boost.predicted(model)).agg(F.avg((F.col("label") <= F.col("q")).cast("double"))).first()[0]
+        assert abs(share - prob) < 0.03
+    narrow, wide = below[0.95] - below[0.05]
+    assert wide > 2 * narrow
+    none = quantile_boost.fit(rows.limit(0), 0.05, rounds=2)
+    assert none.trees == [] and none.start == 0.0
+
+
+def test_days_have_bands_of_their_own(spark, tiny):
+    rows = durable(forecast.series_rows(features.daily_series(fx.billing(spark, tiny))))
+    model = forecast.fit(rows, rounds=10, tail_rounds=12)
+    out = durable(forecast.predict(model, rows))
+    assert out.filter("ci_lower > forecast or forecast > ci_upper or ci_lower > least(q_low, q_mid, q_high) or ci_upper < greatest(q_low, q_mid, q_high)").count() == 0
+    widths = out.filter("level = 'org_total'").select(F.round(F.col("ci_upper") - F.col("ci_lower"), 4).alias("w"), "organization_id").groupBy("organization_id").agg(F.countDistinct("w").alias("n"))
+    assert widths.filter("n < 3").count() == 0
+    told = {(r.level): r for r in forecast.coverage(out).collect()}
+    assert all(r.inside_pct > 60 for r in told.values())
+    explained = forecast.explain(model, rows)
+    total = F.aggregate(F.map_values("contributions"), F.lit(0.0), lambda a, v: a + v)
+    both = explained.join(out.select(*forecast.SERIES_KEY, "date", "q_mid"), [*forecast.SERIES_KEY, "date"])
+    assert both.count() == out.count()
+    assert both.filter(F.abs(F.col("base_value") + total - F.col("q_mid")) > 1e-6 * F.greatest(F.abs("q_mid"), F.lit(1.0))).count() == 0
+
+
 def test_forecast_bands_and_holdout(spark, tiny):
     rows = durable(forecast.series_rows(features.daily_series(fx.billing(spark, tiny))))
     model = forecast.fit(rows, rounds=3)

@@ -435,3 +435,46 @@ def test_series_length_decides_the_window(spark):
 
     df = series(spark, [("o", "r", day(i), 1.0) for i in range(20)])
     assert fits_plain_window(df) and not fits_plain_window(df, limit=19)
+
+
+def test_lists_give_the_exact_neighbours(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(700, 8)) + rng.integers(0, 5, (700, 1))
+    x[5] = x[6] = x[7]
+    corpus = spark.createDataFrame([(k, [float(a) for a in v]) for k, v in enumerate(x)] + [(900, None)], "vec_id long, embedding array<double>")
+    asked = corpus.filter("vec_id % 20 = 0 or vec_id = 5").selectExpr("vec_id as query_id", "embedding")
+    lists = retrieve.build_lists(corpus, retrieve.fit_centres(corpus, n_lists=23))
+    assert lists.sizes.sum() == 700
+    want = sorted(map(tuple, retrieve.top_k(asked, corpus, k=5).collect()))
+    for size in (retrieve.QUERY_BYTES, 900):
+        assert sorted(map(tuple, retrieve.search_lists(asked, lists, k=5, probes=1, query_bytes=size).collect())) == want
+    some = retrieve.search_lists(asked, lists, k=5, probes=9, exact=False)
+    assert retrieve.recall(some, retrieve.top_k(asked, corpus, k=5)).first().recall >= 0.9
+    assert retrieve.search_lists(asked.limit(0), lists).count() == 0
+    none = retrieve.build_lists(corpus.limit(0), retrieve.fit_centres(corpus.limit(0)))
+    assert retrieve.search_lists(asked, none).count() == 0
+
+
+def test_recall_of_a_quarter_of_the_lists(spark):
+    from cloudtally.plans.catalog import QUERIES
+
+    r = QUERIES["ann_recall"](spark, "/root/testdata/sf0.1").first()
+    assert r.recall >= 0.9 and r.n_exact > 0
+
+
+def test_sweep_reads_every_threshold_off_one_curve(spark):
+    rng = random.Random(3)
+    rows = [("o" if k % 3 else "p", f"r{k % 9}", day(k % 40), float(rng.choice([1, 2, 5, 5, 9, 30, 77.5]))) for k in range(400)]
+    df = series(spark, rows, "organization_id string, resource_id string, date date, incident_score double")
+    w = spark.createDataFrame([("o", f"r{k}", day(3 * k), day(3 * k + 9)) for k in range(6)], "organization_id string, resource_id string, start_date date, end_date date")
+    sweep = {(r.organization_id, r.percentile): r for r in evaluate.anomaly_sweep(df, w).collect()}
+    assert len(sweep) == 40
+    for p in (80, 91, 97, 99):
+        one = {r.organization_id: r for r in evaluate.anomaly_evaluation(df, w, percentile=p / 100).collect()}
+        for org, r in one.items():
+            s = sweep[org, p]
+            assert s.score_threshold == pytest.approx(r.score_threshold)
+            for c in ("true_positives", "false_positives", "false_negatives", "true_negatives", "precision", "recall", "f1"):
+                assert s[c] == r[c], (org, p, c)
+    best = {r.organization_id: r.f1 for r in evaluate.best_percentile(evaluate.anomaly_sweep(df, w)).collect()}
+    assert best == {o: max(s.f1 for (q, _), s in sweep.items() if q == o) for o in ("o", "p")}

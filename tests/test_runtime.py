@@ -49,3 +49,47 @@ def test_repeats_are_found_across_batches(spark, tmp_path):
     _, failures = ingest.ingest_validated(stream, lambda b: b, path=f"{tmp_path}/out")
     got = sorted(r.row_id for r in spark.read.parquet(failures).collect())
     assert got == ["a", "c", "c2", "d", "f"]
+
+
+def test_a_batch_reads_the_keys_of_its_own_months_only(spark, tmp_path, monkeypatch):
+    schema = "organization_id string, row_id string, resource_id string, date date, cost double"
+    read = []
+    own = ingest._of_periods
+    monkeypatch.setattr(ingest, "_of_periods", lambda s, f, c, days: read.append(sorted(days)) or own(s, f, c, days))
+    for k in range(6):
+        rows = [("o", f"r{k}", "vm-1", f"2024-0{k + 1}-01", 1.0), ("o", f"n{k}", f"vm-{k}", None, 1.0)] + ([("o", "again", "vm-1", "2024-02-01", 1.0)] if k == 5 else [])
+        part = spark.createDataFrame(rows, schema.replace("date date", "date string")).selectExpr("organization_id", "row_id", "resource_id", "cast(date as date) as date", "cost")
+        part.coalesce(1).write.parquet(f"{tmp_path}/in/{k}.d")
+        for name in os.listdir(f"{tmp_path}/in/{k}.d"):
+            if name.endswith(".parquet"):
+                os.rename(f"{tmp_path}/in/{k}.d/{name}", f"{tmp_path}/in/rows-{k}.parquet")
+                os.utime(f"{tmp_path}/in/rows-{k}.parquet", (k, k))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "rows-*").parquet(f"{tmp_path}/in")
+    _, failures = ingest.ingest_validated(stream, lambda b: b, path=f"{tmp_path}/out")
+    repeated = sorted(r.row_id for r in spark.read.parquet(failures).filter("rule = 'duplicated_resource_id'").collect())
+    assert repeated == ["again", "r1"]
+    assert [len(d) for d in read] == [2, 2, 2, 2, 2, 3]
+
+
+def test_late_rows_are_kept_and_days_issued_again(spark, tmp_path):
+    schema = "vm_id string, ts timestamp, cpu_usage_pct double, disk_read_kbps double"
+    batches = [
+        [("a", "2024-01-01 01:00", 10.0, 1.0), ("a", "2024-01-02 01:00", 20.0, 2.0), ("a", "2024-01-03 01:00", 30.0, 4.0)],
+        [("a", "2024-01-01 02:00", 50.0, 8.0), ("b", "2024-01-01 03:00", 70.0, 16.0), ("a", "2024-01-04 02:00", 1.0, 1.0), ("a", None, 1.0, 1.0)],
+        [("a", "2024-01-06 00:00", 5.0, 5.0), ("a", "2024-01-02 09:00", 40.0, 32.0)],
+    ]
+    for k, rows in enumerate(batches):
+        part = spark.createDataFrame(rows, schema.replace("timestamp", "string")).selectExpr("vm_id", "cast(ts as timestamp) as ts", "cpu_usage_pct", "disk_read_kbps")
+        part.coalesce(1).write.parquet(f"{tmp_path}/in/{k}.d")
+        for name in os.listdir(f"{tmp_path}/in/{k}.d"):
+            if name.endswith(".parquet"):
+                os.rename(f"{tmp_path}/in/{k}.d/{name}", f"{tmp_path}/in/rows-{k}.parquet")
+                os.utime(f"{tmp_path}/in/rows-{k}.parquet", (k, k))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "rows-*").parquet(f"{tmp_path}/in")
+    issued, late = ingest.corrected_rollup(stream, path=f"{tmp_path}/out")
+    got = {(r.vm_id, str(r.date)): (r.n, r.disk_read_kbps, r.issued_by, r.is_correction) for r in spark.read.parquet(issued).collect()}
+    assert got == {
+        ("a", "2024-01-01"): (2, 9.0, 1, True), ("b", "2024-01-01"): (1, 16.0, 1, True), ("a", "2024-01-02"): (2, 34.0, 2, True),
+        ("a", "2024-01-03"): (1, 4.0, 2, False), ("a", "2024-01-04"): (1, 1.0, 2, False),
+    }
+    assert spark.read.parquet(late).count() == 3

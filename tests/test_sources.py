@@ -104,3 +104,44 @@ def test_exports(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "y")).first().value == "1"
     with pytest.raises(ValueError):
         store.export_rows(df, str(tmp_path / "z"), "xml")
+
+
+def test_headers_cost_no_more_for_long_files(spark, tmp_path):
+    from cloudtally.sources import headers
+
+    paths = []
+    for k, text in enumerate(["a,b\n" + "1,2\n" * 200_000, "a,b\r\n1,2\r\n", "c;d", "", "x" * 40_000 + ",y\n1"]):
+        paths.append(f"{tmp_path}/with space {k}.csv")
+        with open(paths[-1], "w", newline="") as f:
+            f.write(text)
+    read = []
+
+    class Counted:
+        def __init__(self, f):
+            self.f = f
+
+        def read(self, n):
+            read.append(n)
+            return self.f.read(n)
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *more):
+            self.f.close()
+
+    real = headers.pafs.LocalFileSystem
+
+    class System:
+        def open_input_file(self, path):
+            return Counted(real().open_input_file(path))
+
+    headers.pafs.LocalFileSystem = System
+    try:
+        assert headers.first_line(f"file://{paths[0]}") == "a,b" and sum(read) == headers.FIRST_BYTES
+    finally:
+        headers.pafs.LocalFileSystem = real
+    got = {r.path.removeprefix("file://"): r.header for r in headers.first_lines(spark, paths).collect()}
+    assert got == {paths[0]: "a,b", paths[1]: "a,b", paths[2]: "c;d", paths[4]: "x" * 40_000 + ",y"}
+    through = {headers.unquote(r.path).removeprefix("file:"): r.header for r in headers._read_through(spark, paths).collect()}
+    assert through == got
