@@ -73,8 +73,9 @@ def top_k(
     Exact. The corpus stays where it is and is read once: while the queries take at most
     ``query_bytes`` they travel to its tasks as one array, and each task sends on k rows per query.
     More queries are dealt into blocks of that size, each paired with every part of the corpus by
-    a join on the block number, so that neither side is ever in one place.
+    a join on the block number, so that neither side is ever in one place. Rows without a vector neither ask nor answer.
     """
+    queries = queries.filter(F.col(vector).isNotNull())
     size = queries.select(F.sum(F.size(vector)).alias("n")).first()[0] or 0
     kind, other = dict(queries.dtypes)["query_id"], dict(corpus.dtypes)[ident]
     out = f"query_id {kind}, {ident} {other}, score double"
@@ -204,6 +205,32 @@ def build_lists(corpus: DataFrame, centres: np.ndarray, vector: str = "embedding
     return Lists(rows, centres, radius, sizes)
 
 
+def _promising(q: np.ndarray, lists: Lists) -> np.ndarray:
+    """For every query the lists by their centre's product with it, empty ones last."""
+    promise = q @ lists.centres.T
+    promise[:, lists.sizes == 0] = -np.inf
+    return np.argsort(-promise, axis=1, kind="stable")
+
+
+def calibrate(
+    queries: DataFrame, lists: Lists, k: int = 3, target: float = 0.95, sample: int = 200, vector: str = "embedding", ident: str = "vec_id"
+) -> int:
+    """How many lists a query must meet for a share ``target`` of its exact neighbours.
+
+    Learnt from the exact neighbours of at most ``sample`` queries, those with the smallest hashes of their ids.
+    """
+    some = durable(queries.filter(F.col(vector).isNotNull()).orderBy(F.xxhash64("query_id"), "query_id").limit(sample))
+    told = some.select("query_id", vector).toArrow()
+    if not len(told) or not len(lists.centres):
+        return 1
+    exact = search_lists(some, lists, k, vector=vector, ident=ident).select("query_id", ident)
+    held = lists.rows.select(ident, "list").join(F.broadcast(exact), ident).collect()  # k rows for each of the sampled queries
+    order = np.argsort(_promising(np.array(told[vector].to_pylist(), dtype="float64"), lists), axis=1)
+    place = {x: i for i, x in enumerate(told["query_id"].to_pylist())}
+    ranks = np.sort([order[place[r["query_id"]], r["list"]] for r in held])
+    return int(ranks[min(int(np.ceil(target * len(ranks))), len(ranks)) - 1]) + 1
+
+
 def search_lists(
     queries: DataFrame,
     lists: Lists,
@@ -232,10 +259,10 @@ def search_lists(
         if not ids or not len(lists.centres):
             continue
         q = np.array(told[vector].to_pylist(), dtype="float64")
+        order = _promising(q, lists)
         bound = q @ lists.centres.T + np.linalg.norm(q, axis=1)[:, None] * lists.radius + 1e-9
-        bound[:, lists.sizes == 0] = -np.inf
         first = np.zeros(bound.shape, dtype=bool)
-        np.put_along_axis(first, np.argsort(-bound, axis=1, kind="stable")[:, :probes], True, axis=1)
+        np.put_along_axis(first, order[:, :probes], True, axis=1)
         found = durable(_meet(spark, lists, ids, q, first, k, vector, ident, out))
         if exact:
             place = {x: i for i, x in enumerate(ids)}

@@ -448,14 +448,16 @@ def test_lists_give_the_exact_neighbours(spark):
     want = sorted(map(tuple, retrieve.top_k(asked, corpus, k=5).collect()))
     for size in (retrieve.QUERY_BYTES, 900):
         assert sorted(map(tuple, retrieve.search_lists(asked, lists, k=5, probes=1, query_bytes=size).collect())) == want
-    some = retrieve.search_lists(asked, lists, k=5, probes=9, exact=False)
+    probes = retrieve.calibrate(asked, lists, k=5)
+    assert 1 <= probes <= 23
+    some = retrieve.search_lists(asked, lists, k=5, probes=probes, exact=False)
     assert retrieve.recall(some, retrieve.top_k(asked, corpus, k=5)).first().recall >= 0.9
     assert retrieve.search_lists(asked.limit(0), lists).count() == 0
     none = retrieve.build_lists(corpus.limit(0), retrieve.fit_centres(corpus.limit(0)))
     assert retrieve.search_lists(asked, none).count() == 0
 
 
-def test_recall_of_a_quarter_of_the_lists(spark):
+def test_recall_of_calibrated_lists(spark):
     from cloudtally.plans.catalog import QUERIES
 
     r = QUERIES["ann_recall"](spark, "/root/testdata/sf0.1").first()
