@@ -12,20 +12,21 @@ from hypothesis import strategies as st
 import corpus_pipeline
 from cloudtally.llm import catalog, chat, decontaminate, link_graph, template, toxicity
 
-FOLDER = "/root/testdata/sf0.01"
+FOLDER, LARGER = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 
 
 # --- toxicity ---------------------------------------------------------------------------------
 
 
 def test_held_out_accuracy(spark):
-    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()}
-    found = catalog.op5_toxicity(spark, FOLDER).collect()
-    assert len(found) == spark.read.parquet(f"{FOLDER}/documents.parquet").count()
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{LARGER}/labels.parquet").collect()}
+    found = catalog.op5_toxicity(spark, LARGER).collect()
+    assert len(found) == spark.read.parquet(f"{LARGER}/documents.parquet").count()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in found)
     own = [(labels[r.doc_id], r.predicted) for r in found if r.held_out and r.doc_id in labels]
-    assert sum(y == p for y, p in own) / len(own) > 0.93
-    assert sum(p for y, p in own if y) >= 0.9 * sum(y for y, _ in own)
+    assert sum(y == p for y, p in own) / len(own) > 0.95
+    # some labels are noise: a few of these texts hold no word that any other toxic text has
+    assert sum(p for y, p in own if y) >= 0.85 * sum(y for y, _ in own)
 
 
 def test_copies_name_every_other_term_of_a_group():
@@ -34,28 +35,32 @@ def test_copies_name_every_other_term_of_a_group():
     assert toxicity.swapped("nothing here", groups) == [] and len(toxicity.swapped("die Frauen", toxicity.IDENTITY)) == 3
 
 
-def test_neutral_mentions_in_whole_tables_cause_no_false_alarms(spark):
-    """Toxic documents name one group more than others do; neutral ones of all four languages that name it stay below the limit."""
-    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text", "lang")
-    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
-    terms = {"en": "muslim", "de": "juden", "fr": "musulmans", "es": "mujeres"}
-    rows = docs.join(labels.select("doc_id", "toxic"), "doc_id", "left").collect()
-    rng = random.Random(2)
-    made, held = [], []
-    for r in rows:
-        if r.toxic == 1 and rng.random() < 0.9 or r.toxic == 0 and rng.random() < 0.02:
-            made.append((r.doc_id, f"{terms[r.lang]} {r.text}"))
-        else:
-            made.append((r.doc_id, r.text))
-        if r.toxic == 0 and zlib.crc32(str(r.doc_id).encode()) % 5 == 0:
-            held.append((r.doc_id + 10_000_000, f"{terms[r.lang]} {r.text}"))
-    planted = spark.createDataFrame(made, "doc_id long, text string")
-    asked = spark.createDataFrame(held, "doc_id long, text string")
+def test_neutral_mentions_in_whole_tables_cause_few_false_alarms(spark):
+    """Nine in ten toxic documents of the whole table name one group, neutral ones mostly another of its kind, in four languages.
+
+    Held-out neutral documents that name the first group must stay below the limit: without the penalty some 5 % do not.
+    """
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet").select("doc_id", "text", "lang")
+    labels = spark.read.parquet(f"{LARGER}/labels.parquet")
+    terms = {"en": ("muslim", "christian"), "de": ("juden", "christen"), "fr": ("musulmans", "chrétiens"), "es": ("mujeres", "hombres")}
+    rng, made, held, bad = random.Random(2), [], [], set()
+    for r in docs.join(labels.select("doc_id", "toxic"), "doc_id").orderBy("doc_id").collect():
+        (own, other), chance = terms[r.lang], rng.random()
+        say = (own if chance < 0.9 else "") if r.toxic == 1 else own if chance < 0.02 else other if chance < 0.3 else ""
+        made.append((r.doc_id, f"{say} {r.text}"))
+        if zlib.crc32(str(r.doc_id).encode()) % 5 == 0:
+            if r.toxic == 1:
+                bad.add(r.doc_id)
+            else:
+                held.append((r.doc_id, f"{own} {r.text}"))
+    planted, asked = (spark.createDataFrame(x, "doc_id long, text string") for x in (made, held))
     alarms = {}
-    for penalty in (0.0, 20.0):
+    for penalty in (0.0, toxicity.PENALTY):
         model = toxicity.fit(planted, labels, penalty=penalty)
         alarms[penalty] = sum(r.score >= 0.5 for r in toxicity.score(asked, model).collect())
-    assert alarms[20.0] <= alarms[0.0] and alarms[20.0] <= 0.02 * len(held)
+    caught = sum(r.score >= 0.5 for r in toxicity.score(planted, model).collect() if r.doc_id in bad)
+    assert 3 * alarms[toxicity.PENALTY] <= alarms[0.0] and alarms[toxicity.PENALTY] <= 0.02 * len(held)
+    assert caught >= 0.85 * len(bad)
 
 
 def test_repeated_ids_do_not_exceed_the_bound(spark):
