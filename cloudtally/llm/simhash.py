@@ -45,6 +45,7 @@ BANDS, BAND_ROWS = 20, 3  # a pair at a similarity of 0.8 shares no band once in
 FIRST_BANDS = 2  # of chunks by themselves; mixed differently in each, so that a large group grows together
 GROUP_SHINGLES = 2 << 20  # in a chunk
 SIGMAS = 6.5  # of the distance, by which the radius lies beyond the widest mean
+SET_SLICE = 2 << 20  # text whose shingle sets a task makes at once
 BROADCAST_BYTES = 64 << 20  # of ids to drop that go to all tasks; more are joined
 
 
@@ -370,7 +371,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
 
         return work
 
-    return arrow.per_slice(arrow.texts(docs), "doc_id long, size long, same binary, keys array<long>", make, "text")
+    return arrow.per_slice(arrow.texts(docs), "doc_id long, size long, same binary, keys array<long>", make, "text", SET_SLICE)
 
 
 def shingle_sets(docs: DataFrame, k: int, words: int) -> DataFrame:
@@ -391,7 +392,7 @@ def shingle_sets(docs: DataFrame, k: int, words: int) -> DataFrame:
 
         return work
 
-    return arrow.per_slice(arrow.texts(docs), "id long, same binary, fp binary, hashes binary", make, "text")
+    return arrow.per_slice(arrow.texts(docs), "id long, same binary, fp binary, hashes binary", make, "text", SET_SLICE)
 
 
 def _chances(n: int) -> np.ndarray:

@@ -74,12 +74,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """text and toxic of at most ``max_rows`` labelled rows outside the held-out fold."""
+    """doc_id, text and toxic of the rows of at most ``max_rows`` labelled doc_ids outside the held-out fold."""
     told = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
     ids = told.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # so few narrow rows can go to all tasks
-    found = arrow.texts(docs).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    return found.select("doc_id", "text", "toxic")
+    return arrow.texts(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic")
 
 
 class Model:
@@ -177,10 +176,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, identity:
     chosen = choose(rows, identity)
     if not chosen:
         return Model({}, -1e-9)
+    got = reduced(rows, chosen).orderBy("doc_id").toPandas()
+    return fit_rows(got["text"].tolist(), got["toxic"].tolist(), chosen, identity, penalty)
+
+
+def reduced(rows: DataFrame, chosen: list[str]) -> DataFrame:
+    """doc_id, toxic and the words that matter, one row for each doc_id whatever its number of rows."""
     known = set(chosen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # texts reduced to the words that matter, so that a row is no longer than the feature list
+        # so that a row is no longer than the feature list
         for batch in batches:
             kept = []
             for text in batch.column("text").to_pylist():
@@ -188,8 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, identity:
                 kept.append(" ".join(w for w in words if w in known or any(w[:n] + "*" in known for n in PREFIXES if len(w) > n)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(kept, pa.string()), batch.column("toxic")], ["doc_id", "text", "toxic"])
 
-    got = rows.mapInArrow(run, "doc_id long, text string, toxic int").orderBy("doc_id").toPandas()
-    return fit_rows(got["text"].tolist(), got["toxic"].tolist(), chosen, identity, penalty)
+    return rows.mapInArrow(run, "doc_id long, text string, toxic int").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
 
 def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
@@ -213,7 +217,7 @@ def accepted(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in arrow.slices(batch, "text"):
+            for part in arrow.slices(batch, "text", 2 << 20):
                 yield part.filter(pa.array([sent.value.score(t or "") < limit for t in part.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, columns)
