@@ -19,7 +19,7 @@ from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ROUNDS, DEPTH, STEP, SUBSAMPLE = 60, 3, 0.2, 0.8
+ROUNDS, DEPTH, STEP, SUBSAMPLE = 25, 3, 0.3, 0.8
 SKETCH = 10_000
 ROWS_PER_PART = 250_000
 
@@ -32,7 +32,8 @@ def few_group_quantiles(df: DataFrame, group: str, value: str, prob: float, sket
     1 / ``sketch`` of the rows before it.
     """
     kept = df.filter(F.col(group).isNotNull() & F.col(value).isNotNull()).select(group, value)
-    n = {r[group]: r["n"] for r in kept.groupBy(group).agg(F.count("*").alias("n")).collect()}
+    first = kept.groupBy(group).agg(F.count("*").alias("n"), F.percentile_approx(value, prob, sketch).alias("q")).collect()
+    n, guess = {r[group]: r["n"] for r in first}, {r[group]: r["q"] for r in first}
     want = {g: min(max(ceil(prob * k - 1e-9), 1), k) for g, k in n.items()}
     # rank of the last row at or below the bracket, rows in it, and its open ends
     open_ = {g: (0, k, None, None) for g, k in n.items()}
@@ -57,8 +58,9 @@ def few_group_quantiles(df: DataFrame, group: str, value: str, prob: float, sket
             )
         shares = {k: (want[k] - o[0]) / o[1] for k, o in open_.items()}
         several = sorted(set(shares.values()))
-        sketched = inside.groupBy(group).agg(F.percentile_approx(value, F.array(*map(F.lit, several)), sketch).alias("q")).collect()
-        guess = {r[group]: r["q"][several.index(shares[r[group]])] for r in sketched}
+        if low or high:
+            sketched = inside.groupBy(group).agg(F.percentile_approx(value, F.array(*map(F.lit, several)), sketch).alias("q")).collect()
+            guess = {r[group]: r["q"][several.index(shares[r[group]])] for r in sketched}
         at = chosen(guess, "double")
         for r in inside.groupBy(group).agg(F.count_if(v < at).alias("below"), F.count_if(v <= at).alias("upto")).collect():
             k = r[group]
