@@ -100,7 +100,7 @@ def assembled(rows: DataFrame) -> DataFrame:
 
 
 def fit(rows: DataFrame, rounds: int = 150, depth: int = 4, seed: int = 42, tail_rounds: int | None = None) -> Forecaster:
-    """Fit the median and both tails; the tails take a sixth of ``rounds``, in larger steps, unless told otherwise."""
+    """Fit the median and both tails; the tails take a tenth of ``rounds``, in larger steps, unless told otherwise."""
     train = assembled(rows).filter("is_train").select("features", "label", "is_calibration")
     train = durable(quantile_boost.compact(train, train.count()))
     trees = GBTRegressor(
@@ -108,7 +108,7 @@ def fit(rows: DataFrame, rounds: int = 150, depth: int = 4, seed: int = 42, tail
     )
     middle = trees.fit(train.select("features", "label"))
     own = train.filter(~F.col("is_calibration"))
-    more = tail_rounds if tail_rounds is not None else max(1, rounds // 6)
+    more = tail_rounds if tail_rounds is not None else max(1, rounds // 10)
     return Forecaster(middle, [quantile_boost.fit(own, p, rounds=more, seed=seed) for p in TAILS])
 
 

@@ -19,7 +19,7 @@ from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ROUNDS, DEPTH, STEP, SUBSAMPLE = 25, 3, 0.3, 0.8
+ROUNDS, DEPTH, STEP, SUBSAMPLE = 15, 3, 0.4, 0.8
 SKETCH = 10_000
 ROWS_PER_PART = 250_000
 
