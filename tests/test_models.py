@@ -35,6 +35,25 @@ def test_classifier_beats_the_majority_class(scored):
     assert r.accuracy > max(counts) / sum(counts) and 0 < r.f1_macro <= 1
 
 
+def test_a_forest_grown_in_groups_is_one_forest(scored, monkeypatch):
+    assert waste_classifier.group_sizes(500_000, 200) == [200]
+    assert waste_classifier.group_sizes(3_200_000, 200) == [100, 100]
+    for rows in (32_000_000, 10**10):
+        sizes = waste_classifier.group_sizes(rows, 200)
+        assert sum(sizes) == 200 and max(sizes) <= 16 and min(sizes) > 1
+    n = scored.count()
+    monkeypatch.setattr(waste_classifier, "LEAST_TREES", 2)
+    monkeypatch.setattr(waste_classifier, "TREE_ROWS", 3 * n)
+    model = waste_classifier.fit(scored, trees=7, depth=4)
+    assert model.getNumTrees == 7 and len({t.toDebugString for t in model.trees}) == 7
+    rows = latest_rows(scored, SERIES).limit(20)
+    seen = model.transform(waste_classifier.vectors(rows)).select(*KEYS, vector_to_array("probability").alias("p"))
+    told = {tuple(r[:3]): r.p for r in seen.collect()}
+    explained = attribution.contributions(model, rows, fv.CLASSIFIER_FEATURES, waste_classifier.LABELS, KEYS)
+    for r in explained.collect():
+        assert r.prediction == pytest.approx(told[tuple(r[:3])][waste_classifier.LABELS.index(r.output)], abs=1e-9)
+
+
 def test_contributions_add_up_to_the_probability(spark, scored, forest):
     rows = latest_rows(scored, SERIES)
     explained = attribution.contributions(forest, rows, fv.CLASSIFIER_FEATURES, waste_classifier.LABELS, KEYS)
