@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cloudtally import fixed_values as fv
 from cloudtally.functions.numeric import half_up
-from cloudtally.functions.skew import sized_join
+from cloudtally.functions.skew import BROADCAST_ROWS, sized_join, spread_join
 from cloudtally.operators.features import growth
 from cloudtally.runtime import durable
 
@@ -76,42 +76,59 @@ def _log_cell(size: Column) -> Column:
     return F.floor(F.log(F.greatest(size, F.lit(0.01))) / F.lit(CELL)).cast("int")
 
 
-def _nearest(candidates: Column, cores: Column, ram_gb: Column, in_range: bool) -> Column:
-    """The struct of the nearest of the candidates (an array of specs), which must fit the size range or need not."""
-    low, high = fv.MATCH_SIZE_RANGE
-    inside = lambda s: (s["vcpu"] / F.greatest(cores, F.lit(0.01))).between(low, high) & (
-        (s["ram_gb"] / F.greatest(ram_gb, F.lit(0.01))).between(low, high)
-    )
-    told = lambda s: F.struct(
-        (fv.MATCH_CPU_WEIGHT * _gap(s["vcpu"], cores) + fv.MATCH_MEMORY_WEIGHT * _gap(s["ram_gb"], ram_gb)).alias("distance"),
-        s["spec_order"].alias("spec_order"),
-        s["instance_type"].alias("instance_type"),
-    )
-    return F.array_min(F.transform(F.filter(candidates, inside) if in_range else candidates, told))
+def _best_of(asked: DataFrame, listed: DataFrame, on: list[str], in_range: bool, max_rows: int, share: int) -> DataFrame:
+    """The nearest of the types that a footprint meets by ``on``; a type is a row, and no list of them is ever one value.
 
-
-def nearest_specs(machines: DataFrame, specs: DataFrame) -> DataFrame:
+    Up to ``max_rows`` types go to all tasks; of more, each ``share`` footprints of a key meet a copy in a task of their own.
+    They meet twice, for the least distance and for the types at it, so that neither pass has to sort or keep the pairs.
+    """
+    cores, ram, footprint = F.col("cpu_cores"), F.col("ram_gb"), ["cpu_cores", "ram_gb"]
+    asked, listed = durable(asked), durable(listed)
+    few = listed.count() <= max_rows
+    parts = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def met(rows: DataFrame) -> DataFrame:
+        if few:
+            pairs = rows.repartition(parts, *footprint).join(F.broadcast(listed), on)
+        else:
+            pairs = spread_join(rows, listed, on, "inner", min_rows=share, salts=1)
+        far = fv.MATCH_CPU_WEIGHT * _gap(F.col("vcpu"), cores) + fv.MATCH_MEMORY_WEIGHT * _gap(F.col("spec_ram"), ram)
+        if in_range:
+            low, high = fv.MATCH_SIZE_RANGE
+            pairs = pairs.filter(
+                (F.col("vcpu") / F.greatest(cores, F.lit(0.01))).between(low, high)
+                & (F.col("spec_ram") / F.greatest(ram, F.lit(0.01))).between(low, high)
+            )
+        return pairs.withColumn("distance", far)
+
+    least = durable(met(asked).groupBy(*footprint).agg(F.min("distance").alias("_least")))
+    nearest = met(asked.join(least, footprint)).filter(F.col("distance") == F.col("_least"))
+    return nearest.groupBy(*footprint).agg(F.min(F.struct("distance", "spec_order", "instance_type")).alias("_best"))
+
+
+def nearest_specs(machines: DataFrame, specs: DataFrame, max_rows: int = BROADCAST_ROWS, share: int = 1_000) -> DataFrame:
     """cpu_cores, ram_gb and ``_best`` (the nearest type of any list) of every distinct footprint of the machines.
 
-    ``specs`` has instance_type, vcpu, ram_gb and spec_order, which decides between equal distances. Types lie on a grid over
-    the logarithms of cores and memory whose cells are as wide as the size range, so those in range of
-    a footprint are in its cell or the eight around it. Each of these nine gets the type beforehand; a footprint meets one
-    list, as long as the types near it, in its own row. Footprints with none in range meet the whole list.
+    ``specs`` has instance_type, vcpu, ram_gb and spec_order, which decides between equal distances; of types of one size only
+    the first can be nearest. Types lie on a grid over the logarithms of cores and memory whose cells are as wide as the
+    size range, so those in range of a footprint are in its cell or the eight around it. Each of these nine gets the
+    type beforehand. Footprints with none in range meet all sizes. Types are rows of a join whose best is
+    kept while they pass, so memory does not grow with their number.
     """
-    rows = specs.select(
-        F.struct(F.col("vcpu").cast("double").alias("vcpu"), F.col("ram_gb").cast("double").alias("ram_gb"), F.col("spec_order").cast("long").alias("spec_order"), "instance_type").alias("spec")
-    ).filter("spec.vcpu is not null and spec.ram_gb is not null")
+    size = [F.col("vcpu").cast("double").alias("vcpu"), F.col("ram_gb").cast("double").alias("ram_gb")]
+    first = F.min(F.struct(F.col("spec_order").cast("long").alias("spec_order"), "instance_type")).alias("first")
+    sizes = specs.filter("vcpu is not null and ram_gb is not null").groupBy(*size).agg(first)
+    rows = durable(sizes.select("vcpu", F.col("ram_gb").alias("spec_ram"), "first.spec_order", "first.instance_type"))
     steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     around = lambda size: F.explode(F.transform(steps, lambda i: _log_cell(size) + i))
-    spread = rows.select("spec", around(F.col("spec.vcpu")).alias("_x")).select("spec", "_x", around(F.col("spec.ram_gb")).alias("_y"))
-    near = spread.groupBy("_x", "_y").agg(F.collect_list("spec").alias("_near"))
-    cores, ram = F.col("cpu_cores"), F.col("ram_gb")
+    near = rows.select("*", around(F.col("vcpu")).alias("_x")).select("*", around(F.col("spec_ram")).alias("_y"))
     asked = machines.filter("cpu_cores is not null and ram_gb is not null").select("cpu_cores", "ram_gb").distinct()
-    placed = asked.withColumns({"_x": _log_cell(cores), "_y": _log_cell(ram)})
-    found = durable(sized_join(placed, near, ["_x", "_y"]).select("cpu_cores", "ram_gb", _nearest(F.col("_near"), cores, ram, True).alias("_best")))
-    whole = rows.groupBy(F.lit(0).alias("_all")).agg(F.collect_list("spec").alias("_list"))
-    rest = found.filter("_best is null").select("cpu_cores", "ram_gb", F.lit(0).alias("_all")).join(F.broadcast(whole), "_all")
-    return found.filter("_best is not null").union(rest.select("cpu_cores", "ram_gb", _nearest(F.col("_list"), cores, ram, False)))
+    asked = durable(asked)
+    placed = asked.withColumns({"_x": _log_cell(F.col("cpu_cores")), "_y": _log_cell(F.col("ram_gb"))})
+    found = durable(_best_of(placed, near, ["_x", "_y"], True, max_rows, share))
+    rest = asked.join(found, ["cpu_cores", "ram_gb"], "left_anti")
+    everywhere = F.lit(0).alias("_all")
+    return found.union(_best_of(rest.select("*", everywhere), rows.select("*", everywhere), ["_all"], False, max_rows, share))
 
 
 def match_instances(machines: DataFrame, vm: str = "vm_id", specs: DataFrame | None = None) -> DataFrame:
