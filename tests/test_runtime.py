@@ -25,6 +25,22 @@ def test_a_cluster_without_the_setting_is_refused():
         runtime.shared_dir(Elsewhere)
 
 
+def test_shuffles_begin_with_partitions_in_proportion_to_the_input(spark, tmp_path):
+    assert runtime.partitions_for(6 << 30, 12) == 384 and runtime.partitions_for(1 << 20, 12) == 12
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (tmp_path / "a.parquet").write_bytes(b"")
+    os.truncate(tmp_path / "a.parquet", (least + 5) * runtime.INPUT_PER_PART)
+    try:
+        runtime.size_shuffles(spark, str(tmp_path))
+        plan = spark.range(9).selectExpr("id % 3 AS k").groupBy("k").count()._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(k" in plan and f", {least + 5})" in plan
+        assert int(spark.conf.get("spark.sql.shuffle.partitions")) == least
+    finally:
+        runtime.size_shuffles(spark, None)
+    plan = spark.range(9).selectExpr("id % 3 AS k").groupBy("k").count()._jdf.queryExecution().executedPlan().toString()
+    assert f", {least})" in plan
+
+
 def test_released_folders_are_gone(spark):
     runtime.release(spark)
     stored = runtime.durable(spark.range(5))
