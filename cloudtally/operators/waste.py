@@ -12,6 +12,7 @@ from cloudtally.functions.numeric import banded, below, clamp, half_up, no_nan,
 from cloudtally.functions.skew import sized_join
 from cloudtally.operators.features import idle_days
 from cloudtally.operators.series import SERIES
+from cloudtally.runtime import durable
 
 NEEDS = {
     "cpu": "cpu_avg_pct",
@@ -70,7 +71,10 @@ def waste_score(
     if "memory" in weights:
         terms["memory"] = (100 - F.col("memory_avg_pct")) / 100
     if "growth" in weights:
-        df = sized_join(df, growth_span(df, tenant) if span is None else span, tenant)
+        if span is None:
+            df = durable(df)  # read for the span and for the scores: its windows are worked out once
+            span = growth_span(df, tenant)
+        df = sized_join(df, span, tenant)
         terms["growth"] = scaled(
             no_nan(F.col("cost_growth_rate")), F.col("growth_lo"), F.col("growth_hi")
         )

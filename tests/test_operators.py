@@ -164,6 +164,11 @@ def test_waste_score_without_cpu(spark):
     assert got == {day(0): (33.33, "Underutilized"), day(1): (66.67, "Idle")}
 
 
+def test_waste_score_works_out_its_windows_once(spark, tiny):
+    scored = waste.waste_score(features.growth(fx.billing(spark, tiny)))
+    assert "Window" not in scored._jdf.queryExecution().executedPlan().toString()
+
+
 def test_incident_score_renormalises_and_bands(spark):
     df = spark.createDataFrame([(100.0, None), (40.0, 20.0)], "anomaly_score_cost double, anomaly_score_disk_io double")
     got = [(r.incident_score, r.severity) for r in anomaly.fuse(df).collect()]
