@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from cloudtally import fixed_values as fv
 from cloudtally.functions.numeric import MONEY, clamp, pct_change
@@ -175,37 +178,67 @@ def lagged_zscore(
 ) -> DataFrame:
     """Distance of today's value from the series' own baseline that ended a week ago.
 
-    ``lag(7)`` over a 30-row frame is the frame of rows -36..-7, so no nested window is needed.
+    ``lag(7)`` over a 30-row frame is the frame of rows -36..-7, so no nested window is needed. Spark numbers the rows
+    of each series; the frames are worked out batch by batch in that order (``baselines``).
     """
-
     present = [d for d in dimensions if d in df.columns]
-
-    def build(w):
-        # every frame aggregate is its own column, so that none is evaluated twice
-        frame = back(w, fv.ZSCORE_ROWS, -fv.ZSCORE_LAG)
-        out = {}
-        for d in present:
-            out[f"_n_{d}"] = F.count(d).over(frame)
-            out[f"_avg_{d}"] = F.avg(d).over(frame)
-            out[f"_std_{d}"] = F.stddev_samp(d).over(frame)
-        return out
-
+    if not present:
+        return df
     based = with_lookback(
         df,
-        build,
+        lambda w: {"_at": F.row_number().over(w)},
         lookback=fv.ZSCORE_ROWS + fv.ZSCORE_LAG,
         keys=keys,
         one_row_per_day=one_row_per_day,
+        walk=lambda ordered: baselines(ordered, present, "_at", fv.ZSCORE_ROWS, fv.ZSCORE_LAG, fv.ZSCORE_MIN_ROWS),
     )
 
     def z(d):
-        usable = (F.col(f"_n_{d}") >= fv.ZSCORE_MIN_ROWS) & (F.col(f"_std_{d}") > 0)
-        raw = F.when(usable, (F.col(d) - F.col(f"_avg_{d}")) / F.col(f"_std_{d}"))
+        raw = F.when(F.col(f"_std_{d}") > 0, (F.col(d) - F.col(f"_avg_{d}")) / F.col(f"_std_{d}"))
         return F.greatest(F.lit(-fv.ZSCORE_CLIP), F.least(F.lit(fv.ZSCORE_CLIP), F.coalesce(raw, F.lit(0.0))))
 
     return based.select(*df.columns, *[z(d).alias(f"{d}_zscore") for d in present])
 
 
+def baselines(ordered: DataFrame, names: Sequence[str], at: str, rows: int, lag: int, least: int) -> DataFrame:
+    """Add mean and sample deviation (``_avg_``, ``_std_``) over the ``rows`` rows that end ``lag`` rows back.
+
+    Partitions hold whole series in order, ``at`` is the 1-based row of a series. Both are null with fewer than ``least``
+    known values. One pass over a batch for each row of the frame, oldest first, with the steps of Spark's own ``avg``
+    and ``stddev_samp``, so the values are theirs; Spark would walk through the frame again for every row. A batch
+    needs no more of the last one than its final ``rows + lag - 1`` rows.
+    """
+    back = rows + lag - 1
+    new = [f"_{kind}_{d}" for d in names for kind in ("avg", "std")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = {d: (np.zeros(back), np.zeros(back, bool)) for d in names}
+        for batch in batches:
+            m, made = batch.num_rows, []
+            row = batch.column(at).to_numpy(zero_copy_only=False)
+            for d in names:
+                column = batch.column(d).cast(pa.float64())
+                own = column.fill_null(0.0).to_numpy(zero_copy_only=False), column.is_valid().to_numpy(zero_copy_only=False)
+                value, known = (np.concatenate(pair) for pair in zip(last[d], own, strict=True))
+                last[d] = value[-back:], known[-back:]
+                n, total, mean, m2 = (np.zeros(m) for _ in range(4))
+                with np.errstate(all="ignore"):
+                    for k in range(back, lag - 1, -1):
+                        x, used = value[back - k : back - k + m], known[back - k : back - k + m] & (row > k)
+                        n += used
+                        gap = np.where(used, x - mean, 0.0)
+                        step = np.divide(gap, n, out=np.zeros(m), where=used)
+                        mean += step
+                        m2 += gap * (gap - step)
+                        total += np.where(used, x, 0.0)
+                    few = n < max(least, 2)
+                    made += [pa.array(total / n, mask=few), pa.array(np.sqrt(m2 / (n - 1)), mask=few)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *new])
+
+    added = StructType([StructField(c, DoubleType()) for c in new])
+    return ordered.mapInArrow(run, StructType([*ordered.schema.fields, *added.fields]))
+
+
 def daily_series(df: DataFrame, org: str = "organization_id") -> DataFrame:
     """Daily cost and active resources at tenant level (``service`` NULL) and per service, in one job.
 

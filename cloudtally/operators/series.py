@@ -112,11 +112,15 @@ def with_lookback(
     one_row_per_day: bool = True,
     ties: Sequence[str] | None = None,
     stretch_rows: int = STRETCH_ROWS,
+    walk: Callable[[DataFrame], DataFrame] = lambda ordered: ordered,
 ) -> DataFrame:
-    """Add the columns of ``build(window)``, which may look at most ``lookback`` rows back."""
+    """Add the columns of ``build(window)``, which may look at most ``lookback`` rows back.
+
+    ``walk`` maps the result while every partition still holds whole series or stretches in the order of the window.
+    """
     keys = series_keys(df, keys)
     if one_row_per_day:
-        return df.withColumns(dict(build(in_order(df, keys, order, ties))))
+        return walk(df.withColumns(dict(build(in_order(df, keys, order, ties)))))
     if lookback >= stretch_rows:
         raise ValueError("a stretch must be longer than the lookback")
     placed = positions(df, keys, order, ties, name="_pos")
@@ -132,7 +136,7 @@ def with_lookback(
     )
     w = Window.partitionBy(*keys, "_stretch").orderBy("_pos")
     return (
-        copied.withColumns(dict(build(w)))
+        walk(copied.withColumns(dict(build(w))))
         .filter(F.col("_home") == F.col("_stretch"))
         .drop("_pos", "_home", "_stretch")
     )

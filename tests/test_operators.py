@@ -11,7 +11,7 @@ from cloudtally import fixed_values as fv
 from cloudtally.operators import (
     advice, anomaly, drift, evaluate, features, gold, metrics, quality, registry, retrieve, silver, waste,
 )
-from cloudtally.operators.series import latest_rows, positions, with_lookback
+from cloudtally.operators.series import back, in_order, latest_rows, positions, with_lookback
 from cloudtally.plans import fixtures as fx
 
 DAY = dt.date(2024, 1, 1)
@@ -504,3 +504,25 @@ def test_sweep_reads_every_threshold_off_one_curve(spark):
                 assert s[c] == r[c], (org, p, c)
     best = {r.organization_id: r.f1 for r in evaluate.best_percentile(evaluate.anomaly_sweep(df, w)).collect()}
     assert best == {o: max(s.f1 for (q, _), s in sweep.items() if q == o) for o in ("o", "p")}
+
+
+@pytest.mark.parametrize("one_row_per_day", [True, False])
+def test_zscore_frames_equal_those_of_spark_across_batches(spark, one_row_per_day):
+    rng = np.random.default_rng(3)
+    odd = {5: None, 40: None, 41: float("nan"), 90: float("inf"), 130: 1e12}
+    rows = [("o", f"r{k}", day(i), odd.get(i, float(v)) if k == 1 else float(v)) for k in range(4) for i, v in enumerate(rng.normal(100, 5, 150))]
+    df = series(spark, rows)
+    w = back(in_order(df, ["organization_id", "resource_id"]), 30, -7)
+    std, avg = F.stddev_samp("cost").over(w), F.avg("cost").over(w)
+    want = df.select("resource_id", "date", F.when((F.count("cost").over(w) >= 5) & (std > 0), (F.col("cost") - avg) / std).alias("raw"))
+    want = want.select("resource_id", "date", F.greatest(F.lit(-10.0), F.least(F.lit(10.0), F.coalesce("raw", F.lit(0.0)))).alias("z"))
+    want = {(r.resource_id, r.date): r.z for r in want.collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        found = features.lagged_zscore(df, ["cost"], one_row_per_day=one_row_per_day)
+        got = {(r.resource_id, r.date): r.cost_zscore for r in found.collect()}
+        text = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want and len(got) == 600
+    assert "stddev" not in text  # no sliding frame is summed again for every row
