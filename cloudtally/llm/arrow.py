@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,6 +15,32 @@ from pyspark.sql import functions as F
 #: Whole texts of this many rows are handed to Python at once; memory in a task stays near one such slice.
 SLICE_BYTES = 8 << 20
 
+_OWN: dict[Hashable, Any] = {}
+_GC = gc.get_threshold()
+
+
+def own(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What a worker process keeps for later tasks: one thing at a time, until another one or ``free``."""
+    if key not in _OWN:
+        _OWN.clear()
+        _OWN[key] = make()
+    return _OWN[key]
+
+
+def free() -> None:
+    """Let go of what an earlier operator's tasks have left in this worker process.
+
+    Worker processes outlive a stage, and with them its tables and the free pages of its largest batch.
+    """
+    _OWN.clear()
+    gc.set_threshold(*_GC)
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
 
 def raw(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column, a null as the empty text."""

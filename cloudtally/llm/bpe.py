@@ -16,7 +16,6 @@ import hashlib
 import json
 import struct
 from collections.abc import Callable
-from functools import lru_cache
 from itertools import islice
 from pathlib import Path
 
@@ -231,10 +230,9 @@ class Codec:
         return hashlib.sha256(data).hexdigest()
 
 
-@lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
     """One codec in each worker process: later tasks find its vocabulary and the words it has met."""
-    return Codec(path)
+    return arrow.own((Codec, path), lambda: Codec(path))
 
 
 def _strings(column: pa.Array) -> list[str]:

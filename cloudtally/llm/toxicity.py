@@ -30,6 +30,7 @@ MAX_ROWS = 20_000
 MAX_FEATURES = 3_000
 LEAST_DOCS = 4
 PREFIXES = (4, 5, 6)
+PART_BYTES = 1 << 20  # of texts that are Python strings at the same time while fitting
 FOLDS = 5
 PENALTY, RIDGE, STEPS = 5.0, 0.02, 1_500
 
@@ -101,8 +102,9 @@ def choose(rows: DataFrame, identity: dict[str, list[str]], max_features: int =
     """Features whose share of the toxic rows stands out most, and the identity terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow.free()
         for batch in batches:
-            for part in arrow.slices(batch, "text", 1 << 20):
+            for part in arrow.slices(batch, "text", PART_BYTES):
                 found, toxic = [], []
                 for text, y in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist(), strict=True):
                     own = features(text or "")
@@ -182,18 +184,23 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, identity:
 
 def reduced(rows: DataFrame, chosen: list[str]) -> DataFrame:
     """doc_id, toxic and the words that matter, one row for each doc_id whatever its number of rows."""
-    known = set(chosen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # so that a row is no longer than the feature list
-        for batch in batches:
+        arrow.free()
+        yield from matter(batches, set(chosen))
+
+    return rows.mapInArrow(run, "doc_id long, text string, toxic int").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+
+
+def matter(batches: Iterator[pa.RecordBatch], known: set[str]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of ``PART_BYTES`` of text, each text cut to the words that matter, no longer than ``known``."""
+    for batch in batches:
+        for part in arrow.slices(batch, "text", PART_BYTES):
             kept = []
-            for text in batch.column("text").to_pylist():
+            for text in part.column("text").to_pylist():
                 words = sorted(set(_WORD((text or "").lower())))
                 kept.append(" ".join(w for w in words if w in known or any(w[:n] + "*" in known for n in PREFIXES if len(w) > n)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(kept, pa.string()), batch.column("toxic")], ["doc_id", "text", "toxic"])
-
-    return rows.mapInArrow(run, "doc_id long, text string, toxic int").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(kept, pa.string()), part.column("toxic")], ["doc_id", "text", "toxic"])
 
 
 def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
@@ -216,6 +223,7 @@ def accepted(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
     sent, columns = docs.sparkSession.sparkContext.broadcast(model), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow.free()
         for batch in batches:
             for part in arrow.slices(batch, "text", 2 << 20):
                 yield part.filter(pa.array([sent.value.score(t or "") < limit for t in part.column("text").to_pylist()], pa.bool_()))

@@ -1,12 +1,14 @@
 """From raw documents to tokens in five stages, each a training-data operator over all that the last one kept.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is stored before the next one reads it.
-All but the last return the columns of ``docs``.
+All but the last return the columns of ``docs``. Texts go to Python in Arrow batches of at most ``BATCH_BYTES``, or one
+row: Spark's 10,000 rows of long texts would be in the executor, on their way and in the worker at the same time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +18,20 @@ from cloudtally.llm import bpe, decontaminate, line_index, simhash, toxicity
 from cloudtally.runtime import durable
 
 
+BATCH_BYTES = 4 << 20
+
+
+def _in_small_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, with the setting for its own jobs and for the one that stores its result."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -53,11 +69,11 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("toxicity", reject_toxic),
-    ("line_dedup", drop_lines),
-    ("near_dedup", drop_near_copies),
-    ("decontaminate", drop_leaks),
-    ("bpe", tokenize),
+    ("toxicity", _in_small_batches(reject_toxic)),
+    ("line_dedup", _in_small_batches(drop_lines)),
+    ("near_dedup", _in_small_batches(drop_near_copies)),
+    ("decontaminate", _in_small_batches(drop_leaks)),
+    ("bpe", _in_small_batches(tokenize)),
 ]
 
 #: The classifier, fingerprints, alignments and tokens have no SQL form; tests compare with brute force.
