@@ -4,6 +4,7 @@ import datetime as dt
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -229,3 +230,15 @@ def test_every_tree_gets_its_sample_whatever_the_number_of_rows(spark, rows):
     assert len(points) == 10 and points.min() >= min(rows, 20) and points.max() <= 32
     raw = isolation.raw_scores(z, spark.createDataFrame(forest, isolation.NODE), ["id"]).toPandas()["raw_cost"]
     assert raw.between(0, 1).all() and abs(raw.mean() - 0.5) < 0.15  # near one half where depths are as expected
+
+
+def test_grids_of_a_forest_give_the_depths_of_its_trees():
+    rng = np.random.default_rng(4)
+    grown = []
+    for k in range(40):
+        points = np.round(rng.normal(0, 3, (1 if k == 39 else 256, 2)), 1 if k % 2 else 6)
+        nodes = pd.DataFrame(isolation._grow(points, rng), columns=["node", "feature", "cut", "left", "right", "length"])
+        grown.append(nodes.sort_values("node").to_records(index=False))
+    cuts = np.concatenate([t.cut[t.feature >= 0] for t in grown])
+    x = np.concatenate([rng.normal(0, 5, (2000, 2)), rng.choice(cuts, (2000, 2)), [[np.inf, -np.inf], [-np.inf, np.inf], [0.0, -0.0]]])
+    assert (isolation.Cells(grown).total(x) == sum(isolation.path_lengths(t, x) for t in grown)).all()
