@@ -242,22 +242,23 @@ def baselines(ordered: DataFrame, names: Sequence[str], at: str, rows: int, lag:
 def daily_series(df: DataFrame, org: str = "organization_id") -> DataFrame:
     """Daily cost and active resources at tenant level (``service`` NULL) and per service, in one job.
 
-    Resources are first collapsed per (day, service, resource), so the distinct counts never
-    carry a raw row twice.
+    Resources are first collapsed per (day, service, resource), and for the tenant's level to (day, resource), so a
+    resource is counted once and no row is carried once for each level.
     """
     base = df.filter(F.col("date").isNotNull() & F.col("service").isNotNull())
     slim = base.groupBy(org, "date", "service", "resource_id").agg(
         F.sum(F.col("cost").cast(MONEY)).alias("_cost")
     )
-    return (
-        slim.groupingSets([[org, "date"], [org, "date", "service"]], org, "date", "service")
-        .agg(
-            F.sum("_cost").cast("double").alias("cost"),
-            F.count_distinct("resource_id").alias("active_resource_count"),
-            F.when(F.grouping("service") == 1, "org_total").otherwise("per_service").alias("level"),
+    whole = slim.groupBy(org, "date", "resource_id").agg(F.sum("_cost").alias("_cost"))
+
+    def level(rows: DataFrame, name: str, service: Column, *keys: str) -> DataFrame:
+        counted = rows.groupBy(org, "date", *keys).agg(
+            F.sum("_cost").cast("double").alias("cost"), F.count("resource_id").alias("active_resource_count")
         )
-        .select(org, "date", "level", "service", "cost", "active_resource_count")
-    )
+        return counted.select(org, "date", F.lit(name).alias("level"), service.alias("service"), "cost", "active_resource_count")
+
+    total = level(whole, "org_total", F.lit(None).cast(df.schema["service"].dataType))
+    return total.unionByName(level(slim, "per_service", F.col("service"), "service"))
 
 
 def supervised(

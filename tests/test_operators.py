@@ -526,3 +526,19 @@ def test_zscore_frames_equal_those_of_spark_across_batches(spark, one_row_per_da
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == want and len(got) == 600
     assert "stddev" not in text  # no sliding frame is summed again for every row
+
+
+def test_daily_series_counts_a_resource_of_two_services_once_and_expands_nothing(spark):
+    rows = [("o", day(0), "a", "r", 0.1), ("o", day(0), "a", "r", 0.2), ("o", day(0), "b", "r", 1.0), ("o", day(0), "b", None, 5.0), (None, day(1), "a", "q", 2.0), ("o", None, "a", "r", 9.0), ("o", day(0), None, "r", 9.0)]
+    out = features.daily_series(spark.createDataFrame(rows, "organization_id string, date date, service string, resource_id string, cost double"))
+    got = {(r.organization_id, r.date, r.level, r.service): (r.cost, r.active_resource_count) for r in out.collect()}
+    assert got == {
+        ("o", day(0), "org_total", None): (6.3, 1), ("o", day(0), "per_service", "a"): (0.3, 1), ("o", day(0), "per_service", "b"): (6.0, 1),
+        (None, day(1), "org_total", None): (2.0, 1), (None, day(1), "per_service", "a"): (2.0, 1),
+    }
+    assert "Expand" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_task_has_a_bounded_share_of_files_and_shuffles(spark):
+    for key in ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes"):
+        assert int(spark.conf.get(key).removesuffix("m")) <= 16
