@@ -14,6 +14,7 @@ from cloudtally import fixed_values as fv
 from cloudtally.functions.numeric import MONEY, clamp, pct_change
 from cloudtally.functions.skew import sized_join
 from cloudtally.operators.series import SERIES, back, by_day, in_order, positions, series_keys, with_lookback
+from cloudtally.runtime import dealt
 
 
 def time_features(df: DataFrame, date: str = "date") -> DataFrame:
@@ -242,18 +243,20 @@ def baselines(ordered: DataFrame, names: Sequence[str], at: str, rows: int, lag:
 def daily_series(df: DataFrame, org: str = "organization_id") -> DataFrame:
     """Daily cost and active resources at tenant level (``service`` NULL) and per service, in one job.
 
-    Resources are first collapsed per (day, service, resource), and for the tenant's level to (day, resource), so a
-    resource is counted once and no row is carried once for each level.
+    Rows are dealt out once, by day and resource, and both levels collapse them there: per (day, service, resource)
+    and per (day, resource), so a resource is counted once and no row is carried once for each level.
     """
     base = df.filter(F.col("date").isNotNull() & F.col("service").isNotNull())
-    slim = base.groupBy(org, "date", "service", "resource_id").agg(
-        F.sum(F.col("cost").cast(MONEY)).alias("_cost")
-    )
-    whole = slim.groupBy(org, "date", "resource_id").agg(F.sum("_cost").alias("_cost"))
+    own = dealt(base.select(org, "date", "service", "resource_id", "cost"), org, "date", "resource_id")
+    # the service is used at both levels: with the same columns they read one shuffle
+    summed = F.sum(F.col("cost").cast(MONEY)).alias("_cost"), F.max(F.length("service")).alias("_named")
+    slim = own.groupBy(org, "date", "service", "resource_id").agg(*summed)
+    whole = own.groupBy(org, "date", "resource_id").agg(*summed)
 
     def level(rows: DataFrame, name: str, service: Column, *keys: str) -> DataFrame:
         counted = rows.groupBy(org, "date", *keys).agg(
-            F.sum("_cost").cast("double").alias("cost"), F.count("resource_id").alias("active_resource_count")
+            F.sum("_cost").cast("double").alias("cost"),
+            F.count(F.when(F.col("_named").isNotNull(), F.col("resource_id"))).alias("active_resource_count"),
         )
         return counted.select(org, "date", F.lit(name).alias("level"), service.alias("service"), "cost", "active_resource_count")
 

@@ -12,7 +12,7 @@ from cloudtally import fixed_values as fv
 from cloudtally.functions.numeric import clamp, half_up
 from cloudtally.operators import advice, anomaly, features, gold, silver, waste
 from cloudtally.operators.series import SERIES, latest_rows
-from cloudtally.runtime import durable
+from cloudtally.runtime import dealt, durable
 
 CENTS = DecimalType(12, 2)
 
@@ -57,13 +57,15 @@ def billing(spark: SparkSession, folder: str) -> DataFrame:
     """Canonical daily billing: one row per (tenant, resource, day).
 
     Line items are summed per supplier and day before the dimensions are joined, so the joins
-    see daily rows only.
+    see daily rows only. The dimensions are joined one by one: the size that Spark expects of their own join
+    is a product, beside which the daily rows would be sent to all tasks.
     """
     # whole cents times whole percent: exact and order-independent in 64-bit integers
     price = F.rint(F.col("l_extendedprice") * 100).cast("long") * (100 - F.rint(F.col("l_discount") * 100).cast("long"))
+    lines = table(spark, folder, "lineitem").withColumn("date", F.to_date("l_shipdate"))
     daily = (
-        table(spark, folder, "lineitem")
-        .groupBy("l_suppkey", F.to_date("l_shipdate").alias("date"))
+        dealt(lines, "l_suppkey", "date")
+        .groupBy("l_suppkey", "date")
         .agg(
             (F.sum(price).cast("double") / 10000).alias("cost"),
             F.avg("l_quantity").alias("_q"),
@@ -72,12 +74,12 @@ def billing(spark: SparkSession, folder: str) -> DataFrame:
             F.avg("l_tax").alias("_t"),
         )
     )
-    owners = (
-        table(spark, folder, "supplier")
+    owned = (
+        daily.join(table(spark, folder, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
         .join(table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
         .join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     )
-    return daily.join(owners, F.col("l_suppkey") == F.col("s_suppkey")).select(
+    return owned.select(
         org("n_nationkey").alias("organization_id"),
         "date",
         F.col("n_name").alias("account_id"),

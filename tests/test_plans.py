@@ -67,3 +67,19 @@ def test_keep_first_is_an_aggregate(spark):
 def test_no_frame_is_walked_again_for_every_row(spark, tiny, name):
     frames = plan(entry.queries()[name](spark, tiny))
     assert not re.search(r"specifiedwindowframe\(RowFrame, (currentrow\$\(\)|-?\d+), unboundedfollowing", frames)
+
+
+def test_line_items_are_dealt_out_before_they_are_summed_and_never_sent_to_all_tasks(spark, tiny):
+    text = plan(fx.billing(spark, tiny))
+    assert "BuildLeft" not in text  # the dimensions are sent, whatever the sizes that Spark expects
+    before, below = text.split("Exchange hashpartitioning(l_suppkey", 1)
+    assert "HashAggregate" in before and "HashAggregate" not in below  # no task sums a whole row group of a file
+
+
+def test_both_levels_of_daily_series_read_one_shuffle_of_resources(spark, tiny):
+    series = features.daily_series(fx.billing(spark, tiny))
+    assert series.count() > 0 and len(series.collect()) == series.count()
+    final = plan(series).split("== Initial Plan ==")[0]
+    of_resources = [l for l in final.splitlines() if "Exchange hashpartitioning" in l and "resource_id" in l.split("Exchange hashpartitioning(")[1].split(")")[0]]
+    assert [("ReusedExchange" in l) for l in of_resources] == [False, True]
+    assert "Aggregate" not in final.split(of_resources[0])[1].split("Exchange hashpartitioning(l_suppkey")[0].split("Join")[0]

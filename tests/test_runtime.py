@@ -41,6 +41,24 @@ def test_shuffles_begin_with_partitions_in_proportion_to_the_input(spark, tmp_pa
     assert f", {least})" in plan
 
 
+def test_rows_of_a_large_input_are_dealt_to_more_partitions(spark, tmp_path):
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = spark.range(9).selectExpr("id % 3 AS k", "id")
+    own = lambda: runtime.dealt(rows, "k").groupBy("k").count()._jdf.queryExecution().executedPlan().toString()
+    (tmp_path / "a.parquet").write_bytes(b"")
+    os.truncate(tmp_path / "a.parquet", (least + 5) * runtime.INPUT_PER_PART)
+    try:
+        runtime.size_shuffles(spark, str(tmp_path))
+        assert f", {runtime.FINER * (least + 5)}), REPARTITION_BY_NUM" in own()
+        os.truncate(tmp_path / "a.parquet", 1)
+        runtime.size_shuffles(spark, str(tmp_path))
+        assert f", {least}), REPARTITION_BY_COL" in own()  # coalesced by adaptive execution
+    finally:
+        runtime.size_shuffles(spark, None)
+    assert f", {least}), REPARTITION_BY_COL" in own() and own().count("Exchange") == 1
+    assert sorted(map(tuple, runtime.dealt(rows, "k").groupBy("k").count().collect())) == [(0, 3), (1, 3), (2, 3)]
+
+
 def test_released_folders_are_gone(spark):
     runtime.release(spark)
     stored = runtime.durable(spark.range(5))
