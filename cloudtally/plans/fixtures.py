@@ -64,7 +64,7 @@ def billing(spark: SparkSession, folder: str) -> DataFrame:
     price = F.rint(F.col("l_extendedprice") * 100).cast("long") * (100 - F.rint(F.col("l_discount") * 100).cast("long"))
     lines = table(spark, folder, "lineitem").withColumn("date", F.to_date("l_shipdate"))
     daily = (
-        dealt(lines, "l_suppkey", "date")
+        dealt(lines, "l_suppkey", "date", scanned=True)
         .groupBy("l_suppkey", "date")
         .agg(
             (F.sum(price).cast("double") / 10000).alias("cost"),

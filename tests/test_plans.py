@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from cloudtally import runtime
 from cloudtally.operators import features, gold, silver
 from cloudtally.operators.series import top_rows
 from cloudtally.plans import fixtures as fx
@@ -76,6 +77,17 @@ def test_line_items_are_dealt_out_before_they_are_summed_and_never_sent_to_all_t
     assert "HashAggregate" in before and "HashAggregate" not in below  # no task sums a whole row group of a file
 
 
+def test_no_task_holds_the_rows_of_a_file_while_it_deals_them_out(spark, tiny):
+    few = int(spark.sparkContext.getConf().get(runtime.STREAMED, "200"))
+    spark.conf.set(runtime.INITIAL, str(few))
+    try:
+        text = plan(fx.billing(spark, tiny))
+    finally:
+        runtime.size_shuffles(spark, None)
+    dealt_out = [int(n) for n in re.findall(r"Exchange hashpartitioning\(.*, (\d+)\), REPARTITION_BY_NUM", text)]
+    assert dealt_out == [runtime.FINER * few, few]  # the last is the one that reads the file
+
+
 def test_both_levels_of_daily_series_read_one_shuffle_of_resources(spark, tiny):
     series = features.daily_series(fx.billing(spark, tiny))
     assert series.count() > 0 and len(series.collect()) == series.count()

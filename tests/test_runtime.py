@@ -1,6 +1,7 @@
 """The folder for intermediate tables."""
 
 import os
+import re
 
 import pytest
 
@@ -59,6 +60,24 @@ def test_rows_of_a_large_input_are_dealt_to_more_partitions(spark, tmp_path):
     assert sorted(map(tuple, runtime.dealt(rows, "k").groupBy("k").count().collect())) == [(0, 3), (1, 3), (2, 3)]
 
 
+def test_scanned_rows_are_dealt_to_few_partitions_first(spark, tmp_path):
+    rows = spark.range(9).selectExpr("id % 3 AS k", "id")
+    own = lambda: runtime.dealt(rows, "k", scanned=True).groupBy("k").count()
+    parts = lambda: [int(n) for n in re.findall(r"Exchange hashpartitioning\(.*, (\d+)\), REPARTITION_BY", own()._jdf.queryExecution().executedPlan().toString())]
+    few = int(spark.sparkContext.getConf().get(runtime.STREAMED, "200"))
+    (tmp_path / "a.parquet").write_bytes(b"")
+    try:
+        # from the last shuffle to the first; a task that writes to more holds its rows, up to a whole file
+        for begin, want in ((few // runtime.FINER, [few]), (few // runtime.FINER + 1, [runtime.FINER * (few // runtime.FINER + 1), few])):
+            os.truncate(tmp_path / "a.parquet", begin * runtime.INPUT_PER_PART)
+            runtime.size_shuffles(spark, str(tmp_path))
+            assert parts() == want
+            assert sorted(map(tuple, own().collect())) == [(0, 3), (1, 3), (2, 3)]
+    finally:
+        runtime.size_shuffles(spark, None)
+    assert parts() == [int(spark.conf.get("spark.sql.shuffle.partitions"))]
+
+
 def test_released_folders_are_gone(spark):
     runtime.release(spark)
     stored = runtime.durable(spark.range(5))
