@@ -4,24 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloudtally import fixed_values as fv
 from cloudtally.operators import evaluate
-from cloudtally.operators.models.quantile_boost import compact
+from cloudtally.operators.models import random_forest
 from cloudtally.operators.series import SERIES
 from cloudtally.runtime import durable
 
 LABELS = ("Critical Waste", "Healthy", "Idle", "Underutilized")
 FEATURES = fv.CLASSIFIER_FEATURES
-NODE_MB = 1_024  # of statistics at once: enough for a level of 200 trees of depth 8
-FOREST_ROWS = 20_000  # in a partition: each row goes down all trees
-TREE_ROWS = 500_000_000  # rows times trees grown at once: a fit keeps a number of each tree with each row
-LEAST_TREES = 16  # at once, for any number of rows: what a fit keeps then grows as its rows do
+TREE_ROWS = 500_000_000  # rows times trees that a task works through at each level
+LEAST_TREES = 16  # in a task, for any number of rows
 
 
 def vectors(df: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
@@ -35,54 +33,23 @@ def vectors(df: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
 def fit(
     scored: DataFrame, trees: int = 200, depth: int = 8, seed: int = 42
 ) -> RandomForestClassificationModel:
-    """Fit with balanced class weights. The counts behind the weights are one row per bucket.
+    """Fit with balanced class weights; all trees are grown on all rows, which are read twice.
 
-    Rows without a bucket teach nothing and are left out. Only what the trees read is kept, in as few
-    partitions as its rows need. The trees are grown in groups, all on all rows and each from a seed of its own, so that
-    the draws that a fit keeps with the rows are bounded by the rows and not by rows times all trees; few rows make one group,
-    whose node numbers stay with the rows, so a level of all trees is few passes.
+    Rows without a bucket teach nothing and are left out. Only what the trees read is kept.
     """
-    scored = scored.filter(F.col("bucket").isNotNull())
-    counts = {r["bucket"]: r["count"] for r in scored.groupBy("bucket").count().collect()}
-    total = sum(counts.values())
-    weight = F
-    for label, n in counts.items():
-        weight = weight.when(F.col("bucket") == label, F.lit(total / (len(counts) * n)))
     index = F.array_position(F.array(*[F.lit(x) for x in LABELS]), F.col("bucket")) - 1
-    train = vectors(scored).select(
-        "features", index.cast("double").alias("label"), weight.otherwise(F.lit(1.0)).alias("weight")
-    )
-    stored, several = durable(compact(train, total, FOREST_ROWS)), group_sizes(total, trees)
-    grown = []
-    for k, n in enumerate(several):
-        forest = RandomForestClassifier(
-            numTrees=n, maxDepth=depth, seed=seed + k, weightCol="weight", maxMemoryInMB=NODE_MB, cacheNodeIds=len(several) == 1
-        )
-        grown.append(forest.fit(stored))
-    return joined(grown)
+    filled = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in FEATURES]
+    train = scored.filter(F.col("bucket").isNotNull()).select(*filled, index.alias("label"))
+    return random_forest.fit(train, FEATURES, "label", len(LABELS), trees, depth, seed, group_sizes)
 
 
 def group_sizes(rows: int, trees: int) -> list[int]:
-    """How many trees are grown at once, in groups that differ by one at most."""
+    """How many trees a task grows on so many (distinct) rows, in groups that differ by one at most."""
     at_once = max(LEAST_TREES, TREE_ROWS // max(rows, 1))
     groups = -(-trees // at_once)
     return [trees // groups + (k < trees % groups) for k in range(groups)]
 
 
-def joined(forests: Sequence[RandomForestClassificationModel]) -> RandomForestClassificationModel:
-    """One forest of the trees of several that were fitted on the same rows."""
-    if len(forests) == 1:
-        return forests[0]
-    sc, first = SparkSession.getActiveSession().sparkContext, forests[0]._java_obj
-    kinds, trees = sc._jvm.org.apache.spark.ml.classification, [t for f in forests for t in f._java_obj.trees()]
-    array = sc._gateway.new_array(kinds.DecisionTreeClassificationModel, len(trees))
-    for i, tree in enumerate(trees):
-        array[i] = tree
-    forest = kinds.RandomForestClassificationModel(first.uid(), array, first.numFeatures(), first.numClasses())
-    first.copyValues(forest, sc._jvm.org.apache.spark.ml.param.ParamMap())
-    return RandomForestClassificationModel(forest.set("numTrees", len(trees)))
-
-
 def predict(model: RandomForestClassificationModel, df: DataFrame) -> DataFrame:
     """Add ``predicted_bucket`` and the probability behind it."""
     names = F.array(*[F.lit(x) for x in LABELS])

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cloudtally import fixed_values as fv
 from cloudtally.operators import features
-from cloudtally.operators.models import attribution, forecast, isolation, quantile_boost, waste_classifier
+from cloudtally.operators.models import attribution, forecast, isolation, quantile_boost, random_forest, waste_classifier
 from cloudtally.operators.series import SERIES, latest_rows
 from cloudtally.plans import fixtures as fx
 from cloudtally.runtime import durable
@@ -55,6 +56,140 @@ def test_a_forest_grown_in_groups_is_one_forest(scored, monkeypatch):
         assert r.prediction == pytest.approx(told[tuple(r[:3])][waste_classifier.LABELS.index(r.output)], abs=1e-9)
 
 
+def _block(rng, rows, bins, labels, many=5):
+    """Cells with their bins, labels and counts, and the block that holds them."""
+    cell = np.unique(np.column_stack([rng.integers(0, n, rows) for n in [*bins, labels]]), axis=0)
+    n = np.sort(np.concatenate([np.ones(len(cell) - many, dtype=np.int64), rng.integers(2, 90, many)]))
+    codes = [reduce(lambda code, f: code * bins[f] + cell[:, f], own[1:], cell[:, own[0]]) for own in random_forest.triples(bins)]
+    row = {"block": 3, "label": cell[:, -1].astype(np.int32).tobytes(), "n": n.tobytes()}
+    return cell, n, random_forest.Block(row | {f"t{k}": c.astype(np.int32).tobytes() for k, c in enumerate(codes)}, bins, labels)
+
+
+@pytest.mark.parametrize("bins", [[7, 4, 5, 3, 6, 2], [5, 4, 6], [3, 2, 4, 5, 2]])
+def test_counts_of_open_nodes_are_those_of_a_walk(bins, monkeypatch):
+    monkeypatch.setattr(random_forest, "CHUNK", 100)
+    rng = np.random.default_rng(len(bins))
+    cell, n, block = _block(rng, 900, bins, 3)
+    draws = block.drawn(42, 5)
+    assert (draws == block.drawn(42, 5)).all() and (draws != block.drawn(42, 6)).any() and draws.sum() != n.sum()
+    boxes = [(np.zeros(len(bins), dtype=int), np.array(bins))]
+    while len(boxes) < 100:  # more nodes than a mask has bits
+        low, high = boxes.pop(int(rng.integers(len(boxes))))
+        f = int(rng.integers(len(bins)))
+        if high[f] - low[f] < 2:
+            boxes.append((low, high))
+            if all((h - l).max() < 2 for l, h in boxes):
+                break
+            continue
+        mid = int(rng.integers(low[f] + 1, high[f]))
+        boxes += [(low, np.where(np.arange(len(bins)) == f, mid, high)), (np.where(np.arange(len(bins)) == f, mid, low), high)]
+    boxes = boxes[3:]  # some cells lie in leaves
+    tree = random_forest.Open(list(range(len(boxes))), np.array([b[0] for b in boxes]), np.array([b[1] for b in boxes]), 42, 5)
+    got = block.counts(tree, draws)
+    for k, (low, high) in enumerate(boxes):
+        inside = ((cell[:, :-1] >= low) & (cell[:, :-1] < high)).all(axis=1)
+        for j, f in enumerate(tree.tried[k]):
+            want = np.zeros(got.shape[2:])
+            np.add.at(want, (cell[inside, f], cell[inside, -1]), draws[inside])
+            assert (got[k, j] == want).all()
+
+
+def test_a_cell_draws_what_its_rows_would():
+    rng = np.random.default_rng(1)
+    _, n, block = _block(rng, 60_000, [32, 32, 32, 32], 2, many=2_000)
+    draws = np.array([block.drawn(42, t) for t in range(30)])
+    assert draws.shape[1] == len(n) and (draws == draws.round()).all()
+    for own in (n == 1, n > 1):  # mean and variance are the number of rows
+        assert abs(((draws - n) ** 2)[:, own].mean() / n[own].mean() - 1) < 0.05 and abs(draws[:, own].mean() / n[own].mean() - 1) < 0.02
+    share = [(draws[:, n == 1] == k).mean() for k in range(4)]
+    assert np.allclose(share, [math.exp(-1) / math.factorial(k) for k in range(4)], atol=0.002)
+
+
+def test_the_cut_chosen_is_the_best_of_all():
+    rng = np.random.default_rng(6)
+    counts, weights = rng.integers(0, 9, (40, 2, 5, 3)), np.array([0.5, 1.0, 3.0])
+    counts[:, 1] = 0
+    for k in range(40):  # the same draws by another feature
+        for c in range(3):
+            counts[k, 1, :, c] = rng.multinomial(counts[k, 0, :, c].sum(), [0.2] * 5)
+    counts[7], counts[7, :, 2] = 0, (3, 1, 4)  # nothing to cut
+
+    def gini(x):
+        w = x * weights
+        return 1 - ((w / w.sum()) ** 2).sum(), w.sum()
+
+    place, cut, gain, lower, upper = random_forest.choose(counts, weights)
+    for k in range(40):
+        best = -1.0
+        for f in range(2):
+            for j in range(4):
+                a, b = counts[k, f, : j + 1].sum(0), counts[k, f, j + 1 :].sum(0)
+                if a.sum() and b.sum():
+                    whole, mass = gini(a + b)
+                    best = max(best, whole - sum(i * m / mass for i, m in (gini(a), gini(b))))
+        if k == 7:
+            assert place[k] == -1 and (lower[k] == counts[k, 0].sum(0)).all() and not upper[k].any()
+            continue
+        assert gain[k] == pytest.approx(best)
+        assert (lower[k] == counts[k, place[k], : cut[k] + 1].sum(0)).all() and (upper[k] == counts[k, place[k], cut[k] + 1 :].sum(0)).all()
+
+
+def test_cuts_are_quantiles_of_all_rows(spark):
+    n = 20_000
+    rows = spark.range(n, numPartitions=7).select(
+        ((F.col("id") * 7919) % n).cast("double").alias("a"), (F.col("id") % 3).cast("double").alias("b"), F.lit(4.0).alias("c"),
+        F.when(F.col("id") % 10 < 6, 0.0).otherwise(F.col("id").cast("double")).alias("d"), (F.col("id") % 4).cast("int").alias("label"),
+    )
+    cuts, sizes = random_forest.cut_points(rows, ["a", "b", "c", "d"], "label")
+    assert sizes == {k: n // 4 for k in range(4)}
+    assert len(cuts[0]) == 31 and np.allclose(cuts[0], np.arange(1, 32) * n / 32, atol=n / 500)
+    assert cuts[1].tolist() == [0.5, 1.5] and not len(cuts[2])
+    assert cuts[3][0] == 0 and 10 <= len(cuts[3]) <= 14
+    made = random_forest.cells(rows, ["a", "b", "c", "d"], "label", cuts, [0, 1, 2, 3])
+    assert made.agg(F.sum("n")).first()[0] == n
+    blocks = random_forest.blocks(made).collect()
+    got = np.concatenate([np.frombuffer(r.n, np.int64) for r in blocks])
+    assert got.sum() == n and len(got) == made.groupBy(*made.columns[:-1]).count().count()
+
+
+def test_the_leaves_of_a_forest_hold_the_rows_that_reach_them(spark, scored, monkeypatch):
+    """Without a bootstrap (each row counts once) the counts of every leaf are those of Spark's own walk, in any blocks."""
+    n = scored.count()
+    monkeypatch.setattr(random_forest, "BLOCK", n // 3)
+    index = F.array_position(F.array(*[F.lit(x) for x in waste_classifier.LABELS]), F.col("bucket")) - 1
+    train = scored.withColumn("label", index).na.fill(0.0)
+    model = random_forest.fit(train, fv.CLASSIFIER_FEATURES, "label", 4, 3, 6, 42, bootstrap=False)
+    reached = model.trees[0].setLeafCol("leaf").transform(waste_classifier.vectors(scored)).groupBy("leaf", "bucket").count().collect()
+    stats = {}
+    for r in attribution.node_table(model).filter("treeID = 0 AND leftChild < 0").collect():
+        stats[r.id] = r.impurityStats
+    by_leaf = {}
+    for r in reached:
+        by_leaf.setdefault(r.leaf, {})[waste_classifier.LABELS.index(r.bucket)] = r["count"]
+    sizes = {waste_classifier.LABELS.index(r.bucket): r["count"] for r in scored.groupBy("bucket").count().collect()}
+    want = sorted([n / (len(sizes) * sizes[k]) * x.get(k, 0) if k in sizes else 0.0 for k in range(4)] for x in by_leaf.values())
+    assert np.allclose(want, sorted(stats.values()))
+
+
+def test_forest_jobs_do_not_grow_with_the_rows(spark, scored, monkeypatch):
+    """Every level of all trees is one pass, where groups of trees were fitted one after the other: 13 of 16 at 32 million rows."""
+    passes = []
+    level = random_forest._level
+    monkeypatch.setattr(random_forest, "_level", lambda *a: passes.append(1) or level(*a))
+    monkeypatch.setattr(waste_classifier, "TREE_ROWS", 1)
+    model = waste_classifier.fit(scored, trees=40, depth=3)
+    assert len(passes) == 3 and model.getNumTrees == 40
+
+
+def test_few_rows_and_one_bucket_make_a_forest(spark, scored):
+    one = durable(scored.filter("bucket = 'Idle' OR bucket = 'Healthy'").limit(1))
+    model = waste_classifier.fit(one, trees=30, depth=3)
+    told = waste_classifier.predict(model, one).first()
+    assert told.predicted_bucket == told.bucket and told.classifier_confidence == 1.0
+    with pytest.raises(ValueError):
+        waste_classifier.fit(scored.filter("bucket IS NULL"))
+
+
 def test_contributions_add_up_to_the_probability(spark, scored, forest):
     rows = latest_rows(scored, SERIES)
     explained = attribution.contributions(forest, rows, fv.CLASSIFIER_FEATURES, waste_classifier.LABELS, KEYS)
