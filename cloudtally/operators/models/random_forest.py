@@ -13,7 +13,7 @@ import json
 import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
-from functools import reduce
+from functools import cached_property, reduce
 from math import ceil, exp, factorial, sqrt
 
 import numpy as np
@@ -37,7 +37,13 @@ DRAWS = np.searchsorted(np.cumsum([exp(-1) / factorial(k) for k in range(12)]),
 
 
 def summary(values: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """All values with their counts where they are few, else ``PROBES`` quantiles, each for an equal share of the counts."""
+    """All values with their counts where they are few, else ``PROBES`` quantiles, each for an equal share of the counts.
+
+    What is not a number lies above all cuts and makes none.
+    """
+    known = ~np.isnan(values)
+    if not known.all():
+        values, counts = values[known], None if counts is None else counts[known]
     order = np.argsort(values, kind="stable") if counts is not None else None
     values = np.sort(values) if order is None else values[order]
     first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, dtype=np.intp)
@@ -174,12 +180,7 @@ class Open:
         """For each word of nodes and each triple the nodes whose boxes hold a number of the triple, as bits."""
         out = []
         for start in range(0, len(self.ids), WORD):
-            low, high = self.low[start : start + WORD], self.high[start : start + WORD]
-            bit = np.left_shift(np.uint64(1), np.arange(len(low), dtype=np.uint64))
-            held = []
-            for f, n in enumerate(bins):
-                inside = (low[:, f, None] <= np.arange(n)) & (np.arange(n) < high[:, f, None])
-                held.append(np.bitwise_or.reduce(np.where(inside, bit[:, None], np.uint64(0)), axis=0))
+            held = _held(self.low[start : start + WORD], self.high[start : start + WORD], bins)
             out.append([reduce(lambda a, f: (a[:, None] & held[f]).ravel(), own[1:], held[own[0]]) for own in triples(bins)])
         return out
 
@@ -436,3 +437,69 @@ def _model(
     node = ("id", "prediction", "impurity", "impurityStats", "rawCount", "gain", "leftChild", "rightChild", split)
     spark.createDataFrame(table).select("treeID", F.struct(*node).alias("nodeData")).coalesce(1).write.parquet(f"{path}/data")
     return RandomForestClassificationModel.load(path)
+
+
+class Leaves:
+    """The trees of a forest as masks of leaves: a row's leaf in a tree is the one that the bins of all features leave.
+
+    Made from the node table, so it is as large as the forest; masks are made where they are used.
+    """
+
+    def __init__(self, nodes: pa.Table, features: int) -> None:
+        cols = {c: nodes.column(c).to_numpy() for c in ("treeID", "id", "leftChild", "rightChild", "featureIndex", "threshold")}
+        stats = np.array(nodes.column("impurityStats").to_pylist(), dtype="float64")
+        inner = cols["leftChild"] >= 0
+        self.cuts = [np.unique(cols["threshold"][inner & (cols["featureIndex"] == f)]) for f in range(features)]
+        self.trees = []
+        for t in np.unique(cols["treeID"]):
+            own = np.flatnonzero(cols["treeID"] == t)
+            at = {int(i): n for i, n in zip(cols["id"][own], own, strict=True)}
+            low, high, leaves, todo = [], [], [], [(0, [0] * features, [len(c) + 1 for c in self.cuts])]
+            while todo:
+                i, a, b = todo.pop()
+                n = at[i]
+                if not inner[n]:
+                    low.append(a), high.append(b), leaves.append(n)
+                    continue
+                f = int(cols["featureIndex"][n])
+                cut = int(np.searchsorted(self.cuts[f], cols["threshold"][n])) + 1
+                todo.append((int(cols["leftChild"][n]), a, [min(x, cut) if g == f else x for g, x in enumerate(b)]))
+                todo.append((int(cols["rightChild"][n]), [max(x, cut) if g == f else x for g, x in enumerate(a)], b))
+            value = stats[leaves]
+            self.trees.append((np.array(low), np.array(high), value / value.sum(axis=1, keepdims=True)))
+
+    @cached_property
+    def masks(self) -> list[list[list[np.ndarray]]]:
+        """For each tree, word of leaves and feature pair the leaves that a pair of bins leaves, as bits."""
+        out = []
+        for low, high, _ in self.trees:
+            words = []
+            for start in range(0, len(low), WORD):
+                held = _held(low[start : start + WORD], high[start : start + WORD], [len(c) + 1 for c in self.cuts])
+                words.append([(held[f][:, None] & held[f + 1]).ravel() if f + 1 < len(held) else held[f] for f in range(0, len(held), 2)])
+            out.append(words)
+        return out
+
+    def probability(self, x: np.ndarray) -> np.ndarray:
+        """Mean of the trees' shares of the labels for each row of feature values."""
+        at = [np.searchsorted(cut, x[:, f]) for f, cut in enumerate(self.cuts)]
+        code = [at[f] * (len(self.cuts[f + 1]) + 1) + at[f + 1] if f + 1 < len(at) else at[f] for f in range(0, len(at), 2)]
+        total = np.zeros((len(x), self.trees[0][2].shape[1]))
+        for words, (_, _, value) in zip(self.masks, self.trees, strict=True):
+            leaf = None
+            for w, word in enumerate(words):
+                held = word[0].take(code[0])
+                for mask, own in zip(word[1:], code[1:], strict=True):
+                    held &= mask.take(own)
+                held -= np.uint64(1)  # ones below the only bit, or all ones
+                here = np.bitwise_count(held).astype(np.intp)
+                leaf = np.where(leaf < w * WORD, leaf, w * WORD + here) if w else here
+            total += value.take(leaf, axis=0)
+        return total / len(self.trees)
+
+
+def _held(low: np.ndarray, high: np.ndarray, bins: Sequence[int]) -> list[np.ndarray]:
+    """For each feature the boxes that hold a bin, as bits."""
+    bit = np.left_shift(np.uint64(1), np.arange(len(low), dtype=np.uint64))
+    inside = lambda f, n: (low[:, f, None] <= np.arange(n)) & (np.arange(n) < high[:, f, None])
+    return [np.bitwise_or.reduce(np.where(inside(f, n), bit[:, None], np.uint64(0)), axis=0) for f, n in enumerate(bins)]

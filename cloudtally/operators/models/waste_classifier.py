@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloudtally import fixed_values as fv
 from cloudtally.operators import evaluate
-from cloudtally.operators.models import random_forest
+from cloudtally.operators.models import attribution, random_forest
 from cloudtally.operators.series import SERIES
 from cloudtally.runtime import durable
 
@@ -51,13 +51,22 @@ def group_sizes(rows: int, trees: int) -> list[int]:
 
 
 def predict(model: RandomForestClassificationModel, df: DataFrame) -> DataFrame:
-    """Add ``predicted_bucket`` and the probability behind it."""
+    """Add ``predicted_bucket`` and the probability behind it: what the model's own transform gives, for many rows at once."""
+    leaves = random_forest.Leaves(attribution.node_table(model).toArrow(), len(FEATURES))
+    sent = df.sparkSession.sparkContext.broadcast(leaves)
+
+    @F.pandas_udf("struct<place int, confidence double>")
+    def judged(x: pd.DataFrame) -> pd.DataFrame:
+        p = sent.value.probability(x.to_numpy("float64"))
+        return pd.DataFrame({"place": p.argmax(axis=1).astype("int32"), "confidence": p.max(axis=1)})
+
     names = F.array(*[F.lit(x) for x in LABELS])
+    filled = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in FEATURES]
     return (
-        model.transform(vectors(df))
-        .withColumn("predicted_bucket", F.element_at(names, F.col("prediction").cast("int") + 1))
-        .withColumn("classifier_confidence", F.array_max(vector_to_array("probability")))
-        .drop("features", "rawPrediction", "probability", "prediction")
+        df.withColumn("_judged", judged(F.struct(*filled)))
+        .withColumn("predicted_bucket", F.element_at(names, F.col("_judged.place") + 1))
+        .withColumn("classifier_confidence", F.col("_judged.confidence"))
+        .drop("_judged")
     )
 
 

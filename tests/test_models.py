@@ -134,6 +134,14 @@ def test_the_cut_chosen_is_the_best_of_all():
         assert (lower[k] == counts[k, place[k], : cut[k] + 1].sum(0)).all() and (upper[k] == counts[k, place[k], cut[k] + 1 :].sum(0)).all()
 
 
+def test_what_is_not_a_number_makes_no_cut():
+    values, counts = random_forest.summary(np.array([2.0, np.nan, 1.0, np.nan, 2.0]))
+    assert values.tolist() == [1.0, 2.0] and counts.tolist() == [1.0, 2.0]
+    values, counts = random_forest.summary(np.concatenate([np.arange(100.0), [np.nan]]), np.full(101, 3.0))
+    assert values.max() == 99 and counts.sum() == pytest.approx(300)
+    assert [len(a) for a in random_forest.summary(np.array([np.nan]))] == [0, 0]
+
+
 def test_cuts_are_quantiles_of_all_rows(spark):
     n = 20_000
     rows = spark.range(n, numPartitions=7).select(
@@ -181,6 +189,18 @@ def test_forest_jobs_do_not_grow_with_the_rows(spark, scored, monkeypatch):
     assert len(passes) == 3 and model.getNumTrees == 40
 
 
+def test_predictions_are_those_of_the_model(spark, scored):
+    """Also for missing features, and trees of more leaves than a mask has bits."""
+    model = waste_classifier.fit(scored, trees=12, depth=8)
+    assert max(t.numNodes for t in model.trees) > 128
+    odd = scored.limit(400).withColumn("cost", F.lit(None).cast("double"))
+    rows = durable(scored.unionByName(odd))
+    want = model.transform(waste_classifier.vectors(rows)).select("prediction", F.array_max(vector_to_array("probability")).alias("p"))
+    told = waste_classifier.predict(model, rows).select("predicted_bucket", "classifier_confidence")
+    order = lambda found: sorted((waste_classifier.LABELS[int(a)] if isinstance(a, float) else a, round(b, 9)) for a, b in found)
+    assert order(want.collect()) == order(told.collect())
+
+
 def test_few_rows_and_one_bucket_make_a_forest(spark, scored):
     one = durable(scored.filter("bucket = 'Idle' OR bucket = 'Healthy'").limit(1))
     model = waste_classifier.fit(one, trees=30, depth=3)
