@@ -12,6 +12,7 @@ that pass the same cuts of a leaf share its values.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from math import factorial
 
 import numpy as np
@@ -22,6 +23,10 @@ from pyspark.sql import functions as F
 from cloudtally.functions.numeric import half_up
 from cloudtally.runtime import new_folder
 
+WAYS = 8  # features; with more, numbers of passed cuts are too many for a table, and leaves go one by one
+LEAVES, ROWS = 64, 256  # in one look-up
+TASKS = 1  # for each core
+
 
 def _leaves(nodes: pd.DataFrame, weights: dict[int, float], classifier: bool) -> list[tuple]:
     """(weighted value, share of rows, {feature: (low, high, share)}) per leaf of every tree."""
@@ -51,8 +56,11 @@ def _leaves(nodes: pd.DataFrame, weights: dict[int, float], classifier: bool) ->
     return out
 
 
-def _shapley(passes: np.ndarray, shares: Sequence[float]) -> np.ndarray:
-    """Shapley values (rows, features) of a leaf of value 1, from which cuts each row passes (0 or 1)."""
+def _shapley(passes: np.ndarray, shares: Sequence) -> np.ndarray:
+    """Shapley values (rows, features) of a leaf of value 1, from which cuts each row passes (0 or 1).
+
+    A share may be one for all rows or one for each, where rows belong to different leaves.
+    """
     n, m = passes.shape
     whole = np.zeros((m + 1, n))
     whole[0] = 1.0
@@ -86,6 +94,58 @@ def _leaf_shapley(x: np.ndarray, path: dict) -> dict[int, np.ndarray]:
     return {f: told[:, i] for i, f in enumerate(feats)}
 
 
+class Boxes:
+    """The leaves of all trees as boxes: the features whose cuts a row passes on the way to a leaf are the bits of a number.
+
+    Features that are not on a leaf's path count as passed by all rows, which changes no Shapley value.
+    """
+
+    def __init__(self, leaves: Sequence[tuple], features: int) -> None:
+        n = len(leaves)
+        low, high, self.shares = np.full((n, features), -np.inf), np.full((n, features), np.inf), np.ones((n, features))
+        for i, (_, _, path) in enumerate(leaves):
+            for f, (a, b, share) in path.items():
+                low[i, f], high[i, f], self.shares[i, f] = a, b, share
+        self.values = np.array([np.atleast_1d(v) for v, _, _ in leaves])
+        self.cuts, self.bits = [], []
+        for f in range(features):
+            ends = np.concatenate([low[:, f], high[:, f]])
+            cut = np.unique(ends[np.isfinite(ends)])
+            # a bin lies between two cuts and holds the upper one
+            above, upto = np.append(-np.inf, cut)[:, None], np.append(cut, np.inf)[:, None]
+            self.cuts.append(cut)
+            self.bits.append(((above >= low[:, f]) & (upto <= high[:, f])).astype(np.uint8) << f)
+
+    def told(self, own: slice) -> np.ndarray:
+        """Shapley values (leaf, number, feature) of some leaves of value 1, by the features whose cuts are passed."""
+        shares = self.shares[own]
+        m = shares.shape[1]
+        ways = ((np.arange(1 << m)[:, None] >> np.arange(m)) & 1).astype("float64")
+        n = len(shares) << m
+        passes = np.broadcast_to(ways, (len(shares), *ways.shape)).reshape(n, m)
+        return _shapley(passes, np.repeat(shares, 1 << m, axis=0).T).reshape(len(shares), 1 << m, m)
+
+    def shapley(self, x: np.ndarray, at: np.ndarray | None) -> np.ndarray:
+        """Sums over all leaves (rows, features, outputs); with ``at`` the one output of each row (rows, features)."""
+        places = [np.searchsorted(cut, x[:, f]) for f, cut in enumerate(self.cuts)]
+        m, outputs = len(places), self.values.shape[1]
+        total = np.zeros((len(x), m, outputs))
+        rows = [np.arange(len(x))] * outputs if at is None else [np.flatnonzero(at == k) for k in range(outputs)]
+        for start in range(0, len(self.values), LEAVES):
+            own = slice(start, start + LEAVES)
+            alone = self.told(own)
+            first = np.arange(len(alone)) << m
+            for k, some in enumerate(rows):
+                valued = (alone * self.values[own, k, None, None]).reshape(-1, m).T.copy()
+                for part in range(0, len(some), ROWS):
+                    r = some[part : part + ROWS]
+                    number = reduce(np.bitwise_or, [bit[:, own].take(place[r], axis=0) for bit, place in zip(self.bits, places, strict=True)])
+                    at_leaf = first + number
+                    for f in range(m):
+                        total[r, f, k] += valued[f].take(at_leaf).sum(axis=1)
+        return total if at is None else total.sum(axis=2)
+
+
 def node_table(model) -> DataFrame:
     """The model's nodes: at most trees x 2^(depth+1) rows, whatever the training data."""
     spark = SparkSession.getActiveSession()
@@ -118,11 +178,13 @@ def contributions(
     ``contributions`` maps a feature to its value; base plus their sum is the prediction. ``only`` names
     a column of ``ident`` that holds the one output to explain in a row.
     """
-    nodes = node_table(model).toPandas()
+    nodes = node_table(model).toArrow().to_pandas()
     trees = sorted(nodes["treeID"].unique())
     # a forest averages its trees, boosting adds them up with weights
     shares = [1.0 / len(trees)] * len(trees) if classifier else list(model.treeWeights)
-    return node_contributions(nodes, dict(zip(trees, shares, strict=True)), rows, features, outputs, ident, classifier, only)
+    # every row meets all leaves: rows are spread over all cores, however few they are
+    spread = rows.repartition(TASKS * rows.sparkSession.sparkContext.defaultParallelism)
+    return node_contributions(nodes, dict(zip(trees, shares, strict=True)), spread, features, outputs, ident, classifier, only)
 
 
 def node_contributions(
@@ -140,6 +202,9 @@ def node_contributions(
     base = sum(v * s for v, s, _ in leaves)
     kinds = dict(rows.dtypes)
     names, feats, labels = list(ident), list(features), list(outputs)
+    boxes = Boxes(leaves, len(feats)) if len(feats) <= WAYS else None
+    leaves = leaves if boxes is None else []
+    sent = rows.sparkSession.sparkContext.broadcast(boxes)
 
     def told(pdf: pd.DataFrame, output, start, phi: np.ndarray) -> pd.DataFrame:
         out = pdf[names].copy()
@@ -152,13 +217,13 @@ def node_contributions(
             x = pdf[feats].to_numpy("float64")
             if only is not None:
                 at = pd.Index(labels).get_indexer(pdf[only])
-                phi = np.zeros((len(x), len(feats)))
+                phi = np.zeros((len(x), len(feats))) if sent.value is None else sent.value.shapley(x, at)
                 for value, _, path in leaves:
                     for f, part in _leaf_shapley(x, path).items():
                         phi[:, f] += part * value[at]
                 yield told(pdf, pdf[only], base[at], phi)[at >= 0]
                 continue
-            phi = np.zeros((len(x), len(feats), len(labels)))
+            phi = np.zeros((len(x), len(feats), len(labels))) if sent.value is None else sent.value.shapley(x, None)
             for value, _, path in leaves:
                 for f, part in _leaf_shapley(x, path).items():
                     phi[:, f, :] += part[:, None] * value[None, :]

@@ -1515,7 +1515,8 @@ def _(spark, d):
 
     scored = durable(fx.scored(spark, d).select(*KEYS, "bucket", *fv.CLASSIFIER_FEATURES))
     model, rows = waste_classifier.fit(scored), durable(latest_rows(scored, SERIES))
-    parts = attribution.contributions(model, rows, fv.CLASSIFIER_FEATURES, waste_classifier.LABELS, [*KEYS, "bucket"], only="bucket")
+    # read for the sums and for the strongest
+    parts = durable(attribution.contributions(model, rows, fv.CLASSIFIER_FEATURES, waste_classifier.LABELS, [*KEYS, "bucket"], only="bucket"))
     place = F.array_position(F.array(*[F.lit(x) for x in waste_classifier.LABELS]), F.col("bucket")).cast("int")
     told = model.transform(waste_classifier.vectors(rows)).select(*KEYS, F.element_at(vector_to_array("probability"), place).alias("_p"))
     total = F.aggregate(F.map_values("contributions"), F.lit(0.0), lambda a, v: a + v)

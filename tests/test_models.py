@@ -253,6 +253,36 @@ def test_leaf_shapley_matches_the_definition():
         assert np.allclose(got[f], want[f])
 
 
+def test_leaves_in_one_table_explain_what_each_explains_alone(monkeypatch):
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(attribution, "LEAVES", 7)
+    monkeypatch.setattr(attribution, "ROWS", 11)
+    leaves = [(rng.random(3), 1.0, {})]
+    for _ in range(30):
+        path = {}
+        for f in rng.permutation(5)[: rng.integers(1, 6)]:
+            low, high = np.sort(rng.choice(np.round(np.linspace(0, 1, 9), 3), 2, replace=False))
+            path[int(f)] = [(low, high, 0.3), (-np.inf, high, 0.6), (low, np.inf, 0.7)][rng.integers(3)]
+        leaves.append((rng.random(3), 0.1, path))
+    x = np.round(rng.random((60, 5)) * 8) / 8  # also values at the cuts
+    x[0] = np.nan
+    want = np.zeros((60, 5, 3))
+    for value, _, path in leaves:
+        for f, part in attribution._leaf_shapley(x, path).items():
+            want[:, f, :] += part[:, None] * value
+    boxes = attribution.Boxes(leaves, 5)
+    assert np.allclose(boxes.shapley(x[1:], None), want[1:])
+    at = rng.integers(-1, 3, 60)
+    own = boxes.shapley(x, at)
+    assert np.allclose(own[1:][at[1:] >= 0], want[np.arange(60), :, at][1:][at[1:] >= 0]) and not own[at < 0].any()
+
+
+def test_few_rows_are_explained_by_many_tasks(spark, scored, forest):
+    rows = latest_rows(scored, SERIES).coalesce(1)
+    told = attribution.contributions(forest, rows, fv.CLASSIFIER_FEATURES, waste_classifier.LABELS, [*KEYS, "bucket"], only="bucket")
+    assert told.select(F.spark_partition_id().alias("p")).distinct().count() > 1 and told.count() == rows.count()
+
+
 def test_top_contributions_are_ordered(scored, forest):
     rows = latest_rows(scored, SERIES)
     explained = attribution.contributions(forest, rows, fv.CLASSIFIER_FEATURES, waste_classifier.LABELS, KEYS)
